@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, mixing, near_text
+from quillspark.llm import byte_bpe, mixing, near_text, pii
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,12 +22,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op7_mixing": op7_mixing, "op9_minhash": op9_minhash}
+    return {"op1_byte_bpe": op1_byte_bpe, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
