@@ -1,11 +1,52 @@
-"""The corpus pipeline (stages are added as their operators are built)."""
+"""From raw documents to mixed, encoded training text.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the table of documents that the next one works on; the last returns the
+encoded documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import byte_bpe, mixing, near_text, pii, toxicity
+from quillspark.llm.queries import VOCABULARY
+from quillspark.llm.shared import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, trained on the labelled documents of the input, calls toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    found = near_text.near_duplicates(docs).where("component_id is not null and not kept").select("doc_id")
+    return docs.join(materialize(found, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities and terms that disclose them are replaced in every text."""
+    return pii.scrub(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with their count and digests."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_copies), ("personal data", remove_personal_data), ("mixing", mix_sources), ("encoding", encode)]
+#: Training and set similarity have no SQL form; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

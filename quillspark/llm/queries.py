@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, mixing, near_text, pii, toxicity
+from quillspark.llm import byte_bpe, mixing, near_text, pii, pivot_join, toxicity
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,8 +34,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_toxicity": op3_toxicity, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_toxicity": op3_toxicity, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
 
 
 def oracle_sql() -> dict[str, str]:
