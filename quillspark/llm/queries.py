@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, mixing, near_text, pii, pivot_join, toxicity
+from quillspark.llm import byte_bpe, mixing, near_text, pii, pivot_join, toxicity, warc
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,8 +43,8 @@ def op10_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_toxicity": op3_toxicity, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE}
