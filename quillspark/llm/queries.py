@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, chat, mixing, near_text, pii, pivot_join, toxicity, warc
+from quillspark.llm import byte_bpe, chat, hnsw, mixing, near_text, pii, pivot_join, toxicity, warc
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more))
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_chat": op5_chat, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_chat": op5_chat, "op6_hnsw": op6_hnsw, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
 
 
 def oracle_sql() -> dict[str, str]:
