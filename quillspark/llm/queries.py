@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, chat, hnsw, mixing, near_text, pii, pivot_join, toxicity, warc
+from quillspark.llm import byte_bpe, chat, hnsw, mixing, mixing_lm, near_text, pii, pivot_join, toxicity, warc
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -53,7 +57,7 @@ def op10_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_chat": op5_chat, "op6_hnsw": op6_hnsw, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_mixing_lm": op4_mixing_lm, "op5_chat": op5_chat, "op6_hnsw": op6_hnsw, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
 
 
 def oracle_sql() -> dict[str, str]:
