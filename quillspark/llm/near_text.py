@@ -10,8 +10,9 @@
 4. Candidates whose minima agree too rarely are dropped (the margin is five standard deviations); the others are confirmed
    on the full sets.  Links give components, by large-star and small-star steps.
 5. Remembered regions that still hold several components are finished exactly: every member outside the region's largest
-   component is compared, in blocks, with all members of other components.  So no pair that a region brings together is
-   lost, and regions of thousands of copies do not make all their pairs.
+   component is compared, in blocks, with all members of other components, first by their minima, then those that have
+   a likely partner by their full sets.  So no pair that a region brings together is lost, no list of all pairs of a
+   region is made, and what is linked already is not compared again.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from quillspark.llm.shared import arrow_batch_rows, materialize
 
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
-SMALL, NEAR, BLOCK = 8, 2, 1024
+SMALL, NEAR, BLOCK = 8, 2, 512
 KNOWN_WORDS = 500_000
 
 _random = np.random.default_rng(20_240_229)
@@ -73,7 +74,10 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, class_key, minima`` of each document; key and minima are null where there are no words."""
+    """``id, n_shingles, class_key, minima`` of each document; key and minima are null where there are no words.
+
+    The set's size follows the minima.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +86,7 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 found = shingles(text.as_py(), width)
                 counts.append(len(found))
                 keys.append(hashlib.sha256(found.tobytes()).digest()[:16] if len(found) else None)
-                signatures.append(minima(found).tobytes() if len(found) else None)
+                signatures.append(np.append(minima(found), np.uint32(len(found))).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "n_shingles", "class_key", "minima"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, class_key binary, minima binary")
@@ -108,7 +112,7 @@ def forest_rows(signatures: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             if not len(ids):
                 continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), HASHES)
+            values = _signatures(batch.column(1))[:, :HASHES]
             for tree in range(TREES):
                 own = np.take(values, range(tree * DEPTH, tree * DEPTH + DEPTH + 2), axis=1, mode="wrap").astype(np.uint64)
                 region = np.full(len(ids), tree + 1, np.uint64)
@@ -153,10 +157,8 @@ def forest_neighbours(rows: DataFrame, partitions: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, region long")
 
 
-def _agreement(left: pa.Array, right: pa.Array) -> np.ndarray:
-    a = np.frombuffer(b"".join(left.to_pylist()), np.uint32).reshape(-1, HASHES)
-    b = np.frombuffer(b"".join(right.to_pylist()), np.uint32).reshape(-1, HASHES)
-    return (a == b).mean(axis=1)
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES + 1)
 
 
 def _least_agreement(percent: int) -> float:
@@ -164,6 +166,11 @@ def _least_agreement(percent: int) -> float:
     return j - 5 * (j * (1 - j) / HASHES) ** 0.5
 
 
+def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Sets of such sizes can be similar enough."""
+    return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
+
+
 def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose minima agree often enough."""
     least = _least_agreement(percent)
@@ -171,7 +178,9 @@ def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(_agreement(batch.column(2), batch.column(3)) >= least))
+                a, b = _signatures(batch.column(2)), _signatures(batch.column(3))
+                agree = (a[:, :HASHES] == b[:, :HASHES]).mean(axis=1) >= least
+                yield batch.select([0, 1]).filter(pa.array(agree & _sizes_fit(a[:, HASHES], b[:, HASHES], percent)))
 
     a = signatures.select(F.col("id").alias("a"), F.col("minima").alias("minima_a"))
     b = signatures.select(F.col("id").alias("b"), F.col("minima").alias("minima_b"))
@@ -201,8 +210,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     return forest_edges(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), links)
 
 
-def unfinished_pairs(dense: DataFrame, components: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between different components of one remembered region."""
+GROUP = ["region", "ask_block", "shelf_block"]
+
+
+def unfinished(dense: DataFrame, components: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """``region, ask_block, shelf_block, id, component, asks``: members of remembered regions that have a likely partner in
+    another component of their region.  ``asks`` marks those outside the region's largest component.
+
+    A region's members are dealt into blocks; each pair of blocks is a group of bounded size.  A member gives a row per
+    group at most, however many partners it has.
+    """
     least = _least_agreement(percent)
     members = dense.join(components, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
     members = materialize(members, "forest-members")
@@ -215,25 +232,61 @@ def unfinished_pairs(dense: DataFrame, components: DataFrame, signatures: DataFr
     shelf = members.select("region", F.explode(every).alias("ask_block"), F.col("block").alias("shelf_block"), "id", "component", "minima", F.lit(False).alias("asks"))
     asks = members.where("component <> main").select("region", F.col("block").alias("ask_block"), F.explode(every).alias("shelf_block"), "id", "component", "minima", F.lit(True).alias("asks"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
-        values = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(len(ids), HASHES)
-        there, a, b = np.flatnonzero(~asks), [], []
-        shelf = np.ascontiguousarray(values[there].T)
-        for q in np.flatnonzero(asks):
+    def compare(rows: pa.Table) -> pa.Table:
+        asking = rows.column("asks").to_numpy(zero_copy_only=False)
+        component, values = rows.column("component").to_numpy(), _signatures(rows.column("minima"))
+        there = np.flatnonzero(~asking)
+        books, hits = np.ascontiguousarray(values[there].T), np.zeros(len(asking), bool)
+        for q in np.flatnonzero(asking):
             agree = np.zeros(len(there), np.int16)
             for k in range(HASHES):
-                agree += shelf[k] == values[q, k]
-            hit = there[(agree >= least * HASHES) & (component[there] != component[q])]
-            a.append(np.minimum(ids[hit], ids[q]))
-            b.append(np.maximum(ids[hit], ids[q]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+                agree += books[k] == values[q, k]
+            hit = (agree >= least * HASHES) & (component[there] != component[q]) & _sizes_fit(books[HASHES], values[q, HASHES], percent)
+            hits[there[hit]] = True
+            hits[q] = hit.any()
+        return rows.select([*GROUP, "id", "component", "asks"]).filter(pa.array(hits))
 
     asked = asks.select("region", "ask_block").distinct()
-    shelf = shelf.join(asked, ["region", "ask_block"], "left_semi")
-    return shelf.unionByName(asks).groupBy("region", "ask_block", "shelf_block").applyInArrow(compare, "a long, b long")
+    rows = shelf.join(asked, ["region", "ask_block"], "left_semi").unionByName(asks)
+    return rows.groupBy(*GROUP).applyInArrow(compare, "region long, ask_block int, shelf_block int, id long, component long, asks boolean")
+
+
+def finished(rows: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between components, by comparing the full sets of ``rows`` (see ``unfinished``) within each group.
+
+    What a link has joined is not compared again, so a group gives fewer links than it has members.
+    """
+    wanted = materialize(rows.select("id").distinct(), "forest-rest-wanted")
+    sets = materialize(set_table(docs, wanted, width, id_col, text_col), "forest-rest-sets")
+
+    def compare(group: pa.Table) -> pa.Table:
+        asking, ids = group.column("asks").to_numpy(zero_copy_only=False), group.column("id").to_numpy()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingle_set")]
+        sizes = np.array([len(x) for x in found])
+        label = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+        numbers = np.unique(np.concatenate(found), return_inverse=True)[1]
+        there, ends = np.flatnonzero(~asking), np.cumsum(sizes)
+        if not len(there):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        books = np.concatenate([numbers[ends[k] - sizes[k] : ends[k]] for k in there])
+        starts = np.r_[0, np.cumsum(sizes[there])[:-1]]
+        flags, a, b = np.zeros(numbers.max() + 1, bool), [], []
+        for q in np.flatnonzero(asking):
+            if (label[there] == label[q]).all():
+                continue
+            own = numbers[ends[q] - sizes[q] : ends[q]]
+            flags[own] = True
+            both = np.add.reduceat(flags[books], starts, dtype=np.int64)
+            flags[own] = False
+            linked = there[(100 * both >= percent * (sizes[there] + sizes[q] - both)) & (label[there] != label[q])]
+            for one in np.unique(label[linked], return_index=True)[1]:
+                a.append(ids[q])
+                b.append(ids[linked[one]])
+            label[np.isin(label, label[linked])] = label[q]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    full = rows.join(sets, "id").select(*GROUP, "id", "component", "asks", "shingle_set")
+    return full.groupBy(*GROUP).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,11 +313,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     edges = materialize(confirmed(pairs, docs, width, percent, id_col, text_col, "forest-first"), "forest-edges")
     components = materialize(connected_components(edges), "forest-components")
     dense = found.where("b is null").select("region", F.col("a").alias("id"))
-    rest = materialize(unfinished_pairs(dense, components, signatures, percent).distinct(), "forest-rest")
-    more = materialize(confirmed(rest, docs, width, percent, id_col, text_col, "forest-second"), "forest-more")
-    joined = more.join(components.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(components.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    components = materialize(connected_components(edges.unionByName(joined).unionByName(more)), "forest-final")
+    rest = materialize(unfinished(dense, components, signatures, percent), "forest-rest")
+    more = materialize(finished(rest, docs, width, percent, id_col, text_col), "forest-more")
+    components = materialize(connected_components(edges.unionByName(more)), "forest-components")
     of_class = classes.select("class_key", "id").join(components, "id", "left").select("class_key", F.coalesce("component", "id").alias("component_id"))
     of_class = materialize(of_class, "forest-of-class")
     out = described.select("id", "n_shingles", "class_key").join(of_class, "class_key", "left")
