@@ -1,0 +1 @@
+"""functions of the trajectory engine."""
