@@ -202,8 +202,8 @@ def read_archives(spark, path: str) -> DataFrame:
     schema = "file string, offset long, gap_end long, reason string, record_type string, record_id long, url string, payload_bytes long, payload_digest string, refers_to long, block binary"
 
     def number(text: str) -> int | None:
-        digits = re.sub(r"\D*(-?\d*)\D*", r"\1", text)
-        return int(digits) if digits not in ("", "-") else None
+        digits = re.search(r"-?\d+", text)
+        return int(digits[0]) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.strip().split()[0] for x in schema.split(",")]
