@@ -198,7 +198,7 @@ def read_archives(spark, path: str) -> DataFrame:
     A record's row has a null ``gap_end``; a quarantined gap's row has its first byte in ``offset``, its end in ``gap_end``,
     the first failed check in ``reason``, and nulls elsewhere.
     """
-    arrow_batch_rows(spark, 1)  # a file at a time
+    arrow_batch_rows(spark, 8)  # a few files at a time
     schema = "file string, offset long, gap_end long, reason string, record_type string, record_id long, url string, payload_bytes long, payload_digest string, refers_to long, block binary"
 
     def number(text: str) -> int | None:
