@@ -170,6 +170,21 @@ def test_mixing_lm_is_a_distribution_over_first_bytes():
     assert total + 10**end == pytest.approx(1, abs=1e-6)
 
 
+def test_mixing_lm_reads_texts_in_order(spark):
+    phrase = "the quick brown fox jumps over a lazy dog today".split()
+    docs = spark.createDataFrame([(k, " ".join(phrase)) for k in range(40)] + [(-1, " ".join(phrase)), (-2, " ".join(phrase[::-1]))], "doc_id long, text string")
+    found = {r.doc_id: r for r in mixing_lm.score_documents(docs).collect()}
+    assert found[-1].base_score == pytest.approx(found[-2].base_score) and found[-1].score > found[-2].score + 1
+
+
+def test_mixing_lm_contexts_do_not_depend_on_the_batch():
+    words = [*(f"w{k % 7}{'x' * (k % 3)}".encode() for k in range(300)), b"", b"a", b"b", b"c", b"d", b"e", b"f", b"", b"g", b""]
+    whole = mixing_lm.choices(words)[0]
+    for least in (1, 5, 40):
+        parts = [mixing_lm.choices(*part)[0] for part in mixing_lm._batches(words, least)]
+        assert (np.concatenate(parts, axis=1) == whole).all()
+
+
 # -- 5 chat
 
 
