@@ -185,6 +185,12 @@ def test_mixing_lm_contexts_do_not_depend_on_the_batch():
         assert (np.concatenate(parts, axis=1) == whole).all()
 
 
+def test_mixing_lm_codes_of_very_large_counts():
+    counts = np.array([0, 1, 10, 4_000_000_000, 5_000_000_000, 10**12])
+    read = mixing_lm.VALUES[mixing_lm.codes_of(counts)]
+    assert read[:3].tolist() == [0, 1, 10] and (read[3:] > 3e9).all()
+
+
 # -- 5 chat
 
 
