@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Patterns find the protected entities (email, ip, card, phone).  A term, a word of three or more letters standing in the
-context of an entity, may reveal it as well.  Over all documents, with ``n`` of them,
+Patterns find the protected entities (email, ip, card, phone).  A term, a word of letters outside all entities, may reveal one
+as well, wherever in the document it stands.  Over all documents, with ``n`` of them,
 
-* ``p(e)`` is the share that hold entity e, ``p(e|t)`` the share of term t's documents in which t stands near e;
+* ``p(e)`` is the share that hold entity e, ``p(e|t)`` the share of term t's documents that hold e;
 * the disclosure of e by t is ``log(p(e|t) / p(e)) / log(1 / p(e))``: the part of e's information that t gives away, 1 where
   t always comes with e, 0 where it says nothing.
 
-A term is a span of kind ``term`` near an entity that it discloses to ``THRESHOLD`` or more, if at least ``SUPPORT``
-documents show the two together.  Entity spans are replaced by their kind, terms are generalised to ``[TERM]``.
+A term that discloses an entity to ``THRESHOLD`` or more, if at least ``SUPPORT`` documents hold the two together, is a span of
+kind ``term`` at each of its occurrences, in documents without the entity too.  Entity spans are replaced by their kind, terms
+are generalised to ``[TERM]``.  A term in more than ``n_entity / p(e) ** (1 - THRESHOLD)`` documents cannot reach the threshold,
+as no more than ``n_entity`` of them hold e; such pairs are never made.
 
 A span's place is found by cutting the text at the matches and adding up lengths; Java's possessive forms of the patterns
 match the same strings as the plain ones, without their cost on long runs.
@@ -29,9 +31,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{3,}+"
-#: Characters on either side of an entity that make its context.
-CONTEXT = 48
+TERM = r"\p{L}++"
 THRESHOLD, SUPPORT = 0.8, 3
 STEP = 64
 
@@ -61,20 +61,35 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def places(found: Column, gaps: Column) -> Column:
-    """Structs (start, end, value) of the matches ``found`` between the pieces ``gaps``; positions in code points."""
-    lengths = F.transform(found, lambda x, i: (F.char_length(F.get(gaps, i)) + F.char_length(x)).cast("long"))
-    zero = F.lit(0).cast("long")
-    total = lambda part: F.aggregate(part, zero, lambda s, v: s + v)
-    sums = F.aggregate(
+def _lengths(found: Column, gaps: Column) -> Column:
+    """Lengths of the matches ``found``, each with the piece before it."""
+    return F.transform(found, lambda x, i: (F.char_length(F.get(gaps, i)) + F.char_length(x)).cast("long"))
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def _sums(found: Column, lengths: Column) -> Column:
+    """Sums of the lengths before each block of ``STEP``."""
+    return F.aggregate(
         F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STEP).cast("int")),
-        F.array(zero),
-        lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + total(F.slice(lengths, b * STEP + 1, STEP)))),
+        F.array(F.lit(0).cast("long")),
+        lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + _total(F.slice(lengths, b * STEP + 1, STEP)))),
     )
 
+
+def places(found: Column, gaps: Column, lengths: Column | None = None, sums: Column | None = None) -> Column:
+    """Structs (start, end, value) of the matches ``found`` between the pieces ``gaps``; positions in code points.
+
+    Where matches are many, ``lengths`` and ``sums`` must be columns: an expression is worked out again for each match.
+    """
+    lengths = _lengths(found, gaps) if lengths is None else lengths
+    sums = _sums(found, lengths) if sums is None else sums
+
     def place(x: Column, i: Column) -> Column:
         block = F.floor(i / STEP).cast("int")
-        start = F.get(sums, block) + total(F.slice(lengths, block * STEP + 1, i % STEP)) + F.char_length(F.get(gaps, i))
+        start = F.get(sums, block) + _total(F.slice(lengths, block * STEP + 1, i % STEP)) + F.char_length(F.get(gaps, i))
         return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("value"))
 
     return F.transform(found, place)
@@ -110,59 +125,75 @@ def with_base_spans(docs: DataFrame, text_col: str) -> DataFrame:
     return out.drop("pii_digits", *(f"pii_{kind}{x}" for kind in PATTERNS for x in ("", "_gaps")))
 
 
-def context_terms(docs: DataFrame) -> DataFrame:
-    """One row per entity span and term in its context: ``pii_row, entity, term, start, end``; from rows with spans."""
-    spans = docs.where(F.size("pii_base") > 0).select("pii_row", "pii_text", "pii_base", F.explode("pii_base").alias("span"))
-    sides = F.array(
-        F.struct(F.greatest(F.col("span.start") - CONTEXT, F.lit(0)).alias("start"), F.col("span.start").alias("end")),
-        F.struct(F.col("span.end").alias("start"), F.least(F.col("span.end") + CONTEXT, F.char_length("pii_text").cast("long")).alias("end")),
-    )
-    pieces = spans.select("pii_row", "pii_base", F.char_length("pii_text").alias("length"), "pii_text", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("span.kind") + 1), F.lower("span.value")).alias("entity"), F.explode(sides).alias("side"))
-    pieces = pieces.withColumn("piece", F.substring("pii_text", (F.col("side.start") + 1).cast("int"), (F.col("side.end") - F.col("side.start")).cast("int"))).drop("pii_text")
-    pieces = pieces.withColumn("found", F.regexp_extract_all("piece", F.lit(TERM), F.lit(0))).where(F.size("found") > 0)
-    pieces = pieces.withColumn("gaps", F.split("piece", TERM, -1))
-    terms = pieces.select("pii_row", "entity", "pii_base", "side", "length", F.explode(places(F.col("found"), F.col("gaps"))).alias("at"))
-    terms = terms.select("pii_row", "entity", "pii_base", "side", "length", F.lower("at.value").alias("term"), (F.col("side.start") + F.col("at.start")).alias("start"), (F.col("side.start") + F.col("at.end")).alias("end"))
-    cut = ((F.col("start") == F.col("side.start")) & (F.col("start") > 0)) | ((F.col("end") == F.col("side.end")) & (F.col("end") < F.col("length")))
-    inside = F.exists("pii_base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return terms.where(~cut & ~inside).select("pii_row", "entity", "term", "start", "end")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, counted: DataFrame, threshold: float, support: int) -> DataFrame:
-    """``entity, term`` of the pairs whose disclosure reaches the threshold, from counts over all documents."""
-    pairs = near.select("pii_row", "entity", "term").distinct().join(counted, "pii_row")
-    together = pairs.groupBy("entity", "term").agg(F.sum("n_rows").alias("n_both")).where(F.col("n_both") >= support)
-    together = materialize(together, "pii-together")
+def outside() -> Column:
+    """The text with blanks in place of its entities, so that positions stay."""
+
+    def piece(s: Column, i: Column) -> Column:
+        done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice("pii_ends", F.lit(1), i)))
+        gap = F.substring("pii_text", (done + 1).cast("int"), F.greatest(s["start"] - done, F.lit(0)).cast("int"))
+        return F.concat(gap, F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], done), F.lit(0)).cast("int")))
+
+    text = F.concat(F.array_join(F.transform("pii_base", piece), ""), F.substring("pii_text", (F.array_max("pii_ends") + 1).cast("int"), F.length("pii_text")))
+    return F.when(F.size("pii_base") > 0, text).otherwise(F.col("pii_text"))
+
+
+def with_outside(based: DataFrame) -> DataFrame:
+    """``based`` with ``pii_row``, a digest of the text, and ``pii_outside``, the text without its entities."""
+    out = based.withColumn("pii_row", F.sha1("pii_text")).withColumn("pii_ends", F.transform("pii_base", lambda s: s["end"]))
+    return out.withColumn("pii_outside", outside()).drop("pii_ends")
+
+
+def contents(based: DataFrame) -> DataFrame:
+    """``pii_row, entities, terms`` of every row: the distinct entities and terms of its whole text."""
     kinds = F.array(*map(F.lit, KINDS))
-    held = F.array_distinct(F.transform("pii_base", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), F.lower(s["value"]))))
-    entity_docs = docs.where(F.size("pii_base") > 0).select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("pii_text")), F.lit(TERM), F.lit(0)))
-    term_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(docs.count())
-    scored = together.join(entity_docs, "entity").join(term_docs, "term")
-    p_entity, p_given = F.col("n_entity") / n, F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
-    disclosure = F.when(F.col("n_entity") < n, F.log(p_given / p_entity) / F.log(1 / p_entity)).otherwise(F.lit(0.0))
-    return scored.where(disclosure >= threshold).select("entity", "term")
+    entities = F.array_distinct(F.transform("pii_base", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), F.lower(s["value"]))))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("pii_outside", F.lit(TERM), F.lit(0)), F.lower))
+    return based.select("pii_row", entities.alias("entities"), terms.alias("terms"))
+
+
+def disclosing(held: DataFrame, threshold: float, support: int) -> DataFrame:
+    """``term`` of those whose disclosure of some entity reaches the threshold, from counts over all documents."""
+    n = held.count()
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # one document more than the bound, as the powers are rounded
+    most = F.col("n_entity") / F.pow(F.col("n_entity") / n, F.lit(1 - threshold)) + 1
+    entities = materialize(entities.where((F.col("n_entity") >= support) & (F.col("n_entity") < n)).withColumn("most", most), "pii-entities")
+    bound = entities.agg(F.coalesce(F.max("most"), F.lit(0.0)).alias("most")).first()["most"]
+    terms = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = materialize(terms.where((F.col("n_term") >= support) & (F.col("n_term") <= bound)), "pii-terms")
+    # rows of one text count together, so that copies of it are read once
+    whose = held.where(F.size("entities") > 0).select("pii_row", F.explode("entities").alias("entity")).groupBy("pii_row", "entity").agg(F.count("*").alias("n_rows"))
+    whose = materialize(whose.join(entities, "entity"), "pii-whose")
+    rows = held.where(F.size("entities") > 0).join(whose.select("pii_row").distinct(), "pii_row", "left_semi")
+    said = materialize(rows.select("pii_row", F.explode("terms").alias("term")).distinct().join(terms, "term"), "pii-said")
+    pairs = whose.join(said, "pii_row").where(F.col("n_term") <= F.col("most"))
+    together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_rows").alias("n_both")).where(F.col("n_both") >= support)
+    p_entity, p_given = F.col("n_entity") / n, F.col("n_both") / F.col("n_term")
+    return together.where(F.log(p_given / p_entity) / F.log(1 / p_entity) >= threshold).select("term").distinct()
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``: sorted structs (start, kind, end) of entities and, in the second, of
-    the terms that disclose them; kinds by number.
+    the terms that disclose one; kinds by number.
 
     A null text counts as empty.  Rows are told apart by a digest of their text, so equal texts get equal spans.  Names
     that begin with ``pii_`` are used for columns in between and must not occur in ``docs``; all other columns stay.
     """
-    based = with_base_spans(docs, text_col).withColumn("pii_row", F.when(F.size("pii_base") > 0, F.sha1("pii_text")))
-    rows = based.select("pii_row", "pii_text", "pii_base")
-    near = materialize(context_terms(rows.where("pii_row is not null").dropDuplicates(["pii_row"])), "pii-near")
-    counted = materialize(rows.where("pii_row is not null").groupBy("pii_row").agg(F.count("*").alias("n_rows")), "pii-rows")
-    telling = materialize(disclosing(rows, near, counted, threshold, support), "pii-telling")
-    term = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    terms = near.join(telling, ["entity", "term"]).groupBy("pii_row").agg(F.collect_set(term).alias("pii_terms"))
-    out = based.join(materialize(terms, "pii-terms"), "pii_row", "left")
+    based = with_outside(with_base_spans(docs, text_col))
+    held = materialize(contents(based), "pii-held")
+    telling = materialize(disclosing(held, threshold, support), "pii-telling")
+    hits = held.select("pii_row", F.explode("terms").alias("term")).join(telling, "term").groupBy("pii_row").agg(F.collect_set("term").alias("pii_terms"))
+    out = based.join(materialize(hits, "pii-hits"), "pii_row", "left")
+    hit = F.size(F.coalesce("pii_terms", F.array().cast("array<string>"))) > 0
+    # columns of their own, as they would else be found anew for each of their elements
+    out = out.withColumn("pii_found", F.when(hit, F.regexp_extract_all("pii_outside", F.lit(TERM), F.lit(0)))).withColumn("pii_gaps", F.when(hit, F.split("pii_outside", TERM, -1)))
+    out = out.withColumn("pii_lengths", _lengths(F.col("pii_found"), F.col("pii_gaps")))
+    out = out.withColumn("pii_sums", F.when(F.size("pii_found") > 0, _sums(F.col("pii_found"), F.col("pii_lengths"))))
+    told = F.filter(places(*map(F.col, ("pii_found", "pii_gaps", "pii_lengths", "pii_sums"))), lambda s: F.array_contains("pii_terms", F.lower(s["value"])))
+    terms = F.transform(told, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
     plain = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = F.array_sort(F.concat(plain, F.coalesce("pii_terms", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
-    return out.withColumn("pii_spans", spans).withColumn("pii_base", plain).drop("pii_row", "pii_terms")
+    spans = F.array_sort(F.concat(plain, F.when(hit, terms).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
+    return out.withColumn("pii_spans", spans).withColumn("pii_base", plain).drop("pii_row", "pii_terms", "pii_outside", "pii_found", "pii_gaps", "pii_lengths", "pii_sums")
 
 
 def _listed(spans: Column) -> Column:

@@ -317,6 +317,15 @@ def test_pii_base_and_terms(spark):
     assert pii.find(docs.where("false")).count() == 0
 
 
+def test_pii_terms_far_from_the_entity_and_without_it(spark):
+    gap = "calm words that say nothing at all of anybody who might be meant by this long line "
+    texts = [f"Zorblax {gap} Li {gap} zor@mail.com {k} {gap} ZORBLAX" for k in range(9)] + ["we saw Zorblax alone"] + [f"{gap} {k}" for k in range(60)]
+    found = {r.doc_id: r.spans for r in pii.find(documents(spark, texts)).collect()}
+    mail, li = texts[0].index("zor@"), texts[0].index("Li")
+    assert found[0] == f"term:0:7,term:{li}:{li + 2},email:{mail}:{mail + 12},term:{len(texts[0]) - 7}:{len(texts[0])}"
+    assert found[9] == "term:7:14" and all(found[k] == "" for k in range(10, len(texts)))
+
+
 # -- 9 near-duplicates
 
 
