@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import arrow_batch_rows
+from quillspark.llm.shared import bound_batches
 
 NONE = np.iinfo(np.int64).max
 #: Pieces up to this many bytes go to the arrays; longer ones to the single tree.
@@ -239,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     text counts as empty: no tokens and the digests of nothing.  Ids may be null or repeat; each row gives one row.  Other
     columns, whatever their names, are not read.  ``path`` must be readable where the tasks run.
     """
-    arrow_batch_rows(docs.sparkSession, 512)
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     fields = [T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import arrow_batch_rows
+from quillspark.llm.shared import bound_batches
 
 Message = tuple[str, str]
 Template = Callable[[list[Message]], str]
@@ -120,7 +120,7 @@ def format_conversations(turns: DataFrame, render: Template = template, context:
     on their id and read turn after turn in a sorted stream, so that a very long one needs no more memory than its longest
     turns.  Other columns are not read; an empty table gives no rows.
     """
-    arrow_batch_rows(turns.sparkSession, 1000)
+    bound_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.pivot_join import _matrix, usable
-from quillspark.llm.shared import arrow_batch_rows, materialize
+from quillspark.llm.shared import bound_batches, materialize
 
 SHARD, QUERY_BLOCK = 4000, 1024
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 64, 160
@@ -198,7 +198,7 @@ def nearest_vectors(vectors: DataFrame, every: int = 50, nearest: int = 5, width
     zero or hold null or non-finite components, and rows with a null id, take no part.  Vectors of different lengths are
     not compared.  Rows repeating an id count once.  With fewer candidates all are returned; an empty table gives no rows.
     """
-    arrow_batch_rows(vectors.sparkSession, 10_000)
+    bound_batches(vectors.sparkSession)
     rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw")).where("id is not null"), "raw")
     rows = rows.select("id", F.size("v").cast("string").alias("space"), "v").dropDuplicates(["id"])
     keyed = materialize(rows.withColumn("class_key", F.sha1(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","))), "graph-rows")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components, forest_edges
-from quillspark.llm.shared import arrow_batch_rows, materialize
+from quillspark.llm.shared import bound_batches, materialize
 
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
@@ -299,17 +299,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    arrow_batch_rows(spark, 512)  # rows with whole texts or sets
+    bound_batches(spark)
     described = materialize(describe(docs, width, id_col, text_col), "forest-described")
     classes = described.where("class_key is not null and id is not null").groupBy("class_key").agg(F.min(F.struct("id", "minima")).alias("first"))
     classes = materialize(classes.select("class_key", F.col("first.id").alias("id"), F.col("first.minima").alias("minima")), "forest-classes")
     signatures = classes.select("id", "minima")
-    arrow_batch_rows(spark, 8192)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(forest_neighbours(forest_rows(signatures), partitions), "forest-found")
     pairs = found.where("b is not null and a <> b").select("a", "b").distinct()
     pairs = materialize(likely(pairs, signatures, percent), "forest-likely")
-    arrow_batch_rows(spark, 512)
     edges = materialize(confirmed(pairs, docs, width, percent, id_col, text_col, "forest-first"), "forest-edges")
     components = materialize(connected_components(edges), "forest-components")
     dense = found.where("b is null").select("region", F.col("a").alias("id"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.components import connected_components
-from quillspark.llm.shared import arrow_batch_rows, materialize
+from quillspark.llm.shared import bound_batches, materialize
 
 #: Pivots of one label at most; a cell is to have about ``CELL`` vectors.
 MOST_PIVOTS, CELL, BLOCK = 256, 512, 512
@@ -51,7 +51,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     ``cosine``.  A vector that is null, zero or holds null or non-finite components links with nothing; nor does a row with
     a null id.  Rows repeating an id are separate rows that share their component.  An empty table gives no rows.
     """
-    arrow_batch_rows(vectors.sparkSession, 2048)
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("raw"))
     good = usable(rows.where("id is not null and label is not null"), "raw").select("id", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("space"), "v")
     keyed = materialize(good.withColumn("class_key", F.sha1(F.concat_ws(",", F.col("space"), F.transform("v", lambda x: (x + 0.0).cast("string"))))), "pivot-rows")

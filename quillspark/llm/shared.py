@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: the ASCII space and \x09-\x0D.  ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch; only a row larger than that makes a larger batch.
+BATCH_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,9 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows in one Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of one Arrow batch, as texts may be long.  The same for all operators, so that a plan that runs later
+    runs as it was made."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):

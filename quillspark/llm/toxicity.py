@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import arrow_batch_rows, held_out
+from quillspark.llm.shared import bound_batches, held_out
 
 BUCKETS, WIDTH = 1 << 18, 8
 GRAMS = range(3, 7)
@@ -173,7 +173,7 @@ def text_logits(texts: list[str | None], model: Model, key: str) -> np.ndarray:
 def score(docs: DataFrame, model: Model, column: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the probability of label 1 in ``column``."""
     spark = docs.sparkSession
-    arrow_batch_rows(spark, 256)
+    bound_batches(spark)
     sent, key = spark.sparkContext.broadcast(model), str(zlib.crc32(model.rows.tobytes()))  # of fixed size
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{column}` double"])
     at = docs.columns.index(text_col)

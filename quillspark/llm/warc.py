@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import arrow_batch_rows, materialize, scratch_dir
+from quillspark.llm.shared import bound_batches, materialize, scratch_dir
 
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -172,7 +172,7 @@ def plan(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes archives of ``pages`` into the folder ``path``: gzip members, each file ended by a zero byte of padding."""
-    arrow_batch_rows(pages.sparkSession, 256)
+    bound_batches(pages.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -198,7 +198,7 @@ def read_archives(spark, path: str) -> DataFrame:
     A record's row has a null ``gap_end``; a quarantined gap's row has its first byte in ``offset``, its end in ``gap_end``,
     the first failed check in ``reason``, and nulls elsewhere.
     """
-    arrow_batch_rows(spark, 8)  # a few files at a time
+    bound_batches(spark)
     schema = "file string, offset long, gap_end long, reason string, record_type string, record_id long, url string, payload_bytes long, payload_digest string, refers_to long, block binary"
 
     def number(text: str) -> int | None:
