@@ -12,8 +12,9 @@ kind ``term`` at each of its occurrences, in documents without the entity too.
 are generalised to ``[TERM]``.  A term in more than ``n_entity / p(e) ** (1 - THRESHOLD)`` documents cannot reach the threshold,
 as no more than ``n_entity`` of them hold e; such pairs are never made.
 
-A span's place is found by cutting the text at the matches and adding up lengths; Java's possessive forms of the patterns
-match the same strings as the plain ones, without their cost on long runs.
+A span's place is found by cutting the text at the matches and adding up lengths.  Java's possessive forms of the patterns
+match the same strings as the plain ones, without their cost on long runs; that of the card begins where a run of digits does
+and leaves out runs of under 14 digits, which are no cards.  Spans, entities and terms are found once and written.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}++"
@@ -101,54 +102,49 @@ def _of_kind(number: int, kind: str, found: Column) -> Column:
 
 
 def _count(number: int) -> Column:
-    return F.size(F.filter("pii_base", lambda s: s["kind"] == number)).cast("long")
-
-
-def with_base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``pii_text`` (null as empty) and ``pii_base``: structs (start, kind, end, value), kinds by number."""
-    out = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("pii_digits", F.col("pii_text").rlike("[0-9]"))
-    nothing = F.array().cast("array<string>")
-    for kind, pattern in PATTERNS.items():
-        hint = F.contains("pii_text", F.lit("@")) if kind == "email" else F.col("pii_digits")
-        if kind == "phone":
-            hint = hint & F.contains("pii_text", F.lit("+"))
-        out = out.withColumn(f"pii_{kind}", F.when(hint, F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))).otherwise(nothing))
-    for kind, pattern in PATTERNS.items():
-        gaps = F.when(F.size(f"pii_{kind}") > 0, F.split("pii_text", pattern, -1))
-        out = out.withColumn(f"pii_{kind}_gaps", gaps)
-    spans = []
+    return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+
+def with_base_spans(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``base``: structs (start, kind, end, value) of the entities in ``text``, kinds by number."""
+    nothing, spans = F.array().cast("array<string>"), []
+    hints = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
+    out = texts.withColumn("digits", F.col("text").rlike("[0-9]"))
+    columns = {f"{kind}_found": F.when(hints.get(kind, F.col("digits")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(nothing) for kind, pattern in PATTERNS.items()}
+    out = out.withColumns(columns)
+    # columns of their own, as they would else be found anew for each match
+    out = out.withColumns({f"{kind}_gaps": F.when(F.size(f"{kind}_found") > 0, F.split("text", pattern, -1)) for kind, pattern in PATTERNS.items()})
+    out = out.withColumns({f"{kind}_lengths": _lengths(F.col(f"{kind}_found"), F.col(f"{kind}_gaps")) for kind in PATTERNS})
+    out = out.withColumns({f"{kind}_sums": F.when(F.size(f"{kind}_found") > 0, _sums(F.col(f"{kind}_found"), F.col(f"{kind}_lengths"))) for kind in PATTERNS})
     for n, kind in enumerate(PATTERNS):
-        found = F.when(F.size(f"pii_{kind}") > 0, places(F.col(f"pii_{kind}"), F.col(f"pii_{kind}_gaps"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
-        spans.append(_of_kind(n, kind, found))
-    out = out.withColumn("pii_base", F.array_sort(F.concat(*spans)))
-    return out.drop("pii_digits", *(f"pii_{kind}{x}" for kind in PATTERNS for x in ("", "_gaps")))
+        found = places(*(F.col(f"{kind}_{part}") for part in ("found", "gaps", "lengths", "sums")))
+        spans.append(_of_kind(n, kind, F.when(F.size(f"{kind}_found") > 0, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))))
+    return out.withColumn("base", F.array_sort(F.concat(*spans))).select(*texts.columns, "base")
 
 
 def outside() -> Column:
     """The text with blanks in place of its entities, so that positions stay."""
 
     def piece(s: Column, i: Column) -> Column:
-        done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice("pii_ends", F.lit(1), i)))
-        gap = F.substring("pii_text", (done + 1).cast("int"), F.greatest(s["start"] - done, F.lit(0)).cast("int"))
+        done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice("ends", F.lit(1), i)))
+        gap = F.substring("text", (done + 1).cast("int"), F.greatest(s["start"] - done, F.lit(0)).cast("int"))
         return F.concat(gap, F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], done), F.lit(0)).cast("int")))
 
-    text = F.concat(F.array_join(F.transform("pii_base", piece), ""), F.substring("pii_text", (F.array_max("pii_ends") + 1).cast("int"), F.length("pii_text")))
-    return F.when(F.size("pii_base") > 0, text).otherwise(F.col("pii_text"))
+    text = F.concat(F.array_join(F.transform("base", piece), ""), F.substring("text", (F.array_max("ends") + 1).cast("int"), F.length("text")))
+    return F.when(F.size("base") > 0, text).otherwise(F.col("text"))
 
 
 def with_outside(based: DataFrame) -> DataFrame:
-    """``based`` with ``pii_row``, a digest of the text, and ``pii_outside``, the text without its entities."""
-    out = based.withColumn("pii_row", F.sha1("pii_text")).withColumn("pii_ends", F.transform("pii_base", lambda s: s["end"]))
-    return out.withColumn("pii_outside", outside()).drop("pii_ends")
+    """``based`` with ``outside``, the text without its entities."""
+    return based.withColumn("ends", F.transform("base", lambda s: s["end"])).withColumn("outside", outside()).drop("ends")
 
 
-def contents(based: DataFrame) -> DataFrame:
-    """``pii_row, entities, terms`` of every row: the distinct entities and terms of its whole text."""
+def with_contents(based: DataFrame) -> DataFrame:
+    """``based`` with ``text_key``, a digest of the text, and the distinct ``entities`` and ``terms`` of the whole text."""
     kinds = F.array(*map(F.lit, KINDS))
-    entities = F.array_distinct(F.transform("pii_base", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), F.lower(s["value"]))))
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("pii_outside", F.lit(TERM), F.lit(0)), F.lower))
-    return based.select("pii_row", entities.alias("entities"), terms.alias("terms"))
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), F.lower(s["value"]))))
+    out = with_outside(based).withColumn("found", F.array_distinct(F.regexp_extract_all("outside", F.lit(TERM), F.lit(0))))
+    return out.withColumns({"text_key": F.sha1("text"), "entities": entities, "terms": F.array_distinct(F.transform("found", F.lower))}).drop("outside", "found")
 
 
 def disclosing(held: DataFrame, threshold: float, support: int) -> DataFrame:
@@ -162,38 +158,38 @@ def disclosing(held: DataFrame, threshold: float, support: int) -> DataFrame:
     terms = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     terms = materialize(terms.where((F.col("n_term") >= support) & (F.col("n_term") <= bound)), "pii-terms")
     # rows of one text count together, so that copies of it are read once
-    whose = held.where(F.size("entities") > 0).select("pii_row", F.explode("entities").alias("entity")).groupBy("pii_row", "entity").agg(F.count("*").alias("n_rows"))
+    whose = held.where(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).groupBy("text_key", "entity").agg(F.count("*").alias("n_rows"))
     whose = materialize(whose.join(entities, "entity"), "pii-whose")
-    rows = held.where(F.size("entities") > 0).join(whose.select("pii_row").distinct(), "pii_row", "left_semi")
-    said = materialize(rows.select("pii_row", F.explode("terms").alias("term")).distinct().join(terms, "term"), "pii-said")
-    pairs = whose.join(said, "pii_row").where(F.col("n_term") <= F.col("most"))
+    rows = held.where(F.size("entities") > 0).join(whose.select("text_key").distinct(), "text_key", "left_semi")
+    said = materialize(rows.select("text_key", F.explode("terms").alias("term")).distinct().join(terms, "term"), "pii-said")
+    pairs = whose.join(said, "text_key").where(F.col("n_term") <= F.col("most"))
     together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_rows").alias("n_both")).where(F.col("n_both") >= support)
     p_entity, p_given = F.col("n_entity") / n, F.col("n_both") / F.col("n_term")
     return together.where(F.log(p_given / p_entity) / F.log(1 / p_entity) >= threshold).select("term").distinct()
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_spans``: sorted structs (start, kind, end) of entities and, in the second, of
-    the terms that disclose one; kinds by number.
+    """``row, text, base, spans``: each row of ``docs`` as a struct, its text (null as empty), and sorted structs (start, kind,
+    end) of its entities and, in ``spans``, of the terms that disclose one as well; kinds by number.
 
-    A null text counts as empty.  Rows are told apart by a digest of their text, so equal texts get equal spans.  Names
-    that begin with ``pii_`` are used for columns in between and must not occur in ``docs``; all other columns stay.
+    Rows are told apart by a digest of their text, so equal texts get equal spans.
     """
-    based = with_outside(with_base_spans(docs, text_col))
-    held = materialize(contents(based), "pii-held")
+    texts = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    based = materialize(with_contents(with_base_spans(texts)), "pii-based")
+    held = based.select("text_key", "entities", "terms")
     telling = materialize(disclosing(held, threshold, support), "pii-telling")
-    hits = held.select("pii_row", F.explode("terms").alias("term")).join(telling, "term").groupBy("pii_row").agg(F.collect_set("term").alias("pii_terms"))
-    out = based.join(materialize(hits, "pii-hits"), "pii_row", "left")
-    hit = F.size(F.coalesce("pii_terms", F.array().cast("array<string>"))) > 0
+    hits = held.select("text_key", F.explode("terms").alias("term")).join(telling, "term").groupBy("text_key").agg(F.collect_set("term").alias("telling"))
+    out = with_outside(based.drop("entities", "terms").join(materialize(hits, "pii-hits"), "text_key", "left"))
+    hit = F.col("telling").isNotNull()
     # columns of their own, as they would else be found anew for each of their elements
-    out = out.withColumn("pii_found", F.when(hit, F.regexp_extract_all("pii_outside", F.lit(TERM), F.lit(0)))).withColumn("pii_gaps", F.when(hit, F.split("pii_outside", TERM, -1)))
-    out = out.withColumn("pii_lengths", _lengths(F.col("pii_found"), F.col("pii_gaps")))
-    out = out.withColumn("pii_sums", F.when(F.size("pii_found") > 0, _sums(F.col("pii_found"), F.col("pii_lengths"))))
-    told = F.filter(places(*map(F.col, ("pii_found", "pii_gaps", "pii_lengths", "pii_sums"))), lambda s: F.array_contains("pii_terms", F.lower(s["value"])))
+    out = out.withColumn("found", F.when(hit, F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).withColumn("gaps", F.when(hit, F.split("outside", TERM, -1)))
+    out = out.withColumn("lengths", _lengths(F.col("found"), F.col("gaps")))
+    out = out.withColumn("sums", F.when(F.size("found") > 0, _sums(F.col("found"), F.col("lengths"))))
+    told = F.filter(places(*map(F.col, ("found", "gaps", "lengths", "sums"))), lambda s: F.array_contains("telling", F.lower(s["value"])))
     terms = F.transform(told, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
-    plain = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat(plain, F.when(hit, terms).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
-    return out.withColumn("pii_spans", spans).withColumn("pii_base", plain).drop("pii_row", "pii_terms", "pii_outside", "pii_found", "pii_gaps", "pii_lengths", "pii_sums")
+    return out.select("row", "text", plain.alias("base"), spans.alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -204,29 +200,33 @@ def _listed(spans: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row.
 
-    Ids may be null or repeat; a null text counts as empty and has no spans.  Other columns are not read.
+    Ids may be null or repeat; a null text counts as empty and has no spans.  Other columns are not read, and an empty table
+    gives no rows.  Very long texts are searched whole.
     """
     found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", threshold, support)
     counts = [_count(n).alias(f"n_{kind}") for n, kind in enumerate(PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("pii_base")), 256).alias("base_sha256"), _listed(F.col("pii_spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def scrub(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """``docs`` with the spans of each text replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` or ``[TERM]``.
 
-    Where spans overlap, the first one's label stands for both.  Null texts stay null.  ``length_col``, if the table has
-    it, is set to the new length.
+    Where spans overlap, the first one's label stands for both.  Null texts stay null, and empty ones empty.  ``length_col``,
+    if the table has it, is set to the new length.  All other columns stay, whatever their names; repeated rows change alike
+    and stay; an empty table gives no rows.
     """
-    found = with_spans(docs, text_col, threshold, support)
+    found = with_spans(docs, text_col, threshold, support).withColumn("ends", F.transform("spans", lambda s: s["end"]))
     marks = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
-    ends = F.transform("pii_spans", lambda s: s["end"])
 
     def piece(s: Column, i: Column) -> Column:
-        done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice("pii_ends", F.lit(1), i)))
-        gap = F.substring("pii_text", (done + 1).cast("int"), F.greatest(s["start"] - done, F.lit(0)).cast("int"))
+        done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice("ends", F.lit(1), i)))
+        gap = F.substring("text", (done + 1).cast("int"), F.greatest(s["start"] - done, F.lit(0)).cast("int"))
         return F.when(s["start"] >= done, F.concat(gap, F.get(marks, s["kind"]))).otherwise(F.lit(""))
 
-    text = F.concat(F.array_join(F.transform("pii_spans", piece), ""), F.substring("pii_text", (F.array_max("pii_ends") + 1).cast("int"), F.length("pii_text")))
-    out = found.withColumn("pii_ends", ends).withColumn("pii_text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col(text_col)))
-    columns = [F.col("pii_text").alias(c) if c == text_col else F.char_length("pii_text").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    text = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring("text", (F.array_max("ends") + 1).cast("int"), F.length("text")))
+    old = F.col("row").getField(text_col)
+    out = found.withColumn("scrubbed", F.when(F.size("spans") > 0, text).otherwise(old))
+    new = {text_col: F.col("scrubbed")}
+    if length_col in docs.columns:
+        new[length_col] = F.char_length("scrubbed").cast(docs.schema[length_col].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
