@@ -1,9 +1,11 @@
 """WARC archives: a writer with revisit records, and a reader that salvages what is left of damaged files.
 
 An archive is written by tasks as whole files of bounded size: gzip members, one per record, put one after another.  The
-reader takes each file's bytes and walks record by record.  Where a check fails (no version line, a header that cannot be
-read, a length that runs past the end, a missing end mark, a digest that differs, a member that does not inflate), it looks
-for the next valid member or version line, goes on there, and reports the bytes between as a quarantined gap.
+reader takes each file's bytes and walks them member by member or, where they are not packed, record by record.  Where a check
+fails (no version line, a header that cannot be read, a length that runs past the end, a missing end mark, a digest that
+differs, a member that does not inflate), it looks for the next member or version line, whichever comes first, goes on there,
+and reports the bytes between as a quarantined gap.  A member may hold any number of records; they are walked in the same way,
+and a broken member's whole records, as far as it inflates, are kept.
 """
 
 from __future__ import annotations
@@ -90,8 +92,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + len(END)
 
 
-def salvage_plain(data: bytes, found: Salvage) -> None:
-    at, bad, why = 0, None, ""
+def salvage_plain(data: bytes) -> Salvage:
+    """Records and gaps of bytes that are not packed."""
+    found, at, bad, why = Salvage(), 0, None, ""
     while at < len(data):
         try:
             fields, block, end = parse_record(data, at)
@@ -108,55 +111,85 @@ def salvage_plain(data: bytes, found: Salvage) -> None:
         at = end
     if bad is not None:
         found.gaps.append((bad, len(data), why))
+    return found
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member that begins at ``at``, and its end; fed by pieces, as what is left over is copied."""
-    unpack, parts, fed = zlib.decompressobj(31), [], at
-    while not unpack.eof:
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member that begins at ``at`` holds, its end, and what is wrong with it, or nothing; fed by pieces, as what is
+    left over is copied."""
+    unpack, parts, fed, why = zlib.decompressobj(31), [], at, ""
+    while not unpack.eof and not why:
         if fed >= len(data):
-            raise ValueError("member without end")
-        parts.append(unpack.decompress(data[fed : fed + 16384]))
+            why = "member without end"
+            break
+        try:
+            parts.append(unpack.decompress(data[fed : fed + 16384]))
+        except zlib.error:
+            why = "member does not inflate"
+            parts.append(_before_error(data, at, fed))
         fed = min(len(data), fed + 16384)
-    return b"".join(parts), fed - len(unpack.unused_data)
+    return b"".join(parts), fed - len(unpack.unused_data), why
+
+
+def _before_error(data: bytes, at: int, fed: int) -> bytes:
+    """What a broken member gives of the piece that begins at ``fed``, byte by byte up to the error."""
+    unpack, out = zlib.decompressobj(31), []
+    for k in range(at, fed, 16384):
+        unpack.decompress(data[k : k + 16384])
+    try:
+        for k in range(fed, min(len(data), fed + 16384)):
+            out.append(unpack.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
 
+def salvage(data: bytes) -> Salvage:
+    """What can be read of an archive's bytes; empty bytes have no records and no gaps.
+
+    A record in a member has the member's offset.  A gap within a sound member has the member's place, and its reason tells
+    the bytes of the content.  A broken member is a gap even where records of it were kept.
+    """
+    found, at, bad, why = Salvage(), 0, None, ""
+    marks = re.compile(re.escape(MAGIC) + b"|" + VERSION_LINE.pattern)
+
+    def sound(until: int) -> None:
+        nonlocal bad
+        if bad is not None:
+            found.gaps.append((bad, until, why))
+        bad = None
 
-def salvage_members(data: bytes, found: Salvage) -> None:
-    at, bad, why = 0, None, ""
     while at < len(data):
         if data[at] == 0 and not data[at:].strip(b"\0"):
             break  # padding
-        try:
-            if not data.startswith(MAGIC, at):
-                raise ValueError("no member")
-            inflated, end = inflate(data, at)
-            fields, block, stop = parse_record(inflated, 0)
-            if stop != len(inflated):
-                raise ValueError("bytes after the record in its member")
-        except (ValueError, zlib.error) as error:
+        wrong, inner = "", None
+        if data.startswith(MAGIC, at):
+            content, end, wrong = inflate(data, at)
+            inner = salvage_plain(content)
+            if not inner.records and not wrong:
+                wrong = inner.gaps[0][2] if inner.gaps else "empty member"
+            after = at + 1 if end >= len(data) and wrong else end
+        else:
+            try:
+                fields, block, end = parse_record(data, at)
+            except ValueError as error:
+                wrong, after = str(error), at + 1
+        if wrong:
+            if inner:
+                found.records += [(at, fields, block) for _, fields, block in inner.records]
             if bad is None:
-                bad, why = at, "member does not inflate" if isinstance(error, zlib.error) else str(error)
-            at = data.find(MAGIC, at + 1)
-            at = len(data) if at < 0 else at
+                bad, why = at, wrong
+            mark = marks.search(data, at + 1 if wrong.startswith("member") else after)
+            at = mark.start() if mark else len(data)
             continue
-        if bad is not None:
-            found.gaps.append((bad, at, why))
-            bad = None
-        found.records.append((at, fields, block))
+        sound(at)
+        if inner:
+            found.records += [(at, fields, block) for _, fields, block in inner.records]
+            found.gaps += [(at, end, f"{reason}, bytes {a} to {b} of the member's content") for a, b, reason in inner.gaps]
+        else:
+            found.records.append((at, fields, block))
         at = end
-    if bad is not None:
-        found.gaps.append((bad, len(data), why))
-
-
-def salvage(data: bytes) -> Salvage:
-    """What can be read of an archive's bytes, gzip members or plain; empty bytes have no records and no gaps."""
-    found = Salvage()
-    plain = VERSION_LINE.search(data)
-    packed = data.find(MAGIC)
-    if packed >= 0 and (plain is None or packed < plain.start()):
-        salvage_members(data, found)
-    else:
-        salvage_plain(data, found)
+    sound(len(data.rstrip(b"\0")) if bad is not None and at < len(data) else len(data))
     return found
 
 
