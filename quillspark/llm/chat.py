@@ -1,11 +1,13 @@
 """Chat formatting with loss masks found by rendering.
 
-A template is a black box from messages to text.  It is rendered for successive turn prefixes; where each output begins with
-the one before it, the new part is the turn's span.  Where it does not, the template rewrites history, and that is reported
-rather than masked wrongly.  Within a turn's span the message's text is found by rendering the turn with other texts: what
-stays the same on both sides belongs to the template.
-
-The template used here marks turns by control strings and escapes those inside texts, reversibly.
+A template is a black box from messages to text.  It is rendered for successive turn prefixes, each whole; where each output
+begins with the one before it, the new part is the turn's span.  Where it does not, the template rewrites history, and that is
+reported rather than masked wrongly.  Within a turn's span the message's text and role are found by rendering the turn with
+others: what stays the same on both sides belongs to the template.
+
+The template used here marks turns by control strings and escapes those inside texts, reversibly.  It is declared local: a turn
+is rendered alike whatever stands before it.  Only for such templates, and only in conversations of more than ``WHOLE`` turns,
+the last turn alone goes before each one, so that memory stays bounded.
 """
 
 from __future__ import annotations
@@ -44,14 +46,22 @@ def template(messages: list[Message]) -> str:
     return "".join(f"{OPEN}{escape(role)}{CLOSE}{escape(text)}{END}\n" for role, text in messages)
 
 
+template.local = True
+#: Turns up to which prefixes of a local template are rendered whole too.
+WHOLE = 512
+
+
 @dataclass(frozen=True)
 class Span:
-    """Where a turn and, within it, its text stand in the output; ``rewritten`` if it changed what came before it."""
+    """Where a turn and, within it, its text and role stand in the output of its prefix; ``rewritten`` if it changed what came
+    before it.  A role that the template does not show, or whose others it does not take, has no place."""
 
     start: int
     end: int
     text_start: int
     text_end: int
+    role_start: int | None
+    role_end: int | None
     rewritten: bool
 
 
@@ -63,62 +73,87 @@ def shared_start(a: str, b: str) -> int:
     return low
 
 
-def turn_spans(render: Template, messages: list[Message], context: int | None = None) -> tuple[str, list[Span]]:
-    """The output, and each turn's span, from the outputs of successive prefixes.
-
-    With ``context``, only that many turns before each one are rendered with it, for templates whose turns do not look
-    further back: the work is then in proportion to the number of turns.
-    """
-    parts, spans, at = [], [], 0
+def _between(one: str, two: str, shortest: int) -> tuple[int, int]:
+    """How many characters two renderings share at their starts and at their ends; ``shortest`` is the size of the part that
+    differs in the first."""
+    head = shared_start(one, two)
+    return head, min(shared_start(one[::-1], two[::-1]), max(0, len(one) - shortest - head))
+
+
+def before_all(render: Template) -> str:
+    """The output without turns; nothing for a template that demands one."""
+    try:
+        return render([])
+    except Exception:  # noqa: BLE001
+        return ""
+
+
+def turn_span(render: Template, before: list[Message], role: str, text: str, old: str) -> tuple[str, Span]:
+    """The output with one turn more after ``before``, whose output is ``old``, and that turn's span."""
+    new = render([*before, (role, text)])
+    start = len(old) if new.startswith(old) else shared_start(old, new)
+    probes = [render([*before, (role, probe)])[start:] for probe in ("q", "zz")]
+    head, tail = _between(*probes, 1)
+    role_start = role_end = None
+    try:
+        probes = [render([*before, (probe, text)])[start:] for probe in ("q", "zz")]
+        if probes[0] != probes[1]:
+            first, last = _between(*probes, 1)
+            role_start, role_end = start + first, len(new) - last
+    except Exception:  # noqa: BLE001 - a template may refuse roles that it does not know
+        pass
+    return new, Span(start, len(new), start + head, max(start + head, len(new) - tail), role_start, role_end, not new.startswith(old))
+
+
+def turn_spans(render: Template, messages: list[Message]) -> tuple[str, list[Span]]:
+    """The output, and each turn's span, from the outputs of successive whole prefixes."""
+    output, spans = before_all(render), []
     for k, (role, text) in enumerate(messages):
-        before = messages[0 if context is None else max(0, k - context) : k]
-        old, new = render(before), render([*before, (role, text)])
-        rewritten = not new.startswith(old)
-        span = new[shared_start(old, new) :] if rewritten else new[len(old) :]
-        probes = [render([*before, (role, probe)])[len(old) :] for probe in ("q", "zz")]
-        head = shared_start(probes[0], probes[1])
-        tail = shared_start(probes[0][::-1], probes[1][::-1])
-        tail = min(tail, len(probes[0]) - 1 - head) if len(probes[0]) > head else tail
-        spans.append(Span(at, at + len(span), at + head, at + max(head, len(span) - tail), rewritten))
-        parts.append(span)
-        at += len(span)
-    return "".join(parts), spans
+        output, span = turn_span(render, messages[:k], role, text, output)
+        spans.append(span)
+    return output, spans
 
 
 class Reader:
-    """Reads turns of one conversation as they come; holds the last turns only."""
+    """Reads turns of one conversation as they come."""
 
-    def __init__(self, render: Template, context: int):
-        self.render, self.context, self.last = render, context, []
+    def __init__(self, render: Template):
+        self.render, self.local = render, getattr(render, "local", False)
+        self.before: list[Message] = []
+        self.output, self.size = before_all(render), 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = self.rewrites = 0
 
     def add(self, role: str, text: str) -> None:
-        output, spans = turn_spans(self.render, [*self.last, (role, text)], self.context)
-        old, span = output[: spans[-1].start], spans[-1]
-        turn = output[span.start : span.end]
-        said = unescape(output[span.text_start : span.text_end])
-        name = unescape(turn[len(OPEN) : turn.index(CLOSE)])
+        if self.local and len(self.before) >= WHOLE:
+            self.before = self.before[-1:]
+            self.size += len(self.output)
+            self.output = self.render(self.before)
+            self.size -= len(self.output)
+        new, span = turn_span(self.render, self.before, role, text, self.output)
+        said = unescape(new[span.text_start : span.text_end])
+        name = role if span.role_start is None else unescape(new[span.role_start : span.role_end])
         self.turns.update(f"{name}\n{said}\n".encode())
         self.n_turns += 1
-        self.formatted_chars += len(turn)
-        self.rewrites += span.rewritten or not output.startswith(old)
+        self.rewrites += span.rewritten
         if name == "assistant":  # the loss mask: this turn's text and nothing around it
             self.loss.update(said.encode())
             self.loss_chars += len(said)
-        self.last = [*self.last, (role, text)][-self.context :]
+        self.before.append((role, text))
+        self.output = new
+        self.formatted_chars = self.size + len(new)
 
     def row(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.rewrites
 
 
-def format_conversations(turns: DataFrame, render: Template = template, context: int = 1, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(turns: DataFrame, render: Template = template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites`` of every conversation.
 
     Rows go in the order of ``turn`` (null first), then role and text.  A null text or role counts as empty.  Rows with a
     null conversation make one conversation.  Repeated rows are turns of their own.  Conversations are spread by a shuffle
-    on their id and read turn after turn in a sorted stream, so that a very long one needs no more memory than its longest
-    turns.  Other columns are not read; an empty table gives no rows.
+    on their id and read turn after turn in a sorted stream; a conversation in a template that is not local is held whole.
+    Other columns are not read; an empty table gives no rows.
     """
     bound_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -139,7 +174,7 @@ def format_conversations(turns: DataFrame, render: Template = template, context:
                 if reader is None or conv != current:
                     if reader:
                         done.append((current, *reader.row()))
-                    current, reader = conv, Reader(render, context)
+                    current, reader = conv, Reader(render)
                 reader.add(role, text)
             if len(done) >= 1000:
                 yield out()
