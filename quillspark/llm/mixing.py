@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target number of words.  ``target / size`` is the expected number of copies of each of its documents; the
-whole part of it is taken for certain, and the fraction is the inclusion probability of one copy more.  Documents are ranked
-by random odds divided by inclusion odds (the Pareto order), and the first ones are taken until the words that the whole
-copies leave open are reached, so that the size of the sample is fixed.  The random number is a digest of the document's id:
-reruns agree.
+Each source has a target number of words.  The whole part of ``target / size`` is the number of copies that each of its
+documents gets for certain.  The words that these leave open are filled by one copy more of some documents: a document's
+inclusion probability is in proportion to the length of its size in bits, so that long documents are likelier than scraps, and
+where that gives 1 or more the copy is certain.  The others are ranked by random odds divided by inclusion odds (the Pareto
+order), and the first ones are taken until the open words are reached, so that the size of the sample is fixed.  The random
+number is a digest of the document's id: reruns agree.
 
 The place where a source's sample ends is found by counting, not by sorting the source: words are summed in 1024 bins of the
 rank, then in 1024 bins of the bin in which the sample ends, and only the documents of that small bin are put in order.
@@ -24,6 +25,11 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def size_class(size: str) -> Column:
+    """The length of the size in bits; at most 63."""
+    return F.length(F.bin(size))
+
+
 def random_unit(id_col: str, seed: str) -> Column:
     """A number over 0 and under 1 from 48 bits of a digest of seed and id; a null id counts as the empty text."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -49,13 +55,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return found.select("source", "source_size", target.alias("target"))
 
 
-def with_ranks(docs: DataFrame, plan: DataFrame, prefix: str) -> DataFrame:
-    """``docs`` (having ``{prefix}source`` and ``{prefix}u``) joined to its source's plan, with the Pareto rank."""
-    joined = docs.join(plan, docs[f"{prefix}source"].eqNullSafe(plan[f"{prefix}plan_source"]), "left")
-    odds = F.col(f"{prefix}part") / (1 - F.col(f"{prefix}part"))
-    u = F.col(f"{prefix}u")
-    rank = F.when(F.col(f"{prefix}part") > 0, u / (1 - u) / odds)
-    return joined.withColumn(f"{prefix}rank", rank).withColumn(f"{prefix}place", F.col(f"{prefix}rank") / (1 + F.col(f"{prefix}rank")))
+def inclusion(sources: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sources`` for each size class (source, class, words): with the class's certain copies ``whole``, its inclusion
+    probability ``part`` of one more, null where there is none, and the words ``need`` that the source's sample is to hold.
+
+    Probabilities are ``level * class``; from the largest class on, those that come to 1 or more are certain, and the level
+    of the rest follows from the words still open.
+    """
+    own = classes.join(sources, sources["source"].eqNullSafe(classes["class_source"]))
+    larger = Window.partitionBy("source_key").orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source_key").orderBy(F.col("class").desc()).rowsBetween(0, Window.unboundedFollowing)
+    opened = F.col("open") - F.coalesce(F.sum("words").over(larger), F.lit(0))
+    found = own.withColumn("left", opened).withColumn("level", opened / F.nullif(F.sum(F.col("class") * F.col("words")).over(rest), F.lit(0)))
+    # the first class that is not certain, and its level, hold for all smaller ones
+    found = found.withColumn("first", F.max(F.when(F.col("level") * F.col("class") < 1, F.struct("class", "level", "left"))).over(Window.partitionBy("source_key")))
+    certain = F.coalesce(F.col("class") > F.col("first.class"), F.lit(True)) & (F.col("open") > 0)
+    part = F.when(~certain & (F.col("open") > 0), F.col("first.level") * F.col("class"))
+    return found.select("source", "source_size", "target", "class", (F.col("whole") + certain.cast("long")).alias("whole"), part.alias("part"), F.when(F.col("open") > 0, F.col("first.left")).alias("need"))
+
+
+def with_ranks(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` (having ``source``, ``class`` and ``u``) joined to the plan of its source and class, with the Pareto rank."""
+    plan = plan.withColumnRenamed("source", "plan_source").withColumnRenamed("class", "plan_class")
+    joined = docs.join(plan, docs["source"].eqNullSafe(plan["plan_source"]) & (docs["class"] == plan["plan_class"]), "left")
+    rank = F.when(F.col("part") > 0, F.col("u") / (1 - F.col("u")) / (F.col("part") / (1 - F.col("part"))))
+    return joined.withColumn("rank", rank).withColumn("place", F.col("rank") / (1 + F.col("rank")))
 
 
 def bins(place: Column) -> tuple[Column, Column]:
@@ -71,24 +95,20 @@ def _crossing(sums: DataFrame, keys: list[str], bin_col: str, start: Column, nee
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source from a table (source, size, u): size, target, whole copies, and where its sample ends."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most)
+    """One row per source and size class, from a table (source, size, class, u): certain copies, inclusion probability, and
+    where the source's sample ends."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    classes = materialize(sized.groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = materialize(
-        targets.withColumn("rate", rate)
-        .withColumn("whole", F.floor("rate").cast("long"))
-        .withColumn("part", F.col("rate") - F.col("whole"))
-        .select("source", "source_size", "target", "whole", "part", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need")),
-        "mix-targets",
-    )
-    plan = base.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "part", "need")
+    targets = source_targets(sizes, weights, share, most).withColumn("whole", F.floor(rate).cast("long")).withColumn("source_key", key)
+    targets = targets.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
+    base = materialize(inclusion(targets, classes.withColumnRenamed("source", "class_source")), "mix-targets")
     first, second = bins(F.col("place"))
-    ranked = with_ranks(sized, plan, "").where("rank is not null").withColumn("bin1", first).withColumn("bin2", second)
-    key = "coalesce(concat('=', source), '')"
-    coarse = ranked.groupBy("source", "need", "bin1").agg(F.sum("size").alias("words"))
-    coarse = materialize(_crossing(coarse.withColumn("key", F.expr(key)), ["key"], "bin1", F.lit(0), F.col("need")).select("key", F.col("bin1").alias("end1"), F.col("before").alias("before1")), "mix-coarse")
-    inner = ranked.withColumn("key", F.expr(key)).join(coarse, "key").where("bin1 = end1")
+    ranked = with_ranks(sized, base).where("rank is not null").withColumn("bin1", first).withColumn("bin2", second).withColumn("key", key)
+    coarse = ranked.groupBy("key", "need", "bin1").agg(F.sum("size").alias("words"))
+    coarse = materialize(_crossing(coarse, ["key"], "bin1", F.lit(0), F.col("need")).select("key", F.col("bin1").alias("end1"), F.col("before").alias("before1")), "mix-coarse")
+    inner = ranked.join(coarse, "key").where("bin1 = end1")
     fine = inner.groupBy("key", "need", "end1", "before1", "bin2").agg(F.sum("size").alias("words"))
     fine = materialize(_crossing(fine, ["key"], "bin2", F.col("before1"), F.col("need")).select("key", F.col("bin2").alias("end2"), F.col("before").alias("before2")), "mix-fine")
     last = inner.join(fine, "key").where("bin2 = end2")
@@ -96,39 +116,46 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: f
     w = Window.partitionBy("key").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before2") + F.sum("words").over(w)
     cut = ties.select("key", "rank", (2 * upto - F.col("words") <= 2 * F.col("need")).alias("fits")).where("fits").groupBy("key").agg(F.max("rank").alias("end_rank"))
-    return materialize(base.withColumn("key", F.expr(key)).join(coarse, "key", "left").join(fine, "key", "left").join(cut, "key", "left").drop("key", "before1", "before2", "need"), "mix-plan")
+    return materialize(base.withColumn("key", key).join(coarse, "key", "left").join(fine, "key", "left").join(cut, "key", "left").drop("key", "before1", "before2", "need"), "mix-plan")
 
 
-def copies(docs: DataFrame, plan: DataFrame, source_col: str = "source", id_col: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """``docs`` with ``mix_copies``, and the plan's columns under ``mix_``; all else is kept."""
-    plan = plan.select(*(F.col(c).alias("mix_plan_source" if c == "source" else f"mix_{c}") for c in plan.columns))
-    ranked = with_ranks(docs.withColumn("mix_source", F.col(source_col)).withColumn("mix_u", random_unit(id_col, seed)), plan, "mix_")
-    first, second = bins(F.col("mix_place"))
-    at, end = first * BINS + second, F.col("mix_end1") * BINS + F.coalesce(F.col("mix_end2"), F.lit(0))
-    taken = F.col("mix_rank").isNotNull() & (F.col("mix_end1").isNull() | (at < end) | ((at == end) & (F.col("mix_rank") <= F.coalesce(F.col("mix_end_rank"), F.lit(-1.0)))))
-    return ranked.withColumn("mix_copies", F.coalesce(F.col("mix_whole"), F.lit(0).cast("long")) + taken.cast("long"))
+def copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` (having ``source``, ``class`` and ``u``) with the plan's columns and the number of ``copies``."""
+    ranked = with_ranks(sized, plan)
+    first, second = bins(F.col("place"))
+    at, end = first * BINS + second, F.col("end1") * BINS + F.coalesce(F.col("end2"), F.lit(0))
+    taken = F.col("rank").isNotNull() & (F.col("end1").isNull() | (at < end) | ((at == end) & (F.col("rank") <= F.coalesce(F.col("end_rank"), F.lit(-1.0)))))
+    return ranked.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0).cast("long")) + taken.cast("long"))
+
+
+def sizes_of(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
+    return sized.withColumn("class", size_class("size")).withColumn("u", random_unit("doc_id", seed))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Words that the mix takes of every document: ``doc_id, size, source_size, target, taken``.
 
     A null text has no words; a null source is a source of its own, the last in order; a null id counts as the empty text
-    for the random number; rows with equal ids have equal ranks and are taken or left together.  Other columns are not
-    read.  An empty table gives no rows.
+    for the random number; rows with equal ids and sizes have equal ranks and are taken or left together.  Other columns are
+    not read.  An empty table gives no rows.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
-    sized = materialize(sized, "mix-sizes")
-    plan = mixing_plan(sized.withColumn("u", random_unit("doc_id", seed)), weights, share, most)
-    out = copies(sized, plan, "source", "doc_id", seed)
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
+    sized = materialize(sizes_of(docs, seed, id_col, text_col, source_col), "mix-sizes")
+    out = copies(sized, mixing_plan(sized, weights, share, most))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs``, all columns, as often as it is taken."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
-    plan = mixing_plan(materialize(sized, "mix-sizes").withColumn("u", random_unit("doc_id", seed)), weights, share, most)
-    out = copies(docs, plan, source_col, id_col, seed)
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    """The mix itself: each row of ``docs``, all columns whatever their names, as often as it is taken.
+
+    Null texts, sources and ids as in ``mix``; a document without words is taken as often as the copies of its size class.
+    """
+    sized = sizes_of(docs, seed, id_col, text_col, source_col)
+    plan = mixing_plan(materialize(sized, "mix-sizes"), weights, share, most)
+    rows = docs.select(F.struct("*").alias("row"))
+    own = rows.select("row", *(F.col("row").getField(c).alias(n) for c, n in ((id_col, "doc_id"), (source_col, "source"), (text_col, "text"))))
+    own = own.select("row", "source", words("text").alias("size"), random_unit("doc_id", seed).alias("u")).withColumn("class", size_class("size"))
+    return copies(own, plan).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = r"""
@@ -150,12 +177,25 @@ targets AS (
   SELECT source, source_size, CASE WHEN fill_order >= first_order THEN first_level * weight ELSE filled END AS target
   FROM levels LEFT JOIN firsts ON true),
 planned AS (
-  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part
-  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets)),
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS whole FROM targets),
+classes AS (SELECT source, length(bin(size))::INT AS class, sum(size)::BIGINT AS words FROM sized GROUP BY 1, 2),
+opened AS (
+  SELECT p.*, class, words, target - whole * source_size AS open FROM planned p JOIN classes c ON p.source IS NOT DISTINCT FROM c.source),
+lefts AS (
+  SELECT *, open - coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+         sum(class * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM opened),
+levels_of AS (SELECT *, lft / nullif(rest, 0) AS lev FROM lefts),
+first_of AS (SELECT source, max(class) AS first_class, arg_max(lev, class) AS first_lev, arg_max(lft, class) AS need FROM levels_of WHERE lev * class < 1 GROUP BY source),
+included AS (
+  SELECT l.source, source_size, target, class, need,
+         whole + CASE WHEN open > 0 AND (first_class IS NULL OR class > first_class) THEN 1 ELSE 0 END AS whole,
+         CASE WHEN open > 0 AND class <= first_class THEN first_lev * class END AS part
+  FROM levels_of l LEFT JOIN first_of f ON l.source IS NOT DISTINCT FROM f.source),
 ranked AS (
-  SELECT s.*, source_size, target, whole, target - whole * source_size AS need, part,
+  SELECT s.*, source_size, target, whole, need, part,
          CASE WHEN part > 0 THEN u / (1 - u) / (part / (1 - part)) END AS rank
-  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
+  FROM sized s JOIN included p ON s.source IS NOT DISTINCT FROM p.source AND length(bin(s.size)) = p.class),
 cumulated AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST) AS upto, sum(size) OVER (PARTITION BY source, rank) AS tied
   FROM ranked)
