@@ -84,11 +84,36 @@ def test_warc_salvage_of_damaged_files():
     cut = 4 + len(members[0]) + 20
     packed[cut : cut + 4] = b"\0\0\0\0"
     found = warc.salvage(bytes(packed))
-    assert [h["warc-record-id"] for _, h, _ in found.records] == [f"<urn:page:{k}>" for k in (0, 2, 3)]
+    assert [h["warc-record-id"] for _, h, _ in found.records] == [f"<urn:page:{k}>" for k in (0, 2, 3, 4)]  # the last one is whole, though its member is cut
     assert len(found.gaps) == 3 and found.gaps[0][:2] == (0, 4) and found.gaps[-1][1] == len(packed)
     assert warc.salvage(b"").records == [] and warc.salvage(b"nothing here").gaps == [(0, 12, "no version line")]
 
 
+def test_warc_members_of_several_records_and_damaged_plain_files():
+    records = [warc.record("response", k, f"http://h/{k}", f"body {k} ".encode() * 50, "d", None) for k in range(6)]
+    ids = lambda found: [h["warc-record-id"][10:-1] for _, h, _ in found.records]
+    whole = warc.salvage(warc.member(b"".join(records[:3])) + warc.member(records[3]))
+    assert ids(whole) == ["0", "1", "2", "3"] and not whole.gaps
+    # a bad record within a sound member, and a member cut after its second record
+    bad = bytearray(b"".join(records[:3]))
+    bad[len(records[0]) + 5] ^= 255
+    found = warc.salvage(warc.member(bytes(bad)) + warc.member(records[3]))
+    assert ids(found) == ["0", "2", "3"] and len(found.gaps) == 1 and f"bytes {len(records[0])} to" in found.gaps[0][2]
+    import os as system
+
+    large = warc.record("response", 9, "u", system.urandom(50_000), "d", None)
+    packed = warc.member(b"".join(records[:2]) + large)
+    found = warc.salvage(packed[:-30_000] + warc.member(records[3]))
+    assert ids(found) == ["0", "1", "3"] and found.gaps[0][:2] == (0, len(packed) - 30_000)
+    broken = bytearray(packed)
+    broken[20_000:20_010] = b"\xff" * 10
+    assert set(ids(warc.salvage(bytes(broken) + warc.member(records[4])))) >= {"0", "1", "4"}
+    # a plain file whose first version line is damaged and whose bodies are gzip members
+    bodies = [warc.record("response", k, "u", warc.member(b"html %d" % k * 20), "d", None) for k in range(4)]
+    found = warc.salvage(b"XXXX" + b"".join(bodies)[4:])
+    assert ids(found) == ["1", "2", "3"] and found.gaps == [(0, len(bodies[0]), "no version line")]
+
+
 def test_warc_round_trip_edges(spark):
     long = "<p>é</p>" * 300
     pages = spark.createDataFrame([(1, "u", long, 0), (2, "u\r\nX: y", long, 0), (3, None, None, 0), (4, "u", "", 0), (None, "u", long, 0), (-5, "u", "short", 0), (6, "u", "short", 0)], "page_id long, url string, html string, size int")
@@ -121,10 +146,31 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     asked = ["grumblefoo", "grumblefoos here", "lorem ipsum", "", None, "lorem " * 20000 + "Grumblefoo!"]
-    scored = {r.doc_id: r.s for r in toxicity.score(documents(spark, asked).selectExpr("*", "lang as score"), model, "s").collect()}
+    scored = {r.id: r.score for r in toxicity.score(documents(spark, asked).selectExpr("*", "lang as score"), model).selectExpr("row.doc_id as id", "score").collect()}
     assert scored[0] > 0.5 and scored[1] > 0.5 and scored[5] > 0.5 and max(scored[2], scored[3], scored[4]) < 0.5
     assert toxicity.score_documents(docs, labels.where("false")).where("score is null").count() == 0
     assert toxicity.score_documents(docs.where("false"), labels).count() == 0
+    clash = docs.selectExpr("*", "1 as score", "2 as toxicity_score", "3 as row")
+    kept = toxicity.without_toxic(clash, labels)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {k for k in range(200) if k % 3}
+
+
+def test_toxicity_reads_long_words_whole():
+    one, other = (set(toxicity.distinct_parts("a" * 80 + middle + "b" * 80)) for middle in ("badword", "goodone"))
+    grams = lambda parts: {row for part in parts for row in toxicity.bag(part)}
+    assert grams(one) != grams(other) and grams(["badword"])  # its n-grams without the marks of word ends
+    inner = {row for n in toxicity.GRAMS for k in range(7 - n + 1) for row in [zlib.crc32("badword"[k : k + n].encode()) % toxicity.BUCKETS]}
+    assert inner <= grams(one)
+
+
+def test_toxicity_score_is_that_of_a_plain_sum():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.5)
+    for text in ("One two, three-four one", "x", "", "!!!", "y" * 200):
+        words = [[np.mean([model.rows[row] for row in toxicity.bag(part)]) for part in toxicity.parts_of(word)] for word in set(text.lower().split())]
+        values = [max(parts) for parts in words if parts]
+        expected = model.bias + (max(values) + np.mean(values) if values else 0)
+        assert toxicity.text_logits([text], model, text)[0] == pytest.approx(expected, rel=1e-4)
 
 
 # -- 4 language model
@@ -149,25 +195,90 @@ def test_mixing_lm_base_and_model(spark):
     assert mixing_lm.score_documents(docs.where("false")).count() == 0
 
 
-def test_mixing_lm_is_a_distribution_over_first_bytes():
-    words = [b"aa", b"ab", b"ba", b"zz"]
-    zeros, ones = np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32)
-    slots, bits, _ = mixing_lm.choices(words)
-    for t in range(mixing_lm.TABLES):
-        np.add.at(ones, slots[t][bits == 1], 1)
-        np.add.at(zeros, slots[t][bits == 0], 1)
-    model = mixing_lm.Model(zeros, ones, *mixing_lm.start())
-    model.prepare()
+def trained():
+    rng = random.Random(8)
+    texts = [[*(rng.choice([b"the", b"of", b"stone", b"water", b"x%d" % rng.randint(0, 60)]) for _ in range(40)), b""] for _ in range(120)]
+    counts = {}
+    for text in texts:
+        for word in text:
+            counts[word] = counts.get(word, 0) + 1
+    common = sorted((w for w in counts if counts[w] > 60), key=lambda w: (-counts[w], w))
+    n = np.array([counts[w] for w in common])
+    ordered, number = mixing_lm.in_order(common, n, sum(counts.values()) - int(n.sum()))
+    of_number = np.full(len(ordered), sum(counts.values()) - n.sum())
+    of_number[number - 1] = n
+    codes, tables = mixing_lm.Codes(ordered, of_number), mixing_lm.tables_for(5000)
+    learner = mixing_lm.Learner(tables)
+    for part in mixing_lm.parts(texts, codes, 200):
+        learner.step(0, *mixing_lm.number_choices(codes, tables, part.ids, part.first, part.lead)[:2])
+        learner.step(1, *mixing_lm.letter_choices(codes, tables, part.spelled)[:2])
+    model = mixing_lm.Model(mixing_lm.codes_of(learner.counts).view(np.uint16), learner.weights, learner.refined)
+    return texts, codes, tables, model
+
+
+def test_mixing_lm_is_a_distribution():
+    _, codes, tables, model = trained()
+    ids = np.arange(1, len(codes.sizes))
+    for before in (codes.number[b"the"], codes.spelled):
+        total = 0.0
+        for one in ids.tolist():
+            total += 10 ** model.logs(0, *mixing_lm.number_choices(codes, tables, np.array([before, one]), np.array([True, False]), 1))[0]
+        assert 0.999 < total <= 1 + 1e-6  # numbers of the greatest length that no word has keep a little
+    slots, bits, _ = mixing_lm.letter_choices(codes, tables, [bytes([b]) for b in range(256)])
+    sizes = np.stack([codes.letter_sizes, np.full(256, codes.letter_sizes[32])], axis=1).ravel()
+    assert (10 ** model.logs(1, slots, bits, sizes)[::2]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_mixing_lm_equals_a_mixer_of_single_choices():
+    texts, codes, tables, model = trained()
+    text = texts[3] + texts[4]
+    ids = np.array([codes.number.get(w, codes.spelled) for w in text])
+    first = np.zeros(len(ids), bool)
+    first[[0, len(texts[3])]] = True
+    slots, bits, sizes = mixing_lm.number_choices(codes, tables, ids, first, 0)
+    # the contexts of each word, one by one
+    for k in range(len(ids)):
+        begin = k if first[k] else max(j for j in range(k) if first[j])
+        own = ids[begin:k].tolist()
+        last = next((i for i in reversed(own) if i < mixing_lm.FREQUENT), 0)
+        again = mixing_lm.number_choices(codes, tables, np.array([last, *own[-2:], ids[k]] if own else [ids[k]]), np.array([True, *[False] * (1 + len(own[-2:]))] if own else [True]), 1 + len(own[-2:]) if own else 0)[0]
+        at = int(sizes[:k].sum())
+        assert all((again[t] == slots[t][at : at + sizes[k]]).all() for t in (range(4) if len(own) > 1 else (0, 1)))
     total = 0.0
-    for byte in range(256):
-        if byte == 0x20:
-            continue
-        s, b, _ = mixing_lm.choices([bytes([byte])])
-        inputs, gates = model.logit[s], mixing_lm._gates(model.seen[s])
-        final = mixing_lm._refine(mixing_lm._mixed(inputs, gates, model.weights), gates, model.refined)[0]
-        total += math.exp(-np.logaddexp(0, np.where(b == 1, -final, final))[:8].sum())
-    end = mixing_lm.word_logs(model, [b""])[0]
-    assert total + 10**end == pytest.approx(1, abs=1e-6)
+    for k in range(len(bits)):
+        zeros, ones = zip(*((float(mixing_lm.VALUES[c & 255]), float(mixing_lm.VALUES[c >> 8])) for c in (int(model.levels[s[k]]) for s in slots)))
+        level = [min(7, int(z + o).bit_length()) * 2 + (min(z, o) > 0) for z, o in zip(zeros, ones)]
+        gate = (level[0] * 16 + level[1]) * 3 + min(level[2] // 2, 2)
+        mixed = sum(float(model.weights[t, gate]) * math.log((o + 0.3) / (z + 0.3)) for t, (z, o) in enumerate(zip(zeros, ones))) + float(model.weights[4, gate])
+        mixed = min(11.99, max(-11.99, mixed))
+        at = (mixed + 12) * 32 / 24
+        low = int(at)
+        table = model.refined[gate * 33 + low] * (1 - at + low) + model.refined[gate * 33 + low + 1] * (at - low)
+        final = (mixed + float(table)) / 2
+        total += math.log10(1 / (1 + math.exp(-final if bits[k] else final)))
+    assert model.logs(0, slots, bits, sizes).sum() == pytest.approx(total, rel=1e-4)
+
+
+def test_mixing_lm_does_not_depend_on_the_parts(monkeypatch):
+    texts, codes, tables, model = trained()
+    texts = [*texts[:5], [*(w for t in texts[5:20] for w in t[:-1]), b"never", b""], [b""]]
+    found = []
+    for size in (7, 100, 10_000):
+        monkeypatch.setattr(mixing_lm, "SCORE_WORDS", size)
+        found.append(mixing_lm.scored_texts(codes, tables, model, {}, np.zeros(len(codes.sizes)), texts))
+    for other in found[1:]:
+        assert np.allclose(other.logs, found[0].logs) and (other.known == found[0].known).all() and other.rest == found[0].rest
+    assert found[0].rest[5][b"never"] == 1
+
+
+def test_mixing_lm_beats_the_base(spark):
+    rows = mixing_lm.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.75
+
+
+def test_mixing_lm_packs_counts():
+    counts = np.array([0, 1, 255, 256, 2**31 - 1, 70_000], np.int32)
+    assert (mixing_lm.unpacked(*mixing_lm.packed(counts)) == counts).all()
 
 
 def test_mixing_lm_reads_texts_in_order(spark):
@@ -177,14 +288,6 @@ def test_mixing_lm_reads_texts_in_order(spark):
     assert found[-1].base_score == pytest.approx(found[-2].base_score) and found[-1].score > found[-2].score + 1
 
 
-def test_mixing_lm_contexts_do_not_depend_on_the_batch():
-    words = [*(f"w{k % 7}{'x' * (k % 3)}".encode() for k in range(300)), b"", b"a", b"b", b"c", b"d", b"e", b"f", b"", b"g", b""]
-    whole = mixing_lm.choices(words)[0]
-    for least in (1, 5, 40):
-        parts = [mixing_lm.choices(*part)[0] for part in mixing_lm._batches(words, least)]
-        assert (np.concatenate(parts, axis=1) == whole).all()
-
-
 def test_mixing_lm_codes_of_very_large_counts():
     counts = np.array([0, 1, 10, 4_000_000_000, 5_000_000_000, 10**12])
     read = mixing_lm.VALUES[mixing_lm.codes_of(counts)]
@@ -202,6 +305,38 @@ def test_chat_escapes_and_rewriting():
     assert [s.rewritten for s in chat.turn_spans(rewriting, [("user", "a"), ("assistant", "b")])[1]] == [True, True]
     output, spans = chat.turn_spans(chat.template, [("user", "q"), ("assistant", "zz<|end|>")])
     assert [output[s.text_start : s.text_end] for s in spans] == ["q", "zz<%7Cend|>"]
+    assert [output[s.role_start : s.role_end] for s in spans] == ["user", "assistant"]
+    # a template that changes all but the last two turns
+    late = lambda messages: "".join(f"{'TF'[k >= len(messages) - 2]}:{text}" for k, (_, text) in enumerate(messages))
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    output, spans = chat.turn_spans(late, turns)
+    assert [s.rewritten for s in spans] == [False, False, True, True] and output == late(turns) == "T:aT:bF:cF:d"
+    reader = chat.Reader(late)
+    for turn in turns:
+        reader.add(*turn)
+    assert reader.rewrites == 2
+
+    def marked(messages):  # another template, which numbers turns, shows no role and takes two roles only
+        assert all(role in ("user", "assistant") for role, _ in messages)
+        return "".join(f"[{k} {'U' if role == 'user' else 'A'}] {text}\n" for k, (role, text) in enumerate(messages))
+
+    reader = chat.Reader(marked)
+    for turn in turns:
+        reader.add(*turn)
+    assert reader.row()[0] == 4 and reader.row()[2] == 2 and reader.row()[5] == 0
+    assert reader.row()[1] == hashlib.sha256(b"".join(f"{r}\n{t}\n".encode() for r, t in turns)).hexdigest()
+
+
+def test_chat_long_conversations_of_a_local_template(monkeypatch):
+    turns = [(("user", "assistant")[k % 2], f"t{k}" * (k % 5)) for k in range(40)]
+    found = []
+    for whole in (1000, 3):
+        monkeypatch.setattr(chat, "WHOLE", whole)
+        reader = chat.Reader(chat.template)
+        for turn in turns:
+            reader.add(*turn)
+        found.append(reader.row())
+    assert found[0] == found[1] and found[0][4] == len(chat.template(turns))
 
 
 def test_chat_edges(spark):
@@ -280,8 +415,13 @@ def test_mixing_targets_and_bounds(spark):
     assert all(abs(sum(taken) - target) <= 40 for (_, target), taken in by.items())
     again = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs.repartition(7)).collect()}
     assert all(again[r.doc_id, r.size] == r.taken for r in found)
-    copies = mixing.mixed_documents(docs.where("doc_id > 10")).count()
-    assert copies > 0 and mixing.mix(docs.where("false")).count() == 0
+    clash = docs.selectExpr("*", "'keep' as mix_source", "7 as mix_copies", "8 as row", "9 as class")
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and {(r.mix_source, r.mix_copies) for r in mixed.collect()} == {("keep", 7)}
+    assert mixing.mix(docs.where("false")).count() == 0
+    # long documents are likelier to get one copy more
+    more = [(r.size, r.taken // r.size) for r in found if r.size and 0 < r.target < 2 * r.source_size]
+    assert np.mean([n for size, n in more if size > 30]) > np.mean([n for size, n in more if size < 8])
 
 
 # -- 8 personal data
@@ -301,7 +441,7 @@ def base_spans(text):
 
 
 def test_pii_base_and_terms(spark):
-    odd = ["a@b.c_d@e.f", "😀 a@b.co 1.2.3.4.5.6.7.8 1.2.3.256 001.02.3.0004 +1 (499) 555-6503", "4111 1111 1111 1111 4111-1111-1111-1112", None, "", "x" * 50000 + "@y" + ".z" * 2000, "1" * 20000, "a@b@c.d a@b.c@d.e +12"]
+    odd = ["a@b.c_d@e.f", "😀 a@b.co 1.2.3.4.5.6.7.8 1.2.3.256 001.02.3.0004 +1 (499) 555-6503", "4111 1111 1111 1111 4111-1111-1111-1112", None, "", "x" * 50000 + "@y" + ".z" * 2000, "1" * 20000, "a@b@c.d a@b.c@d.e +12", "12 34 567 " * 400 + "1-2 3-4"]
     told = [f"{w} meet Zorblax at zor@mail.com for lunch {k}" for k, w in enumerate(["one", "two", "three", "four"])]
     calm = [f"lunch with nobody number {k} meet for at" for k in range(40)]
     texts = odd + told + told + calm
@@ -309,12 +449,14 @@ def test_pii_base_and_terms(spark):
     found = {r.doc_id: r for r in pii.find(docs).collect()}
     for k, text in enumerate(texts):
         assert found[k].base_sha256 == hashlib.sha256(base_spans(text or "").encode()).hexdigest(), text
-    assert found[8].spans == "term:9:16,email:20:32" and found[12].spans == found[8].spans
-    assert all(found[k].spans == "" for k in range(16, len(texts)))
+    assert found[9].spans == "term:9:16,email:20:32" and found[13].spans == found[9].spans
+    assert all(found[k].spans == "" for k in range(17, len(texts)))
     clean = {r.doc_id: r for r in pii.scrub(documents(spark, texts)).collect()}
-    assert clean[8].text == "one meet [TERM] at [EMAIL] for lunch 0" and clean[8].n_chars == len(clean[8].text)
+    assert clean[9].text == "one meet [TERM] at [EMAIL] for lunch 0" and clean[9].n_chars == len(clean[9].text)
     assert clean[3].text is None and clean[20].text == texts[20]
     assert pii.find(docs.where("false")).count() == 0
+    odd = documents(spark, texts).selectExpr("*", "1 as pii_row", "2 as spans", "3 as row", "4 as base")
+    assert pii.scrub(odd).columns == odd.columns
 
 
 def test_pii_terms_far_from_the_entity_and_without_it(spark):
@@ -326,6 +468,39 @@ def test_pii_terms_far_from_the_entity_and_without_it(spark):
     assert found[9] == "term:7:14" and all(found[k] == "" for k in range(10, len(texts)))
 
 
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(6)
+    names, mails = [f"name{chr(97 + k)}{chr(97 + k)}" for k in range(8)], [f"m{k}@x.org" for k in range(8)]
+    texts = []
+    for _ in range(250):
+        words = [rng.choice(["some", "plain", "filler", "Text", "l\u00e9ger"]) for _ in range(rng.randint(0, 12))]
+        k = rng.randrange(8)
+        if rng.random() < 0.4:
+            words += [mails[k], *([names[k]] if rng.random() < 0.9 else []), *([names[(k + 1) % 8].upper()] if rng.random() < 0.2 else [])]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:20] + [None, ""]
+    terms, entities = [], []
+    for text in texts:
+        mail = re.compile(PLAIN["email"])
+        entities.append({m.lower() for m in re.findall(r"m\d@x\.org", text or "")})
+        terms.append({w.lower() for w in re.findall(r"[^\W\d_]+", mail.sub(lambda m: " " * len(m[0]), text or ""))})
+    n, telling = len(texts), set()
+    for e in set().union(*entities):
+        with_e = [t for t, own in zip(terms, entities) if e in own]
+        for term in set().union(*with_e) if len(with_e) >= 3 else ():
+            both, alone = sum(term in t for t in with_e), sum(term in t for t in terms)
+            if both >= 3 and math.log(both / alone / (len(with_e) / n)) / math.log(n / len(with_e)) >= 0.8:
+                telling.add(term)
+    assert 0 < len(telling) < 9
+    for r in pii.find(documents(spark, texts)).collect():
+        text = texts[r.doc_id] or ""
+        bare = re.sub(r"m\d@x\.org", lambda m: " " * len(m[0]), text)
+        spans = [(m.start(), 0, f"email:{m.start()}:{m.end()}") for m in re.finditer(r"m\d@x\.org", text)]
+        spans += [(m.start(), 4, f"term:{m.start()}:{m.end()}") for m in re.finditer(r"[^\W\d_]+", bare) if m[0].lower() in telling]
+        assert r.spans == ",".join(x for _, _, x in sorted(spans))
+
+
 # -- 9 near-duplicates
 
 
