@@ -97,9 +97,9 @@ def run_times(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
 
 
 def quarter_points(points: DataFrame) -> DataFrame:
-    """The points at a quarter, half and three quarters of each stroke."""
+    """The points at a quarter, half and three quarters of each stroke, each less stable than the one before."""
     n = F.count("*").over(whole())
     p = points.withColumn("n", n).withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.col("i") == F.floor(F.col("n") * F.col("q") / 4))
-    return p.select("stroke_id", "i", F.when(F.col("q") == 2, 0.6).otherwise(0.5).alias("stability"))
+    return p.select("stroke_id", "i", "q", (0.7 - 0.1 * F.col("q")).alias("stability"))
 
 

@@ -115,3 +115,28 @@ def landmarks(points: DataFrame) -> DataFrame:
 
 def stability_index(found: DataFrame) -> DataFrame:
     return found.groupBy("stroke_id").agg(F.avg("stability").alias("stability"), F.count("*").alias("n"), F.max_by("kind", "stability").alias("firmest"))
+
+
+def paired(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (stroke_id, other) with the columns of the one's row as they are and of the other's under ``o_``: two equi-joins,
+    so no label or group lands in one task."""
+    renamed = rows.select(*(F.col(c).alias("other" if c == "stroke_id" else f"o_{c}") for c in rows.columns))
+    return pairs.join(rows, "stroke_id").join(renamed, "other")
+
+
+def series_similarity(a: Column, b: Column, most: int = 50) -> Column:
+    """Absolute cosine of two series brought to one length, the shorter's or ``most``, by linear steps; 0 if either vanishes or
+    is empty."""
+    size = F.least(F.size(a), F.size(b), F.lit(most))
+
+    def resampled(values: Column) -> Column:
+        last = F.size(values) - 1
+
+        def at(k: Column) -> Column:
+            place = F.when(size > 1, k / F.nullif(size - 1, F.lit(0))).otherwise(0.0) * last
+            low = F.floor(place).cast("int")
+            return F.get(values, low) + (place - low) * (F.get(values, F.least(low + 1, last)) - F.get(values, low))
+
+        return F.transform(F.sequence(F.lit(0), size - 1), at)
+
+    return F.when(size > 0, F.coalesce(F.abs(signature.cosine(resampled(a), resampled(b))), F.lit(0.0))).otherwise(0.0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.sequence import after, step, whole
@@ -80,13 +80,22 @@ def loop_signature(points: DataFrame, eps: float = 0.1) -> DataFrame:
     return n.join(found, "stroke_id", "left").select("stroke_id", F.coalesce("loops", F.array().cast("array<double>")).alias("loops"))
 
 
+def from_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from the segment between a and b."""
+    vx, vy, wx, wy = bx - ax, by - ay, x - ax, y - ay
+    size = vx * vx + vy * vy
+    share = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wx * vx + wy * vy) / F.nullif(size, F.lit(0.0))))).otherwise(0.0)
+    return step(wx - share * vx, wy - share * vy)
+
+
 def near_segments(points: DataFrame, eps: float = 0.05) -> DataFrame:
-    """Segments both of whose ends are within ``eps`` of an earlier one's: their middle place."""
-    s = segments(points)
-    p = s.selectExpr("stroke_id", "i as s", "x as px", "y as py", "x2 as px2", "y2 as py2")
-    q = s.selectExpr("stroke_id", "i as t", "x as qx", "y as qy", "x2 as qx2", "y2 as qy2")
-    close = (step(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")) < eps) & (step(F.col("qx2") - F.col("px2"), F.col("qy2") - F.col("py2")) < eps)
-    return p.join(q, "stroke_id").where("t >= s + 2").where(close).select("stroke_id", "s", "t", F.floor((F.col("s") + F.col("t")) / 2).alias("idx"))
+    """Segments both of whose ends are less than ``eps`` from a later segment, two places on or more: ``stroke_id, s, t`` and
+    the place ``idx`` in the middle."""
+    c, found = F.col, segments(points)
+    p = found.selectExpr("stroke_id", "i as s", "x as px", "y as py", "x2 as px2", "y2 as py2")
+    q = found.selectExpr("stroke_id", "i as t", "x as qx", "y as qy", "x2 as qx2", "y2 as qy2")
+    ends = [from_segment(c(x), c(y), c("qx"), c("qy"), c("qx2"), c("qy2")) < eps for x, y in (("px", "py"), ("px2", "py2"))]
+    return p.join(q, "stroke_id").where("t >= s + 2").where(ends[0] & ends[1]).select("stroke_id", "s", "t", F.floor((c("s") + c("t")) / 2).alias("idx"))
 
 
 def apart(rows: DataFrame, gap: int = 2) -> DataFrame:

@@ -252,3 +252,53 @@ def affine_metrics(points: DataFrame) -> DataFrame:
     out = both.groupBy("stroke_id").agg(F.max(size).alias("max_kappa"), F.avg(size).alias("mean_kappa"), F.var_pop(size).alias("var_kappa"), F.coalesce(F.avg(F.when(F.col("k") < half, F.exp(-10 * F.abs(F.col("kappa") - F.col("mirror"))))), F.lit(0.0)).alias("symmetry"))
     total = affine_arc(points).groupBy("stroke_id").agg(F.max("sigma").alias("affine_length"))
     return total.join(out, "stroke_id", "left").na.fill(0.0).withColumn("complexity", F.sqrt("var_kappa") / (F.col("mean_kappa") + 1e-10))
+
+
+def affine_signature(points: DataFrame) -> DataFrame:
+    """``stroke_id, i, sigma, kappa``: affine curvature over the affine arc length as a share of the whole, points 2 to n-3."""
+    arc = affine_arc(points).withColumn("top", F.max("sigma").over(whole()))
+    share = F.when(F.col("top") == 0, 0.0).otherwise(F.col("sigma") / F.nullif("top", F.lit(0.0)))
+    # both sides are dealt by stroke already, so the join needs no shuffle of its own
+    return affine_curvature(points).select("stroke_id", "i", "kappa").join(arc.select("stroke_id", "i", share.alias("sigma")), ["stroke_id", "i"])
+
+
+def curvature_signature(points: DataFrame) -> DataFrame:
+    """``stroke_id, i, s, kappa`` of the inner points: robust curvature times the path's length, over the share of it passed."""
+    length = arc_length(points).withColumn("total", F.max("arc").over(whole()))
+    rows = robust_curvature(points).select("stroke_id", "i", "c").join(length.select("stroke_id", "i", "arc", "total"), ["stroke_id", "i"])
+    moved = F.col("total") > 0
+    return rows.select("stroke_id", "i", F.when(moved, F.col("arc") / F.nullif("total", F.lit(0.0))).otherwise(0.0).alias("s"), F.when(moved, F.col("c") * F.col("total")).otherwise(F.col("c")).alias("kappa"))
+
+
+def peaks_and_valleys(points: DataFrame) -> DataFrame:
+    """``stroke_id, x_sequence, y_sequence``: P, V or - for each inner point that tops, undercuts or does neither to both
+    neighbours."""
+    sign = lambda c: F.when((F.col(c) > before(c)) & (F.col(c) > after(c)), "P").when((F.col(c) < before(c)) & (F.col(c) < after(c)), "V").otherwise("-")
+    p = points.select("stroke_id", "i", sign("x").alias("sx"), sign("y").alias("sy"), before("x").isNotNull().alias("after_first"), after("x").isNotNull().alias("before_last"))
+    inner = F.when(F.col("after_first") & F.col("before_last"), F.struct("i", "sx", "sy"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(inner)), lambda q: q[c]), "")
+    return p.groupBy("stroke_id").agg(joined("sx").alias("x_sequence"), joined("sy").alias("y_sequence"))
+
+
+def spline_controls(points: DataFrame, tension: float = 0.5) -> DataFrame:
+    """Control points of the curve from each point 1 to n-3 to the next: ``stroke_id, i, c1x, c1y, c2x, c2y, x2, y2``."""
+    p = points.withColumns({f"{c}{k}": v for c in "xy" for k, v in (("0", before(c)), ("2", after(c)), ("3", after(c, 2)))}).where("x0 is not null and x3 is not null")
+    out = {f"c1{c}": F.col(c) + (F.col(f"{c}2") - F.col(f"{c}0")) * tension / 6 for c in "xy"} | {f"c2{c}": F.col(f"{c}2") - (F.col(f"{c}3") - F.col(c)) * tension / 6 for c in "xy"}
+    return p.select("stroke_id", "i", *(v.alias(n) for n, v in out.items()), "x2", "y2")
+
+
+def never_back(points: DataFrame, col: str = "time") -> DataFrame:
+    """``col`` raised to the largest value so far, as after its jitter."""
+    return points.withColumn(col, F.max(col).over(so_far()))
+
+
+def processed(points: DataFrame) -> DataFrame:
+    """Each point with the share of the path passed, the curvature times the path's length, velocity, acceleration and
+    tangent; what a point does not have is 0, and strokes of one point have no rows."""
+    p = turn_curvature(acceleration(points)).withColumns({"tangent": F.atan2("dy", "dx"), "arc": F.sum(F.coalesce("ds", F.lit(0.0))).over(so_far()), "total": F.sum(F.coalesce("ds", F.lit(0.0))).over(whole()), "n": F.count("*").over(whole())})
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    moved, total = F.col("total") > 0, F.nullif("total", F.lit(0.0))
+    return p.where("n > 1").select(
+        "stroke_id", "i", "x", "y", "time", F.when(moved, F.col("arc") / total).otherwise(0.0).alias("s_L"), F.when(moved, zero(F.col("curvature") * F.col("total"))).otherwise(0.0).alias("kappa_L"),
+        zero(F.col("velocity")).alias("velocity"), zero(F.col("acceleration")).alias("acceleration"), zero(F.col("tangent")).alias("tangent"),
+    )

@@ -70,3 +70,10 @@ def cosine(a: Column, b: Column) -> Column:
 def compare(pairs: DataFrame) -> DataFrame:
     """``similarity`` of the rows' ``log_a`` and ``log_b``: their absolute cosine, 0 if either vanishes."""
     return pairs.withColumn("similarity", F.coalesce(F.abs(cosine(F.col("log_a"), F.col("log_b"))), F.lit(0.0)))
+
+
+def path_signature(points: DataFrame) -> DataFrame:
+    """All levels of each stroke as arrays, with the logarithmic signature, the variation and the norm, in one bundle."""
+    found = signature_norm(log_signature(levels(normalised(points))))
+    listed = [F.array(*(F.col("s_" + "".join(w)) for w in product("xy", repeat=n))).alias(f"level{n}") for n in (1, 2, 3)]
+    return found.select("stroke_id", *listed, F.array(*(F.col(f"s4_{k}") for k in range(16))).alias("level4"), "log_signature", "variation", "norm")

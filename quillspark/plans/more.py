@@ -93,9 +93,9 @@ def _(spark, sf_dir):
     return rounded(O.run_times(read(spark, sf_dir, "events"), "user_id", "value", 100.0))
 
 
-@query("geo28_quarter_points", "SELECT stroke_id, i, CASE WHEN q = 2 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS stability FROM evt JOIN (SELECT stroke_id AS s, count(*) AS n FROM evt GROUP BY 1) ON s = stroke_id, range(1, 4) r(q) WHERE i = floor(n * q / 4.0::DOUBLE)", "evt")
+@query("geo28_quarter_points", "SELECT stroke_id, i, round(0.7::DOUBLE - 0.1::DOUBLE * q, 6) AS stability FROM evt JOIN (SELECT stroke_id AS s, count(*) AS n FROM evt GROUP BY 1) ON s = stroke_id, range(1, 4) r(q) WHERE i = floor(n * q / 4.0::DOUBLE)", "evt")
 def _(spark, sf_dir):
-    return O.quarter_points(event_points(spark, sf_dir))
+    return rounded(O.quarter_points(event_points(spark, sf_dir)).drop("q"))
 
 
 @query("str04_rolling_mean", f"SELECT event_id, {R('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 'recent')} FROM events")

@@ -11,6 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The bodies of SQL forms and the common tables they use, from which they can be formed again over other points.
+BODIES: dict[str, tuple[str, str]] = {}
 
 #: Common tables that the SQL forms may name: strokes of the embeddings, their points with neighbours, strokes of the events.
 COMMON = {
@@ -54,11 +56,17 @@ def sql_form(body: str, uses: str, points: str) -> str:
     return f"WITH {tables}\n{body}"
 
 
+def over(name: str, points: str) -> str:
+    """The SQL form of another query over the common table ``points``, as a subquery."""
+    return f"({sql_form(*BODIES[name], points)})"
+
+
 def query(name: str, sql: str | None = None, uses: str = "", points: str = "pts") -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
             SQL[name] = sql_form(sql, uses, points) if uses else sql
+            BODIES[name] = (sql, uses)
         return f
 
     return put

@@ -270,11 +270,6 @@ def _(spark, sf_dir):
     return rounded(out.select("stroke_id", zero(F.col("n")).alias("n_crossings"), zero(F.col("np")).alias("n_positive"), zero(2 * F.col("np") - F.col("n")).alias("balance"), F.coalesce("a", F.lit(0.0)).alias("mean_angle")))
 
 
-@query("jn16_near_segments", "SELECT p.stroke_id, p.i AS s, q.i AS t, floor((p.i+q.i)/2.0::DOUBLE)::BIGINT AS idx FROM seg p JOIN seg q ON p.stroke_id = q.stroke_id AND q.i >= p.i + 2 WHERE sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) < 0.2 AND sqrt((q.x2-p.x2)*(q.x2-p.x2)+(q.y2-p.y2)*(q.y2-p.y2)) < 0.2", "seg", "box")
-def _(spark, sf_dir):
-    return P.near_segments(box(spark, sf_dir), 0.2)
-
-
 @query("jn15_apart", "WITH r AS (SELECT stroke_id, i AS idx, row_number() OVER (PARTITION BY stroke_id ORDER BY x, i) AS pos FROM box WHERE x < 0.5) SELECT stroke_id, idx, pos FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.stroke_id = r.stroke_id AND abs(o.idx - r.idx) < 2 AND o.pos < r.pos)", "box")
 def _(spark, sf_dir):
     from pyspark.sql import Window
