@@ -14,7 +14,7 @@ as no more than ``n_entity`` of them hold e; such pairs are never made.
 
 A span's place is found by cutting the text at the matches and adding up lengths.  Java's possessive forms of the patterns
 match the same strings as the plain ones, without their cost on long runs; that of the card begins where a run of digits does
-and leaves out runs of under 14 digits, which are no cards.  Spans, entities and terms are found once and written.
+and leaves out runs of under 14 digits, which are no cards.  Spans and entities are found once and written.
 """
 
 from __future__ import annotations
@@ -139,17 +139,23 @@ def with_outside(based: DataFrame) -> DataFrame:
     return based.withColumn("ends", F.transform("base", lambda s: s["end"])).withColumn("outside", outside()).drop("ends")
 
 
-def with_contents(based: DataFrame) -> DataFrame:
-    """``based`` with ``text_key``, a digest of the text, and the distinct ``entities`` and ``terms`` of the whole text."""
+def with_entities(based: DataFrame) -> DataFrame:
+    """``based`` with ``text_key``, a digest of the text, and the distinct ``entities``."""
     kinds = F.array(*map(F.lit, KINDS))
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), F.lower(s["value"]))))
+    return based.withColumns({"text_key": F.sha1("text"), "entities": entities})
+
+
+def with_terms(based: DataFrame) -> DataFrame:
+    """``text_key, entities`` and the distinct ``terms`` of each whole text.  They are found again where they are needed: that is
+    cheaper than to write them all."""
     out = with_outside(based).withColumn("found", F.array_distinct(F.regexp_extract_all("outside", F.lit(TERM), F.lit(0))))
-    return out.withColumns({"text_key": F.sha1("text"), "entities": entities, "terms": F.array_distinct(F.transform("found", F.lower))}).drop("outside", "found")
+    return out.select("text_key", "entities", F.array_distinct(F.transform("found", F.lower)).alias("terms"))
 
 
 def disclosing(held: DataFrame, threshold: float, support: int) -> DataFrame:
     """``term`` of those whose disclosure of some entity reaches the threshold, from counts over all documents."""
-    n = held.count()
+    n = held.select("entities").count()
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     # one document more than the bound, as the powers are rounded
     most = F.col("n_entity") / F.pow(F.col("n_entity") / n, F.lit(1 - threshold)) + 1
@@ -175,11 +181,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRES
     Rows are told apart by a digest of their text, so equal texts get equal spans.
     """
     texts = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    based = materialize(with_contents(with_base_spans(texts)), "pii-based")
-    held = based.select("text_key", "entities", "terms")
+    based = materialize(with_entities(with_base_spans(texts)), "pii-based", "zstd")
+    held = with_terms(based)
     telling = materialize(disclosing(held, threshold, support), "pii-telling")
     hits = held.select("text_key", F.explode("terms").alias("term")).join(telling, "term").groupBy("text_key").agg(F.collect_set("term").alias("telling"))
-    out = with_outside(based.drop("entities", "terms").join(materialize(hits, "pii-hits"), "text_key", "left"))
+    out = with_outside(based.drop("entities").join(materialize(hits, "pii-hits"), "text_key", "left"))
     hit = F.col("telling").isNotNull()
     # columns of their own, as they would else be found anew for each of their elements
     out = out.withColumn("found", F.when(hit, F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).withColumn("gaps", F.when(hit, F.split("outside", TERM, -1)))

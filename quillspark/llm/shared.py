@@ -24,15 +24,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     This cuts the lineage, survives lost executors, and forgets the partitioning, so that a later join shuffles both of
-    its sides and adaptive execution can split the skewed ones.
+    its sides and adaptive execution can split the skewed ones.  Whole texts are best packed by zstd.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
