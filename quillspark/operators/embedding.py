@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block when all are compared with all.
+BLOCK = 1024
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
@@ -24,16 +31,80 @@ def distance(a: Column, b: Column, kind: str = "euclidean") -> Column:
     return F.coalesce(same.cast("double"), value)
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int, kind: str = "euclidean", by: str = "label") -> DataFrame:
-    """``id, rank, other, d``: the k nearest rows of the same ``by`` for each query, ties to the smaller id.
+def neighbours(rows: DataFrame, queries: DataFrame, k: int, kind: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """``id, rank, other, d``: the k nearest of all other rows for each query, ties to the smaller id.
 
-    The comparison is an equi-join on ``by``; queries are a stated subset, so the work is their number times a group's size.
+    Both sides are dealt by a digest of the id into blocks of about ``block`` rows, and each pair of blocks is one group; it
+    gives k rows for each of its queries, however many it compares, and those are merged by query.
     """
-    a = queries.select("id", by, F.col("v").alias("a"))
-    b = rows.select(F.col("id").alias("other"), by, F.col("v").alias("b"))
-    pairs = a.join(b, by).where("id <> other").select("id", "other", distance(F.col("a"), F.col("b"), kind).alias("d"))
+    shelves, asks = (F.lit(max(1, math.ceil(side.count() / block))) for side in (rows, queries))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias
+    shelf = rows.select("id", "v", dealt(shelves).alias("shelf"), upto(asks)("ask"), F.lit(False).alias("asks"))
+    ask = queries.select("id", "v", upto(shelves)("shelf"), dealt(asks).alias("ask"), F.lit(True).alias("asks"))
+    kind_of_id = dict(rows.dtypes)["id"]
+
+    def nearest(group: pa.Table) -> pa.Table:
+        asking = group.column("asks").to_numpy(zero_copy_only=False)
+        ids = group.column("id").to_numpy()
+        column = group.column("v").combine_chunks()
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        there = np.flatnonzero(~asking)
+        one, other, far = [], [], []
+        for q in np.flatnonzero(asking):
+            d = apart(x[there], x[q], kind)
+            d[ids[there] == ids[q]] = np.inf
+            least = there[d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]] if len(d) else there
+            away = apart(x[least], x[q], kind)
+            order = np.lexsort((ids[least], away))[: k + 1]
+            for n in order:
+                if ids[least[n]] != ids[q]:
+                    one.append(ids[q])
+                    other.append(ids[least[n]])
+                    far.append(away[n])
+        return pa.table({"id": pa.array(one, group.schema.field("id").type), "other": pa.array(other, group.schema.field("id").type), "d": pa.array(far, pa.float64())})
+
+    found = shelf.unionByName(ask).groupBy("shelf", "ask").applyInArrow(nearest, f"id {kind_of_id}, other {kind_of_id}, d double")
     order = Window.partitionBy("id").orderBy("d", "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "d", "rank")
+
+
+def apart(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of the rows of ``x`` from ``q``, each row on its own."""
+    if kind == "manhattan":
+        return np.abs(x - q).sum(axis=1)
+    if kind == "cosine":
+        size = np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
+        return np.where(size > 0, 1 - (x * q).sum(axis=1) / np.where(size > 0, size, 1), 1.0)
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
+
+
+def stress(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``stress`` of places ``e`` against vectors ``v`` (id, v, e): root of the squared differences of all pairs' distances by the
+    squares of those of the vectors.
+
+    Pairs of blocks are groups, as for ``neighbours``; each gives its two sums only.
+    """
+    blocks = max(1, math.ceil(rows.count() / block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    pair = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
+    both = own.select("id", "v", "e", "own", pair).select("id", "v", "e", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own")
+
+    def sums(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        v, e = (group.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for c in "ve")
+        side, one = group.column("own").to_numpy(), group.column("a")[0].as_py()
+        same = group.column("b")[0].as_py() == one
+        first, second = np.flatnonzero(side == one), np.flatnonzero(side == group.column("b")[0].as_py())
+        total = wrong = 0.0
+        for q in first:
+            other = second[ids[second] > ids[q]] if same else second
+            d, f = apart(v[other], v[q], "euclidean"), apart(e[other], e[q], "euclidean")
+            total, wrong = total + float((d * d).sum()), wrong + float(((d - f) ** 2).sum())
+        return pa.table({"total": [total], "wrong": [wrong]})
+
+    parts = both.groupBy("a", "b").applyInArrow(sums, "total double, wrong double")
+    return parts.agg(F.when(F.sum("total") > 0, F.sqrt(F.sum("wrong") / F.sum("total"))).otherwise(0.0).alias("stress"))
 
 
 def fuzzy_weights(graph: DataFrame, k: int, steps: int = 64) -> DataFrame:

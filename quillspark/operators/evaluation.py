@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of a score in which running sums are taken first.
+BINS = 1024
+
 
 def shuffle_key(id_col: str, seed: int = 42) -> Column:
     """A fixed order that looks random: a digest of seed and id."""
@@ -70,13 +73,48 @@ def accuracy(predictions: DataFrame, top: tuple[int, ...] = (3, 5)) -> DataFrame
     return predictions.agg(F.avg((F.col("target") == F.col("predicted")).cast("double")).alias("accuracy"), *(F.avg((ahead < k).cast("double")).alias(f"top{k}") for k in top))
 
 
-def ranking_area(predictions: DataFrame, positive: int) -> DataFrame:
-    """Area under the ROC curve of one class against the others: counts per score, then a running sum over the scores."""
-    scores = predictions.select(F.get("p", F.lit(positive)).alias("s"), (F.col("target") == positive).cast("long").alias("y"))
-    steps = scores.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = steps.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
-    return wins.agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("area"))
+def before_in_order(steps: DataFrame, value: str, keys: list[str], score: str = "s", bins: int = BINS) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of equal ``keys`` with a smaller score, of scores in [0, 1].
+
+    Sums of bins come first, so that no key's rows are put in order in one task; a bin's rows are.
+    """
+    binned = steps.withColumn("score_bin", F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)))
+    sums = binned.groupBy(*keys, "score_bin").agg(F.sum(value).alias("of_bin"))
+    ahead = F.coalesce(F.sum("of_bin").over(Window.partitionBy(*keys).orderBy("score_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "score_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = binned.join(sums.select(*keys, "score_bin", ahead.alias("ahead")), [*keys, "score_bin"])
+    return joined.withColumn("before", F.col("ahead") + inside).drop("score_bin", "ahead")
+
+
+def ranking_areas(predictions: DataFrame) -> DataFrame:
+    """``c, support, area``: for each class with rows in and outside it, the area under its ROC curve against the others."""
+    scores = predictions.select("target", F.posexplode("p").alias("c", "s"))
+    steps = scores.groupBy("c", "s").agg(F.count_if(F.col("target") == F.col("c")).alias("pos"), F.count_if(F.col("target") != F.col("c")).alias("neg"))
+    wins = before_in_order(steps, "neg", ["c"]).withColumn("wins", F.col("pos") * (F.col("before") + F.col("neg") / 2))
+    areas = wins.groupBy("c").agg(F.sum("pos").alias("support"), F.sum("neg").alias("others"), F.sum("wins").alias("wins")).where("support > 0 and others > 0")
+    return areas.select("c", "support", (F.col("wins") / (F.col("support") * F.col("others"))).alias("area"))
+
+
+def weighted_area(areas: DataFrame, most: int = 50) -> DataFrame:
+    """The areas' mean weighted by support; null for more than ``most`` classes."""
+    return areas.agg(F.when(F.count("*") <= most, F.sum(F.col("area") * F.col("support")) / F.sum("support")).alias("area"))
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """The class scores by name, followed by their plain and weighted means."""
+    names = ("precision", "recall", "f1")
+    plain = scores.select(F.col("c").cast("string").alias("name"), *names, "support")
+    total = F.sum("support").alias("support")
+    macro = scores.agg(*(F.avg(n).alias(n) for n in names), total).select(F.lit("macro avg").alias("name"), *names, "support")
+    weighted = scores.agg(*((F.sum(F.col(n) * F.col("support")) / F.sum("support")).alias(n) for n in names), total).select(F.lit("weighted avg").alias("name"), *names, "support")
+    return plain.unionByName(macro).unionByName(weighted)
+
+
+def evaluation(predictions: DataFrame) -> DataFrame:
+    """One row on a whole test set: rows, accuracy, weighted F1, weighted area and mean confidence."""
+    own = predictions.agg(F.count("*").alias("n"), F.avg((F.col("target") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg(F.array_max("p")).alias("confidence"))
+    f1 = averages(class_scores(predictions)).select(F.col("weighted_f1"))
+    return own.crossJoin(f1).crossJoin(weighted_area(ranking_areas(predictions))).select("n", "accuracy", "weighted_f1", "area", "confidence")  # a row each
 
 
 def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:

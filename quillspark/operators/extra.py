@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.evaluation import before_in_order
 from quillspark.operators.sequence import so_far, whole, with_steps
 
 #: Fixed values of the generator x -> (9301 x + 49297) mod 233280.
@@ -26,18 +27,13 @@ def initial_place(k: Column, seed: int = SEED) -> Column:
     return (generator_value(k, seed) / MODULUS - 0.5) * 20
 
 
-def stress(pairs: DataFrame) -> DataFrame:
-    """Root of the squared differences of distances ``d`` and ``e`` by the squares of d; 0 if all are 0."""
-    total = F.sum(F.col("d") * F.col("d"))
-    return pairs.agg(F.when(total > 0, F.sqrt(F.sum((F.col("d") - F.col("e")) * (F.col("d") - F.col("e"))) / total)).otherwise(0.0).alias("stress"))
-
-
 def roc_curve(predictions: DataFrame, positive: int) -> DataFrame:
-    """Rates at each score of one class, a row per prediction; counts per score come before the running sum."""
+    """Rates at each score of one class, a row per prediction; counts per score and per bin of scores come before the sums."""
     rows = predictions.select(F.round(F.get("p", F.lit(positive)), 9).alias("s"), (F.col("target") == positive).cast("long").alias("y"))
-    steps = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").cast("int").alias("n"))
-    down, every = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    out = steps.select("s", "n", (F.sum("pos").over(down) / F.sum("pos").over(every)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(every)).alias("fpr"))
+    steps = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").cast("int").alias("n")).withColumn("one", F.lit(0))
+    ranked = before_in_order(before_in_order(steps, "pos", ["one"]).withColumnRenamed("before", "pos_before"), "neg", ["one"]).withColumnRenamed("before", "neg_before")
+    totals = steps.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    out = ranked.crossJoin(totals).select("s", "n", ((F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")).alias("tpr"), ((F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")).alias("fpr"))  # one row of totals
     return out.select("s", "tpr", "fpr", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
 
 
@@ -90,10 +86,22 @@ def density_grid(points: DataFrame, cells: int) -> DataFrame:
 
 
 def run_times(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
-    """Mean, upper median and share of runs within the limit."""
-    upper = F.floor(F.count("*") / 2) + 1
-    out = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.array_sort(F.collect_list(value)).alias("all"), upper.cast("int").alias("k"), F.avg((F.col(value) <= limit).cast("double")).alias("on_time"))
-    return out.select(by, "mean", F.element_at("all", F.col("k")).alias("median"), "on_time")
+    """Mean, upper median and share of runs within the limit.  The median is read from counts by value, not from a list."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(by).orderBy(value)
+    ranked = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col(value)))
+    out = ranked.groupBy(by).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), middle.alias("median"), (F.sum(F.when(F.col(value) <= limit, F.col("n")).otherwise(0)) / F.sum("n")).alias("on_time"))
+    return out.select(by, "mean", "median", "on_time")
+
+
+def ranked_by_id(rows: DataFrame, id_col: str, width: int = 4096) -> DataFrame:
+    """``place`` from 0 in the order of a whole-number id: rows before its range of ``width`` ids, plus its rank within it."""
+    ranged = rows.withColumn("id_range", F.floor(F.col(id_col) / width))
+    counts = ranged.groupBy("id_range").agg(F.count("*").alias("here"))
+    ahead = F.coalesce(F.sum("here").over(Window.orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    own = F.row_number().over(Window.partitionBy("id_range").orderBy(id_col)) - 1
+    return ranged.join(counts.select("id_range", ahead.alias("ahead")), "id_range").withColumn("place", F.col("ahead") + own).drop("id_range", "ahead")
 
 
 def quarter_points(points: DataFrame) -> DataFrame:

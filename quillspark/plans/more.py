@@ -28,18 +28,19 @@ def _(spark, sf_dir):
 @query("emb05_initial_places", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), g(k, x) AS (SELECT 0, 42::BIGINT UNION ALL SELECT k + 1, (x * 9301 + 49297) % 233280 FROM g, n WHERE k < 3 * n), v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings)
   SELECT vec_id, j::INT AS axis, round((x / 233280.0::DOUBLE - 0.5) * 20, 6) + 0.0 AS place FROM v, range(3) q(j), g WHERE g.k = 3 * r + j + 1""")
 def _(spark, sf_dir):
-    order = Window.orderBy("vec_id")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.row_number().over(order) - 1).cast("long").alias("r"))
+    rows = O.ranked_by_id(read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id").withColumnRenamed("place", "r")
     places = rows.select("vec_id", "r", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("axis"))
     return rounded(places.select("vec_id", "axis", O.initial_place(3 * F.col("r") + F.col("axis") + 1).alias("place")))
 
 
-@query("emb07_stress", "SELECT round(sqrt(sum(pow(d - e, 2)) / sum(d * d)), 6) AS stress FROM (SELECT sqrt(sum(pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2))) AS d, sqrt(sum(CASE WHEN j <= 3 THEN pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2) ELSE 0 END)) AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(1, 65) r(j) GROUP BY a.vec_id)")
+@query("emb07_stress", """WITH p AS (
+  SELECT sqrt(list_sum(list_transform(range(1, 65), lambda j: pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2)))) AS d,
+         sqrt(list_sum(list_transform(range(1, 4), lambda j: pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2)))) AS e
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT round(sqrt(sum(pow(d - e, 2)) / sum(d * d)), 6) AS stress FROM p""")
 def _(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    three = lambda c: F.slice(c, 1, 3)
-    return rounded(O.stress(pairs.select(M.distance(F.col("a"), F.col("b")).alias("d"), M.distance(three("a"), three("b")).alias("e"))))
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(M.stress(v.withColumn("e", F.slice("v", 1, 3))))
 
 
 @query("ev07_roc_curve", f"SELECT {R('s', 's')}, {R('sum(y) OVER w / sum(y) OVER ()', 'tpr')}, {R('sum(1-y) OVER w / sum(1-y) OVER ()', 'fpr')} FROM (SELECT p[4] AS s0, round(p[4], 9) AS s, (target = 3)::INT AS y FROM pr) WINDOW w AS (ORDER BY s DESC)", "pr")

@@ -127,9 +127,9 @@ def _(spark, sf_dir):
     return C.top_per_label(catalog_models(spark, sf_dir), "name", "validation_accuracy", 20).select("id", "name", "validation_accuracy")
 
 
-@query("snk05_export_estimate", "SELECT id, name, round((2048 + coalesce(owner, 0) * 1000) / 1024.0::DOUBLE / 1024, 3) AS mb FROM cm", "cm")
+@query("snk05_export_estimate", "SELECT id, name, round((2048 + coalesce(owner, 0)) / 1024.0::DOUBLE / 1024, 2) AS mb FROM cm", "cm")
 def _(spark, sf_dir):
-    return catalog_models(spark, sf_dir).select("id", "name", F.round((2048 + F.coalesce(F.col("owner") * 1000, F.lit(0))) / 1024 / 1024, 3).alias("mb"))
+    return catalog_models(spark, sf_dir).select("id", "name", C.export_estimate(F.col("owner")).alias("mb"))
 
 
 @query("ml01_stratified_split", "SELECT id, label, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM cs)", "cs")
@@ -171,9 +171,34 @@ def _(spark, sf_dir):
     return rounded(E.averages(E.class_scores(predictions(spark, sf_dir))))
 
 
-@query("ev06_ranking_area", f"SELECT {R('avg(CASE WHEN a.p[4] > b.p[4] THEN 1 WHEN a.p[4] = b.p[4] THEN 0.5 ELSE 0 END)', 'area')} FROM pr a, pr b WHERE a.target = 3 AND b.target <> 3", "pr")
+AREA = """SELECT c, sum(CASE WHEN b.target = c THEN 0 ELSE 1 END * CASE WHEN a.p[c + 1] > b.p[c + 1] THEN 1 WHEN a.p[c + 1] = b.p[c + 1] THEN 0.5::DOUBLE ELSE 0 END)
+  / sum(CASE WHEN b.target = c THEN 0 ELSE 1 END) AS area, count(DISTINCT a.id) AS support
+FROM pr a, pr b, range(10) r(c) WHERE a.target = c GROUP BY 1"""
+
+
+@query("ev06_ranking_areas", f"SELECT c::INT AS c, support, {R('area', 'area')} FROM ({AREA})", "pr")
+def _(spark, sf_dir):
+    return rounded(E.ranking_areas(predictions(spark, sf_dir)))
+
+
+@query("ev06_weighted_area", f"SELECT {R('sum(area * support) / sum(support)', 'area')} FROM ({AREA})", "pr")
+def _(spark, sf_dir):
+    return rounded(E.weighted_area(E.ranking_areas(predictions(spark, sf_dir))))
+
+
+@query("ev05_report", f"""WITH s AS ({SCORES})
+SELECT c::VARCHAR AS name, {R('precision', 'precision')}, {R('recall', 'recall')}, {R('f1', 'f1')}, support FROM s
+UNION ALL SELECT 'macro avg', {R('avg(precision)', 'precision')}, {R('avg(recall)', 'recall')}, {R('avg(f1)', 'f1')}, sum(support)::BIGINT FROM s
+UNION ALL SELECT 'weighted avg', {R('sum(precision * support) / sum(support)', 'precision')}, {R('sum(recall * support) / sum(support)', 'recall')}, {R('sum(f1 * support) / sum(support)', 'f1')}, sum(support)::BIGINT FROM s""", "pr")
 def _(spark, sf_dir):
-    return rounded(E.ranking_area(predictions(spark, sf_dir), 3))
+    return rounded(E.report(E.class_scores(predictions(spark, sf_dir))))
+
+
+@query("ev10_evaluation", f"""WITH s AS ({SCORES}), a AS ({AREA})
+SELECT (SELECT count(*) FROM pr) AS n, (SELECT round(avg((target = predicted)::INT), 6) FROM pr) AS accuracy, (SELECT round(sum(f1 * support) / sum(support), 6) FROM s) AS weighted_f1,
+       (SELECT round(sum(area * support) / sum(support), 6) FROM a) AS area, (SELECT round(avg(list_max(p)), 6) FROM pr) AS confidence""", "pr")
+def _(spark, sf_dir):
+    return rounded(E.evaluation(predictions(spark, sf_dir)))
 
 
 @query("ev09_calibration", f"SELECT floor(c*10)::INT AS bin, count(*) AS n, {R('avg(c)', 'confidence')}, {R('avg(r)', 'accuracy')} FROM (SELECT list_max(p) AS c, (target = predicted)::INT AS r FROM pr) WHERE c < 1 GROUP BY 1", "pr")
@@ -198,32 +223,51 @@ def _vectors(spark, sf_dir):
 
 
 DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda j: (a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE) * (a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE))))"
-KNN = f"SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS other, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 5"
+CITY = "list_sum(list_transform(range(1, 65), lambda j: abs(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE)))"
+
+
+def knn(which: str = "", dist: str = DIST) -> str:
+    """The five nearest of all other rows."""
+    return f"""SELECT * FROM (
+  SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank
+  FROM (SELECT a.vec_id AS id, b.vec_id AS other, {dist} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {which}))
+WHERE rank <= 5"""
+
+
+#: Bisection of sigma, as the operator does it.
+FUZZY = """e AS (SELECT *, min(d) OVER (PARTITION BY id) AS rho FROM knn),
+l AS (SELECT id, rho, list(d ORDER BY rank) AS ds FROM e GROUP BY 1, 2),
+s AS (
+  SELECT id, list_reduce(range(64), lambda s, j:
+    CASE WHEN s.done OR abs(list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / ((s.lo + s.hi) / 2)))) - log2(5.0::DOUBLE)) < 1e-5 THEN {lo: s.lo, hi: s.hi, done: true}
+         WHEN list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / ((s.lo + s.hi) / 2)))) > log2(5.0::DOUBLE) THEN {lo: s.lo, hi: (s.lo + s.hi) / 2, done: false}
+         ELSE {lo: (s.lo + s.hi) / 2, hi: s.hi, done: false} END,
+    {lo: 1e-10::DOUBLE, hi: 1000.0::DOUBLE, done: false}) AS b FROM l),
+f AS (SELECT e.id, other, rank, exp(-greatest(d - rho, 0) / ((b.lo + b.hi) / 2)) AS weight FROM e JOIN s ON e.id = s.id)"""
 
 
-@query("emb02_neighbours", f"SELECT id, other, {R('d', 'd')}, rank::INT AS rank FROM ({KNN})")
+@query("emb02_neighbours", f"SELECT id, other, {R('d', 'd')}, rank::INT AS rank FROM ({knn('AND a.vec_id % 50 = 0')})")
 def _(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return rounded(M.neighbours(v, v.where("id % 50 = 0"), 5))
 
 
-@query("emb03_fuzzy_weights", f"""WITH e AS (SELECT *, min(d) OVER (PARTITION BY id) AS rho FROM ({KNN})), l AS (SELECT id, rho, list(d ORDER BY rank) AS ds FROM e GROUP BY 1, 2),
-  s AS (SELECT id, list_reduce(range(64), lambda s, j: CASE WHEN s.done OR abs(list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / ((s.lo+s.hi)/2)))) - log2(5.0::DOUBLE)) < 1e-5 THEN {{lo: s.lo, hi: s.hi, done: true}} WHEN list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / ((s.lo+s.hi)/2)))) > log2(5.0::DOUBLE) THEN {{lo: s.lo, hi: (s.lo+s.hi)/2, done: false}} ELSE {{lo: (s.lo+s.hi)/2, hi: s.hi, done: false}} END, {{lo: 1e-10::DOUBLE, hi: 1000.0::DOUBLE, done: false}}) AS b FROM l)
-  SELECT e.id, other, rank::INT AS rank, round(exp(-greatest(d - rho, 0) / ((b.lo + b.hi)/2)), 4) + 0.0 AS weight FROM e JOIN s ON e.id = s.id""")
+@query("emb03_fuzzy_weights", f"WITH knn AS ({knn()}), {FUZZY} SELECT id, other, rank::INT AS rank, round(weight, 4) + 0.0 AS weight FROM f")
 def _(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    graph = M.fuzzy_weights(M.neighbours(v, v.where("id % 50 = 0"), 5), 5)
-    return rounded(graph.select("id", "other", "rank", "weight"), 4)
+    return rounded(M.fuzzy_weights(M.neighbours(v, v, 5), 5).select("id", "other", "rank", "weight"), 4)
 
 
-@query("emb08_overlap")
+@query("emb04_symmetrised", f"""WITH knn AS ({knn()}), {FUZZY},
+u AS (SELECT id, other, weight, id AS i, rank AS r, 0 AS s FROM f UNION ALL SELECT other, id, weight, id, rank, 1 FROM f)
+SELECT id, other, round(arg_min(weight, (i, r, s)), 4) + 0.0 AS weight FROM u GROUP BY 1, 2""")
 def _(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    asks = v.where("id % 50 = 0")
-    return rounded(M.overlap(M.neighbours(v, asks, 5), M.neighbours(v, asks, 5, "manhattan"), 5))
+    return rounded(M.symmetrised(M.fuzzy_weights(M.neighbours(v, v, 5), 5)), 4)
 
 
-@query("emb04_symmetrised")
+@query("emb08_overlap", f"""WITH p AS ({knn()}), q AS ({knn('', CITY)})
+SELECT round(avg(share), 6) AS overlap FROM (SELECT p.id, count(q.other) / 5.0::DOUBLE AS share FROM p LEFT JOIN q ON p.id = q.id AND p.other = q.other GROUP BY 1)""")
 def _(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return rounded(M.symmetrised(M.fuzzy_weights(M.neighbours(v, v.where("id % 50 = 0"), 5), 5)))
+    return rounded(M.overlap(M.neighbours(v, v, 5), M.neighbours(v, v, 5, "manhattan"), 5))
