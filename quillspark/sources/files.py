@@ -49,3 +49,14 @@ def write_json(df: DataFrame, path: str) -> None:
 def export_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON document; nulls are left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def convert_files(spark: SparkSession, path: str, labels: list[str] | None = None, count: int | None = None, least: float = 0.0) -> DataFrame:
+    """Image files under a folder as strokes: a sample first, if asked for, then those of the labels; one row per file with its
+    label, its strokes or its error."""
+    from quillspark.operators import images, records
+
+    files = image_files(spark, path)
+    files = sample_files(files, count) if count else files
+    chosen = records.of_labels(files, labels or []).select(F.col("path").alias("image_id"), "label", "content")
+    return images.accepted(images.converted(chosen), least).join(chosen.select("image_id", "label"), "image_id")
