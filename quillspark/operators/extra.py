@@ -66,10 +66,12 @@ def simulated_training(strokes: DataFrame, epochs: int, least: int = 10) -> Data
     return e.select("epoch", (2 * (1 - F.col("p")) + 0.1).alias("loss"), (0.5 + 0.45 * F.col("epoch") / epochs).alias("accuracy"))
 
 
-def flux(spectra: DataFrame) -> DataFrame:
-    """Rises of the power at each place from one stroke to the next, added up."""
-    w = Window.partitionBy("k").orderBy("stroke_id")
-    return spectra.withColumn("was", F.lag("power").over(w)).where("was is not null").groupBy("stroke_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("power") - F.col("was"))).alias("flux"))
+def flux(spectra: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rises of the power at each place from ``other`` to ``stroke_id``, added up, for each of the pairs of strokes: equi-joins on
+    stroke and place."""
+    was = spectra.select(F.col("stroke_id").alias("other"), "k", F.col("power").alias("was"))
+    both = pairs.join(spectra.select("stroke_id", "k", "power"), "stroke_id").join(was, ["other", "k"])
+    return both.groupBy("stroke_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("power") - F.col("was"))).alias("flux"))
 
 
 def normalised_arc(points: DataFrame, col: str = "sigma") -> DataFrame:

@@ -47,7 +47,7 @@ def resample(points: DataFrame, target: int) -> DataFrame:
     many = p.where((F.col("n") > target) & (F.col("i") >= 1)).withColumn("gap", gap)
     low = F.when(F.col("i") == 1, F.lit(0)).otherwise(F.floor(F.col("arc_a") / F.col("gap")).cast("int"))
     high = F.ceil(F.col("arc") / F.col("gap")).cast("int")
-    many = many.where("gap > 0").withColumn("k", F.explode(F.sequence(low, F.least(high, F.lit(target - 1))))).withColumn("want", F.col("k") * F.col("gap"))
+    many = many.where("gap > 0").withColumn("k", F.explode(F.sequence(low, F.least(high, F.lit(target - 1))))).withColumn("want", F.least(F.col("k") * F.col("gap"), F.col("total")))
     inside = (F.col("want") <= F.col("arc")) & ((F.col("i") == 1) | (F.col("want") > F.col("arc_a")))
     many = many.where(inside).withColumn("t", F.when(F.col("arc") > F.col("arc_a"), (F.col("want") - F.col("arc_a")) / (F.col("arc") - F.col("arc_a"))).otherwise(0.0))
     placed = many.selectExpr("stroke_id", "k", "xa + t * (x - xa) as x", "ya + t * (y - ya) as y", "ta + t * (time - ta) as time")

@@ -155,22 +155,19 @@ def robust_curvature(points: DataFrame) -> DataFrame:
 
 
 def local_polynomial(points: DataFrame) -> DataFrame:
-    """Twice the quadratic coefficient over five points, by the published sums; rows 2 to n-3."""
-    w = frame(2, 2)
-    out = points
-    center = F.col("x")
-    # sums of powers around the centre by expanding (x - c)^k over the frame
-    s = {k: F.sum(F.pow("x", F.lit(float(k)))).over(w) for k in range(1, 5)}
-    n = F.count("*").over(w).cast("double")
-    sy, sxy, sxxy = F.sum("y").over(w), F.sum(F.col("x") * F.col("y")).over(w), F.sum(F.col("x") * F.col("x") * F.col("y")).over(w)
-    out = out.withColumns({"n5": n, "p1": s[1], "p2": s[2], "p3": s[3], "p4": s[4], "sy": sy, "sxy": sxy, "sxxy": sxxy, "cx": center, "last": F.max("i").over(whole())})
-    out = out.where("i >= 2 and i <= last - 2")
-    return out.selectExpr(
-        "stroke_id", "i", "n5", "p1 - n5*cx as sx", "p2 - 2*cx*p1 + n5*cx*cx as sx2", "p3 - 3*cx*p2 + 3*cx*cx*p1 - n5*cx*cx*cx as sx3",
-        "p4 - 4*cx*p3 + 6*cx*cx*p2 - 4*cx*cx*cx*p1 + n5*cx*cx*cx*cx as sx4", "sy", "sxy - cx*sy as sxy", "sxxy - 2*cx*sxy + cx*cx*sy as sx2y",
-    ).selectExpr(
-        "stroke_id", "i", "n5*sx2*sx4 - n5*sx3*sx3 - sx*sx*sx4 + 2*sx*sx2*sx3 - sx2*sx2*sx2 as den",
-        "n5*sx2y*sx2 - n5*sxy*sx3 - sx*sx2y*sx + sx*sxy*sx2 + sx2*sy*sx3 - sx2*sy*sx2 as num",
+    """Twice the quadratic coefficient over five points, by the published sums; rows 2 to n-3.
+
+    The sums are of powers of x less that of the point itself, so that nothing large cancels.
+    """
+    near = {f"u{k}": ((before("x", -k) if k < 0 else after("x", k)) - F.col("x")) for k in (-2, -1, 1, 2)} | {f"y{k}": (before("y", -k) if k < 0 else after("y", k)) for k in (-2, -1, 1, 2)}
+    p = points.select("stroke_id", "i", "y", *(v.alias(n.replace("-", "m")) for n, v in near.items())).where("um2 is not null and u2 is not null")
+    sides = ("m2", "m1", "1", "2")
+    power = lambda k: " + ".join("*".join([f"u{s}"] * k) for s in sides)
+    with_y = lambda k: " + ".join("*".join([f"u{s}"] * k + [f"y{s}"]) for s in sides)
+    sums = p.selectExpr("stroke_id", "i", *(f"{power(k)} as b{k}" for k in (1, 2, 3, 4)), "ym2 + ym1 + y + y1 + y2 as b0y", f"{with_y(1)} as b1y", f"{with_y(2)} as b2y")
+    return sums.selectExpr(
+        "stroke_id", "i", "5*b2*b4 - 5*b3*b3 - b1*b1*b4 + 2*b1*b2*b3 - b2*b2*b2 as den",
+        "5*b2y*b2 - 5*b1y*b3 - b1*b2y*b1 + b1*b1y*b2 + b2*b0y*b3 - b2*b0y*b2 as num",
     ).selectExpr("stroke_id", "i", "case when abs(den) < 1e-10 then 0.0 else 2 * (num / den) end as c")
 
 

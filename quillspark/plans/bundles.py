@@ -17,8 +17,9 @@ INK = "ink AS (SELECT DISTINCT stroke_id AS image_id, least(floor(y*32), 31)::IN
 DRAWN = f"{INK}, img AS (SELECT vec_id AS image_id, gy::INT AS y, gx::INT AS x, floor(30 + 100 * (embedding[2*gy+1]::DOUBLE - embedding[2*gx+2]::DOUBLE + 2))::INT AS v FROM embeddings, range(32) a(gy), range(32) b(gx))"
 
 
-def _labelled(spark, sf_dir, metrics):
-    return B.consecutive(metrics.join(embedding_strokes(spark, sf_dir).select("stroke_id", "label"), "stroke_id"))
+def _next_to(metrics):
+    """Each stroke's row beside that of the stroke with the id before it."""
+    return B.paired(metrics, metrics.select("stroke_id", (F.col("stroke_id") - 1).alias("other"))).withColumnRenamed("other", "o_stroke_id")
 
 
 def _gray(spark, sf_dir):
@@ -36,7 +37,7 @@ def _(spark, sf_dir):
 
 @query("geo23_knot_similarity")
 def _(spark, sf_dir):
-    rows = _labelled(spark, sf_dir, B.knot_metrics(box(spark, sf_dir)))
+    rows = _next_to(B.knot_metrics(box(spark, sf_dir)))
     return rounded(rows.select("stroke_id", "o_stroke_id", B.knot_similarity().alias("similarity")))
 
 
@@ -47,13 +48,13 @@ def _(spark, sf_dir):
 
 @query("topo08_similarity")
 def _(spark, sf_dir):
-    rows = _labelled(spark, sf_dir, B.topology_metrics(box(spark, sf_dir)))
+    rows = _next_to(B.topology_metrics(box(spark, sf_dir)))
     return rounded(rows.select("stroke_id", "o_stroke_id", B.topology_similarity().alias("similarity")))
 
 
 @query("spc15_similarity")
 def _(spark, sf_dir):
-    rows = _labelled(spark, sf_dir, B.spectral_metrics(pts(spark, sf_dir), 32))
+    rows = _next_to(B.spectral_metrics(pts(spark, sf_dir), 32))
     return rounded(rows.select("stroke_id", "o_stroke_id", B.spectral_similarity().alias("similarity")))
 
 
@@ -65,7 +66,7 @@ def _(spark, sf_dir):
 @query("geo16_spatial_similarity")
 def _(spark, sf_dir):
     p = pts(spark, sf_dir)
-    rows = _labelled(spark, sf_dir, G.spatial_metrics(G.spatial_signature(p, _drawing(G.unit_square(p)))))
+    rows = _next_to(G.spatial_metrics(G.spatial_signature(p, _drawing(G.unit_square(p)))))
     return rounded(rows.select("stroke_id", "o_stroke_id", B.spatial_similarity().alias("similarity")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import triangulation as A
 from quillspark.operators import validation as V
-from quillspark.plans.registry import query, rounded
+from quillspark.plans.registry import over, query, rounded
 from quillspark.plans.strokes import box, pts
 from quillspark.schema import catalog_strokes, embedding_strokes, event_points, read
 from quillspark.sources.files import label_of_path, sample_files
@@ -32,16 +32,17 @@ def _(spark, sf_dir):
     return out.select("vec_id", F.element_at("r", -1).alias("last_time"), F.aggregate("r", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
-@query("val04_normalised", "SELECT stroke_id, i, greatest(0, least(1, pressure * 2 - 0.5)) AS pressure FROM evt", "evt")
+@query("val04_normalised", "SELECT stroke_id, i, CASE WHEN i % 7 = 0 THEN 0 ELSE round(x, 6) END + 0.0 AS x, CASE WHEN i % 5 = 0 THEN 0 ELSE round(coalesce(y, 0), 6) END + 0.0 AS y, round(greatest(0, least(1, pressure * 2 - 0.5)), 6) AS pressure FROM evt", "evt")
 def _(spark, sf_dir):
-    shifted = event_points(spark, sf_dir).withColumn("pressure", F.col("pressure") * 2 - 0.5)
-    return V.normalised(shifted).select("stroke_id", "i", "pressure")
+    broken = {"x": F.when(F.col("i") % 7 != 0, F.col("x")), "y": F.when(F.col("i") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("y")), "pressure": F.col("pressure") * 2 - 0.5}
+    return rounded(V.normalised(event_points(spark, sf_dir).withColumns(broken)).select("stroke_id", "i", "x", "y", "pressure"))
 
 
-@query("val06_report", "SELECT stroke_id, 'points ' || count(*) || CASE WHEN count(*) > 60 THEN '; errors 1' ELSE '' END AS report FROM evt GROUP BY 1", "evt")
+@query("val06_report", """SELECT stroke_id, 'points ' || n_points || CASE WHEN n_errors > 0 THEN '; errors ' || n_errors ELSE '' END || CASE WHEN n_warnings > 0 THEN '; warnings ' || n_warnings ELSE '' END AS report
+FROM checked""".replace("checked", over("val02_check_strokes", "evt")))
 def _(spark, sf_dir):
-    found = V.check_strokes(event_points(spark, sf_dir), most=60).withColumn("n_warnings", F.lit(0))
-    return V.report(found)
+    shifted = event_points(spark, sf_dir)
+    return V.report(V.check_strokes(shifted, most=60))
 
 
 TRIANGLES = """t0 AS (SELECT a.stroke_id, a.i AS a, b.i AS b, c.i AS c, a.x xa, a.y ya, b.x xb, b.y yb, c.x xc, c.y yc, abs((b.x-a.x)*(c.y-a.y) - (c.x-a.x)*(b.y-a.y))/2 AS area, 2*(a.x*(b.y-c.y) + b.x*(c.y-a.y) + c.x*(a.y-b.y)) AS den FROM box a JOIN box b ON a.stroke_id = b.stroke_id AND a.i < b.i JOIN box c ON a.stroke_id = c.stroke_id AND b.i < c.i),
@@ -93,9 +94,10 @@ def _(spark, sf_dir):
     return rounded(windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
-@query("gather_strokes", "SELECT vec_id AS stroke_id, label::VARCHAR AS label, 32::BIGINT AS n FROM embeddings")
+@query("gather_strokes", "SELECT vec_id AS stroke_id, label::VARCHAR AS label, list_transform(range(32), lambda k: round(embedding[2*k+1]::DOUBLE, 6) + 0.0) AS xs, list_transform(range(32), lambda k: round(embedding[2*k+2]::DOUBLE, 6) + 0.0) AS ys, list_transform(range(32), lambda k: 10.0::DOUBLE * k) AS times FROM embeddings")
 def _(spark, sf_dir):
     from quillspark.schema import to_long, to_nested
 
     back = to_nested(to_long(embedding_strokes(spark, sf_dir), "stroke_id"))
-    return back.select("stroke_id", "label", F.size("points").cast("long").alias("n"))
+    listed = lambda c: F.transform("points", lambda p: p[c])
+    return rounded(back.select("stroke_id", "label", listed("x").alias("xs"), listed("y").alias("ys"), listed("time").alias("times")))

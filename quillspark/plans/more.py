@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import embedding as M
 from quillspark.operators import evaluation as E
 from quillspark.operators import extra as O
+from quillspark.operators import homology as H
 from quillspark.operators import sequence as S
 from quillspark.operators import spectral as X
 from quillspark.operators import topology as T
@@ -76,7 +77,9 @@ def _(spark, sf_dir):
 
 @query("spc06_flux", f"SELECT stroke_id, {R('sum(greatest(0, power - lp))', 'flux')} FROM (SELECT *, lag(power) OVER (PARTITION BY k ORDER BY stroke_id) AS lp FROM psd) WHERE lp IS NOT NULL GROUP BY 1", "psd")
 def _(spark, sf_dir):
-    return rounded(O.flux(X.spectrum(X.tangent_signal(pts(spark, sf_dir)))))
+    spectra = X.spectrum(X.tangent_signal(pts(spark, sf_dir)))
+    pairs = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stroke_id"), (F.col("vec_id") - 1).alias("other"))
+    return rounded(O.flux(spectra, pairs))
 
 
 @query("win24_normalised_affine_arc", f"WITH a AS (SELECT stroke_id, i, sum(coalesce(pow(abs((pdx/m)*((dy-pdy)/(m*m)) - ((dx-pdx)/(m*m))*(pdy/m)), 1/3.0::DOUBLE)*m, 0)) OVER (PARTITION BY stroke_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, lag(dx) OVER w AS pdx, lag(dy) OVER w AS pdy, (greatest(dt,1) + greatest(lag(dt) OVER w,1))/2 AS m FROM stp WINDOW w AS (PARTITION BY stroke_id ORDER BY i))) SELECT stroke_id, i, {R('CASE WHEN max(s) OVER (PARTITION BY stroke_id) = 0 THEN 0 ELSE s / max(s) OVER (PARTITION BY stroke_id) END', 'sigma')} FROM a", "stp")
@@ -107,6 +110,4 @@ def _(spark, sf_dir):
 
 @query("topo_persistence_summary")
 def _(spark, sf_dir):
-    merged = T.merge_distances(box(spark, sf_dir))
-    rows = merged.select("stroke_id", F.explode("deaths").alias("persistence"), F.lit(0).alias("dimension"), F.lit(False).alias("is_infinite"))
-    return rounded(T.persistence_summary(rows))
+    return rounded(T.persistence_summary(H.intervals(box(spark, sf_dir))))

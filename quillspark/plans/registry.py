@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,13 @@ def over(name: str, points: str) -> str:
     return f"({sql_form(*BODIES[name], points)})"
 
 
+def unrounded(name: str, points: str) -> str:
+    """The same without its roundings, for forms that go on from it."""
+    body, uses = BODIES[name]
+    plain = re.sub(r"round\(([^\n]*?), \d\) \+ 0\.0 AS", r"(\1) AS", body)
+    return f"({sql_form(plain, uses, points)})"
+
+
 def query(name: str, sql: str | None = None, uses: str = "", points: str = "pts") -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f

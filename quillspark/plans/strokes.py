@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import features as W
 from quillspark.operators import geometry as G
 from quillspark.operators import pairs as P
 from quillspark.operators import sequence as S
@@ -61,19 +62,17 @@ def _(spark, sf_dir):
     return rounded(S.robust_curvature(pts(spark, sf_dir)).select("stroke_id", "k", "c"))
 
 
-@query("win11_local_polynomial", """SELECT stroke_id, i, round(CASE WHEN abs(den) < 1e-10 THEN 0 ELSE 2 * (num / den) END, 3) + 0.0 AS c FROM (
+@query("win11_local_polynomial", """SELECT stroke_id, i, round(c / (1 + abs(c)), 6) + 0.0 AS c FROM (
+  SELECT stroke_id, i, CASE WHEN abs(den) < 1e-10 THEN 0 ELSE 2 * (num / den) END AS c FROM (
   SELECT stroke_id, i, 5*b2*b4 - 5*b3*b3 - b1*b1*b4 + 2*b1*b2*b3 - b2*b2*b2 AS den, 5*b2y*b2 - 5*b1y*b3 - b1*b2y*b1 + b1*b1y*b2 + b2*b0y*b3 - b2*b0y*b2 AS num FROM (
-  SELECT a.stroke_id, a.i, sum(b.x-a.x) AS b1, sum(pow(b.x-a.x,2)) AS b2, sum(pow(b.x-a.x,3)) AS b3, sum(pow(b.x-a.x,4)) AS b4, sum(b.y) AS b0y, sum((b.x-a.x)*b.y) AS b1y, sum(pow(b.x-a.x,2)*b.y) AS b2y
-  FROM box a JOIN box b ON a.stroke_id = b.stroke_id AND abs(a.i-b.i) <= 2 WHERE a.i BETWEEN 2 AND 29 GROUP BY 1, 2)) WHERE abs(den) > 1e-6""", "box")
+  SELECT stroke_id, i, p2+p1+n1+n2 AS b1, p2*p2+p1*p1+n1*n1+n2*n2 AS b2, p2*p2*p2+p1*p1*p1+n1*n1*n1+n2*n2*n2 AS b3, p2*p2*p2*p2+p1*p1*p1*p1+n1*n1*n1*n1+n2*n2*n2*n2 AS b4,
+         yp2+yp1+y+yn1+yn2 AS b0y, p2*yp2+p1*yp1+n1*yn1+n2*yn2 AS b1y, p2*p2*yp2+p1*p1*yp1+n1*n1*yn1+n2*n2*yn2 AS b2y FROM (
+  SELECT stroke_id, i, y, lag(x,2) OVER w - x AS p2, lag(x) OVER w - x AS p1, lead(x) OVER w - x AS n1, lead(x,2) OVER w - x AS n2, lag(y,2) OVER w AS yp2, lag(y) OVER w AS yp1, lead(y) OVER w AS yn1, lead(y,2) OVER w AS yn2
+  FROM box WINDOW w AS (PARTITION BY stroke_id ORDER BY i)) WHERE p2 IS NOT NULL AND n2 IS NOT NULL)))""", "box")
 def _(spark, sf_dir):
-    # the coefficient is compared where its determinant is not close to 0, to three places: the sums are formed differently
-    p = box(spark, sf_dir)
-    d = S.local_polynomial(p)
-    near = p.select("stroke_id", F.col("i").alias("j"), F.col("x").alias("xb"))
-    u = F.col("xb") - F.col("x")
-    dens = p.join(near, "stroke_id").where("abs(i - j) <= 2 and i between 2 and 29").groupBy("stroke_id", "i").agg(*(F.sum(F.pow(u, F.lit(float(k)))).alias(f"b{k}") for k in range(1, 5)))
-    dens = dens.selectExpr("stroke_id", "i", "5*b2*b4 - 5*b3*b3 - b1*b1*b4 + 2*b1*b2*b3 - b2*b2*b2 as den").where("abs(den) > 1e-6")
-    return rounded(d.join(dens.select("stroke_id", "i"), ["stroke_id", "i"], "left_semi"), 3)
+    # brought into (-1, 1), as small determinants give very large values
+    found = S.local_polynomial(box(spark, sf_dir))
+    return rounded(found.select("stroke_id", "i", (F.col("c") / (1 + F.abs("c"))).alias("c")))
 
 
 INFLECTIONS = """SELECT stroke_id, k + 1 AS point, round(abs(nc - pc), 6) + 0.0 AS change, round(spread, 6) + 0.0 AS complexity, round((f1 + f3 + f5)/3.0::DOUBLE, 6) + 0.0 AS stability FROM (
@@ -155,10 +154,10 @@ def _(spark, sf_dir):
 
 @query("geo05_resample", f"""WITH l AS (SELECT *, sum(coalesce(ds, 0)) OVER (PARTITION BY stroke_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS arc FROM stp),
   m AS (SELECT *, max(arc) OVER (PARTITION BY stroke_id) AS total, lag(arc) OVER w AS aa, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lag(time) OVER w AS ta FROM l WINDOW w AS (PARTITION BY stroke_id ORDER BY i)),
-  c AS (SELECT *, k * (total/15) AS want, row_number() OVER (PARTITION BY stroke_id, k ORDER BY i) AS rn FROM m, range(16) r(k) WHERE i >= 1 AND arc >= k * (total/15))
-  SELECT stroke_id, k::INT AS k, {R('xa + t*(x-xa)', 'x')}, {R('ya + t*(y-ya)', 'y')} FROM (SELECT *, CASE WHEN arc > aa THEN (want-aa)/(arc-aa) ELSE 0 END AS t FROM c WHERE rn = 1 AND k < 15)""", "stp")
+  c AS (SELECT *, least(k * (total/15), total) AS want, row_number() OVER (PARTITION BY stroke_id, k ORDER BY i) AS rn FROM m, range(16) r(k) WHERE i >= 1 AND arc >= least(k * (total/15), total))
+  SELECT stroke_id, k::INT AS k, {R('xa + t*(x-xa)', 'x')}, {R('ya + t*(y-ya)', 'y')} FROM (SELECT *, CASE WHEN arc > aa THEN (want-aa)/(arc-aa) ELSE 0 END AS t FROM c WHERE rn = 1)""", "stp")
 def _(spark, sf_dir):
-    return rounded(G.resample(pts(spark, sf_dir), 16).where("k < 15").select("stroke_id", "k", "x", "y"))
+    return rounded(G.resample(pts(spark, sf_dir), 16).select("stroke_id", "k", "x", "y"))
 
 
 @query("geo08_symmetry", f"SELECT stroke_id, {R('avg(exp(-10*d))', 'symmetry')} FROM (SELECT a.stroke_id, a.i, min(sqrt((b.x-(1-a.x))*(b.x-(1-a.x)) + (b.y-a.y)*(b.y-a.y))) AS d FROM box a JOIN box b ON a.stroke_id = b.stroke_id GROUP BY 1, 2) GROUP BY 1", "box")
@@ -210,25 +209,28 @@ def _(spark, sf_dir):
     return rounded(G.spatial_metrics(signature))
 
 
-@query("sig_levels", f"""SELECT stroke_id, {', '.join([R('max_by(x, i) - min_by(x, i)', 's_x'), R('max_by(y, i) - min_by(y, i)', 's_y')] + [R(f'sum(({a}1+{a})*0.5*d{b})', f's_{a}{b}') for a in 'xy' for b in 'xy'] + [R(f'sum(({a}2+{a}1+{a})/3*d{b}1*d{c})', f's_{a}{b}{c}') for a in 'xy' for b in 'xy' for c in 'xy'] + [R('sqrt(sum(ds*ds))', 'variation'), R("sum((x3+x2+x1+x)/4*dx2*dx1*dx)", "s4_0"), R("sum((y3+y2+y1+y)/4*dx2*dy1*dy)", "s4_6"), R("sum(CASE WHEN x3 IS NOT NULL THEN abs(dx2*dy1-dy2*dx1) END)", "s4_14"), R("sum(CASE WHEN x3 IS NOT NULL THEN sqrt(dx2*dx2+dy2*dy2)*sqrt(dx1*dx1+dy1*dy1) END)", "s4_15")])} FROM (
+#: The sixteen sums of the fourth level: ten words of the mean place and the last three steps, and six others.
+MEAN = {c: f"(({c}3 + {c}2 + {c}1 + {c}) / 4)" for c in "xy"}
+WORDS = ("xxxx", "xxxy", "xxyx", "xyxx", "yxxx", "xyyy", "yxyy", "yyxy", "yyyx", "yyyy")
+OTHERS = (
+    f"{MEAN['x']} * {MEAN['x']} * dx2 * dy2", f"{MEAN['y']} * {MEAN['y']} * dx2 * dy2", f"{MEAN['x']} * {MEAN['y']} * dx2 * dx1", f"{MEAN['x']} * {MEAN['y']} * dy2 * dy1",
+    "CASE WHEN x3 IS NOT NULL THEN abs(dx2 * dy1 - dy2 * dx1) END", "CASE WHEN x3 IS NOT NULL THEN sqrt(dx2 * dx2 + dy2 * dy2) * sqrt(dx1 * dx1 + dy1 * dy1) END",
+)
+LEVEL4 = [R(f"sum({term})", f"s4_{k}") for k, term in enumerate([*(f"{MEAN[w[0]]} * d{w[1]}2 * d{w[2]}1 * d{w[3]}" for w in WORDS), *OTHERS])]
+
+
+@query("sig_levels", f"""SELECT stroke_id, {', '.join([R('max_by(x, i) - min_by(x, i)', 's_x'), R('max_by(y, i) - min_by(y, i)', 's_y')] + [R(f'sum(({a}1+{a})*0.5*d{b})', f's_{a}{b}') for a in 'xy' for b in 'xy'] + [R(f'sum(({a}2+{a}1+{a})/3*d{b}1*d{c})', f's_{a}{b}{c}') for a in 'xy' for b in 'xy' for c in 'xy'] + [R('sqrt(sum(ds*ds))', 'variation')] + LEVEL4)} FROM (
   SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1, lag(x,2) OVER w AS x2, lag(y,2) OVER w AS y2, lag(x,3) OVER w AS x3, lag(y,3) OVER w AS y3, lag(dx) OVER w AS dx1, lag(dy) OVER w AS dy1, lag(dx,2) OVER w AS dx2, lag(dy,2) OVER w AS dy2 FROM (SELECT *, sqrt(dx*dx+dy*dy) AS ds FROM (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM (
   SELECT stroke_id, i, (x - avg(x) OVER s)/sum(coalesce(ds,0)) OVER s AS x, (y - avg(y) OVER s)/sum(coalesce(ds,0)) OVER s AS y FROM stp WINDOW s AS (PARTITION BY stroke_id)) WINDOW w AS (PARTITION BY stroke_id ORDER BY i))) WINDOW w AS (PARTITION BY stroke_id ORDER BY i)) GROUP BY 1""", "stp")
 def path_signature(spark, sf_dir):
-    found = Z.levels(Z.normalised(pts(spark, sf_dir)))
-    keep = [c for c in found.columns if not c.startswith("s4_")] + ["s4_0", "s4_6", "s4_14", "s4_15"]
-    return rounded(found.select(*keep))
+    return rounded(Z.levels(Z.normalised(pts(spark, sf_dir))))
 
 
 @query("sig_compare")
 def _(spark, sf_dir):
-    """Log signatures of consecutive strokes of one label compared."""
-    from pyspark.sql import Window
-
-    strokes = embedding_strokes(spark, sf_dir).select("stroke_id", "label")
-    logs = Z.log_signature(Z.levels(Z.normalised(pts(spark, sf_dir)))).select("stroke_id", "log_signature").join(strokes, "stroke_id")
-    w = Window.partitionBy("label").orderBy("stroke_id")
-    pairs = logs.select("stroke_id", F.col("log_signature").alias("log_a"), F.lag("log_signature").over(w).alias("log_b"), F.lag("stroke_id").over(w).alias("other")).where("other is not null")
-    return rounded(Z.compare(pairs).select("stroke_id", "other", "similarity"))
+    logs = Z.log_signature(Z.levels(Z.normalised(pts(spark, sf_dir)))).select("stroke_id", F.col("log_signature").alias("log"))
+    both = W.paired(logs, logs.select("stroke_id", (F.col("stroke_id") - 1).alias("other")))
+    return rounded(Z.compare(both.select("stroke_id", "other", F.col("log").alias("log_a"), F.col("o_log").alias("log_b"))).select("stroke_id", "other", "similarity"))
 
 
 @query("jn03_rips_edges", f"SELECT stroke_id, a, b, {R('d', 'd')} FROM pairs WHERE d <= 0.1", "pairs", "box")
@@ -236,15 +238,17 @@ def _(spark, sf_dir):
     return rounded(P.rips_edges(box(spark, sf_dir), 0.1))
 
 
-@query("jn04_rips_triangles", "WITH e AS (SELECT * FROM pairs WHERE d <= 0.2) SELECT p.stroke_id, p.a, p.b, q.b AS c FROM e p JOIN e q ON p.stroke_id = q.stroke_id AND p.b = q.a JOIN e r ON r.stroke_id = p.stroke_id AND r.a = p.a AND r.b = q.b", "pairs", "box")
+@query("jn04_rips_triangles", """SELECT stroke_id, a, b, c FROM (
+  SELECT stroke_id, a, unnest(list_filter(bs, lambda p: len(list_filter(bs, lambda q: q > p)) > 0)) AS b, bs FROM (SELECT stroke_id, a, list(b) AS bs FROM pairs WHERE d <= 0.2 GROUP BY 1, 2)) t
+  JOIN (SELECT stroke_id, a AS b, b AS c FROM pairs WHERE d <= 0.2) e USING (stroke_id, b) WHERE list_contains(bs, c)""", "pairs", "box")
 def _(spark, sf_dir):
     return P.rips_triangles(P.rips_edges(box(spark, sf_dir), 0.2))
 
 
-@query("jn13_loop_signature", f"SELECT s.stroke_id, coalesce(n, 0)::BIGINT AS n_loops, {R('coalesce(l, 0)', 'longest')} FROM strokes s LEFT JOIN (SELECT stroke_id, count(*) AS n, max(b-a)/32.0::DOUBLE AS l FROM pairs WHERE b - a > 2 AND d < 0.1 GROUP BY 1) q ON s.stroke_id = q.stroke_id", "strokes pairs", "box")
+@query("jn13_loop_signature", """SELECT s.stroke_id, coalesce(l, []::DOUBLE[]) AS loops FROM strokes s LEFT JOIN (
+  SELECT stroke_id, list_reverse_sort(list(round((b - a) / 32.0::DOUBLE, 6))) AS l FROM pairs WHERE b - a > 2 AND d < 0.1 GROUP BY 1) q ON s.stroke_id = q.stroke_id""", "strokes pairs", "box")
 def _(spark, sf_dir):
-    loops = P.loop_signature(box(spark, sf_dir))
-    return rounded(loops.select("stroke_id", F.size("loops").cast("long").alias("n_loops"), F.coalesce(F.get("loops", F.lit(0)), F.lit(0.0)).alias("longest")))
+    return rounded(P.loop_signature(box(spark, sf_dir)))
 
 
 CROSS = """SELECT stroke_id, s, t, px + al*vx AS cx, py + al*vy AS cy, CASE WHEN den > 0 THEN 1 ELSE -1 END AS sign, acos(greatest(-1, least(1, (vx*ux+vy*uy)/(sqrt(vx*vx+vy*vy)*sqrt(ux*ux+uy*uy))))) AS angle FROM (SELECT *, ((qx-px)*uy-(qy-py)*ux)/den AS al, ((qx-px)*vy-(qy-py)*vx)/den AS ac FROM (SELECT *, vx*uy-vy*ux AS den FROM sp) WHERE abs(den) >= 1e-10) WHERE al BETWEEN 0 AND 1 AND ac BETWEEN 0 AND 1"""
