@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import geometry, pairs, sequence, signature, spectral, topology
+from quillspark.operators import geometry, pairs, sequence, signature, spectral
 
 
 def signature_features(levels: DataFrame) -> DataFrame:
@@ -32,13 +32,6 @@ def knot_features(metrics: DataFrame) -> DataFrame:
     return metrics.select("stroke_id", F.array("writhe", "winding", "total_turning", "linking", "entropy", "chirality", n, n, p, n - p, F.col("mean_angle").cast("double"), 2 * p - n).alias("features"))
 
 
-def topology_metrics(points: DataFrame, eps: float = 0.1) -> DataFrame:
-    merged = topology.merge_distances(points)
-    gone = F.filter("deaths", lambda d: d > 1e-10)
-    deaths = merged.select("stroke_id", F.coalesce(F.array_max(gone), F.lit(0.0)).alias("largest"), F.size(gone).alias("n_finite"))
-    return topology.betti_zero(merged, eps).join(deaths, "stroke_id").join(pairs.loop_signature(points, eps), "stroke_id")
-
-
 def spectral_metrics(points: DataFrame, size: int) -> DataFrame:
     """Moments, entropy of the wavelet levels, dominant frequencies and cepstral coefficients; ``size`` is the spectrum's."""
     signal = spectral.tangent_signal(points)
@@ -69,11 +62,12 @@ def knot_similarity() -> Column:
 
 
 def topology_similarity() -> Column:
-    """The weighted differences of the Betti numbers are added before the sign is dropped; b1 and b2 are 0 here."""
+    """Of rows beside each other: the weighted differences of the Betti numbers are added before the sign is dropped."""
     loops = F.greatest(F.size("loops"), F.size("o_loops"))
     zero = lambda v: F.coalesce(v, F.lit(0.0))
     differ = F.aggregate(F.zip_with("loops", "o_loops", lambda a, b: F.abs(zero(a) - zero(b))), F.lit(0.0), lambda s, v: s + v)
-    return 0.4 * (1 - _apart("b0") / 10) + 0.3 * (1 - _apart("complexity") / (F.greatest("complexity", "o_complexity") + 1)) + 0.3 * F.when(loops > 0, 1 - differ / loops).otherwise(1.0)
+    differing = sum(((F.col(f"b{k}") - F.col(f"o_b{k}")) * (k + 1) for k in range(3)), F.lit(0))
+    return 0.4 * (1 - F.abs(differing) / 10) + 0.3 * (1 - _apart("complexity") / (F.greatest("complexity", "o_complexity") + 1)) + 0.3 * F.when(loops > 0, 1 - differ / loops).otherwise(1.0)
 
 
 def spectral_similarity() -> Column:

@@ -71,9 +71,11 @@ def moments(found: DataFrame, roll: float = 0.85) -> DataFrame:
 
 
 def dominant(found: DataFrame, count: int = 5) -> DataFrame:
-    """The ``count`` largest strict local maxima over .01 of the power: ``stroke_id, place, frequency``."""
+    """The ``count`` largest strict local maxima over .01 of the power: ``stroke_id, place, frequency``.
+
+    A real signal's spectrum mirrors itself up to the last bits, so powers are compared to nine places, the lower one first."""
     p = found.withColumns({"low": F.lag("power").over(by_k()), "high": F.lead("power").over(by_k())}).where("power > low and power > high and power > 0.01")
-    order = Window.partitionBy("stroke_id").orderBy(F.col("power").desc(), "k")
+    order = Window.partitionBy("stroke_id").orderBy(F.round("power", 9).desc(), "k")
     return p.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select("stroke_id", "place", (F.col("k") / F.col("n")).alias("frequency"))
 
 

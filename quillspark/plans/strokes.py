@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import features as W
 from quillspark.operators import geometry as G
 from quillspark.operators import pairs as P
 from quillspark.operators import sequence as S
@@ -202,13 +201,6 @@ def _(spark, sf_dir):
     return rounded(_drawing(box(spark, sf_dir)))
 
 
-@query("geo15_spatial_signature")
-def _(spark, sf_dir):
-    p = pts(spark, sf_dir)
-    signature = G.spatial_signature(p, _drawing(G.unit_square(p)))
-    return rounded(G.spatial_metrics(signature))
-
-
 #: The sixteen sums of the fourth level: ten words of the mean place and the last three steps, and six others.
 MEAN = {c: f"(({c}3 + {c}2 + {c}1 + {c}) / 4)" for c in "xy"}
 WORDS = ("xxxx", "xxxy", "xxyx", "xyxx", "yxxx", "xyyy", "yxyy", "yyxy", "yyyx", "yyyy")
@@ -226,13 +218,6 @@ def path_signature(spark, sf_dir):
     return rounded(Z.levels(Z.normalised(pts(spark, sf_dir))))
 
 
-@query("sig_compare")
-def _(spark, sf_dir):
-    logs = Z.log_signature(Z.levels(Z.normalised(pts(spark, sf_dir)))).select("stroke_id", F.col("log_signature").alias("log"))
-    both = W.paired(logs, logs.select("stroke_id", (F.col("stroke_id") - 1).alias("other")))
-    return rounded(Z.compare(both.select("stroke_id", "other", F.col("log").alias("log_a"), F.col("o_log").alias("log_b"))).select("stroke_id", "other", "similarity"))
-
-
 @query("jn03_rips_edges", f"SELECT stroke_id, a, b, {R('d', 'd')} FROM pairs WHERE d <= 0.1", "pairs", "box")
 def _(spark, sf_dir):
     return rounded(P.rips_edges(box(spark, sf_dir), 0.1))
@@ -321,22 +306,7 @@ def _(spark, sf_dir):
     return rounded(X.haar(X.tangent_signal(pts(spark, sf_dir))))
 
 
-@query("spc10_wavelet_entropy")
-def _(spark, sf_dir):
-    return rounded(X.wavelet_entropy(X.haar(X.tangent_signal(pts(spark, sf_dir)))))
-
-
 @query("spc08_dominant", f"SELECT stroke_id, place::INT AS place, {R('k/32.0::DOUBLE', 'frequency')} FROM (SELECT *, row_number() OVER (PARTITION BY stroke_id ORDER BY round(power, 9) DESC, k) AS place FROM (SELECT *, lag(power) OVER w AS lo, lead(power) OVER w AS hi FROM psd WINDOW w AS (PARTITION BY stroke_id ORDER BY k)) WHERE power > lo AND power > hi AND power > 0.01) WHERE place <= 5", "psd")
 def _(spark, sf_dir):
     found = X.spectrum(X.tangent_signal(pts(spark, sf_dir))).withColumn("power", F.round("power", 9))
     return rounded(X.dominant(found))
-
-
-@query("spc11_mfcc")
-def _(spark, sf_dir):
-    return rounded(X.mfcc(X.spectrum(X.tangent_signal(pts(spark, sf_dir))), 32))
-
-
-@query("win25_affine_metrics")
-def _(spark, sf_dir):
-    return rounded(S.affine_metrics(pts(spark, sf_dir)))
