@@ -182,7 +182,7 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int, width: int) -> D
             exact = unit(_matrix(right.column("v")))
             for query_id, q in zip(right.column("query_id").to_pylist(), exact):
                 found = np.array(graph.search(q.astype(np.float32), max(width, nearest + 1)))
-                scores = x[found] @ q
+                scores = (x[found] * q).sum(axis=1)  # row by row, so that equal vectors score alike
                 best = sorted((-s, v) for s, k in zip(scores.tolist(), found.tolist()) for v in row["ids"][k] if v != query_id)
                 out += [(query_id, v, -s) for s, v in best[:nearest]]
         columns = zip(*out) if out else ((), (), ())

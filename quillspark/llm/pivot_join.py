@@ -3,9 +3,9 @@
 On unit vectors cosine >= c means a Euclidean distance of at most r = sqrt(2 - 2c).  Equal vectors of one label form a class
 with one representative.  Pivots, chosen from the representatives by their hash, cut each label's space: a vector's home is
 the cell of its nearest pivot.  By the triangle inequality a vector within r of x can only have its home at pivot p if
-d(x, p) - d(x, home) <= 2r, and its distance to every pivot differs from x's by at most r; x is copied to the cells that
-the first test leaves, and there compared with the residents that the second leaves.  Cells are joined independently,
-in blocks of bounded size.  The cosine itself decides, in double precision on the original vectors.
+d(x, p) - d(x, home) <= 2r; x is copied to the cells that this test leaves.  Cells are joined independently, in blocks of
+bounded size, all of a block's pairs by one product of matrices.  The cosine itself decides, in double precision on the original
+vectors.  A block gives the number of links of each of its vectors and a spanning forest of them, not the links themselves.
 """
 
 from __future__ import annotations
@@ -44,6 +44,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ids that join what the matrix links, one fewer than the ids of each component."""
+    a, b = [], []
+    row_left, column_left = linked.any(axis=1), linked.any(axis=0)
+    while row_left.any():
+        ahead = [(True, int(row_left.argmax()))]
+        row_left[ahead[0][1]] = False
+        while ahead:
+            is_row, at = ahead.pop()
+            own, left = (linked[at], column_left) if is_row else (linked[:, at], row_left)
+            new = np.flatnonzero(own & left)
+            left[new] = False
+            a += [rows[at] if is_row else columns[at]] * len(new)
+            b += (columns if is_row else rows)[new].tolist()
+            ahead += [(not is_row, k) for k in new.tolist()]
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return a[a != b], b[a != b]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
@@ -59,8 +78,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     classes = materialize(classes.select(F.col("first.id").alias("id"), F.col("first.space").alias("space"), F.col("first.v").alias("v"), "n", "class_key"), "pivot-classes")
     links = materialize(_links(classes, cosine), "pivot-links")
 
-    counts = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m"))).groupBy("id").agg(F.sum("m").alias("m"))
-    components = connected_components(links.select("a", "b"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("m").alias("m"))
+    components = connected_components(links.where("b is not null").select("a", "b"))
     of_class = classes.join(counts, "id", "left").join(components, "id", "left")
     of_class = materialize(of_class.select("class_key", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "pivot-of-class")
     found = keyed.select("id", "class_key").join(of_class, "class_key").select("id", "n_links", "component_id")
@@ -71,7 +90,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
 
 
 def _links(classes: DataFrame, cosine: float) -> DataFrame:
-    """``a, b, na, nb``: each pair of linked representatives once, with the sizes of their classes."""
+    """Of each pair of blocks, rows ``a, m``: how many vectors in it link with a's class, each link counted once in all; and rows
+    ``a, b``: a spanning forest of the links."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     sizes = classes.groupBy("space").agg(F.count("*").alias("size"))
     sizes = materialize(sizes.select("space", F.least(F.greatest(F.round(F.col("size") / CELL), F.lit(1)), F.lit(MOST_PIVOTS)).cast("int").alias("pivots"), "size"), "pivot-sizes")
@@ -111,15 +131,18 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
         x = unit(_matrix(rows.column("v")))
         r, g = np.flatnonzero(resident), np.flatnonzero(~resident)
         if not len(r) or not len(g):
-            i = j = np.empty(0, np.int64)
-        else:
-            i, j = np.nonzero(x[r] @ x[g].T >= cosine - 1e-9)
-            i, j = r[i], g[j]
-            # a pair at home in one cell is met twice, one across cells once in either's cell: the smaller id's side counts
-            once = ids[i] < ids[j]
-            i, j = i[once], j[once]
-            exact = np.einsum("kd,kd->k", x[i], x[j]) >= cosine
-            i, j = i[exact], j[exact]
-        return pa.table({"a": ids[i], "b": ids[j], "na": n[i], "nb": n[j]})
-
-    return residents.unionByName(guests).groupBy("space", "cell", "r", "g").applyInArrow(compare, "a long, b long, na long, nb long")
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "m": pa.array([], pa.int64())})
+        linked = x[r] @ x[g].T >= cosine - 1e-9
+        i, j = np.nonzero(linked)
+        exact = np.einsum("kd,kd->k", x[r[i]], x[g[j]]) >= cosine
+        linked[i[~exact], j[~exact]] = False
+        # a pair at home in one cell is met twice, one across cells once in either's cell: the smaller id's side counts
+        once = linked & (ids[r][:, None] < ids[g][None, :])
+        met = np.r_[once @ n[g], n[r] @ once]
+        who = np.r_[ids[r], ids[g]]
+        a, b = forest(linked, ids[r], ids[g])
+        some = met > 0
+        none, zero = np.zeros(some.sum(), np.int64), np.zeros(len(a), np.int64)
+        return pa.table({"a": np.r_[who[some], a], "b": pa.array(np.r_[none, b], mask=np.r_[np.ones(len(none), bool), np.zeros(len(b), bool)]), "m": np.r_[met[some], zero]})
+
+    return residents.unionByName(guests).groupBy("space", "cell", "r", "g").applyInArrow(compare, "a long, b long, m long")

@@ -398,6 +398,49 @@ def test_pivot_join_equals_brute_force(spark, monkeypatch):
     assert pivot_join.near_vectors(df.where("false")).count() == 0
 
 
+def test_pivot_forest_joins_what_is_linked():
+    rng = np.random.default_rng(4)
+    for density in (0.0, 0.02, 0.2, 1.0):
+        linked = rng.random((40, 50)) < density
+        rows, columns = np.arange(40), np.arange(30, 80)  # ten ids are on both sides
+        a, b = pivot_join.forest(linked, rows, columns)
+        parent = list(range(80))
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        def pieces(pairs):
+            for k in range(80):
+                parent[k] = k
+            for x, y in pairs:
+                parent[max(root(x), root(y))] = min(root(x), root(y))
+            return [root(k) for k in range(80)]
+
+        every = [(int(rows[i]), int(columns[j])) for i, j in zip(*np.nonzero(linked))]
+        assert pieces(list(zip(a.tolist(), b.tolist()))) == pieces(every) and len(a) <= 90
+
+
+def test_hnsw_recall_at_production_size(spark):
+    """All embeddings of the largest test table, with the query's own parameters, against all pairs."""
+    folder = "/root/testdata/sf0.1"
+    data = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data], float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    found = {}
+    for r in queries.op6_hnsw(spark, folder).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        score = (x * x[k]).sum(axis=1)
+        score[k] = -2
+        best = ids[np.lexsort((ids, -score))[:5]]
+        mine = [v for _, v, _ in sorted(found[ids[k]])]
+        hits, total = hits + len(set(best.tolist()) & set(mine)), total + 5
+    assert hits / total >= 0.97
+
+
 # -- 7 mixing
 
 
