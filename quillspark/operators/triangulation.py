@@ -1,25 +1,84 @@
 """Alpha shapes: Delaunay triangles by the empty-circle rule, and what follows from their circumradii.
 
-Triples come from the edges of a stroke's points joined on shared vertices; a stroke has a bounded number of points.
+The triangles of a stroke grow from edges: each edge, on each of its sides, is completed by the point whose circle is empty.
+That is a procedure on one stroke's points, in an Arrow function: its work is the number of edges times that of points.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Triangles of no more area are none; a circle is empty if no point is further inside than this.
+LEAST_AREA, SLACK = 1e-10, 1e-10
+
+
+def circle(x: np.ndarray, y: np.ndarray, a, b, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre and radius of the circle through three points."""
+    den = 2 * (x[a] * (y[b] - y[c]) + x[b] * (y[c] - y[a]) + x[c] * (y[a] - y[b]))
+    qa, qb, qc = (x[k] * x[k] + y[k] * y[k] for k in (a, b, c))
+    cx = (qa * (y[b] - y[c]) + qb * (y[c] - y[a]) + qc * (y[a] - y[b])) / den
+    cy = (qa * (x[c] - x[b]) + qb * (x[a] - x[c]) + qc * (x[b] - x[a])) / den
+    return cx, cy, np.sqrt((cx - x[a]) ** 2 + (cy - y[a]) ** 2)
+
+
+def empty_triangles(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """All triples, in rising order, of some area whose circle holds no other point; of points on one circle every triple."""
+    n = len(x)
+    found: set[tuple[int, int, int]] = set()
+    ahead, seen = [], set()
+    for k in range(n):
+        away = np.hypot(x - x[k], y - y[k])
+        away[away == 0] = np.inf
+        if n > 1 and np.isfinite(away.min()):
+            for other in np.flatnonzero(away <= away.min() * (1 + 1e-9)).tolist():
+                ahead += [(k, other), (other, k)]
+    while ahead:
+        a, b = ahead.pop()
+        if (a, b) in seen:
+            continue
+        seen.add((a, b))
+        side = (x[b] - x[a]) * (y - y[a]) - (x - x[a]) * (y[b] - y[a])
+        left = np.flatnonzero(side / 2 > LEAST_AREA)
+        if not len(left):
+            continue
+        # how far to the left of the edge the circle's centre lies, by the edge's length
+        height = ((x[left] - x[a]) * (x[left] - x[b]) + (y[left] - y[a]) * (y[left] - y[b])) / (2 * side[left])
+        near = left[height <= height.min() + 1e-6 * (1 + abs(height.min()))]
+        for c in near.tolist():
+            one = tuple(sorted((a, b, c)))
+            if one not in found:
+                cx, cy, r = circle(x, y, *one)
+                away = np.sqrt((x - cx) ** 2 + (y - cy) ** 2)
+                away[list(one)] = np.inf
+                if not (away < r - SLACK).any():
+                    found.add(one)
+            if one in found:
+                ahead += [(c, b), (b, c), (a, c), (c, a), (b, a)]
+    return sorted(found)
+
 
 def triangles(points: DataFrame) -> DataFrame:
-    """``stroke_id, a, b, c, cx, cy, r``: triples whose circumcircle holds no other point."""
-    p = lambda n: points.select("stroke_id", F.col("i").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    t = p("a").join(p("b"), "stroke_id").where("a < b").join(p("c"), "stroke_id").where("b < c")
-    t = t.withColumn("area", F.expr("abs((xb-xa)*(yc-ya) - (xc-xa)*(yb-ya))/2")).where("area > 1e-10")
-    t = t.withColumns({"den": F.expr("2*(xa*(yb-yc) + xb*(yc-ya) + xc*(ya-yb))"), "qa": F.expr("xa*xa + ya*ya"), "qb": F.expr("xb*xb + yb*yb"), "qc": F.expr("xc*xc + yc*yc")})
-    t = t.withColumns({"cx": F.expr("(qa*(yb-yc) + qb*(yc-ya) + qc*(ya-yb))/den"), "cy": F.expr("(qa*(xc-xb) + qb*(xa-xc) + qc*(xb-xa))/den")})
-    t = t.withColumn("r", F.expr("sqrt((cx-xa)*(cx-xa) + (cy-ya)*(cy-ya))")).select("stroke_id", "a", "b", "c", "cx", "cy", "r", "area", *(f"{k}{n}" for k in "xy" for n in "abc"))
-    o = points.select(F.col("stroke_id").alias("s"), F.col("i").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    inside = F.expr("s = stroke_id and o <> a and o <> b and o <> c and sqrt((ox-cx)*(ox-cx) + (oy-cy)*(oy-cy)) < r - 1e-10")
-    return t.join(o, inside, "left_anti")
+    """``stroke_id, a, b, c, cx, cy, r, area`` and the corners' coordinates ``xa .. yc``: triples whose circle holds no other
+    point."""
+    kind = dict(points.dtypes)["stroke_id"]
+    corners = [f"{axis}{corner}" for axis in "xy" for corner in "abc"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        place, x, y = (rows.column(c).to_numpy() for c in ("i", "x", "y"))
+        found = np.array(empty_triangles(x, y), np.int64).reshape(-1, 3)
+        a, b, c = found.T
+        cx, cy, r = circle(x, y, a, b, c)
+        area = np.abs((x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])) / 2
+        ids = rows.column("stroke_id").combine_chunks().take(pa.array(np.zeros(len(found), np.int64)))
+        own = {"stroke_id": ids} | {n: pa.array(place[k], pa.int32()) for n, k in (("a", a), ("b", b), ("c", c))} | {"cx": cx, "cy": cy, "r": r, "area": area}
+        return pa.table(own | {f"{axis}{n}": values[k] for axis, values in (("x", x), ("y", y)) for n, k in (("a", a), ("b", b), ("c", c))})
+
+    numbers = ", ".join(f"{c} double" for c in ("cx", "cy", "r", "area", *corners))
+    return points.select("stroke_id", F.col("i").cast("int").alias("i"), "x", "y").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, a int, b int, c int, {numbers}")
 
 
 def edges(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 
 from quillspark.operators import homology as H
 from quillspark.operators import images as I
+from quillspark.operators import triangulation as T
 from quillspark.sources import files
 
 
@@ -141,3 +142,20 @@ def test_loops_equal_a_plain_walk():
         x, y = ([round(rng.random() * 0.6, 2) for _ in range(n)] for _ in "xy")
         found = H.loops(np.array(x), np.array(y))
         assert [(pytest.approx(a), pytest.approx(b)) for a, b in plain_loops(x, y)] == found
+
+
+def test_triangles_equal_all_triples():
+    rng = np.random.default_rng(5)
+    grid = np.array([(a, b) for a in range(4) for b in range(4)], float) / 3
+    sets = [rng.random((n, 2)) for n in (1, 2, 3, 4, 9, 30)] + [grid, np.r_[grid[:6], grid[:3]], np.c_[np.arange(6) / 5, np.zeros(6)]]
+    for points in sets:
+        x, y = points.T
+        n, expected = len(x), []
+        for a in range(n):
+            for b in range(a + 1, n):
+                for c in range(b + 1, n):
+                    if abs((x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])) / 2 > 1e-10:
+                        cx, cy, r = T.circle(x, y, a, b, c)
+                        if all(np.sqrt((x[o] - cx) ** 2 + (y[o] - cy) ** 2) >= r - 1e-10 for o in range(n) if o not in (a, b, c)):
+                            expected.append((a, b, c))
+        assert T.empty_triangles(x, y) == expected
