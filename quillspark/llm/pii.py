@@ -35,6 +35,8 @@ PATTERNS = {
 TERM = r"\p{L}++"
 THRESHOLD, SUPPORT = 0.8, 3
 STEP = 64
+#: Words of 64 bits of the filter that tells which texts may hold a disclosing term: a bounded number of rows.
+FILTER_WORDS = 1 << 18
 
 
 def _digits(x: Column) -> Column:
@@ -185,7 +187,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRES
     held = with_terms(based)
     telling = materialize(disclosing(held, threshold, support), "pii-telling")
     hits = held.select("text_key", F.explode("terms").alias("term")).join(telling, "term").groupBy("text_key").agg(F.collect_set("term").alias("telling"))
-    out = with_outside(based.drop("entities").join(materialize(hits, "pii-hits"), "text_key", "left"))
+    hits = materialize(hits, "pii-hits")
+    marked = may_hold(based.drop("entities"), hits)
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    without = marked.where("not may_hold").select("row", "text", plain.alias("base"), plain.alias("spans"))
+    out = with_outside(marked.where("may_hold").drop("may_hold").join(hits, "text_key", "left"))
     hit = F.col("telling").isNotNull()
     # columns of their own, as they would else be found anew for each of their elements
     out = out.withColumn("found", F.when(hit, F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).withColumn("gaps", F.when(hit, F.split("outside", TERM, -1)))
@@ -193,9 +199,22 @@ def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRES
     out = out.withColumn("sums", F.when(F.size("found") > 0, _sums(F.col("found"), F.col("lengths"))))
     told = F.filter(places(*map(F.col, ("found", "gaps", "lengths", "sums"))), lambda s: F.array_contains("telling", F.lower(s["value"])))
     terms = F.transform(told, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat(plain, F.when(hit, terms).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
-    return out.select("row", "text", plain.alias("base"), spans.alias("spans"))
+    return out.select("row", "text", plain.alias("base"), spans.alias("spans")).unionByName(without)
+
+
+def may_hold(based: DataFrame, hits: DataFrame) -> DataFrame:
+    """``based`` with ``may_hold``: false only for texts that are not among the hits, so that these need not be shuffled.
+
+    The filter is a table of at most ``FILTER_WORDS`` words of bits, set by hashes of the hits' keys; where very many hits fill
+    it, all texts may hold one and all are joined.
+    """
+    slot = F.pmod(F.xxhash64("text_key"), F.lit(64 * FILTER_WORDS))
+    place = lambda df: df.withColumn("word", F.floor(slot / 64).cast("int")).withColumn("bit", (slot % 64).cast("int"))
+    bits = place(hits.select("text_key")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bits = materialize(bits, "pii-filter")
+    marked = place(based).join(F.broadcast(bits), "word", "left")  # at most FILTER_WORDS rows
+    return marked.withColumn("may_hold", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))).drop("word", "bit", "bits")
 
 
 def _listed(spans: Column) -> Column:
