@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import analysis, bundles, checks, compare, images, invariants, more, records, registry, strokes, tables
+from quillspark.plans import analysis, bundles, checks, compare, images, invariants, more, records, registry, strokes, tables, training
 
 
 def all_queries() -> dict[str, registry.Query]:
@@ -13,4 +13,4 @@ def all_sql() -> dict[str, str]:
     return dict(registry.SQL)
 
 
-__all__ = ["all_queries", "all_sql", "analysis", "bundles", "checks", "compare", "images", "invariants", "more", "records", "registry", "strokes", "tables"]
+__all__ = ["all_queries", "all_sql", "analysis", "bundles", "checks", "compare", "images", "invariants", "more", "records", "registry", "strokes", "tables", "training"]

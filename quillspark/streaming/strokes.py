@@ -12,10 +12,15 @@ def point_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def growing_strokes(points: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Per stroke the running number, box and centre of its points (stroke_id, ts, x, y): all are sums that only grow."""
+def growing_strokes(points: DataFrame, late: str = "10 minutes", longest: str = "1 day") -> DataFrame:
+    """Per stroke the running number, box and centre of its points (stroke_id, ts, x, y): all are sums that only grow.
+
+    A stroke's sums are kept by the day of its points, so that the watermark can drop them; a stroke that goes on past midnight
+    has a row for each day.
+    """
     marked = points.withWatermark("ts", late)
-    return marked.groupBy("stroke_id").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    out = marked.groupBy(F.window("ts", longest), "stroke_id").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    return out.withColumn("since", F.col("window.start")).drop("window")
 
 
 def strokes_by_pause(points: DataFrame, pause: str = "30 minutes", late: str = "1 hour") -> DataFrame:
