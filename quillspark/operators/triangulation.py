@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Triangles of no more area are none; a circle is empty if no point is further inside than this.
@@ -97,9 +97,69 @@ def shape(found: DataFrame, alpha: float) -> DataFrame:
 
 
 def critical_alpha(found: DataFrame) -> DataFrame:
-    """The upper median of the distinct radii."""
-    lists = found.groupBy("stroke_id").agg(F.array_sort(F.collect_set("r")).alias("radii"))
-    return lists.select("stroke_id", F.get("radii", F.floor(F.size("radii") / 2).cast("int")).alias("alpha"))
+    """The upper median of the distinct values at which triangles (radius) and edges come in."""
+    values = found.select("stroke_id", F.col("r").alias("alpha")).unionByName(edges(found).select("stroke_id", "alpha"))
+    lists = values.groupBy("stroke_id").agg(F.array_sort(F.collect_set("alpha")).alias("alphas"))
+    return lists.select("stroke_id", F.get("alphas", F.floor(F.size("alphas") / 2).cast("int")).alias("alpha"))
+
+
+def holes(border: list[tuple[int, int]], n: int) -> list[list[int]]:
+    """Connected pieces of border edges with three points or more and no more than a third of all, in the order of a walk that
+    goes on from the neighbour met last."""
+    near: dict[int, list[int]] = {}
+    for a, b in border:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out, seen = [], set()
+    for start in near:
+        walk, ahead = [], [start]
+        while ahead:
+            at = ahead.pop()
+            if at not in seen:
+                seen.add(at)
+                walk.append(at)
+                ahead += [k for k in near[at] if k not in seen]
+        if 3 <= len(walk) <= n / 3:
+            out.append(walk)
+    return out
+
+
+def alpha_features(x: np.ndarray, y: np.ndarray, alpha: float) -> list[float]:
+    """Area, border length, points, border edges, triangles, area by border length squared, holes, their area, its share, alpha."""
+    n = len(x)
+    found = np.array(empty_triangles(x, y), np.int64).reshape(-1, 3)
+    kept = found[circle(x, y, *found.T)[2] <= alpha]
+    count: dict[tuple[int, int], int] = {}
+    for a, b, c in kept.tolist():
+        for edge in ((a, b), (b, c), (a, c)):
+            count[edge] = count.get(edge, 0) + 1
+    border = [edge for edge, k in count.items() if k == 1]
+    a, b, c = kept.T
+    area = float((np.abs((x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])) / 2).sum())
+    around = sum(float(np.hypot(x[u] - x[v], y[u] - y[v])) for u, v in border)
+    inner = holes(border, n)
+    hollow = sum(abs(float((x[w] * np.roll(y[w], -1) - np.roll(x[w], -1) * y[w]).sum())) / 2 for w in inner)
+    return [area, around, float(n), float(len(border)), float(len(kept)), area / around**2 if around > 0 else 0.0, float(len(inner)), hollow, hollow / area if area > 0 else 0.0, alpha]
+
+
+def shape_features(points: DataFrame, alpha: float) -> DataFrame:
+    """``stroke_id, features``: the ten numbers of each stroke's shape at ``alpha``; a stroke of under three points has none but
+    its points and alpha."""
+    kind = dict(points.dtypes)["stroke_id"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        return pa.table({"stroke_id": rows.column("stroke_id").slice(0, 1), "features": pa.array([alpha_features(x, y, alpha)], pa.list_(pa.float64()))})
+
+    return points.select("stroke_id", "i", "x", "y").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, features array<double>")
+
+
+def shape_similarity(a: Column, b: Column) -> Column:
+    """Mean of exp(-relative difference) over the numbers that are not 0 in both; 0 if all are."""
+    parts = F.zip_with(a, b, lambda p, q: F.when(F.greatest(F.abs(p), F.abs(q)) > 1e-10, F.exp(-F.abs(p - q) / F.nullif(F.greatest(F.abs(p), F.abs(q)), F.lit(0.0)))))
+    counted = F.array_compact(parts)
+    return F.when(F.size(counted) > 0, F.aggregate(counted, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(counted), F.lit(0))).otherwise(0.0)
 
 
 def polygon_area(points: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import triangulation as A
 from quillspark.operators import validation as V
+from quillspark.operators.features import paired
 from quillspark.plans.registry import over, query, rounded
 from quillspark.plans.strokes import box, pts
 from quillspark.schema import catalog_strokes, embedding_strokes, event_points, read
@@ -61,11 +62,29 @@ def _(spark, sf_dir):
     return rounded(A.shape(A.triangles(box(spark, sf_dir)), 0.4))
 
 
-@query("alf06_critical_alpha", f"WITH {TRIANGLES} SELECT stroke_id, {R('r[len(r)//2 + 1]', 'alpha')} FROM (SELECT stroke_id, list_sort(list_distinct(list(r))) AS r FROM tri GROUP BY 1)", "box")
+@query("alf06_critical_alpha", f"""WITH {TRIANGLES},
+sides AS (
+  SELECT stroke_id, a AS u, b AS v, r, sqrt((xa-xb)*(xa-xb) + (ya-yb)*(ya-yb)) AS l FROM tri
+  UNION ALL SELECT stroke_id, b, c, r, sqrt((xb-xc)*(xb-xc) + (yb-yc)*(yb-yc)) FROM tri
+  UNION ALL SELECT stroke_id, a, c, r, sqrt((xa-xc)*(xa-xc) + (ya-yc)*(ya-yc)) FROM tri),
+vals AS (SELECT stroke_id, r AS v FROM tri UNION SELECT stroke_id, min(least(r, l / 2)) FROM sides GROUP BY stroke_id, u, v)
+SELECT stroke_id, round(w[len(w) // 2 + 1], 6) AS alpha FROM (SELECT stroke_id, list_sort(list(v)) AS w FROM vals GROUP BY 1)""", "box")
 def _(spark, sf_dir):
     return rounded(A.critical_alpha(A.triangles(box(spark, sf_dir))))
 
 
+@query("alf08_shape_features")
+def _(spark, sf_dir):
+    return rounded(A.shape_features(box(spark, sf_dir), 0.2))
+
+
+@query("alf08_shape_similarity")
+def _(spark, sf_dir):
+    found = A.shape_features(box(spark, sf_dir), 0.2)
+    both = paired(found, found.select("stroke_id", (F.col("stroke_id") - 1).alias("other")))
+    return rounded(both.select("stroke_id", "other", A.shape_similarity(F.col("features"), F.col("o_features")).alias("similarity")))
+
+
 @query("alf07_polygon_area", f"SELECT stroke_id, {R('abs(sum(x*ny - nx*y))/2', 'area')} FROM (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM pts WINDOW w AS (PARTITION BY stroke_id ORDER BY i)) GROUP BY 1", "pts")
 def _(spark, sf_dir):
     return rounded(A.polygon_area(pts(spark, sf_dir)))

@@ -159,3 +159,14 @@ def test_triangles_equal_all_triples():
                         if all(np.sqrt((x[o] - cx) ** 2 + (y[o] - cy) ** 2) >= r - 1e-10 for o in range(n) if o not in (a, b, c)):
                             expected.append((a, b, c))
         assert T.empty_triangles(x, y) == expected
+
+
+def test_holes_and_shape_features():
+    ring, long = [(0, 1), (1, 2), (2, 3), (0, 3)], [(k, k + 1) for k in range(10, 19)] + [(10, 19)]
+    assert T.holes(ring + long, 20) == [[0, 3, 2, 1]] and T.holes(ring, 11) == [] and T.holes([(0, 1)], 20) == []
+    x, y = np.array([0.0, 1, 1, 0]), np.array([0.0, 0, 1, 1])
+    area, around, points, edges, triangles, compact, n_holes, hollow, share, alpha = T.alpha_features(x, y, 0.8)
+    # of the square's four corners on one circle every triple counts
+    assert (points, edges, triangles, n_holes, alpha) == (4, 0, 4, 0, 0.8) and area == pytest.approx(2)
+    assert T.alpha_features(x[:3], y[:3], 0.8)[:5] == pytest.approx([0.5, 2 + 2**0.5, 3, 3, 1])
+    assert T.alpha_features(np.zeros(2), np.zeros(2), 0.1)[:6] == [0, 0, 2, 0, 0, 0]
