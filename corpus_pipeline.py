@@ -35,8 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_text.near_duplicates(rows.select("number", "row.text"), id_col="number").select(F.col("doc_id").alias("number"), "component_id")
     found = rows.select("number", F.col("row.doc_id").alias("id")).join(found, "number")
     found = materialize(found.select("component_id", F.col("id").isNull().alias("last"), "id", "number"), "pipeline-found")
-    first = found.groupBy("component_id").agg(F.min(F.struct("last", "id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = found.join(first, "component_id").where("number <> first.number").select("number")
+    # joined by the rows' own numbers, as a group may hold very many of them
+    first = found.groupBy("component_id").agg(F.min(F.struct("last", "id", "number")).alias("first")).select(F.col("first.number").alias("number"))
+    copies = found.select("number").join(materialize(first, "pipeline-first"), "number", "left_anti")
     return rows.join(materialize(copies, "pipeline-copies"), "number", "left_anti").select("row.*")
 
 
