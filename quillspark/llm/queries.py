@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, chat, hnsw, mixing, mixing_lm, near_text, pii, pivot_join, toxicity, warc
+from quillspark.llm import byte_bpe, chat, hnsw, merkle, mixing, mixing_lm, near_text, pii, pivot_join, token_alignment, token_files, toxicity, warc
 from quillspark.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -56,9 +56,22 @@ def op10_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_mixing_lm": op4_mixing_lm, "op5_chat": op5_chat, "op6_hnsw": op6_hnsw, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_mixing_lm": op4_mixing_lm, "op5_chat": op5_chat, "op6_hnsw": op6_hnsw, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_minhash": op9_minhash, "op10_pivot_join": op10_pivot_join, "op11_token_files": op11_token_files, "op12_merkle": op12_merkle, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE}
