@@ -16,7 +16,7 @@ import contextlib
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from quillspark.llm.shared import bound_batches, materialize, scratch_dir
 
 #: Bytes of ids of a shard, about.
 SHARD_BYTES = 64 << 20
-#: Characters of the pieces that one Python worker remembers; a full memory is emptied.
-CACHE_CHARS = 24 << 20
+#: Pieces in one half of a Python worker's memory, and bytes from which a piece is not kept there.
+CACHE, LONG = 500_000, 200
+#: ASCII signs that may end a piece; the apostrophe is not among them, as it begins contractions.
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Documents of one step while reading back.
 READ_ROWS = 4096
 
@@ -39,7 +41,9 @@ class Encoder:
     """Ids, as bytes, of the pieces between ASCII white space.
 
     The tokenizer drops white space, none of its tokens or patterns reaches over it, and composition of characters does not
-    either, so a text's ids are those of its pieces, each encoded by the library once.
+    either, so a text's ids are those of its pieces.  Nor do they reach from an ASCII letter or digit to the signs at a piece's
+    end, apostrophes aside, so a new piece is looked for without these.  What is left the library encodes once, while it is
+    remembered: pieces met since the memory was last half full, and those met in the half before.
     """
 
     def __init__(self, path: str, width: int):
@@ -47,23 +51,49 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-        self.held = 0
+        self.older: dict[bytes, bytes] = {}
+
+    def bare(self, piece: bytes) -> bytes:
+        """The piece without the signs at its end; whole where these may belong to what stands before them."""
+        stem = piece.rstrip(SIGNS)
+        return stem if stem[-1:].isalnum() and not any(mark in piece for mark in self.marks) else piece
+
+    def find(self, pieces: Iterable[bytes]) -> None:
+        """Knows the pieces, each whole."""
+        new = []
+        for piece in pieces:
+            if (ids := self.older.get(piece)) is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        self.known.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in found)))
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces.difference(self.known))
-        size = sum(map(len, new)) + 64 * len(new)
-        if self.held + size > CACHE_CHARS:
-            self.known.clear()
-            self.held, new = 0, list(pieces)
-        found = self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in found)))
-        self.held += size
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        parts, whole = {}, []
+        for piece in pieces.difference(self.known):
+            if (ids := self.older.get(piece)) is not None:
+                self.known[piece] = ids
+            elif (stem := self.bare(piece)) != piece:
+                parts[piece] = stem, piece[len(stem) :]
+            else:
+                whole.append(piece)
+        self.find({*whole, *(x for some in parts.values() for x in some)}.difference(self.known))
+        for piece, (stem, signs) in parts.items():
+            self.known[piece] = self.known[stem] + self.known[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [text.encode().split() for text in texts]
-        self.learn(set().union(*pieces))
-        return [b"".join(map(self.known.__getitem__, some)) for some in pieces]
+        met = set().union(*pieces)
+        self.learn(met)
+        out = [b"".join(map(self.known.__getitem__, some)) for some in pieces]
+        for piece in filter(lambda x: len(x) > LONG, met):  # not worth their memory
+            del self.known[piece]
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
