@@ -16,7 +16,7 @@ import contextlib
 import os
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,17 @@ SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 READ_ROWS = 4096
 
 
+class Known(dict):
+    """Ids of pieces; notes those that it does not have in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> bytes:
+        self.new.append(piece)
+        return b""
+
+
 class Encoder:
     """Ids, as bytes, of the pieces between ASCII white space.
 
@@ -52,47 +63,50 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
         self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = Known(), {}
 
     def bare(self, piece: bytes) -> bytes:
         """The piece without the signs at its end; whole where these may belong to what stands before them."""
         stem = piece.rstrip(SIGNS)
         return stem if stem[-1:].isalnum() and not any(mark in piece for mark in self.marks) else piece
 
-    def find(self, pieces: Iterable[bytes]) -> None:
-        """Knows the pieces, each whole."""
-        new = []
-        for piece in pieces:
-            if (ids := self.older.get(piece)) is None:
-                new.append(piece)
-            else:
-                self.known[piece] = ids
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in found)))
+    def remembered(self, piece: bytes) -> bool:
+        """Whether the piece is known; moves it from the older half."""
+        if piece in self.known:
+            return True
+        if (ids := self.older.get(piece)) is None:
+            return False
+        self.known[piece] = ids
+        return True
 
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        parts, whole = {}, []
-        for piece in pieces.difference(self.known):
-            if (ids := self.older.get(piece)) is not None:
-                self.known[piece] = ids
-            elif (stem := self.bare(piece)) != piece:
-                parts[piece] = stem, piece[len(stem) :]
-            else:
-                whole.append(piece)
-        self.find({*whole, *(x for some in parts.values() for x in some)}.difference(self.known))
-        for piece, (stem, signs) in parts.items():
-            self.known[piece] = self.known[stem] + self.known[signs]
+            self.known, self.older = Known(), self.known
+        stems = {piece: self.bare(piece) for piece in pieces if not self.remembered(piece)}
+        parts = {*stems.values(), *(piece[len(stem) :] for piece, stem in stems.items() if stem != piece)}
+        new = [x for x in parts if not self.remembered(x)]
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        self.known.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in found)))
+        for piece, stem in stems.items():
+            if stem != piece:
+                self.known[piece] = self.known[stem] + self.known[piece[len(stem) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.encode().split() for text in texts]
-        met = set().union(*pieces)
-        self.learn(met)
-        out = [b"".join(map(self.known.__getitem__, some)) for some in pieces]
-        for piece in filter(lambda x: len(x) > LONG, met):  # not worth their memory
-            del self.known[piece]
+        out, again = [], []
+        for k, text in enumerate(texts):
+            before = len(self.known.new)
+            pieces = text.encode().split()
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+            if len(self.known.new) > before:
+                again.append((k, pieces))
+        new, self.known.new = set(self.known.new), []
+        if new:
+            # with a new half, all pieces of the texts that are read again are new
+            self.learn(new if len(self.known) <= CACHE else new.union(*(x for _, x in again)))
+        for k, pieces in again:
+            out[k] = b"".join(map(self.known.__getitem__, pieces))
+        for piece in filter(lambda x: len(x) > LONG, new):  # not worth their memory
+            self.known.pop(piece, None)
         return out
 
 
