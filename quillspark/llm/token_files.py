@@ -6,7 +6,7 @@ unsigned 64-bit integers, where each of its documents starts in the whole corpus
 ``docs-*.arrow``, the documents' own ids.  The Parquet table ``index`` has a row for each shard: names of its files, counts, and
 its base, the sum of all counts before it.
 
-Documents are encoded once and written; ranges of ids make the shards.  A task names its files by an identifier of its own and
+Ranges of ids make the shards; a task encodes the sorted documents of its range as it writes them.  A task names its files by an identifier of its own and
 puts the name into its row of the index, so that a lost or repeated task leaves files that nothing refers to.
 """
 
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.shared import bound_batches, materialize, scratch_dir
 
-#: Bytes of ids of a shard, about.
-SHARD_BYTES = 64 << 20
+#: Bytes of text of a shard, about.
+SHARD_BYTES = 128 << 20
 #: Pieces in one half of a Python worker's memory, and bytes from which a piece is not kept there.
 CACHE, LONG = 500_000, 200
+#: Words that are encoded as one text.
+JOINED = 1000
 #: ASCII signs that may end a piece; the apostrophe is not among them, as it begins contractions.
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Documents of one step while reading back.
@@ -63,6 +65,11 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
         self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        entries = self.tokenizer.get_vocab()
+        #: whether a token ends a word; where none tells, words are encoded one by one
+        self.ends = np.zeros(max(entries.values()) + 1, bool)
+        self.ends[[k for token, k in entries.items() if suffix and token.endswith(suffix)]] = True
         self.known, self.older = Known(), {}
 
     def bare(self, piece: bytes) -> bytes:
@@ -70,6 +77,18 @@ class Encoder:
         stem = piece.rstrip(SIGNS)
         return stem if stem[-1:].isalnum() and not any(mark in piece for mark in self.marks) else piece
 
+    def find_words(self, words: list[bytes]) -> bool:
+        """Knows words of letters, encoded as one text and told apart by the tokens that end words; false where their normal
+        forms have other signs, so that some word has more than one end."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return False
+        width, packed = int(self.kind[2:]), ids.astype(self.kind).tobytes()
+        to = (ends * width).tolist()
+        self.known.update(zip(words, (packed[x:y] for x, y in zip([0, *to], to))))
+        return True
+
     def remembered(self, piece: bytes) -> bool:
         """Whether the piece is known; moves it from the older half."""
         if piece in self.known:
@@ -82,14 +101,24 @@ class Encoder:
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > CACHE:
             self.known, self.older = Known(), self.known
-        stems = {piece: self.bare(piece) for piece in pieces if not self.remembered(piece)}
-        parts = {*stems.values(), *(piece[len(stem) :] for piece, stem in stems.items() if stem != piece)}
+        made = {}
+        for piece in pieces:
+            if not self.remembered(piece):
+                stem = self.bare(piece)
+                # ASCII letters in lower case, as the tokenizer takes them
+                made[piece] = stem.lower() if stem.isalnum() else stem, piece[len(stem) :]
+        parts = {x for both in made.values() for x in both if x}
         new = [x for x in parts if not self.remembered(x)]
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in found)))
-        for piece, stem in stems.items():
+        words = [x for x in new if len(x) <= LONG and x.decode().isalpha()]
+        rest = [x for x in new if len(x) > LONG or not x.decode().isalpha()]
+        for low in range(0, len(words), JOINED):
+            if not self.find_words(some := words[low : low + JOINED]):
+                rest += some
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
+        self.known.update(zip(rest, (np.array(x.ids, self.kind).tobytes() for x in found)))
+        for piece, (stem, signs) in made.items():
             if stem != piece:
-                self.known[piece] = self.known[stem] + self.known[piece[len(stem) :]]
+                self.known[piece] = self.known[stem] + (self.known[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, again = [], []
@@ -126,19 +155,6 @@ def width_of(path: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, path: str, width: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, ids, n`` of every row; each document ends with ``end_id``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
-        for batch in batches:
-            ids = [x + end for x in words.encode([text or "" for text in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, n long")
-
-
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     system, path = fs.FileSystem.from_uri(folder)
     return system, path.rstrip("/")
@@ -173,22 +189,23 @@ class Shard:
 def write_corpus(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the corpus of ``docs`` into ``folder``, a place that driver and tasks share.
 
-    Documents go by ascending id, null first, and rows of one id by length and digest of their tokens.
+    Documents go by ascending id, null first, and rows of one id by a digest of their texts.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     width = width_of(path, end_id)
-    rows = materialize(encoded(docs, path, width, end_id, id_col, text_col), "tokens", "zstd")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    # enough shards for all cores, but none without work
-    shards = max(1, -(-total["n"] * width // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, -(-total["rows"] // 1000)))
-    keys = ["doc_id", "n", "digest", "row_number"]
-    rows = rows.withColumns({"digest": F.xxhash64("ids"), "row_number": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "ids", "n")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    # some shards for each core, but none without work
+    shards = max(1, -(-size["bytes"] // SHARD_BYTES), min(4 * spark.sparkContext.defaultParallelism, -(-size["rows"] // 1000)))
+    keys = ["doc_id", "digest", "row_number"]
+    rows = rows.withColumns({"digest": F.xxhash64("text"), "row_number": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, name, n_docs, n_ids = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
         system, place = _place(folder)
+        words, end = encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
         with contextlib.ExitStack() as files:
             ids = index = None
             for batch in batches:
@@ -199,10 +216,13 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
                     ids = files.enter_context(system.open_output_stream(f"{place}/ids-{name}.bin"))
                     index = files.enter_context(system.open_output_stream(f"{place}/docs-{name}.arrow"))
                     index = files.enter_context(pa.ipc.new_file(index, pa.schema([("doc_id", batch.schema.types[0]), ("n", pa.int64())])))
-                for value in batch.column(1):
-                    ids.write(value.as_buffer())
-                index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["doc_id", "n"]))
-                n_docs, n_ids = n_docs + batch.num_rows, n_ids + int(batch.column(2).to_numpy().sum())
+                sizes = []
+                for own in words.encode([text or "" for text in batch.column(1).to_pylist()]):
+                    ids.write(own)
+                    ids.write(end)
+                    sizes.append(len(own) // width + 1)
+                index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n"]))
+                n_docs, n_ids = n_docs + len(sizes), n_ids + sum(sizes)
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], names=["shard", "name", "n_docs", "n_ids"])
 
