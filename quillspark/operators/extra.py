@@ -27,14 +27,17 @@ def initial_place(k: Column, seed: int = SEED) -> Column:
     return (generator_value(k, seed) / MODULUS - 0.5) * 20
 
 
-def roc_curve(predictions: DataFrame, positive: int) -> DataFrame:
-    """Rates at each score of one class, a row per prediction; counts per score and per bin of scores come before the sums."""
-    rows = predictions.select(F.round(F.get("p", F.lit(positive)), 9).alias("s"), (F.col("target") == positive).cast("long").alias("y"))
-    steps = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").cast("int").alias("n")).withColumn("one", F.lit(0))
-    ranked = before_in_order(before_in_order(steps, "pos", ["one"]).withColumnRenamed("before", "pos_before"), "neg", ["one"]).withColumnRenamed("before", "neg_before")
-    totals = steps.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    out = ranked.crossJoin(totals).select("s", "n", ((F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")).alias("tpr"), ((F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")).alias("fpr"))  # one row of totals
-    return out.select("s", "tpr", "fpr", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
+def roc_curves(predictions: DataFrame) -> DataFrame:
+    """``class, s, tpr, fpr``: rates at each score of every class against the others, a row per prediction and class; counts per
+    score and per bin of scores come before the sums."""
+    rows = predictions.select("target", F.posexplode("p").alias("class", "s"))
+    rows = rows.select("class", F.round("s", 9).alias("s"), (F.col("target") == F.col("class")).cast("long").alias("y"))
+    steps = rows.groupBy("class", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").cast("int").alias("n"))
+    ranked = before_in_order(before_in_order(steps, "pos", ["class"]).withColumnRenamed("before", "pos_before"), "neg", ["class"]).withColumnRenamed("before", "neg_before")
+    totals = steps.groupBy("class").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    rate = lambda all_, before: F.when(F.col(all_) > 0, (F.col(all_) - F.col(before)) / F.col(all_))
+    out = ranked.join(F.broadcast(totals), "class").select("class", "s", "n", rate("all_pos", "pos_before").alias("tpr"), rate("all_neg", "neg_before").alias("fpr"))  # a row for each class
+    return out.select("class", "s", "tpr", "fpr", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one")).drop("one")
 
 
 def training_sequence(points: DataFrame) -> DataFrame:
@@ -59,13 +62,6 @@ def random_split(rows: DataFrame, validation: float = 0.2, test: float = 0.1, se
     return ranked.withColumn("part", F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "validation").otherwise("test")).drop("shuffle_key", "bucket", "place", "ahead", "n")
 
 
-def simulated_training(strokes: DataFrame, epochs: int, least: int = 10) -> DataFrame:
-    """Loss and accuracy of each epoch without noise, if there are ``least`` rows to train on."""
-    enough = strokes.agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    e = enough.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")).withColumn("p", F.col("epoch") / epochs)
-    return e.select("epoch", (2 * (1 - F.col("p")) + 0.1).alias("loss"), (0.5 + 0.45 * F.col("epoch") / epochs).alias("accuracy"))
-
-
 def flux(spectra: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rises of the power at each place from ``other`` to ``stroke_id``, added up, for each of the pairs of strokes: equi-joins on
     stroke and place."""

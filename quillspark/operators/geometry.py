@@ -39,19 +39,32 @@ def resample(points: DataFrame, target: int) -> DataFrame:
     """``target`` points at equal steps of arc length; strokes with no more points than that are left as they are.
 
     A wanted length lies in the first segment that ends at or after it: each segment gives the points it holds, so there is
-    no join of lengths with segments.
+    no join of lengths with segments.  A stroke of no length gives its first point again and again, and its last one at the
+    end.  Where the points have a pressure, it goes from a segment's start to its end, where a missing or zero one counts as 1;
+    a segment that starts without any gives none.
     """
+    pressed = "pressure" in points.columns
     p = arc_length(points).withColumns({"n": F.count("*").over(whole()), "total": F.max("arc").over(whole()), "arc_a": before("arc"), "xa": before("x"), "ya": before("y"), "ta": before("time")})
-    few = p.where(F.col("n") <= target).select("stroke_id", F.col("i").alias("k"), "x", "y", "time")
+    kept = ["x", "y", "time"]
+    if pressed:
+        p, kept = p.withColumn("pa", before("pressure")), [*kept, "pressure"]
+    few = p.where(F.col("n") <= target).select("stroke_id", F.col("i").alias("k"), *kept)
     gap = F.col("total") / (target - 1)
-    many = p.where((F.col("n") > target) & (F.col("i") >= 1)).withColumn("gap", gap)
+    longer = p.where(F.col("n") > target)
+    many = longer.where(F.col("i") >= 1).withColumn("gap", gap)
     low = F.when(F.col("i") == 1, F.lit(0)).otherwise(F.floor(F.col("arc_a") / F.col("gap")).cast("int"))
     high = F.ceil(F.col("arc") / F.col("gap")).cast("int")
     many = many.where("gap > 0").withColumn("k", F.explode(F.sequence(low, F.least(high, F.lit(target - 1))))).withColumn("want", F.least(F.col("k") * F.col("gap"), F.col("total")))
     inside = (F.col("want") <= F.col("arc")) & ((F.col("i") == 1) | (F.col("want") > F.col("arc_a")))
     many = many.where(inside).withColumn("t", F.when(F.col("arc") > F.col("arc_a"), (F.col("want") - F.col("arc_a")) / (F.col("arc") - F.col("arc_a"))).otherwise(0.0))
-    placed = many.selectExpr("stroke_id", "k", "xa + t * (x - xa) as x", "ya + t * (y - ya) as y", "ta + t * (time - ta) as time")
-    return few.unionByName(placed)
+    forms = ["xa + t * (x - xa) as x", "ya + t * (y - ya) as y", "ta + t * (time - ta) as time"]
+    if pressed:
+        own = "when i = 1 and k = 0 then pa when k = " + str(target - 1) + " then pressure when pa is null or pa = 0 then null"
+        forms.append(f"case {own} else pa + t * (coalesce(nullif(pressure, 0), 1) - pa) end as pressure")
+    placed = many.selectExpr("stroke_id", "k", *forms)
+    still = longer.where((F.col("total") == 0) & ((F.col("i") == 0) | (F.col("i") == F.col("n") - 1)))
+    times = F.when(F.col("i") == 0, F.sequence(F.lit(0), F.lit(target - 2))).otherwise(F.array(F.lit(target - 1)))
+    return few.unionByName(placed).unionByName(still.select("stroke_id", F.explode(times).alias("k"), *kept))
 
 
 def symmetry(points: DataFrame, least: int = 4) -> DataFrame:

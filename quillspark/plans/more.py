@@ -9,6 +9,7 @@ from quillspark.operators import embedding as M
 from quillspark.operators import evaluation as E
 from quillspark.operators import extra as O
 from quillspark.operators import homology as H
+from quillspark.operators import layout as L
 from quillspark.operators import sequence as S
 from quillspark.operators import spectral as X
 from quillspark.operators import topology as T
@@ -34,6 +35,15 @@ def _(spark, sf_dir):
     return rounded(places.select("vec_id", "axis", O.initial_place(3 * F.col("r") + F.col("axis") + 1).alias("place")))
 
 
+@query("emb06_layout")
+def _(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    graph = M.symmetrised(M.fuzzy_weights(M.neighbours(v, v, 15), 15))
+    places = O.ranked_by_id(v.select("id"), "id").withColumnRenamed("place", "number")
+    places = places.withColumn("place", F.array(*(O.initial_place(3 * F.col("number") + a + 1) for a in range(3))))
+    return rounded(L.laid_out(graph, places, epochs=20).select(F.col("id").alias("vec_id"), "place"))
+
+
 @query("emb07_stress", """WITH p AS (
   SELECT sqrt(list_sum(list_transform(range(1, 65), lambda j: pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2)))) AS d,
          sqrt(list_sum(list_transform(range(1, 4), lambda j: pow(a.embedding[j]::DOUBLE - b.embedding[j]::DOUBLE, 2)))) AS e
@@ -44,9 +54,9 @@ def _(spark, sf_dir):
     return rounded(M.stress(v.withColumn("e", F.slice("v", 1, 3))))
 
 
-@query("ev07_roc_curve", f"SELECT {R('s', 's')}, {R('sum(y) OVER w / sum(y) OVER ()', 'tpr')}, {R('sum(1-y) OVER w / sum(1-y) OVER ()', 'fpr')} FROM (SELECT p[4] AS s0, round(p[4], 9) AS s, (target = 3)::INT AS y FROM pr) WINDOW w AS (ORDER BY s DESC)", "pr")
+@query("ev07_roc_curve", f"SELECT class, {R('s', 's')}, {R('sum(y) OVER w / sum(y) OVER (PARTITION BY class)', 'tpr')}, {R('sum(1-y) OVER w / sum(1-y) OVER (PARTITION BY class)', 'fpr')} FROM (SELECT k::INT AS class, round(p[k + 1], 9) AS s, (target = k)::INT AS y FROM pr, range(10) q(k)) WINDOW w AS (PARTITION BY class ORDER BY s DESC)", "pr")
 def _(spark, sf_dir):
-    return rounded(O.roc_curve(predictions(spark, sf_dir), 3)).select("s", "tpr", "fpr")
+    return rounded(O.roc_curves(predictions(spark, sf_dir))).select("class", "s", "tpr", "fpr")
 
 
 @query("ev11_softmax", f"SELECT vec_id, i::INT AS pos, {R('exp(e) / sum(exp(e)) OVER (PARTITION BY vec_id)', 'p')} FROM (SELECT vec_id, i, embedding[i+1]::DOUBLE AS e FROM embeddings, range(64) r(i))")
@@ -65,11 +75,6 @@ def _(spark, sf_dir):
     return O.random_split(catalog_strokes(spark, sf_dir).select("id"))
 
 
-@query("ml13_simulated_training", "SELECT e::INT AS epoch, round(2*(1 - e/100.0::DOUBLE) + 0.1::DOUBLE, 6) AS loss, round(0.5::DOUBLE + 0.45::DOUBLE*e/100.0::DOUBLE, 6) AS accuracy FROM range(1, 101) r(e) WHERE (SELECT count(*) FROM cs) >= 10", "cs")
-def _(spark, sf_dir):
-    return rounded(O.simulated_training(catalog_strokes(spark, sf_dir), 100))
-
-
 @query("spc02_short_spectrum", f"SELECT stroke_id, f::INT AS k, {R('sqrt(pow(sum(v*cos(-2*pi()*f*k/32)),2) + pow(sum(v*sin(-2*pi()*f*k/32)),2))/32', 'magnitude')} FROM sig, range(16) q(f) GROUP BY 1, 2", "sig")
 def _(spark, sf_dir):
     return rounded(X.short_spectrum(X.tangent_signal(pts(spark, sf_dir))).select("stroke_id", "k", "magnitude"))

@@ -259,11 +259,11 @@ def _(spark, sf_dir):
     return rounded(out.select("stroke_id", zero(F.col("n")).alias("n_crossings"), zero(F.col("np")).alias("n_positive"), zero(2 * F.col("np") - F.col("n")).alias("balance"), F.coalesce("a", F.lit(0.0)).alias("mean_angle")))
 
 
-@query("jn15_apart", "WITH r AS (SELECT stroke_id, i AS idx, row_number() OVER (PARTITION BY stroke_id ORDER BY x, i) AS pos FROM box WHERE x < 0.5) SELECT stroke_id, idx, pos FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.stroke_id = r.stroke_id AND abs(o.idx - r.idx) < 2 AND o.pos < r.pos)", "box")
+@query("jn15_apart", "WITH r AS (SELECT stroke_id, i AS idx, row_number() OVER (PARTITION BY stroke_id ORDER BY x, i) AS pos FROM box) SELECT stroke_id, idx, pos FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.stroke_id = r.stroke_id AND abs(o.idx - r.idx) < 2 AND o.pos < r.pos)", "box")
 def _(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = box(spark, sf_dir).where("x < 0.5").select("stroke_id", F.col("i").alias("idx"), F.row_number().over(Window.partitionBy("stroke_id").orderBy("x", "i")).alias("pos"))
+    rows = box(spark, sf_dir).select("stroke_id", F.col("i").alias("idx"), F.row_number().over(Window.partitionBy("stroke_id").orderBy("x", "i")).alias("pos"))
     return P.apart(rows)
 
 

@@ -24,11 +24,12 @@ def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
-@query("ml03_feature_matrix", """WITH v AS (SELECT vec_id AS id, label::VARCHAR AS label, embedding[1:CASE WHEN vec_id % 3 = 0 THEN 40 ELSE 50 END] AS f FROM embeddings WHERE label::VARCHAR IN ('1', '2', '5'))
+@query("ml03_feature_matrix", """WITH v AS (SELECT vec_id AS id, label::VARCHAR AS label, CASE WHEN vec_id % 3 = 0 THEN list_append(embedding, 1) ELSE embedding END AS f FROM embeddings WHERE label::VARCHAR IN ('1', '2', '5'))
 SELECT id, label, list_transform(list_resize(list_transform(f, lambda x: x::DOUBLE), (SELECT max(len(f)) FROM v), 0), lambda x: round(x, 6) + 0.0) AS features FROM v""")
 def _(spark, sf_dir):
-    short = _vectors(spark, sf_dir).withColumn("features", F.slice("features", F.lit(1), F.when(F.col("id") % 3 == 0, 40).otherwise(50)))
-    return rounded(N.feature_matrix(short, "features", ["1", "2", "5"]))
+    # whole vectors, some with one component more, so that the others are filled up
+    uneven = _vectors(spark, sf_dir).withColumn("features", F.when(F.col("id") % 3 == 0, F.array_append("features", F.lit(1.0))).otherwise(F.col("features")))
+    return rounded(N.feature_matrix(uneven, "features", ["1", "2", "5"]))
 
 
 @query("ml06_fixed_sequences", """WITH t AS (SELECT *, CASE WHEN dt > 0 THEN ds / dt ELSE 0 END AS v, time - first_value(time) OVER (PARTITION BY stroke_id ORDER BY i) AS el FROM stp),

@@ -87,3 +87,18 @@ def test_empty_input(spark, points):
     none = points.where("false")
     for df in (sequence.arc_length(none), sequence.curvature_metrics(none), sequence.affine_metrics(none), signature.levels(none), pairs.crossings(none), topology.merge_distances(none), geometry.resample(none, 8)):
         assert df.count() == 0
+
+
+def test_resampling_keeps_still_strokes_and_pressure(spark):
+    still = [("still", k, 1.0, 2.0, 10.0 * k, 0.5) for k in range(20)]
+    line = [("line", k, float(k), 0.0, 10.0 * k, [0.2, None, 0.0, 0.8][k % 4]) for k in range(9)]
+    few = [("few", 0, 3.0, 4.0, 0.0, None)]
+    points = spark.createDataFrame(still + line + few, "stroke_id string, i int, x double, y double, time double, pressure double")
+    found = {}
+    for r in geometry.resample(points, 5).collect():
+        found.setdefault(r.stroke_id, {})[r.k] = (r.x, r.y, r.time, r.pressure)
+    assert found["still"] == {k: (1.0, 2.0, 0.0 if k < 4 else 190.0, 0.5) for k in range(5)}
+    # each wanted place ends a segment: the second of a pair, whose missing pressure counts as 1
+    assert found["line"] == {0: (0.0, 0.0, 0.0, 0.2), 1: (2.0, 0.0, 20.0, None), 2: (4.0, 0.0, 40.0, pytest.approx(0.2)), 3: (6.0, 0.0, 60.0, None), 4: (8.0, 0.0, 80.0, 0.2)}
+    assert found["few"] == {0: (3.0, 4.0, 0.0, None)}
+    assert geometry.resample(points.drop("pressure"), 5).columns == ["stroke_id", "k", "x", "y", "time"]

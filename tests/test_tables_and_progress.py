@@ -35,7 +35,7 @@ def test_progress_is_told_every_ten_files(spark, tmp_path):
         spark.createDataFrame([("processed" if n % 4 else "failed",) for n in range(8)], "status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     told = []
     stream = spark.readStream.schema("status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    strokes.run_available(stream, progress.every_files(lambda done, failed: told.append((done, failed))), str(tmp_path / "c"))
+    strokes.run_available(stream, progress.told_once(f"file://{tmp_path}/ledger", lambda done, failed: told.append((done, failed))), str(tmp_path / "c"))
     assert told == [(12, 4), (18, 6)]
 
 
