@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import features, geometry, homology, sequence, signature, spectral
 from quillspark.operators.sequence import whole
+from quillspark.state import plain_unions
 
 #: What an analysis may be made of; the first two always run.
 PARTS = ("preprocessing", "curvature", "affine", "path_signature", "topology", "knot", "spectral")
@@ -38,6 +39,7 @@ def analyse(points: DataFrame, parts: tuple[str, ...] = PARTS, most: int = MOST_
 
     The points are dealt by stroke once; every part groups and joins by stroke, so none shuffles again.
     """
+    plain_unions(points.sparkSession)
     dealt = points.repartition("stroke_id")
     own = crowded(dealt)
     p = thinned(dealt, most)

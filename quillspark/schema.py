@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.state import plain_unions
+
 POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "time", "pressure")])
 STROKE = T.StructType([T.StructField("id", T.StringType()), T.StructField("points", T.ArrayType(POINT)), T.StructField("completed", T.BooleanType()), T.StructField("color", T.StringType()), T.StructField("label", T.StringType())])
 STATUSES = ("pending", "in_progress", "completed", "failed", "stopped")
@@ -13,6 +15,7 @@ MODEL_TYPES = ("cnn", "transformer", "hybrid", "ensemble")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -55,22 +55,24 @@ def prefixes(points: DataFrame, least: int = LEAST, late: str = "10 minutes", id
     )
 
 
-def analysis_sink(folder: str, parts: tuple[str, ...] = analysis.PARTS) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes the analysis of a batch's strokes under its number."""
+def analysis_sink(spark: SparkSession, folder: str, parts: tuple[str, ...] = analysis.PARTS) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes a batch's points and their analysis under its number.
+
+    The analysis reads the written points in ``spark``, a session of batches: a stream's own session plans without adaptive
+    execution and by the partitions of its state.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        try:
-            analysis.analyse(held, parts).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        finally:
-            held.unpersist()
+        batch.write.mode("overwrite").parquet(f"{folder}/points/batch={number}")
+        points = spark.read.schema(batch.schema).parquet(f"{folder}/points/batch={number}")
+        analysis.analyse(points, parts).write.mode("overwrite").parquet(f"{folder}/analysed/batch={number}")
 
     return take
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest analysis of each stroke."""
-    rows = spark.read.option("basePath", folder).parquet(folder)
+    rows = spark.read.option("basePath", f"{folder}/analysed").parquet(f"{folder}/analysed")
     fields = [c for c in rows.columns if c != "batch"]
     newest = rows.groupBy("stroke_id").agg(F.max("batch").alias("batch"))
     return rows.join(newest, ["stroke_id", "batch"]).select(*fields)

@@ -168,7 +168,7 @@ def test_growing_strokes_are_analysed_as_batches_are(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(source)
         stream = strokes.point_stream(spark, source, df.schema)
         # each time a new run that goes on from the checkpoint
-        strokes.run_available(live.prefixes(stream), live.analysis_sink(out, parts), str(tmp_path / "c"))
+        strokes.run_available(live.prefixes(stream), live.analysis_sink(spark, out, parts), str(tmp_path / "c"))
         sofar += points[low : low + 16]
         long = []
         for stroke in (0, 1):
@@ -182,3 +182,13 @@ def test_growing_strokes_are_analysed_as_batches_are(spark, tmp_path):
         assert found.keys() == expected.keys()
         for k, r in found.items():
             assert r.n == expected[k].n and [v for v in r if isinstance(v, float)] == pytest.approx([v for v in expected[k] if isinstance(v, float)], nan_ok=True)
+
+
+def test_analysis_of_a_stored_stroke_gives_one_row(spark, tmp_path):
+    # a plan whose unions claim a partitioning that they lack once gave two
+    rng = np.random.default_rng(1)
+    rows = [(0, "L", i, float(x), float(y), 10.0 * i, None) for i, (x, y) in enumerate(rng.random((16, 2)))]
+    points = spark.createDataFrame(rows, "stroke_id long, label string, i int, x double, y double, time double, pressure double").coalesce(1)
+    points.write.parquet(str(tmp_path / "p"))
+    found = analysis.analyse(spark.read.parquet(str(tmp_path / "p")), ("preprocessing", "curvature")).collect()
+    assert [r.n_landmarks for r in found] == [9]
