@@ -5,9 +5,12 @@ begins with the one before it, the new part is the turn's span.  Where it does n
 reported rather than masked wrongly.  Within a turn's span the message's text and role are found by rendering the turn with
 others: what stays the same on both sides belongs to the template.
 
-The template used here marks turns by control strings and escapes those inside texts, reversibly.  It is declared local: a turn
-is rendered alike whatever stands before it.  Only for such templates, and only in conversations of more than ``WHOLE`` turns,
-the last turn alone goes before each one, so that memory stays bounded.
+The template used here marks turns by control strings and escapes those inside texts, reversibly; how to read its texts back is
+a part of it, ``unescape``, and a template without that is taken to put texts as they are.  It is declared local: a turn is
+rendered alike whatever stands before it.  For such templates, once the output is longer than ``WHOLE`` characters, the last turn
+alone goes before each one; whenever the number of turns has doubled, and at the end, the whole conversation is rendered once and
+held against a digest of the spans so far.  Where they differ the declaration is false, and the conversation is read anew from
+whole prefixes.  So the outcome is that of whole prefixes at every length, and the cost linear for a template that is local.
 """
 
 from __future__ import annotations
@@ -47,8 +50,9 @@ def template(messages: list[Message]) -> str:
 
 
 template.local = True
-#: Turns up to which prefixes of a local template are rendered whole too.
-WHOLE = 512
+template.unescape = unescape
+#: Characters of output up to which prefixes of a local template are rendered whole too.
+WHOLE = 100_000
 
 
 @dataclass(frozen=True)
@@ -97,7 +101,7 @@ def turn_span(render: Template, before: list[Message], role: str, text: str, old
     role_start = role_end = None
     try:
         probes = [render([*before, (probe, text)])[start:] for probe in ("q", "zz")]
-        if probes[0] != probes[1]:
+        if len(probes[1]) - len(probes[0]) == 1:  # shown in one place
             first, last = _between(*probes, 1)
             role_start, role_end = start + first, len(new) - last
     except Exception:  # noqa: BLE001 - a template may refuse roles that it does not know
@@ -117,33 +121,58 @@ def turn_spans(render: Template, messages: list[Message]) -> tuple[str, list[Spa
 class Reader:
     """Reads turns of one conversation as they come."""
 
-    def __init__(self, render: Template):
-        self.render, self.local = render, getattr(render, "local", False)
-        self.before: list[Message] = []
+    def __init__(self, render: Template, local: bool | None = None):
+        self.render, self.unescape = render, getattr(render, "unescape", str)
+        self.local = getattr(render, "local", False) if local is None else local
+        self.messages: list[Message] = []
         self.output, self.size = before_all(render), 0
+        self.seen, self.check_at = None, 0  # a digest of the output, once the last turn alone goes before each one
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = self.rewrites = 0
 
     def add(self, role: str, text: str) -> None:
-        if self.local and len(self.before) >= WHOLE:
-            self.before = self.before[-1:]
-            self.size += len(self.output)
-            self.output = self.render(self.before)
-            self.size -= len(self.output)
-        new, span = turn_span(self.render, self.before, role, text, self.output)
-        said = unescape(new[span.text_start : span.text_end])
-        name = role if span.role_start is None else unescape(new[span.role_start : span.role_end])
+        if self.local and self.seen is None and self.messages and len(self.output) > WHOLE:
+            self.seen, self.size, self.check_at = hashlib.sha256(self.output.encode()), len(self.output), 2 * len(self.messages)
+            self.output = self.render(self.messages[-1:])
+        before = self.messages[:] if self.seen is None else self.messages[-1:]
+        new, span = turn_span(self.render, before, role, text, self.output)
+        self.messages.append((role, text))
+        if self.seen is None:
+            self.output, self.formatted_chars = new, len(new)
+        elif span.rewritten:
+            return self.read_anew()
+        else:
+            self.seen.update(new[span.start :].encode())
+            self.size += len(new) - span.start
+            self.output, self.formatted_chars = self.render(self.messages[-1:]), self.size
+        self.take(role, new, span)
+        if self.seen and len(self.messages) >= self.check_at:
+            self.check_at *= 2
+            self.check()
+
+    def take(self, role: str, new: str, span: Span) -> None:
+        said = self.unescape(new[span.text_start : span.text_end])
+        name = role if span.role_start is None else self.unescape(new[span.role_start : span.role_end])
         self.turns.update(f"{name}\n{said}\n".encode())
         self.n_turns += 1
         self.rewrites += span.rewritten
         if name == "assistant":  # the loss mask: this turn's text and nothing around it
             self.loss.update(said.encode())
             self.loss_chars += len(said)
-        self.before.append((role, text))
-        self.output = new
-        self.formatted_chars = self.size + len(new)
+
+    def check(self) -> None:
+        if self.seen and hashlib.sha256(self.render(self.messages).encode()).digest() != self.seen.digest():
+            self.read_anew()
+
+    def read_anew(self) -> None:
+        """From whole prefixes, as the template is not local."""
+        messages = self.messages
+        self.__init__(self.render, False)
+        for role, text in messages:
+            self.add(role, text)
 
     def row(self) -> tuple:
+        self.check()
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.rewrites
 
 
@@ -152,7 +181,7 @@ def format_conversations(turns: DataFrame, render: Template = template, conv_col
 
     Rows go in the order of ``turn`` (null first), then role and text.  A null text or role counts as empty.  Rows with a
     null conversation make one conversation.  Repeated rows are turns of their own.  Conversations are spread by a shuffle
-    on their id and read turn after turn in a sorted stream; a conversation in a template that is not local is held whole.
+    on their id and read turn after turn in a sorted stream; a conversation is held whole, very long texts too.
     Other columns are not read; an empty table gives no rows.
     """
     bound_batches(turns.sparkSession)

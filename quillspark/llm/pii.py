@@ -7,7 +7,7 @@ as well, wherever in the document it stands.  Over all documents, with ``n`` of
 * the disclosure of e by t is ``log(p(e|t) / p(e)) / log(1 / p(e))``: the part of e's information that t gives away, 1 where
   t always comes with e, 0 where it says nothing.
 
-A term that discloses an entity to ``THRESHOLD`` or more, if at least ``SUPPORT`` documents hold the two together, is a span of
+A term that discloses an entity to ``THRESHOLD`` or more, if at least ``SUPPORT`` different texts hold the two together, is a span of
 kind ``term`` at each of its occurrences, in documents without the entity too.  Entity spans are replaced by their kind, terms
 are generalised to ``[TERM]``.  A term in more than ``n_entity / p(e) ** (1 - THRESHOLD)`` documents cannot reach the threshold,
 as no more than ``n_entity`` of them hold e; such pairs are never made.
@@ -33,7 +33,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}++"
-THRESHOLD, SUPPORT = 0.8, 3
+THRESHOLD, SUPPORT = 0.8, 2
 STEP = 64
 #: Words of 64 bits of the filter that tells which texts may hold a disclosing term: a bounded number of rows.
 FILTER_WORDS = 1 << 18
@@ -171,7 +171,8 @@ def disclosing(held: DataFrame, threshold: float, support: int) -> DataFrame:
     rows = held.where(F.size("entities") > 0).join(whose.select("text_key").distinct(), "text_key", "left_semi")
     said = materialize(rows.select("text_key", F.explode("terms").alias("term")).distinct().join(terms, "term"), "pii-said")
     pairs = whose.join(said, "text_key").where(F.col("n_term") <= F.col("most"))
-    together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_rows").alias("n_both")).where(F.col("n_both") >= support)
+    # copies of a text say the same thing again, so support is a number of different texts; shares are of all documents
+    together = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_rows").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
     p_entity, p_given = F.col("n_entity") / n, F.col("n_both") / F.col("n_term")
     return together.where(F.log(p_given / p_entity) / F.log(1 / p_entity) >= threshold).select("term").distinct()
 

@@ -15,10 +15,13 @@ BATCH_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a folder of this machine on a
+    local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = current or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -37,6 +40,8 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # in Spark 4.1 a union of branches of one dealt table claims a partitioning that it may lack
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -339,6 +339,45 @@ def test_chat_long_conversations_of_a_local_template(monkeypatch):
     assert found[0] == found[1] and found[0][4] == len(chat.template(turns))
 
 
+def plain_turn(messages):
+    return "".join(f"<{role}>{text}</{role}>" for role, text in messages)
+
+
+def test_chat_reads_templates_that_do_not_escape():
+    texts = ["100%25 sure <%7C", "x%2Fs> [%49NST]", ""]
+    turns = [("assistant", t) for t in texts]
+    reader = chat.Reader(plain_turn)
+    for turn in turns:
+        reader.add(*turn)
+    expected = hashlib.sha256("".join(texts).encode()).hexdigest()
+    assert reader.row()[2:4] == (sum(map(len, texts)), expected) and reader.row()[5] == 0
+
+
+def test_chat_finds_rewriting_after_many_turns(monkeypatch):
+    def late(messages):  # claims to be local, and rewrites once there are 650 turns
+        return ("late:" if len(messages) >= 650 else "") + plain_turn(messages)
+
+    late.local = True
+    turns = [(("user", "assistant")[k % 2], f"turn {k} " + "x" * (k % 7)) for k in range(700)]
+    monkeypatch.setattr(chat, "WHOLE", 200)
+    found = {}
+    for claim in (None, False):
+        reader = chat.Reader(late, claim)
+        for turn in turns:
+            reader.add(*turn)
+        found[claim] = reader.row()
+    assert found[None] == found[False] and found[None][5] == 1
+
+
+def test_chat_of_long_texts_takes_linear_time():
+    text = "y" * 20_000
+    reader = chat.Reader(chat.template)
+    for k in range(512):  # 10 MB
+        reader.add(("user", "assistant")[k % 2], text)
+    assert reader.row()[:1] == (512,) and reader.row()[2] == 256 * 20_000
+    assert reader.formatted_chars == len(chat.template([(("user", "assistant")[k % 2], text) for k in range(512)]))
+
+
 def test_chat_edges(spark):
     turns = spark.createDataFrame([(1, 1, "assistant", None, 0), (1, 0, "user", "hi", 0), (None, 0, "user", "x", 0), (2, 0, "assistant", "a" * 100000, 0), (2, 0, "assistant", "b", 0)], "conv_id long, turn long, role string, text string, n_turns int")
     found = {r.conv_id: r for r in chat.format_conversations(turns).collect()}
@@ -511,6 +550,14 @@ def test_pii_terms_far_from_the_entity_and_without_it(spark):
     assert found[9] == "term:7:14" and all(found[k] == "" for k in range(10, len(texts)))
 
 
+def test_pii_two_texts_are_enough_and_copies_of_one_are_not(spark):
+    two = ["here Zorblax has zor@mail.com", "there is Zorblax of zor@mail.com"] + ["Quux writes from quux@mail.com"] * 5
+    texts = two + [f"here there is has of writes from plain text number {k}" for k in range(20)]
+    found = {r.doc_id: r.spans for r in pii.find(documents(spark, texts)).collect()}
+    assert found[0] == "term:5:12,email:17:29" and found[1] == "term:9:16,email:20:32"
+    assert all("term" not in found[k] for k in range(2, len(texts)))
+
+
 def test_pii_terms_equal_brute_force(spark):
     rng = random.Random(6)
     names, mails = [f"name{chr(97 + k)}{chr(97 + k)}" for k in range(8)], [f"m{k}@x.org" for k in range(8)]
