@@ -58,7 +58,7 @@ WHOLE = 100_000
 @dataclass(frozen=True)
 class Span:
     """Where a turn and, within it, its text and role stand in the output of its prefix; ``rewritten`` if it changed what came
-    before it.  A role that the template does not show, or whose others it does not take, has no place."""
+    before it.  A role that the template does not show in just one place, or whose others it does not take, has no place."""
 
     start: int
     end: int
