@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import pairs, topology
+from quillspark.state import dealt
 
 STEPS, MOST = 20, 0.5
 #: Intervals shorter than this are dropped.
@@ -71,7 +72,7 @@ def loop_intervals(points: DataFrame, steps: int = STEPS, most: float = MOST) ->
         ids = rows.column("stroke_id").combine_chunks().take(pa.array([0] * len(found), pa.int64()))
         return pa.table({"stroke_id": ids, "birth": pa.array(births, pa.float64()), "death": pa.array(deaths, pa.float64())})
 
-    return points.select("stroke_id", "i", "x", "y").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, birth double, death double")
+    return dealt(points.select("stroke_id", "i", "x", "y"), "stroke_id").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, birth double, death double")
 
 
 def intervals(points: DataFrame, steps: int = STEPS, most: float = MOST) -> DataFrame:

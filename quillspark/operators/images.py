@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.pixels import _thin
+from quillspark.state import dealt
 
 TARGET, BLOCK, OFFSET = 128, 11, 2
 #: Shares of ink between which a threshold is believed, and the likeliest one.
@@ -363,4 +364,4 @@ def drawn(ink: DataFrame, size: int, thick: bool = True) -> DataFrame:
         image = grown(image) if thick else image
         return pa.table({"image_id": rows.column("image_id").slice(0, 1), "height": pa.array([size], pa.int32()), "width": pa.array([size], pa.int32()), "pixels": pa.array([np.where(image, 0, 255).astype(np.uint8).tobytes()], pa.binary())})
 
-    return ink.groupBy("image_id").applyInArrow(run, f"image_id {dict(ink.dtypes)['image_id']}, height int, width int, pixels binary")
+    return dealt(ink, "image_id").groupBy("image_id").applyInArrow(run, f"image_id {dict(ink.dtypes)['image_id']}, height int, width int, pixels binary")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.state import dealt
+
 
 def rasterised(points: DataFrame, size: int = 32) -> DataFrame:
     """Dark pixels where points of the unit square fall: distinct (image_id, y, x)."""
@@ -114,4 +116,4 @@ def skeleton(ink: DataFrame, size: int) -> DataFrame:
         y, x = np.nonzero(_thin(image))
         return pa.table({"image_id": pa.array([rows.column("image_id")[0].as_py()] * len(y), pa.int64()), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32())})
 
-    return ink.groupBy("image_id").applyInArrow(run, "image_id long, y int, x int")
+    return dealt(ink, "image_id").groupBy("image_id").applyInArrow(run, "image_id long, y int, x int")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.sequence import tangent_angle, whole
+from quillspark.state import dealt
 
 
 def by_k():
@@ -22,7 +23,7 @@ def by_k():
 
 
 def tangent_signal(points: DataFrame) -> DataFrame:
-    return tangent_angle(points).select("stroke_id", F.col("i").alias("k"), F.coalesce("tangent", F.lit(0.0)).alias("v"))
+    return tangent_angle(dealt(points, "stroke_id")).select("stroke_id", F.col("i").alias("k"), F.coalesce("tangent", F.lit(0.0)).alias("v"))
 
 
 def spectrum(signal: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.state import dealt
+
 #: Triangles of no more area are none; a circle is empty if no point is further inside than this.
 LEAST_AREA, SLACK = 1e-10, 1e-10
 
@@ -78,7 +80,8 @@ def triangles(points: DataFrame) -> DataFrame:
         return pa.table(own | {f"{axis}{n}": values[k] for axis, values in (("x", x), ("y", y)) for n, k in (("a", a), ("b", b), ("c", c))})
 
     numbers = ", ".join(f"{c} double" for c in ("cx", "cy", "r", "area", *corners))
-    return points.select("stroke_id", F.col("i").cast("int").alias("i"), "x", "y").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, a int, b int, c int, {numbers}")
+    own = points.select("stroke_id", F.col("i").cast("int").alias("i"), "x", "y")
+    return dealt(own, "stroke_id").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, a int, b int, c int, {numbers}")
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def shape_features(points: DataFrame, alpha: float) -> DataFrame:
         x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
         return pa.table({"stroke_id": rows.column("stroke_id").slice(0, 1), "features": pa.array([alpha_features(x, y, alpha)], pa.list_(pa.float64()))})
 
-    return points.select("stroke_id", "i", "x", "y").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, features array<double>")
+    return dealt(points.select("stroke_id", "i", "x", "y"), "stroke_id").groupBy("stroke_id").applyInArrow(run, f"stroke_id {kind}, features array<double>")
 
 
 def shape_similarity(a: Column, b: Column) -> Column:

@@ -31,3 +31,15 @@ def plain_unions(spark: SparkSession) -> None:
     """Unions are to claim no partitioning of their own.  In Spark 4.1 a union of branches of one dealt table claims their
     common partitioning where it does not hold, and a grouping after it then gives a key several rows."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into twice as many parts as the session shuffles to, and no fewer than twice its cores.
+
+    For procedures that cost far more than their rows' bytes: adaptive execution merges small parts by bytes and would run them
+    in one task, but leaves a stated number alone.  The number differs from that of other shuffles, as one that repeats the
+    partitioning below it would be dropped, and the parts below merged after all.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(2 * parts, *keys)
