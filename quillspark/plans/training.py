@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import evaluation as E
 from quillspark.operators import extra as O
+from quillspark.operators import fitting as T
 from quillspark.operators import training as N
+from quillspark.operators.projection import projected
 from quillspark.plans.registry import BODIES, query, rounded
 from quillspark.schema import catalog_strokes, embedding_points, event_points, read
 
@@ -89,3 +91,38 @@ t AS (SELECT *, sum(n) OVER (PARTITION BY pos) AS t, sum(n) OVER (PARTITION BY p
 SELECT pos, round(sum(n / t::DOUBLE * log2(n * t / (a * b)::DOUBLE)), 6) + 0.0 AS information FROM t GROUP BY 1""")
 def _(spark, sf_dir):
     return rounded(N.mutual_information(_vectors(spark, sf_dir), "features", "label"))
+
+
+@query("ml11_layers", """WITH s AS (SELECT max(len(embedding)) AS width, count(DISTINCT label) AS classes FROM embeddings),
+l AS (SELECT 0 AS layer, width AS inputs, 32 AS outputs FROM s UNION ALL SELECT 1, 32, classes FROM s)
+SELECT layer, inputs, outputs, (inputs + 1) * outputs AS parameters, round((inputs + 1) * outputs * 4 / 1048576.0::DOUBLE, 6) AS megabytes FROM l""")
+def _(spark, sf_dir):
+    return rounded(T.layers_of(_vectors(spark, sf_dir), "features", "label", (32,)))
+
+
+def _split_vectors(spark, sf_dir):
+    rows = E.standardised(_vectors(spark, sf_dir), "features").select("id", "label", F.col("scaled").alias("features"))
+    return rows.join(E.stratified_split(rows.select("id", "label")).select("id", "part"), "id")
+
+
+@query("ml12_training_history")
+def _(spark, sf_dir):
+    settings = T.Settings(hidden=(32,), epochs=8, steps=2, rate=0.01, patience=4)
+    return rounded(T.fitted(_split_vectors(spark, sf_dir), settings=settings).history(spark))
+
+
+@query("ml12_predictions")
+def _(spark, sf_dir):
+    rows = _split_vectors(spark, sf_dir)
+    model = T.fitted(rows, settings=T.Settings(epochs=4, rate=0.05))
+    return rounded(T.predicted(rows, model))
+
+
+@query("emb11_projection")
+def _(spark, sf_dir):
+    return rounded(projected(_vectors(spark, sf_dir))[0])
+
+
+@query("emb11_explained")
+def _(spark, sf_dir):
+    return rounded(projected(_vectors(spark, sf_dir))[1])
