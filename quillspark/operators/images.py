@@ -27,8 +27,13 @@ SPEED, GAP = 100.0, 0.1
 Path = list[tuple[int, int]]
 
 
+#: First column and row, and their distances, of the seven passes of an interlaced file (fixed values of the format).
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Gray levels of a PNG file of 8 bits a sample, not interlaced; colours by luminance."""
+    """Gray levels of a PNG file: colours by luminance, of 16 bits the upper eight, fewer ones brought to 0 to 255; transparency
+    counts for nothing."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
     at, packed, palette, head = 8, [], None, None
@@ -46,20 +51,49 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("no image header")
     width, height, depth, colour, _, _, laced = head
     samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or laced or samples is None:
-        raise ValueError("only 8 bits a sample without interlacing")
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * samples)
-    out = np.zeros((height, width * samples), np.uint8)
-    before = np.zeros(width * samples, np.int32)
-    for y, row in enumerate(rows):
-        before = _unfiltered(int(row[0]), row[1:].astype(np.int32), before, samples)
-        out[y] = before
-    pixels = out.reshape(height, width, samples)
+    if samples is None or depth not in (1, 2, 4, 8, 16) or laced > 1 or (colour == 3 and palette is None):
+        raise ValueError("unknown kind of PNG file")
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    pixels, start = np.zeros((height, width, samples), np.uint8), 0
+    for x, y, dx, dy in PASSES if laced else ((0, 0, 1, 1),):
+        part = pixels[y::dy, x::dx]
+        if part.size:
+            wide = -(-part.shape[1] * samples * depth // 8)
+            rows = raw[start : start + part.shape[0] * (1 + wide)].reshape(part.shape[0], 1 + wide)
+            start += rows.size
+            pixels[y::dy, x::dx] = _samples(_plain_rows(rows, max(1, samples * depth // 8)), depth, part.shape)
     if colour == 3:
         pixels = palette[pixels[:, :, 0]]
+    elif depth < 8:
+        pixels = pixels * (255 // ((1 << depth) - 1))
+    return luminance(pixels)
+
+
+def luminance(pixels: np.ndarray) -> np.ndarray:
+    """Gray levels of pixels of one or two samples (gray first), or of three or four (red, green, blue first)."""
     if pixels.shape[2] >= 3:
         return np.rint(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
-    return pixels[:, :, 0].copy()
+    return pixels[:, :, 0].astype(np.uint8)
+
+
+def _samples(rows: np.ndarray, depth: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Rows of bytes as samples of at most eight bits."""
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1)
+        bits = bits.reshape(len(rows), -1, depth)
+        rows = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, : shape[1] * shape[2]]
+    return rows.reshape(shape)
+
+
+def _plain_rows(rows: np.ndarray, step: int) -> np.ndarray:
+    out = np.zeros((len(rows), rows.shape[1] - 1), np.uint8)
+    before = np.zeros(rows.shape[1] - 1, np.int32)
+    for y, row in enumerate(rows):
+        before = _unfiltered(int(row[0]), row[1:].astype(np.int32), before, step)
+        out[y] = before
+    return out
 
 
 def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -307,6 +341,27 @@ def convert(image: np.ndarray, target: int = TARGET, opened: bool = False) -> tu
     return int(skeleton.sum()), len(paths), quality(strokes, int(skeleton.sum())), strokes
 
 
+def from_decoder(rows: DataFrame) -> DataFrame:
+    """Rows of Spark's image source (a struct ``image``) as ``image_id, height, width, pixels``: gray levels, null where the file
+    could not be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grays = []
+            for row in batch.select(["height", "width", "channels", "data"]).to_pylist():
+                if row["height"] is None or row["height"] <= 0 or row["channels"] <= 0:
+                    grays.append(None)
+                    continue
+                pixels = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+                grays.append(luminance(pixels[:, :, [2, 1, 0]] if row["channels"] >= 3 else pixels).tobytes())  # blue comes first there
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("height"), batch.column("width"), pa.array(grays, pa.binary())], names=["image_id", "height", "width", "pixels"])
+
+    # the two sources spell the same address differently
+    place = F.regexp_replace("image.origin", "^file:/+", "file:/")
+    flat = rows.select(place.alias("image_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    return flat.mapInArrow(run, "image_id string, height int, width int, pixels binary")
+
+
 def converted(images: DataFrame, target: int = TARGET, opened: bool = False) -> DataFrame:
     """``image_id`` and what became of each image: an error, or its strokes and their measures.
 
@@ -324,6 +379,8 @@ def converted(images: DataFrame, target: int = TARGET, opened: bool = False) ->
             done = []
             for row in batch.to_pylist():
                 try:
+                    if not files and row["pixels"] is None:
+                        raise ValueError("the image cannot be read")
                     image = decode_png(row["content"]) if files else np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"])
                     pixels, branches, score, strokes = convert(image, target, opened)
                     listed = [[dict(zip(("x", "y", "time", "pressure"), p)) for p in stroke] for stroke in strokes]

@@ -9,6 +9,8 @@ from quillspark.schema import STROKE
 
 #: Image files that an import takes.
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tiff")
+#: Those of them that Spark's image source decodes; of grays of 16 bits it would give the lower eight, so it gets no other kinds.
+DECODED = ("jpg", "jpeg", "bmp")
 
 
 def read_strokes_json(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +53,18 @@ def export_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def decoded_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``image_id, height, width, pixels`` of the JPEG and BMP files named or under a folder; no pixels for files that cannot be read."""
+    from quillspark.operators import images
+
+    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(paths)
+    return images.from_decoder(found.where(extension(F.col("image.origin")).isin(*DECODED)))
+
+
 def convert_files(spark: SparkSession, path: str, labels: list[str] | None = None, count: int | None = None, least: float = 0.0) -> DataFrame:
     """Image files under a folder as strokes: a sample first, if asked for, then those of the labels; one row per file with its
     label, its strokes or its error."""
@@ -58,5 +72,7 @@ def convert_files(spark: SparkSession, path: str, labels: list[str] | None = Non
 
     files = image_files(spark, path)
     files = sample_files(files, count) if count else files
-    chosen = records.of_labels(files, labels or []).select(F.col("path").alias("image_id"), "label", "content")
-    return images.accepted(images.converted(chosen), least).join(chosen.select("image_id", "label"), "image_id")
+    chosen = records.of_labels(files, labels or []).select(F.regexp_replace("path", "^file:/+", "file:/").alias("image_id"), "label", "content")
+    other = extension(F.col("image_id")).isin(*DECODED)
+    found = images.converted(chosen.where(~other)).unionByName(images.converted(decoded_images(spark, path).join(chosen.where(other).select("image_id"), "image_id", "left_semi")))
+    return images.accepted(found, least).join(chosen.select("image_id", "label"), "image_id")

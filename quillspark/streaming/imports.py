@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import images, records
-from quillspark.sources.files import EXTENSIONS, label_of_path
+from quillspark.sources.files import DECODED, EXTENSIONS, decoded_images, extension, label_of_path
 from quillspark.streaming.progress import told_once
 from quillspark.streaming.strokes import run_available
 
@@ -45,9 +45,15 @@ def import_files(
 
     def take(batch: DataFrame, number: int) -> None:
         files = records.of_labels(batch.withColumn("label", label_of_path(F.col("path"))), labels or [])
-        fits = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS)
-        done = images.accepted(images.converted(files.where(fits).select(F.col("path").alias("image_id"), "content")), least)
-        done = files.where(fits).select(F.col("path").alias("image_id"), "label").join(done, "image_id")
+        fits = extension(F.col("path")).isin(*EXTENSIONS)
+        own = F.regexp_replace("path", "^file:/+", "file:/").alias("image_id")
+        drawn = extension(F.col("path")).isin(*DECODED)
+        found = images.converted(files.where(fits & ~drawn).select(own, "content"))
+        paths = [row["image_id"] for row in files.where(fits & drawn).select(own).collect()]  # at most ``per_batch``
+        if paths:
+            found = found.unionByName(images.converted(decoded_images(spark, paths)))
+        done = images.accepted(found, least)
+        done = files.where(fits).select(own, "label").join(done, "image_id")
         name = F.element_at(F.split("path", "/"), -1)
         other = files.where(~fits).select(F.col("path").alias("image_id"), "label", F.lit("failed").alias("status"), F.concat(F.lit("Unsupported file type: "), name).alias("error"))
         both = done.unionByName(other, allowMissingColumns=True)

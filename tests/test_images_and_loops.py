@@ -45,6 +45,64 @@ def test_png_files_are_read():
         I.decode_png(b"GIF89a")
 
 
+def packed_png(pixels, depth, colour, laced=0, palette=b""):
+    """A PNG file without filters, its samples of ``depth`` bits, in the order of the passes if interlaced."""
+    body = b""
+    for x, y, dx, dy in I.PASSES if laced else ((0, 0, 1, 1),):
+        for row in pixels[y::dy, x::dx]:
+            if row.size:
+                bits = "".join(f"{int(v):0{depth}b}" for v in row.ravel())
+                bits += "0" * (-len(bits) % 8)
+                body += b"\0" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    chunk = lambda kind, data: struct.pack(">I4s", len(data), kind) + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], depth, colour, 0, 0, laced)
+    middle = chunk(b"PLTE", palette) if palette else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + middle + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("laced", [0, 1])
+def test_png_of_all_depths(laced):
+    rng = np.random.default_rng(2)
+    for depth in (1, 2, 4, 8, 16):
+        gray = rng.integers(0, 1 << depth, (11, 13))
+        expected = gray >> 8 if depth == 16 else gray * 255 // ((1 << depth) - 1)
+        assert (I.decode_png(packed_png(gray, depth, 0, laced)) == expected).all()
+        if depth < 16:
+            colours = rng.integers(0, 256, (1 << depth, 3)).astype(np.uint8)
+            assert (I.decode_png(packed_png(gray, depth, 3, laced, colours.tobytes())) == np.rint(colours[gray] @ [0.299, 0.587, 0.114])).all()
+    wide = rng.integers(0, 65536, (3, 2, 4))
+    assert (I.decode_png(packed_png(wide, 16, 6, laced)) == np.rint((wide[:, :, :3] >> 8) @ [0.299, 0.587, 0.114])).all()
+    with pytest.raises(ValueError):
+        I.decode_png(packed_png(gray, 8, 3))
+
+
+def test_jpeg_and_bmp_files_become_strokes(spark, tmp_path):
+    """The files are written by the virtual machine's own encoder; a bitmap loses nothing, a JPEG of a drawing little."""
+    from quillspark.sources import files
+
+    image = np.full((48, 48), 255, np.uint8)
+    image[10:38, 22:26] = 0
+    awt, io = spark._jvm.java.awt.image.BufferedImage, spark._jvm.javax.imageio.ImageIO
+    for name, kind, number in (("a.bmp", "bmp", awt.TYPE_INT_RGB), ("b.jpg", "jpg", awt.TYPE_INT_RGB), ("c.jpeg", "jpg", awt.TYPE_BYTE_GRAY)):
+        canvas = awt(48, 48, number)
+        for y in range(48):
+            for x in range(48):
+                canvas.setRGB(x, y, int(image[y, x]) * 0x10101)
+        assert io.write(canvas, kind, spark._jvm.java.io.File(str(tmp_path / name)))
+    (tmp_path / "d.png").write_bytes(png(image, [0] * 48))
+    (tmp_path / "e.jpg").write_bytes(b"no image")
+    (tmp_path / "f.tiff").write_bytes(b"II*\0")
+    decoded = {r["image_id"].rsplit("/", 1)[1]: r for r in files.decoded_images(spark, f"file://{tmp_path}").collect()}
+    assert sorted(decoded) == ["a.bmp", "b.jpg", "c.jpeg", "e.jpg"] and decoded["e.jpg"]["pixels"] is None
+    level = lambda name: np.frombuffer(decoded[name]["pixels"], np.uint8).reshape(48, 48).astype(int)
+    assert (level("a.bmp") == image).all()
+    assert all(np.abs(level(name) - image).max() < 60 and np.abs(level(name) - image).mean() < 3 for name in ("b.jpg", "c.jpeg"))
+    found = {r["image_id"].rsplit("/", 1)[1]: r for r in files.convert_files(spark, f"file://{tmp_path}").collect()}
+    assert {n for n, r in found.items() if r["status"] == "processed"} == {"a.bmp", "b.jpg", "c.jpeg", "d.png"}
+    assert found["e.jpg"]["error"] and found["f.tiff"]["error"] and found["a.bmp"]["label"] == "A"
+    assert len(found["a.bmp"]["strokes"]) == len(found["d.png"]["strokes"]) > 0
+
+
 def test_padding_keeps_proportions_and_means():
     image = np.zeros((40, 80), np.uint8)
     image[:, :40] = 200
