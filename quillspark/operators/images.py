@@ -356,8 +356,8 @@ def from_decoder(rows: DataFrame) -> DataFrame:
                 grays.append(luminance(pixels[:, :, [2, 1, 0]] if row["channels"] >= 3 else pixels).tobytes())  # blue comes first there
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("height"), batch.column("width"), pa.array(grays, pa.binary())], names=["image_id", "height", "width", "pixels"])
 
-    # the two sources spell the same address differently
-    place = F.regexp_replace("image.origin", "^file:/+", "file:/")
+    # this source spells addresses in their encoded form
+    place = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
     flat = rows.select(place.alias("image_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
     return flat.mapInArrow(run, "image_id string, height int, width int, pixels binary")
 

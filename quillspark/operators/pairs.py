@@ -54,11 +54,37 @@ def segment_pairs(points: DataFrame) -> DataFrame:
     return p.join(q, "stroke_id").where("t >= s + 2 and not (s = 0 and t = n - 2)")
 
 
+def in_cells(found: DataFrame) -> DataFrame:
+    """Each segment once for every cell it passes, ``cell`` (column, row): a stroke's box has about sqrt(n) / 4 cells a side, so
+    that short segments of long strokes meet few others.  Cells reach a little over their borders; rounding loses no meeting."""
+    slack, side = 1e-6, F.greatest(F.lit(1), F.floor(F.sqrt("n") / 4)).cast("int")
+    ends = {}
+    for axis in "xy":
+        low, high = (f(F.least(axis, f"{axis}2") if f is F.min else F.greatest(axis, f"{axis}2")).over(whole()) for f in (F.min, F.max))
+        for name in (axis, f"{axis}2"):
+            ends[f"at_{name}"] = F.when(high > low, (F.col(name) - low) / (high - low) * side).otherwise(0.0)
+    s = found.withColumns({**ends, "side": side})
+    cell = lambda at: F.least(F.col("side") - 1, F.greatest(F.lit(0), F.floor(at).cast("int")))
+    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - slack), cell(F.greatest(a, b) + slack)))
+    s = s.withColumn("column", span(F.col("at_x"), F.col("at_x2")))
+    run = F.nullif(F.col("at_x2") - F.col("at_x"), F.lit(0.0))
+    enter, leave = ((F.col("column") + v - F.col("at_x")) / run for v in (-slack, 1 + slack))
+    first, last = F.coalesce(F.greatest(F.lit(0.0), F.least(enter, leave)), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), F.greatest(enter, leave)), F.lit(1.0))
+    height = lambda share: F.col("at_y") + share * (F.col("at_y2") - F.col("at_y"))
+    s = s.withColumns({"from": F.when(run.isNull(), F.col("at_y")).otherwise(height(first)), "to": F.when(run.isNull(), F.col("at_y2")).otherwise(height(last))})
+    s = s.withColumn("row", span(F.col("from"), F.col("to")))
+    return s.select(*found.columns, F.struct("column", "row").alias("cell"))
+
+
 def crossings(points: DataFrame) -> DataFrame:
-    """Self-intersections: ``stroke_id, s, t, cx, cy, sign, angle``."""
-    p = segment_pairs(points).withColumn("den", F.expr("vx * uy - vy * ux")).where("abs(den) >= 1e-10")
+    """Self-intersections: ``stroke_id, s, t, cx, cy, sign, angle``.  Only segments that pass a common cell are set side by side."""
+    found = in_cells(segments(points))
+    p = found.selectExpr("stroke_id", "cell", "i as s", "n", "x as px", "y as py", "x2 - x as vx", "y2 - y as vy")
+    q = found.selectExpr("stroke_id", "cell", "i as t", "x as qx", "y as qy", "x2 - x as ux", "y2 - y as uy")
+    p = p.join(q, ["stroke_id", "cell"]).where("t >= s + 2 and not (s = 0 and t = n - 2)")
+    p = p.withColumn("den", F.expr("vx * uy - vy * ux")).where("abs(den) >= 1e-10")
     p = p.withColumns({"along": F.expr("((qx - px) * uy - (qy - py) * ux) / den"), "across": F.expr("((qx - px) * vy - (qy - py) * vx) / den")})
-    p = p.where("along >= 0 and along <= 1 and across >= 0 and across <= 1")
+    p = p.where("along >= 0 and along <= 1 and across >= 0 and across <= 1").dropDuplicates(["stroke_id", "s", "t"])  # met in several cells
     cos = F.expr("(vx * ux + vy * uy)") / (step(F.col("vx"), F.col("vy")) * step(F.col("ux"), F.col("uy")))
     return p.select("stroke_id", "s", "t", F.expr("px + along * vx").alias("cx"), F.expr("py + along * vy").alias("cy"), F.when(F.col("den") > 0, 1).otherwise(-1).alias("sign"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).alias("angle"))
 

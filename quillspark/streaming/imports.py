@@ -6,6 +6,7 @@ done again after a failure overwrites what it had written.  All counts are read
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def import_files(
         found = images.converted(files.where(fits & ~drawn).select(own, "content"))
         paths = [row["image_id"] for row in files.where(fits & drawn).select(own).collect()]  # at most ``per_batch``
         if paths:
-            found = found.unionByName(images.converted(decoded_images(spark, paths)))
+            found = found.unionByName(images.converted(decoded_images(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths])))  # names, not patterns
         done = images.accepted(found, least)
         done = files.where(fits).select(own, "label").join(done, "image_id")
         name = F.element_at(F.split("path", "/"), -1)

@@ -1,4 +1,4 @@
-"""Training and projection against plain numpy."""
+"""Training, projection and crossings against plain numpy."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillspark.operators import fitting as T
+from quillspark.operators.pairs import crossings, in_cells, segments
 from quillspark.operators.projection import projected
 
 
@@ -114,3 +115,28 @@ def test_projection_equals_numpy(spark):
     assert projected(empty)[0].count() == 0 and projected(empty)[1].count() == 0
     with pytest.raises(ValueError):
         projected(spark.createDataFrame(rows, "id long, features array<double>"), count=9)
+
+
+def test_crossings_of_long_strokes(spark):
+    draw = np.random.default_rng(8)
+    n = 1500
+    strokes = [np.cumsum(draw.normal(size=(n, 2)), axis=0), draw.uniform(size=(300, 2)), np.stack([np.arange(200) % 7, np.arange(200) % 5], axis=1) * 1.0]
+    strokes.append(np.full((40, 2), 2.0))
+    rows = [(k, i, float(x), float(y)) for k, stroke in enumerate(strokes) for i, (x, y) in enumerate(stroke)]
+    points = spark.createDataFrame(rows, "stroke_id long, i int, x double, y double")
+    found = {(r.stroke_id, r.s, r.t): (r.cx, r.cy) for r in crossings(points).collect()}
+    expected = {}
+    for k, p in enumerate(strokes):
+        v = np.diff(p, axis=0)
+        for s in range(len(v)):
+            t = np.arange(s + 2, len(v) - (s == 0))
+            den = v[s, 0] * v[t, 1] - v[s, 1] * v[t, 0]
+            with np.errstate(all="ignore"):
+                gx, gy = p[t, 0] - p[s, 0], p[t, 1] - p[s, 1]
+                along, across = (gx * v[t, 1] - gy * v[t, 0]) / den, (gx * v[s, 1] - gy * v[s, 0]) / den
+            hit = (np.abs(den) >= 1e-10) & (along >= 0) & (along <= 1) & (across >= 0) & (across <= 1)
+            expected |= {(k, s, int(j)): tuple(p[s] + a * v[s]) for j, a in zip(t[hit], along[hit])}
+    assert found.keys() == expected.keys() and len(expected) > 1000
+    assert all(np.allclose(found[key], expected[key]) for key in found)
+    walk = in_cells(segments(points.where("stroke_id = 0"))).groupBy("cell").count().collect()
+    assert sum(r["count"] ** 2 for r in walk) < n * n / 8

@@ -83,7 +83,7 @@ def test_jpeg_and_bmp_files_become_strokes(spark, tmp_path):
     image = np.full((48, 48), 255, np.uint8)
     image[10:38, 22:26] = 0
     awt, io = spark._jvm.java.awt.image.BufferedImage, spark._jvm.javax.imageio.ImageIO
-    for name, kind, number in (("a.bmp", "bmp", awt.TYPE_INT_RGB), ("b.jpg", "jpg", awt.TYPE_INT_RGB), ("c.jpeg", "jpg", awt.TYPE_BYTE_GRAY)):
+    for name, kind, number in (("a.bmp", "bmp", awt.TYPE_INT_RGB), ("b.jpg", "jpg", awt.TYPE_INT_RGB), ("c d%+[1].jpeg", "jpg", awt.TYPE_BYTE_GRAY)):
         canvas = awt(48, 48, number)
         for y in range(48):
             for x in range(48):
@@ -93,13 +93,17 @@ def test_jpeg_and_bmp_files_become_strokes(spark, tmp_path):
     (tmp_path / "e.jpg").write_bytes(b"no image")
     (tmp_path / "f.tiff").write_bytes(b"II*\0")
     decoded = {r["image_id"].rsplit("/", 1)[1]: r for r in files.decoded_images(spark, f"file://{tmp_path}").collect()}
-    assert sorted(decoded) == ["a.bmp", "b.jpg", "c.jpeg", "e.jpg"] and decoded["e.jpg"]["pixels"] is None
+    assert sorted(decoded) == ["a.bmp", "b.jpg", "c d%+[1].jpeg", "e.jpg"] and decoded["e.jpg"]["pixels"] is None
     level = lambda name: np.frombuffer(decoded[name]["pixels"], np.uint8).reshape(48, 48).astype(int)
     assert (level("a.bmp") == image).all()
-    assert all(np.abs(level(name) - image).max() < 60 and np.abs(level(name) - image).mean() < 3 for name in ("b.jpg", "c.jpeg"))
+    assert all(np.abs(level(name) - image).max() < 60 and np.abs(level(name) - image).mean() < 3 for name in ("b.jpg", "c d%+[1].jpeg"))
     found = {r["image_id"].rsplit("/", 1)[1]: r for r in files.convert_files(spark, f"file://{tmp_path}").collect()}
-    assert {n for n, r in found.items() if r["status"] == "processed"} == {"a.bmp", "b.jpg", "c.jpeg", "d.png"}
+    assert {n for n, r in found.items() if r["status"] == "processed"} == {"a.bmp", "b.jpg", "c d%+[1].jpeg", "d.png"}
     assert found["e.jpg"]["error"] and found["f.tiff"]["error"] and found["a.bmp"]["label"] == "A"
+    from quillspark.streaming import imports
+
+    target = f"file://{tmp_path}/out"
+    assert imports.import_files(spark, f"file://{tmp_path}", target, "all").first()["processed_files"] == 4
     assert len(found["a.bmp"]["strokes"]) == len(found["d.png"]["strokes"]) > 0
 
 
