@@ -1,11 +1,15 @@
 """Alpha shapes: Delaunay triangles by the empty-circle rule, and what follows from their circumradii.
 
-The triangles of a stroke grow from edges: each edge, on each of its sides, is completed by the point whose circle is empty.
-That is a procedure on one stroke's points, in an Arrow function: its work is the number of edges times that of points.
+The triangles of a stroke come from divide and conquer over its points by place, with signs of determinants that are exact where
+rounding could change them; points of one circle are then given all their triples.  That is a procedure on one stroke's points, in
+an Arrow function, and its work is that of sorting.
 """
 
 from __future__ import annotations
 
+import itertools
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,40 +30,183 @@ def circle(x: np.ndarray, y: np.ndarray, a, b, c) -> tuple[np.ndarray, np.ndarra
     return cx, cy, np.sqrt((cx - x[a]) ** 2 + (cy - y[a]) ** 2)
 
 
+class Edge:
+    """A directed edge; ``onext`` and ``oprev`` are the next ones around its origin, against the clock and with it."""
+
+    __slots__ = ("org", "dest", "onext", "oprev", "sym", "gone")
+
+    def __init__(self, org: int, dest: int, sym: Edge | None = None):
+        self.org, self.dest, self.onext, self.oprev, self.gone = org, dest, self, self, False
+        self.sym = sym or Edge(dest, org, self)
+
+
+def splice(a: Edge, b: Edge) -> None:
+    a.onext.oprev, b.onext.oprev = b, a
+    a.onext, b.onext = b.onext, a.onext
+
+
+class Mesh:
+    """Delaunay edges of distinct points sorted by x, then y."""
+
+    def __init__(self, points: list[tuple[float, float]]):
+        self.points, self.edges = points, []
+        if len(points) > 1:
+            self.divided(0, len(points))
+
+    def turn(self, a: int, b: int, c: int) -> float:
+        """Over 0 if a, b, c go against the clock."""
+        (ax, ay), (bx, by), (cx, cy) = self.points[a], self.points[b], self.points[c]
+        left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
+        if abs(left - right) > 4e-16 * (abs(left) + abs(right)):
+            return left - right
+        ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+        return (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+
+    def inside(self, a: int, b: int, c: int, d: int) -> bool:
+        """Whether d is in the circle through a, b, c, which go against the clock."""
+        dx, dy = self.points[d]
+        flat = [v for k in (a, b, c) for v in (self.points[k][0] - dx, self.points[k][1] - dy)]
+
+        def parts(ax, ay, bx, by, cx, cy):
+            qa, qb, qc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+            return qa * (bx * cy), -qa * (by * cx), qb * (cx * ay), -qb * (cy * ax), qc * (ax * by), -qc * (ay * bx)
+
+        found = parts(*flat)
+        total = sum(found)
+        if abs(total) > 3e-15 * sum(map(abs, found)):
+            return total > 0
+        dx, dy = Fraction(dx), Fraction(dy)
+        return sum(parts(*(v for k in (a, b, c) for v in (Fraction(self.points[k][0]) - dx, Fraction(self.points[k][1]) - dy)))) > 0
+
+    def made(self, a: int, b: int) -> Edge:
+        self.edges.append(Edge(a, b))
+        return self.edges[-1]
+
+    def connected(self, a: Edge, b: Edge) -> Edge:
+        e = self.made(a.dest, b.org)
+        splice(e, a.sym.oprev)
+        splice(e.sym, b)
+        return e
+
+    def removed(self, e: Edge) -> None:
+        splice(e, e.oprev)
+        splice(e.sym, e.sym.oprev)
+        e.gone = e.sym.gone = True
+
+    def divided(self, low: int, high: int) -> tuple[Edge, Edge]:
+        """The hull's edges out of the first point, against the clock, and out of the last, with it."""
+        if high - low == 2:
+            e = self.made(low, low + 1)
+            return e, e.sym
+        if high - low == 3:
+            a, b = self.made(low, low + 1), self.made(low + 1, low + 2)
+            splice(a.sym, b)
+            bend = self.turn(low, low + 1, low + 2)
+            if bend > 0:
+                self.connected(b, a)
+            elif bend < 0:
+                c = self.connected(b, a)
+                return c.sym, c
+            return a, b.sym
+        middle = (low + high) // 2
+        left_out, left_in = self.divided(low, middle)
+        right_in, right_out = self.divided(middle, high)
+        return self.sewn(left_out, left_in, right_in, right_out)
+
+    def sewn(self, left_out: Edge, left_in: Edge, right_in: Edge, right_out: Edge) -> tuple[Edge, Edge]:
+        while True:  # down to the common tangent below both
+            if self.turn(right_in.org, left_in.org, left_in.dest) > 0:
+                left_in = left_in.sym.oprev
+            elif self.turn(left_in.org, right_in.dest, right_in.org) > 0:
+                right_in = right_in.sym.onext
+            else:
+                break
+        base = self.connected(right_in.sym, left_in)
+        left_out = base.sym if left_in.org == left_out.org else left_out
+        right_out = base if right_in.org == right_out.org else right_out
+        while True:  # and up
+            above = lambda e: self.turn(e.dest, base.dest, base.org) > 0  # noqa: B023, E731
+            left, right = base.sym.onext, base.oprev
+            if above(left):
+                while self.inside(base.dest, base.org, left.dest, left.onext.dest):
+                    left, old = left.onext, left
+                    self.removed(old)
+            if above(right):
+                while self.inside(base.dest, base.org, right.dest, right.oprev.dest):
+                    right, old = right.oprev, right
+                    self.removed(old)
+            left_fits, right_fits = above(left), above(right)
+            if not left_fits and not right_fits:
+                return left_out, right_out
+            if not left_fits or (right_fits and self.inside(left.dest, left.org, right.org, right.dest)):
+                base = self.connected(right, base.sym)
+            else:
+                base = self.connected(base.sym, left.sym)
+
+    def triangles(self) -> list[tuple[int, int, int]]:
+        found = []
+        for one in self.edges:
+            for e in () if one.gone else (one, one.sym):
+                after = e.sym.oprev
+                if e.org < e.dest and e.org < after.dest and after.sym.oprev.dest == e.org and self.turn(e.org, e.dest, after.dest) > 0:
+                    found.append((e.org, e.dest, after.dest))
+        return found
+
+
+def of_one_circle(x: np.ndarray, y: np.ndarray, found: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Points of triangles side by side whose circles are the same but for rounding, where these are more than three."""
+    a, b, c = np.array(found, np.int64).reshape(-1, 3).T
+    with np.errstate(all="ignore"):
+        cx, cy, r = circle(x, y, a, b, c)
+    far: dict[tuple[int, int], tuple[int, int]] = {}
+    above = list(range(len(found)))
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    for k, corners in enumerate(found):
+        for n in range(3):
+            u, v, w = corners[n], corners[n - 2], corners[n - 1]
+            if (v, u) in far:
+                other, there = far[v, u]
+                if abs(np.hypot(x[there] - cx[k], y[there] - cy[k]) - r[k]) <= 1e-6 * (1 + r[k]):
+                    above[top(k)] = top(other)
+            far[u, v] = (k, w)
+    groups: dict[int, set[int]] = {}
+    for k, corners in enumerate(found):
+        groups.setdefault(top(k), set()).update(corners)
+    return [sorted(g) for g in groups.values() if len(g) > 3]
+
+
 def empty_triangles(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """All triples, in rising order, of some area whose circle holds no other point; of points on one circle every triple."""
-    n = len(x)
-    found: set[tuple[int, int, int]] = set()
-    ahead, seen = [], set()
-    for k in range(n):
-        away = np.hypot(x - x[k], y - y[k])
-        away[away == 0] = np.inf
-        if n > 1 and np.isfinite(away.min()):
-            for other in np.flatnonzero(away <= away.min() * (1 + 1e-9)).tolist():
-                ahead += [(k, other), (other, k)]
-    while ahead:
-        a, b = ahead.pop()
-        if (a, b) in seen:
-            continue
-        seen.add((a, b))
-        side = (x[b] - x[a]) * (y - y[a]) - (x - x[a]) * (y[b] - y[a])
-        left = np.flatnonzero(side / 2 > LEAST_AREA)
-        if not len(left):
-            continue
-        # how far to the left of the edge the circle's centre lies, by the edge's length
-        height = ((x[left] - x[a]) * (x[left] - x[b]) + (y[left] - y[a]) * (y[left] - y[b])) / (2 * side[left])
-        near = left[height <= height.min() + 1e-6 * (1 + abs(height.min()))]
-        for c in near.tolist():
-            one = tuple(sorted((a, b, c)))
-            if one not in found:
-                cx, cy, r = circle(x, y, *one)
-                away = np.sqrt((x - cx) ** 2 + (y - cy) ** 2)
-                away[list(one)] = np.inf
-                if not (away < r - SLACK).any():
-                    found.add(one)
-            if one in found:
-                ahead += [(c, b), (b, c), (a, c), (c, a), (b, a)]
-    return sorted(found)
+    """All triples, in rising order, of some area whose circle holds no other point; of points on one circle every triple, of
+    points at one place each."""
+    places, group = np.unique(np.stack([x, y], axis=1), axis=0, return_inverse=True)
+    px, py = places[:, 0].copy(), places[:, 1].copy()
+    sure = Mesh(list(zip(px.tolist(), py.tolist()))).triangles()
+    kept = {tuple(sorted(t)) for t in sure}
+    more = {t for points in of_one_circle(px, py, sure) for t in itertools.combinations(points, 3)} - kept
+    tried = np.array(sorted(kept) + sorted(more), np.int64).reshape(-1, 3)
+    a, b, c = tried.T
+    area = np.abs((px[b] - px[a]) * (py[c] - py[a]) - (px[c] - px[a]) * (py[b] - py[a])) / 2
+    with np.errstate(all="ignore"):
+        cx, cy, r = circle(px, py, a, b, c)
+    good = area > LEAST_AREA
+    # large circles are held against all points too, as rounding of the radius decides there
+    for k in np.flatnonzero(good & ((np.arange(len(tried)) >= len(kept)) | (r > 10 * (1 + np.ptp(px) + np.ptp(py))))).tolist() if len(tried) else ():
+        away = np.sqrt((px - cx[k]) ** 2 + (py - cy[k]) ** 2)
+        away[tried[k]] = np.inf
+        good[k] = not (away < r[k] - SLACK).any()
+    chosen = tried[good]
+    if len(places) == len(x):
+        back = np.argsort(group.ravel())
+        return sorted(map(tuple, np.sort(back[chosen], axis=1).tolist()))
+    members: list[list[int]] = [[] for _ in places]
+    for k, at in enumerate(group.ravel().tolist()):
+        members[at].append(k)
+    return sorted(tuple(sorted(t)) for one in chosen.tolist() for t in itertools.product(*(members[k] for k in one)))
 
 
 def triangles(points: DataFrame) -> DataFrame:

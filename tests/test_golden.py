@@ -102,3 +102,31 @@ def test_resampling_keeps_still_strokes_and_pressure(spark):
     assert found["line"] == {0: (0.0, 0.0, 0.0, 0.2), 1: (2.0, 0.0, 20.0, None), 2: (4.0, 0.0, 40.0, pytest.approx(0.2)), 3: (6.0, 0.0, 60.0, None), 4: (8.0, 0.0, 80.0, 0.2)}
     assert found["few"] == {0: (3.0, 4.0, 0.0, None)}
     assert geometry.resample(points.drop("pressure"), 5).columns == ["stroke_id", "k", "x", "y", "time"]
+
+
+def test_triangles_equal_all_triples_tried():
+    """Random points, grids, circles, lines, repeated points, none at all."""
+    import itertools
+
+    import numpy as np
+
+    from quillspark.operators import triangulation as A
+
+    draw, turn = np.random.default_rng(1), np.linspace(0, 2 * np.pi, 13)[:-1]
+    cases = [draw.uniform(size=(n, 2)) for n in (0, 1, 2, 3, 8, 20)] + [draw.integers(0, 5, size=(n, 2)).astype(float) for n in (4, 9, 18, 22)]
+    cases += [np.stack([np.cos(turn), np.sin(turn)], 1), np.stack([np.arange(9.0), np.arange(9.0) * 2], 1), np.ones((5, 2))]
+    cases.append(np.stack(np.meshgrid(np.arange(4) / 7, np.arange(5) / 3), -1).reshape(-1, 2))
+    for points in cases:
+        x, y = points[:, 0].copy(), points[:, 1].copy()
+        expected = []
+        for a, b, c in itertools.combinations(range(len(x)), 3):
+            if abs((x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])) / 2 > A.LEAST_AREA:
+                cx, cy, r = A.circle(x, y, a, b, c)
+                away = np.sqrt((x - cx) ** 2 + (y - cy) ** 2)
+                away[[a, b, c]] = np.inf
+                if not (away < r - A.SLACK).any():
+                    expected.append((a, b, c))
+        assert A.empty_triangles(x, y) == expected
+    long = draw.uniform(size=(5000, 2))
+    found = A.empty_triangles(long[:, 0].copy(), long[:, 1].copy())
+    assert 2 * 5000 - 100 < len(found) < 2 * 5000  # 2 n - 2 less the points on the hull
