@@ -39,12 +39,6 @@ def otsu(pixels: DataFrame) -> DataFrame:
     return p.withColumn("b", between).groupBy("image_id").agg(F.max_by("v", F.struct("b", -F.col("v"))).alias("threshold"))
 
 
-def foreground_dark(pixels: DataFrame, size: int) -> DataFrame:
-    """``image_id, flip``: whether most of the border is set."""
-    edge = (F.col("y") == 0).cast("int") + (F.col("y") == size - 1).cast("int") + (F.col("x") == 0).cast("int") + (F.col("x") == size - 1).cast("int")
-    return pixels.groupBy("image_id").agg((F.sum(F.when(F.col("v") == 255, edge).otherwise(0)) > F.sum(F.when(F.col("v") == 0, edge).otherwise(0))).alias("flip"))
-
-
 def links(ink: DataFrame) -> DataFrame:
     """Pairs of set pixels that touch: each pixel looks at its eight neighbours by an equi-join."""
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)))

@@ -17,10 +17,6 @@ def point_errors(x: Column, y: Column, time: Column) -> Column:
     return F.array_compact(F.array(*(F.when(~F.coalesce(finite(c), F.lit(False)), f"{n} is not a finite number") for n, c in (("x", x), ("y", y), ("time", time)))))
 
 
-def point_warnings(time: Column, pressure: Column) -> Column:
-    return F.array_compact(F.array(F.when(time < 0, "time is negative"), F.when((pressure < 0) | (pressure > 1), "pressure is outside [0, 1]")))
-
-
 def check_strokes(points: DataFrame, most: int = 1000, bound: float = 10000.0) -> DataFrame:
     """``stroke_id, n_points, n_errors, n_warnings, is_valid`` by one window and one aggregation.
 
@@ -39,11 +35,6 @@ def check_strokes(points: DataFrame, most: int = 1000, bound: float = 10000.0) -
     return counted.withColumn("is_valid", F.col("n_errors") == 0)
 
 
-def label_errors(strokes: DataFrame) -> DataFrame:
-    """``message`` of the labels that are missing or longer than ten characters."""
-    return strokes.withColumn("message", F.when(F.col("label").isNull() | (F.trim("label") == ""), "label is missing").when(F.length("label") > 10, "label is too long"))
-
-
 def imbalance(strokes: DataFrame) -> DataFrame:
     """``label, n, warning``: fewer than five rows, or under a third of the largest label's."""
     counts = strokes.groupBy("label").agg(F.count("*").alias("n"))

@@ -21,11 +21,6 @@ def read_strokes_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Points in long form from CSV with a header."""
-    return spark.read.schema("stroke_id string, label string, i int, x double, y double, time double, pressure double").csv(path, header=True)
-
-
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Image files under a folder with the label that their path gives."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
