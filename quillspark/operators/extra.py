@@ -83,6 +83,25 @@ def density_grid(points: DataFrame, cells: int) -> DataFrame:
     return placed.groupBy("stroke_id", "gx", "gy").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def density_cloud(points: DataFrame, size: float = 2.0, most: int = 100) -> DataFrame:
+    """``stroke_id, gx, gy, gz, density``: the first ``most`` places, by x, y and z, of a grid that starts at the least corner of
+    each stroke's box, less than ``size`` from which on all axes there is more than one point (x, y, z); the density is their share."""
+    axes = "xyz"
+    boxes = points.groupBy("stroke_id").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in axes for name, f in (("low", F.min), ("high", F.max))))
+    placed = points.select("stroke_id", *axes).join(boxes, "stroke_id")
+
+    def near(c: str) -> Column:
+        at, low = (F.col(c) - F.col(f"low_{c}")) / size, F.col(f"low_{c}")
+        steps = F.sequence(F.greatest(F.lit(0), F.floor(at).cast("int") - 1), F.ceil(at).cast("int") + 1)
+        return F.explode(F.filter(steps, lambda k: (F.abs(F.col(c) - (low + k * size)) < size) & (low + k * size <= F.col(f"high_{c}"))))
+
+    for c in axes:
+        placed = placed.withColumn(f"k{c}", near(c))
+    cells = placed.groupBy("stroke_id", *(f"k{c}" for c in axes)).agg(F.count("*").alias("here"), F.any_value("n").alias("n"), *(F.any_value(f"low_{c}").alias(f"low_{c}") for c in axes)).where("here > 1")
+    first = cells.withColumn("place", F.row_number().over(Window.partitionBy("stroke_id").orderBy("kx", "ky", "kz"))).where(F.col("place") <= most)
+    return first.select("stroke_id", *((F.col(f"low_{c}") + F.col(f"k{c}") * size).alias(f"g{c}") for c in axes), (F.col("here") / F.col("n")).alias("density"))
+
+
 def run_times(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
     """Mean, upper median and share of runs within the limit.  The median is read from counts by value, not from a list."""
     counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))

@@ -17,6 +17,17 @@ def unit_square(points: DataFrame, by: WindowSpec | None = None) -> DataFrame:
     return out.withColumns({c: (F.col(c) - F.col(f"low_{c}")) / F.when(F.col(f"span_{c}") == 0, 1.0).otherwise(F.col(f"span_{c}")) for c in "xy"}).drop(*(f"{k}_{c}" for k in ("low", "span") for c in "xy"))
 
 
+def joint_square(points: DataFrame, drawing: str) -> DataFrame:
+    """x and y brought into [0, 1] by one box for all strokes of a ``drawing``; a side of no extent counts as 1.
+
+    The boxes are aggregated and joined back, so that a drawing of any size is spread over many tasks.
+    """
+    boxes = points.groupBy(drawing).agg(*(f(c).alias(f"{name}_{c}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))))
+    out = points.join(boxes.withColumnRenamed(drawing, "of_"), F.col(drawing).eqNullSafe(F.col("of_")))
+    span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
+    return out.withColumns({c: (F.col(c) - F.col(f"low_{c}")) / F.when(span(c) == 0, 1.0).otherwise(span(c)) for c in "xy"}).drop("of_", *(f"{n}_{c}" for n in ("low", "high") for c in "xy"))
+
+
 def decimate(points: DataFrame, most: int = 100) -> DataFrame:
     """Every k-th point, k the least that leaves ``most`` or fewer; the last point may go."""
     return points.withColumn("stride", F.ceil(F.count("*").over(whole()) / most)).where("i % stride = 0").drop("stride")

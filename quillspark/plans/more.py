@@ -13,6 +13,7 @@ from quillspark.operators import layout as L
 from quillspark.operators import sequence as S
 from quillspark.operators import spectral as X
 from quillspark.operators import topology as T
+from quillspark.operators.geometry import joint_square
 from quillspark.plans.registry import query, rounded
 from quillspark.plans.strokes import box, pts
 from quillspark.schema import catalog_strokes, event_points, predictions, read
@@ -97,6 +98,22 @@ def _(spark, sf_dir):
     return O.density_grid(box(spark, sf_dir), 4)
 
 
+@query("jn17_density_cloud", """WITH p AS (SELECT stroke_id, x * 10 AS x, y * 10 AS y, i::DOUBLE AS z FROM box),
+b AS (SELECT stroke_id, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM p GROUP BY 1),
+c AS (SELECT stroke_id, k, l, m, count(*) AS here, any_value(n) AS n, any_value(lx) AS lx, any_value(ly) AS ly, any_value(lz) AS lz FROM p JOIN b USING (stroke_id), range(0, 6) a(k), range(0, 6) e(l), range(0, 17) d(m)
+  WHERE abs(x - (lx + k * 2)) < 2 AND abs(y - (ly + l * 2)) < 2 AND abs(z - (lz + m * 2)) < 2 AND lx + k * 2 <= hx AND ly + l * 2 <= hy AND lz + m * 2 <= hz GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+SELECT stroke_id, round(lx + k * 2, 6) + 0.0 AS gx, round(ly + l * 2, 6) + 0.0 AS gy, round(lz + m * 2, 6) + 0.0 AS gz, round(here / n::DOUBLE, 6) + 0.0 AS density
+FROM (SELECT *, row_number() OVER (PARTITION BY stroke_id ORDER BY k, l, m) AS place FROM c) WHERE place <= 100""", "box")
+def _(spark, sf_dir):
+    wide = box(spark, sf_dir).withColumns({"x": F.col("x") * 10, "y": F.col("y") * 10, "z": F.col("i").cast("double")})
+    return rounded(O.density_cloud(wide))
+
+
+@query("geo02_joint_square", f"SELECT stroke_id, i, {R('(x - min(x) OVER d) / (max(x) OVER d - min(x) OVER d)', 'x')}, {R('(y - min(y) OVER d) / (max(y) OVER d - min(y) OVER d)', 'y')} FROM pts WINDOW d AS (PARTITION BY label)", "pts")
+def _(spark, sf_dir):
+    return rounded(joint_square(pts(spark, sf_dir), "label").select("stroke_id", "i", "x", "y"))
+
+
 @query("agg12_run_times", f"SELECT user_id, {R('avg(value)', 'mean')}, {R('list_sort(list(value))[count(*)//2 + 1]', 'median')}, {R('avg((value <= 100)::INT)', 'on_time')} FROM events GROUP BY 1")
 def _(spark, sf_dir):
     return rounded(O.run_times(read(spark, sf_dir, "events"), "user_id", "value", 100.0))
