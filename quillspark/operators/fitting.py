@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.evaluation import shuffle_key
@@ -175,16 +175,22 @@ def counted(sizes: list[int]) -> int:
     return sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))
 
 
+def whole_vector(features: str) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    broken = F.exists(features, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    return F.col(features).isNotNull() & ~F.coalesce(broken, F.lit(False))
+
+
 def fitted(rows: DataFrame, features: str = "features", label: str = "label", settings: Settings | None = None) -> Fitted:
     """A network fitted to the rows (id, features, label, part): those of part ``train`` teach, those of ``validation`` choose.
 
     Training ends after the last epoch, or when the validation accuracy has not risen above its best for ``patience`` epochs; the
-    parameters of the best epoch stay.  Rows without label, vector or part take no part; vectors of different lengths, no rows
+    parameters of the best epoch stay.  Rows without label, vector or part, and vectors with a component that is null or no number, take no part; vectors of different lengths, no rows
     to train on, and more parameters than ``MOST`` are errors.  With no validation rows its figures are null and the last epoch stays.
     """
     s = settings or Settings()
     spark = rows.sparkSession
-    use = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull() & F.col("part").isin("train", "validation"))
+    use = rows.where(F.col(label).isNotNull() & whole_vector(features) & F.col("part").isin("train", "validation"))
     train = F.col("part") == "train"
     seen = use.agg(F.min(F.size(features)).alias("low"), F.max(F.size(features)).alias("width"), F.count_if(train).alias("n"), F.count_if(~train).alias("checks"), F.approx_count_distinct(label).alias("classes")).first()
     if not seen["n"]:
@@ -230,10 +236,10 @@ def fitted(rows: DataFrame, features: str = "features", label: str = "label", se
 
 def predicted(rows: DataFrame, model: Fitted, features: str = "features", label: str = "label") -> DataFrame:
     """``id, target, p, predicted``: codes of the labels (null for one that training did not meet) and the network's answer.
-    Rows without a vector have no answer."""
+    Rows without a vector, or with a component that is null or no number, have no answer."""
     kind = dict(rows.dtypes)["id"]
     codes = F.create_map(*(F.lit(v) for pair in zip(model.labels, range(len(model.labels))) for v in pair))
-    own = rows.select("id", F.try_element_at(codes, F.col(label).cast("string")).alias("target"), F.transform(features, lambda v: v.cast("double")).alias("x"))
+    own = rows.where(whole_vector(features)).select("id", F.try_element_at(codes, F.col(label).cast("string")).alias("target"), F.transform(features, lambda v: v.cast("double")).alias("x"))
     layers = model.layers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +249,7 @@ def predicted(rows: DataFrame, model: Fitted, features: str = "features", label:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("target"), lists, pa.array(p.argmax(axis=1), pa.int32())], names=["id", "target", "p", "predicted"])
 
-    return own.where("x is not null").mapInArrow(run, f"id {kind}, target int, p array<double>, predicted int")
+    return own.mapInArrow(run, f"id {kind}, target int, p array<double>, predicted int")
 
 
 def layers_of(rows: DataFrame, features: str, label: str, hidden: tuple[int, ...] = ()) -> DataFrame:

@@ -87,7 +87,9 @@ def test_early_stop_and_plateau(spark):
 def test_edges(spark):
     x, code, parts = clouds(30)
     rows = table(spark, x, [None if k == 3 else "a" if k % 2 else "b" for k in range(30)], np.array(["train"] * 30))
-    model = T.fitted(rows, settings=T.Settings(epochs=2))
+    broken = spark.createDataFrame([(90, [None] * 4, "z", "train"), (91, [float("nan")] * 4, "z", "train"), (92, None, "z", "train")], rows.schema)
+    model = T.fitted(rows.unionByName(broken), settings=T.Settings(epochs=2))
+    assert T.predicted(rows.unionByName(broken), model).count() == 30
     assert model.labels == ["a", "b"] and [e[3:5] for e in model.epochs] == [(None, None)] * 2
     assert T.predicted(rows, model).where("target is null").count() == 1
     for wrong in (rows.where("false"), rows.unionByName(spark.createDataFrame([(99, [1.0], "a", "train")], rows.schema))):
