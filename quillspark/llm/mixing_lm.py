@@ -3,17 +3,19 @@
 A text is the stream of its lower-cased words and one end.  Words are numbered by how often they occur in training, and a
 word's number is told by binary choices: its length in bits by a Huffman code, then those bits, the first one, always 1, left
 out.  Numbers of one length go in the order of spelling, so that choices are shared by words that look alike.  Words beyond the
-``HEAD`` most frequent ones, those met once, and unknown ones, are told by a number of their own and then spelled: a Huffman code for each
-byte, and for a space at the end.
-
-Each choice is predicted in ``INPUTS`` contexts.  For numbers: the last one of the 63 most frequent words in the text; the word
-before; the two words before; the second word before.  For spelling: the last one, three, four and six bytes of the word.  A context and the choices made before are hashed to a slot of that context's table, whose counts of zeros and ones give a
-probability.  Logits are added up with weights that a gate picks, by how well three of the contexts are known; a last table
-refines the outcome.  Minus the sum of the logarithms is the text's total bits.
-
-Each task reads its part of the training texts once, in batches, and counts all of them; of every ``TEACH`` batches it predicts
-one from what it has counted before and moves weights and refining table by the gradient.  Blocks of slots are summed by a
-shuffle, and weights are averaged by use.
+``HEAD`` most frequent ones, those met ``RARE`` times at most, and unknown ones, share a number; what such a word is worth within it
+comes by a join with all words' counts: its part of the rare words' occurrences if training has it, else its spelling, a Huffman
+code for each byte and for a space at the end.
+
+Each choice is predicted from its share in all training words, and in four contexts.  For numbers: the last one of the 63 most
+frequent words in the text; the word before; the two words before; the second word before.  For spelling: the last one, three,
+four and six bytes of the word.  A context and the choices made before are hashed to a slot of that context's table, whose counts
+of zeros and ones give a probability.  Logits are added up with weights that a gate picks, by how well three of the contexts are
+known; a last table refines the outcome.  Minus the sum of the logarithms is the text's total bits.
+
+Each task reads its part of the training texts once, in batches; it predicts every batch from what it has counted before, moves
+weights and refining table by the gradient, and counts the batch.  Spelling is learned from the distinct rare words.  Blocks of
+slots are summed by a shuffle, and weights are averaged by use.
 The tables grow with the number of training words up to ``MOST_BITS``, so that every task can hold them; beyond, contexts share
 slots.
 """
@@ -25,8 +27,9 @@ import math
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -37,10 +40,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.shared import bound_batches, held_out, materialize
 
-INPUTS = 4
+#: Contexts of a choice, and inputs of the mixer: those and the choice's share in all training words.
+CONTEXTS, INPUTS = 4, 5
 #: Words with numbers of their own.
 HEAD = (1 << 18) - 1
-#: Stands for a word that is spelled; no word is a space.
+#: Words met so often at most have none.
+RARE = 2
+#: Stands for rare and unknown words; no word is a space.
 SPELLED = b" "
 #: The last bytes that each spelling context holds; of all contexts the first three pick the gate.
 ORDERS = (3, 4, 6, 1)
@@ -55,12 +61,10 @@ BLOCK = 1 << 16
 LEVELS = 16
 GATES, REFINED = 2 * LEVELS * LEVELS * 3, 33
 #: Words of one step while learning, and while scoring; bytes of one step of spelling.
-LEARN_WORDS, SCORE_WORDS, LETTERS = 3000, 3000, 8000
+LEARN_WORDS, SCORE_WORDS, LETTERS = 6000, 3000, 16_000
 WEIGHT_RATE, REFINE_RATE = 0.03, 0.05
-#: Of so many batches one moves the weights.
-TEACH = 8
-#: Words held at once while counting; spelled words whose logarithms a worker remembers.
-HELD, REMEMBERED = 400_000, 300_000
+#: Words held at once while counting.
+HELD = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -122,8 +126,14 @@ def expanded(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tupl
     return of, np.arange(len(of)) + (starts[symbols] - (total - own))[of], own
 
 
+def shares(nodes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The logit of ones among all choices at each one's node."""
+    zeros, ones = (np.bincount(nodes, weights=counts * (bits == b)) for b in (0, 1))
+    return _logit(zeros, ones).astype(np.float32)[nodes]
+
+
 class Codes:
-    """Nodes and choices of numbers and of letters."""
+    """Nodes, choices and their shares, of numbers and of letters."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         self.number = {word: k + 1 for k, word in enumerate(words)}
@@ -132,6 +142,7 @@ class Codes:
         x[0] = 1
         length = np.floor(np.log2(x)).astype(np.int64)
         sizes, nodes, bits = huffman(np.bincount(length[1:], weights=counts))
+        weights = np.r_[0, counts]
         starts, lengths = np.cumsum(sizes) - sizes, len(sizes)
         self.sizes = sizes[length] + length
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -141,11 +152,14 @@ class Codes:
         left = np.maximum(own - np.maximum(late, 0), 1)
         flat = np.minimum(starts[own] + step, len(nodes) - 1)
         # nodes are told apart by a hash, as they go into a slot's
-        self.nodes = _mix(np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left)).astype(np.uint64) * _A)
+        node = np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left))
+        self.nodes = _mix(node.astype(np.uint64) * _A)
         self.bits = np.where(late < 0, bits[flat], (x[of] >> (left - 1)) & 1).astype(np.int8)
+        self.shares = shares(node, self.bits, weights[of])
         met = np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256)
         self.letter_sizes, nodes, self.letter_bits = huffman(met)
         self.letter_nodes = _mix(nodes.astype(np.uint64) * _A)
+        self.letter_shares = shares(nodes, self.letter_bits, np.repeat(met, self.letter_sizes))
         self.letter_starts = np.cumsum(self.letter_sizes) - self.letter_sizes
 
 
@@ -175,8 +189,8 @@ def tables_for(words: int) -> Tables:
     return Tables(tuple(min(b, grown) for b in MOST_BITS))
 
 
-def number_choices(codes: Codes, tables: Tables, ids: np.ndarray, first: np.ndarray, lead: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Slots of each context and choice, the choices, and each word's number of choices, without the ``lead`` first words.
+def number_choices(codes: Codes, tables: Tables, ids: np.ndarray, first: np.ndarray, lead: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of each context and choice, the choices' shares, the choices, and each word's number of choices, without the ``lead`` first words.
 
     ``ids``: numbers of a stream of texts' words; ``first``: whether a text begins there.
     """
@@ -194,10 +208,10 @@ def number_choices(codes: Codes, tables: Tables, ids: np.ndarray, first: np.ndar
     of, flat, sizes = expanded(ids[lead:], codes.sizes, codes.starts)
     bits, spread = codes.bits.take(flat, mode="clip"), codes.nodes.take(flat, mode="clip")
     slots = [tables.at(t, context.take(of, mode="clip"), spread) for t, context in enumerate(contexts)]
-    return slots, bits, sizes
+    return slots, codes.shares.take(flat, mode="clip"), bits, sizes
 
 
-def letter_choices(codes: Codes, tables: Tables, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def letter_choices(codes: Codes, tables: Tables, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The same for the spelling of ``words``, each on its own."""
     joined = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -210,8 +224,8 @@ def letter_choices(codes: Codes, tables: Tables, words: list[bytes]) -> tuple[li
         shifted = np.r_[np.zeros(min(order, len(joined)), np.uint64), plus[: max(0, len(joined) - order)]]
         last = last * np.uint64(0x100000001B3) + np.where(place >= order, shifted, np.uint64(0))
         by_order[order] = _mix(last + np.uint64(order << 56))
-    slots = [tables.at(INPUTS + t, by_order[order].take(of, mode="clip"), spread) for t, order in enumerate(ORDERS)]
-    return slots, bits, np.add.reduceat(sizes, starts)
+    slots = [tables.at(CONTEXTS + t, by_order[order].take(of, mode="clip"), spread) for t, order in enumerate(ORDERS)]
+    return slots, codes.letter_shares.take(flat, mode="clip"), bits, np.add.reduceat(sizes, starts)
 
 
 # ---- the mixer ----------------------------------------------------------------------------------------------------------
@@ -223,8 +237,10 @@ def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _level(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Length in bits of the count, up to seven, doubled, and one more if both choices were met."""
-    length = np.minimum(np.frexp(zeros + ones)[1], 7)
-    return 2 * length + (np.minimum(zeros, ones) > 0)
+    length = np.clip(((zeros + ones).view(np.int32) >> 23) - 126, 0, 7)  # of a float the exponent
+    length <<= 1
+    length += (zeros > 0) & (ones > 0)
+    return length
 
 
 def _gates(kind: int, levels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -243,7 +259,7 @@ def _refine(mixed: np.ndarray, gates: np.ndarray, refined: np.ndarray) -> tuple[
     """The refined logit, and the cell and share it comes from: halfway between the mixed logit and the table's."""
     at = (mixed + np.float32(12)) * np.float32((REFINED - 1) / 24)
     low = at.astype(np.int64)
-    part = at - low
+    part = at - low.astype(np.float32)
     cell = gates * REFINED + low
     return (mixed + refined.take(cell, mode="clip") * (1 - part) + refined.take(cell + 1, mode="clip") * part) / 2, cell, part
 
@@ -261,23 +277,21 @@ class Learner:
     def __init__(self, tables: Tables):
         self.counts = np.zeros(2 * tables.slots, np.int32)  # a slot's zeros, then its ones
         self.weights, self.refined = start()
-        self.used, self.steps = np.zeros(GATES), [0, 0]
+        self.used = np.zeros(GATES)
         self.weight_pace, self.refine_pace = np.full(self.weights.shape, 1e-4, np.float32), np.full(self.refined.shape, 1e-4, np.float32)
 
     def count(self, slots: list[np.ndarray], bits: np.ndarray) -> None:
-        one, bits = np.int32(1), bits.astype(np.int64)
+        ones, bits = np.ones(len(bits), np.int32), bits.astype(np.int64)  # of one type, as numpy adds them faster so
         for slot in slots:
             at = slot << 1
             at += bits
-            np.add.at(self.counts, at, one)
+            np.add.at(self.counts, at, ones)
 
-    def step(self, kind: int, slots: list[np.ndarray], bits: np.ndarray) -> None:
-        self.steps[kind] += 1
-        if self.steps[kind] % TEACH == 0:
-            self.teach(kind, slots, bits)
+    def step(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray) -> None:
+        self.teach(kind, slots, shares, bits)
         self.count(slots, bits)
 
-    def teach(self, kind: int, slots: list[np.ndarray], bits: np.ndarray) -> None:
+    def teach(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray) -> None:
         both = self.counts.view(np.int64)
         inputs, levels = [], []
         for t, slot in enumerate(slots):
@@ -285,21 +299,26 @@ class Learner:
             inputs.append(_logit(pair[:, 0], pair[:, 1]))
             if t < 3:
                 levels.append(_level(pair[:, 0], pair[:, 1]))
+        inputs.append(shares)
         gates = _gates(kind, tuple(levels))
         mass = np.bincount(gates, minlength=GATES)
-        per = 1 / np.maximum(mass, 1).astype(np.float32)
+        met = np.flatnonzero(mass)
+        per = 1 / mass[met].astype(np.float32)
         mixed = _mixed(inputs, gates, self.weights)
         error = bits - 1 / (1 + np.exp(-mixed))
         for t in range(INPUTS + 1):
-            slope = np.bincount(gates, weights=error * inputs[t] if t < INPUTS else error, minlength=GATES).astype(np.float32) * per
-            self.weight_pace[t] += slope**2
-            self.weights[t] += WEIGHT_RATE * slope / np.sqrt(self.weight_pace[t])
+            slope = np.bincount(gates, weights=error * inputs[t] if t < INPUTS else error, minlength=GATES)[met].astype(np.float32) * per
+            self.weight_pace[t, met] += slope**2
+            self.weights[t, met] += WEIGHT_RATE * slope / np.sqrt(self.weight_pace[t, met])
         final, cell, part = _refine(mixed, gates, self.refined)
         error = bits - 1 / (1 + np.exp(-final))
-        slope = np.bincount(cell, weights=error * (1 - part), minlength=GATES * REFINED) + np.bincount(cell + 1, weights=error * part, minlength=GATES * REFINED)[: GATES * REFINED]
-        slope = slope.astype(np.float32) * np.repeat(per, REFINED)
-        self.refine_pace += slope**2
-        self.refined += REFINE_RATE * slope / np.sqrt(self.refine_pace)
+        late = error * part
+        slope = np.bincount(cell, weights=error - late, minlength=GATES * REFINED)
+        slope[1:] += np.bincount(cell, weights=late, minlength=GATES * REFINED)[:-1]
+        slope = slope.reshape(GATES, REFINED)[met].astype(np.float32) * per[:, None]
+        pace, refined = self.refine_pace.reshape(GATES, REFINED), self.refined.reshape(GATES, REFINED)
+        pace[met] += slope**2
+        refined[met] += REFINE_RATE * slope / np.sqrt(pace[met])
         self.used += mass
 
 
@@ -321,13 +340,13 @@ class Model:
         zeros, ones = VALUES[code & 255], VALUES[code >> 8]
         self.logit, self.level = _logit(zeros, ones), _level(zeros, ones).astype(np.int8)
 
-    def logs(self, kind: int, slots: list[np.ndarray], bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def logs(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each word's choices."""
         if not len(sizes):
             return np.empty(0)
         codes = [self.levels.take(slot, mode="clip") for slot in slots]
         gates = _gates(kind, tuple(self.level.take(codes[t], mode="clip") for t in range(3)))
-        final, _, _ = _refine(_mixed([self.logit.take(c, mode="clip") for c in codes], gates, self.weights), gates, self.refined)
+        final, _, _ = _refine(_mixed([*(self.logit.take(c, mode="clip") for c in codes), shares], gates, self.weights), gates, self.refined)
         logs = np.log(1 + np.exp(final * (1 - 2 * bits)))
         upto = np.cumsum(logs, dtype=np.float64)[np.cumsum(sizes) - 1]
         return -np.diff(upto, prepend=0) / math.log(10)
@@ -430,24 +449,22 @@ def unpacked(low: bytes, more: bytes) -> np.ndarray:
     return counts
 
 
-def learned_parts(texts: DataFrame, words: Broadcast, tables: Tables) -> DataFrame:
+def learned_parts(texts: DataFrame, rare: DataFrame, words: Broadcast, tables: Tables) -> DataFrame:
     """``block, counts, more`` of every task: its packed counts by block of slots; in block -1 weights and refining table, and use."""
     end = [b""]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, learner = Codes(*words.value), Learner(tables)
-        met: set[bytes] = set()
+    def of_numbers(codes: Codes, learner: Learner, batches: Iterator[pa.RecordBatch]) -> None:
         stream = ([*tokens(text.as_py()), *end] for batch in batches for text in batch.column(0))
         for part in parts(stream, codes, LEARN_WORDS):
-            slots, bits, _ = number_choices(codes, tables, part.ids, part.first, part.lead)
-            learner.step(0, slots, bits)
-            new = sorted(set(part.spelled) - met)  # a spelling is learned once, as unknown words are met once
-            if len(met) > HELD:
-                met.clear()
-            met.update(new)
-            for some in by_bytes(new, LETTERS):
-                slots, bits, _ = letter_choices(codes, tables, some)
-                learner.step(1, slots, bits)
+            learner.step(0, *number_choices(codes, tables, part.ids, part.first, part.lead)[:-1])
+
+    def of_letters(codes: Codes, learner: Learner, batches: Iterator[pa.RecordBatch]) -> None:
+        for some in by_bytes((word for batch in batches for word in batch.column(0).to_pylist()), LETTERS):
+            learner.step(1, *letter_choices(codes, tables, some)[:-1])
+
+    def run(learn: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, learner = Codes(*words.value), Learner(tables)
+        learn(codes, learner, batches)
         counts = learner.counts.reshape(-1, 2 * BLOCK)
         for block, own in enumerate(counts):
             if own.any():
@@ -455,10 +472,11 @@ def learned_parts(texts: DataFrame, words: Broadcast, tables: Tables) -> DataFra
         both = np.r_[learner.weights.ravel(), learner.refined].astype(np.float64).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([both], pa.binary()), pa.array([learner.used.tobytes()], pa.binary())], names=["block", "counts", "more"])
 
-    return texts.mapInArrow(run, "block int, counts binary, more binary")
+    schema = "block int, counts binary, more binary"
+    return texts.mapInArrow(partial(run, of_numbers), schema).unionByName(rare.mapInArrow(partial(run, of_letters), schema))
 
 
-def by_bytes(words: list[bytes], size: int) -> Iterator[list[bytes]]:
+def by_bytes(words: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
     batch, held = [], 0
     for word in words:
         batch.append(word)
@@ -475,8 +493,8 @@ def _shares(used: np.ndarray) -> np.ndarray:
     return np.r_[np.tile(used, INPUTS + 1), np.repeat(used, REFINED)]
 
 
-def fit(texts: DataFrame, words: Broadcast, tables: Tables) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Codes of all slots, packed, of a bounded size; weights and refining table averaged over the tasks."""
+def fit(texts: DataFrame, rare: DataFrame, words: Broadcast, tables: Tables) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Learned from ``texts`` and the words ``rare``: codes of all slots, packed, of a bounded size; weights and refining table averaged over the tasks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -492,7 +510,7 @@ def fit(texts: DataFrame, words: Broadcast, tables: Tables) -> tuple[bytes, np.n
             codes = counts.tobytes() if block < 0 else zlib.compress(codes_of(counts).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([codes], pa.binary())], names=["block", "codes"])
 
-    spread = learned_parts(texts, words, tables).repartition(texts.sparkSession.sparkContext.defaultParallelism, "block")
+    spread = learned_parts(texts, rare, words, tables).repartition(texts.sparkSession.sparkContext.defaultParallelism, "block")
     found = spread.mapInArrow(add, "block int, codes binary").toArrow()
     codes = np.zeros(2 * tables.slots, np.uint8)
     weights, refined = start()
@@ -506,21 +524,21 @@ def fit(texts: DataFrame, words: Broadcast, tables: Tables) -> tuple[bytes, np.n
     return zlib.compress(codes.tobytes(), 1), weights, refined
 
 
-_ready: dict[str, tuple] = {}
+_ready: dict[str, tuple[Codes, Model]] = {}
 
 
-def ready(key: str, words: Broadcast, learned: Broadcast) -> tuple[Codes, Model, dict[bytes, float]]:
-    """Codes, model and remembered spellings, made once in each Python worker that needs them."""
+def ready(key: str, words: Broadcast, learned: Broadcast) -> tuple[Codes, Model]:
+    """Codes and model, made once in each Python worker that needs them."""
     if key not in _ready:
         _ready.clear()
         packed, weights, refined = learned.value
-        _ready[key] = Codes(*words.value), Model(np.frombuffer(zlib.decompress(packed), np.uint16), weights, refined), {}
+        _ready[key] = Codes(*words.value), Model(np.frombuffer(zlib.decompress(packed), np.uint16), weights, refined)
     return _ready[key]
 
 
 @dataclass
 class Scored:
-    """By text: log10 of its probability, the base's sum over its numbered words, how many those are, its other words."""
+    """By text: log10 of its numbers' probability, the base's sum over its numbered words, how many those are, its other words."""
 
     logs: np.ndarray
     base: np.ndarray
@@ -528,7 +546,7 @@ class Scored:
     rest: list[dict[bytes, int]]
 
 
-def scored_texts(codes: Codes, tables: Tables, model: Model, spellings: dict[bytes, float], base: np.ndarray, texts: list[list[bytes]]) -> Scored:
+def scored_texts(codes: Codes, tables: Tables, model: Model, base: np.ndarray, texts: list[list[bytes]]) -> Scored:
     """``texts`` with their ends; ``base``: the base's logarithm of each number."""
     n = len(texts)
     out = Scored(np.zeros(n), np.zeros(n), np.zeros(n, np.int64), [{} for _ in texts])
@@ -537,11 +555,6 @@ def scored_texts(codes: Codes, tables: Tables, model: Model, spellings: dict[byt
         ids = part.ids[part.lead :]
         other = ids == codes.spelled
         if part.spelled:
-            if len(spellings) > REMEMBERED:
-                spellings.clear()
-            for some in by_bytes(sorted(set(part.spelled).difference(spellings)), LETTERS):
-                spellings.update(zip(some, model.logs(1, *letter_choices(codes, tables, some)).tolist()))
-            logs[other] += np.fromiter(map(spellings.__getitem__, part.spelled), np.float64, len(part.spelled))
             for text, word in zip(part.text_of[other].tolist(), part.spelled):
                 rest = out.rest[text]
                 rest[word] = rest.get(word, 0) + 1
@@ -551,61 +564,83 @@ def scored_texts(codes: Codes, tables: Tables, model: Model, spellings: dict[byt
     return out
 
 
-def rare_words(tail: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """Sums over each row's words that are not among the most frequent: ``row, rest_base, rest_known``."""
-    n = F.coalesce("n", F.lit(0))
-    joined = tail.join(words, "word", "left").select("row", (F.col("k") * F.log10((n + 1) / total)).alias("base"), F.when(n > 0, F.col("k")).otherwise(0).alias("known"))
-    return joined.groupBy("row").agg(F.sum("base").alias("rest_base"), F.sum("known").alias("rest_known"))
+def rare_words(tail: DataFrame, words: DataFrame, spelled: DataFrame, total: int, once: int, occurrences: int) -> DataFrame:
+    """Sums over each row's words without numbers: ``row, rest_base, rest_known, rest_score``.
+
+    ``words`` (word, n) has the training words, ``spelled`` (word, spelling) the others.  Rare words have ``occurrences`` in
+    training, ``once`` of them of words met once.  With one occurrence left out these would be unknown: so large a part of what
+    has no number is taken to be, and the rest is shared by count.
+    """
+    unknown = (once + 1) / (occurrences + 2)
+    all_words = words.select("word", "n", F.lit(0.0).alias("spelling")).unionByName(spelled.select("word", F.lit(0).cast("long").alias("n"), "spelling"))
+    n = F.col("n")
+    score = F.when(n > 0, F.log10((1 - unknown) * n / max(occurrences, 1))).otherwise(math.log10(unknown) + F.col("spelling"))
+    joined = tail.join(all_words, "word").select("row", (F.col("k") * F.log10((n + 1) / total)).alias("base"), F.when(n > 0, F.col("k")).otherwise(0).alias("known"), (F.col("k") * score).alias("score"))
+    return joined.groupBy("row").agg(F.sum("base").alias("rest_base"), F.sum("known").alias("rest_known"), F.sum("score").alias("rest_score"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row.
 
     Learns from the rows whose fold, crc32 of the id modulo ``modulus``, is not ``remainder``.  A null text counts as
     empty: one token, its end.  A null id counts as the empty text when folds are made.  Repeated rows are learned from as
     often as they occur and score alike.  Very long texts are read in pieces.  Other columns are not read.  An empty table
-    gives no rows; with no training rows nothing is known and the bit predictors say one half.
+    gives no rows; with no training rows nothing is known and the bit predictors say one half.  Bits go by the text's UTF-8
+    bytes and one more for its end.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     out_fold = held_out("doc_id", modulus, remainder)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = materialize(word_counts(rows.where(~out_fold), "text"), "lm-words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     n, v = int(totals["n"]), int(totals["v"])
-    head = words.where("n > 1").orderBy(F.col("n").desc(), "word").limit(HEAD - 1).toArrow()
+    head = words.where(F.col("n") > RARE).orderBy(F.col("n").desc(), "word").limit(HEAD - 1).toArrow()
     counts = head.column("n").to_numpy()
     ordered, number = in_order(head.column("word").to_pylist(), counts, n - int(counts.sum()))
     by_number = np.zeros(len(ordered) + 1)
     by_number[number] = np.log10((counts + 1) / (n + v + 1))
-    of_number = np.full(len(ordered), n - counts.sum(), np.int64)  # what is left is spelled
+    of_number = np.full(len(ordered), n - counts.sum(), np.int64)  # what is left has no number
     of_number[number - 1] = counts
     sent, tables = spark.sparkContext.broadcast((ordered, of_number)), tables_for(n)
     texts = rows.where(~out_fold).select("text")
     texts = texts.coalesce(learning_tasks(texts))
-    learned, bases, key = spark.sparkContext.broadcast(fit(texts, sent, tables)), spark.sparkContext.broadcast(by_number), uuid.uuid4().hex
+    rare = words.where(F.col("n") <= RARE).select("word")
+    rare = rare.coalesce(learning_tasks(rare))
+    learned, bases, key = spark.sparkContext.broadcast(fit(texts, rare, sent, tables)), spark.sparkContext.broadcast(by_number), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, model, spellings = ready(key, sent, learned)
+        codes, model = ready(key, sent, learned)
         for batch in batches:
             texts = [[*tokens(text.as_py()), b""] for text in batch.column(2)]
-            found = scored_texts(codes, tables, model, spellings, bases.value, texts)
+            found = scored_texts(codes, tables, model, bases.value, texts)
             tail = [list(rest.items()) for rest in found.rest]
             columns = [
                 pa.array([uuid.uuid4().hex for _ in texts], pa.string()),
                 pa.array(list(map(len, texts)), pa.int64()),
+                pa.array([len((text.as_py() or "").encode()) + 1 for text in batch.column(2)], pa.int64()),
                 pa.array(found.known),
                 pa.array(found.base),
                 pa.array(tail, pa.map_(pa.binary(), pa.int64())),
                 pa.array(found.logs),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "row", "n_tokens", "head_known", "head_base", "tail", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "row", "n_tokens", "bytes", "head_known", "head_base", "tail", "head_score"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = rows.select("doc_id", out_fold.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, row string, n_tokens long, head_known long, head_base double, tail map<binary, bigint>, score double")
+    scored = rows.select("doc_id", out_fold.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, row string, n_tokens long, bytes long, head_known long, head_base double, tail map<binary, bigint>, head_score double")
     scored = materialize(scored, "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("word", "k"))
-    rare = rare_words(tail, words, n + v + 1)
-    out = scored.drop("tail").join(rare, "row", "left")
+    unknown = scored.where("held_out").select(F.explode(F.map_keys("tail")).alias("word")).distinct().join(words, "word", "left_anti")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, model = ready(key, sent, learned)
+        for batch in batches:
+            for some in by_bytes(batch.column(0).to_pylist(), LETTERS):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(model.logs(1, *letter_choices(codes, tables, some)))], names=["word", "spelling"])
+
+    spelled = materialize(unknown.mapInArrow(spell, "word binary, spelling double"), "lm-spelled")
+    rest = rare_words(tail, words, spelled, n + v + 1, int(totals["once"]), n - int(counts.sum()))
+    out = scored.drop("tail").join(rest, "row", "left")
     plus = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
-    return out.select("doc_id", "held_out", "n_tokens", plus("head_known", "rest_known", 0).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("head_base", "rest_base", 0.0).alias("base_score"), "score")
+    score = plus("head_score", "rest_score", 0.0)
+    return out.select("doc_id", "held_out", "n_tokens", plus("head_known", "rest_known", 0).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("head_base", "rest_base", 0.0).alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.col("bytes")).alias("bits_per_byte"))

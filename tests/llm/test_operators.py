@@ -191,7 +191,7 @@ def test_mixing_lm_base_and_model(spark):
         got = out[r.doc_id]
         assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (held[r.doc_id], len(words), sum(w in counts for w in words), n)
         assert got.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words))
-        assert got.score < 0
+        assert got.score < 0 and got.bits_per_byte == pytest.approx(-got.score * math.log2(10) / (len((r.text or "").encode()) + 1))
     assert mixing_lm.score_documents(docs.where("false")).count() == 0
 
 
@@ -210,8 +210,8 @@ def trained():
     codes, tables = mixing_lm.Codes(ordered, of_number), mixing_lm.tables_for(5000)
     learner = mixing_lm.Learner(tables)
     for part in mixing_lm.parts(texts, codes, 200):
-        learner.step(0, *mixing_lm.number_choices(codes, tables, part.ids, part.first, part.lead)[:2])
-        learner.step(1, *mixing_lm.letter_choices(codes, tables, part.spelled)[:2])
+        learner.step(0, *mixing_lm.number_choices(codes, tables, part.ids, part.first, part.lead)[:3])
+        learner.step(1, *mixing_lm.letter_choices(codes, tables, part.spelled)[:3])
     model = mixing_lm.Model(mixing_lm.codes_of(learner.counts).view(np.uint16), learner.weights, learner.refined)
     return texts, codes, tables, model
 
@@ -224,9 +224,9 @@ def test_mixing_lm_is_a_distribution():
         for one in ids.tolist():
             total += 10 ** model.logs(0, *mixing_lm.number_choices(codes, tables, np.array([before, one]), np.array([True, False]), 1))[0]
         assert 0.999 < total <= 1 + 1e-6  # numbers of the greatest length that no word has keep a little
-    slots, bits, _ = mixing_lm.letter_choices(codes, tables, [bytes([b]) for b in range(256)])
+    slots, shares, bits, _ = mixing_lm.letter_choices(codes, tables, [bytes([b]) for b in range(256)])
     sizes = np.stack([codes.letter_sizes, np.full(256, codes.letter_sizes[32])], axis=1).ravel()
-    assert (10 ** model.logs(1, slots, bits, sizes)[::2]).sum() == pytest.approx(1, abs=1e-4)
+    assert (10 ** model.logs(1, slots, shares, bits, sizes)[::2]).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_mixing_lm_equals_a_mixer_of_single_choices():
@@ -235,7 +235,7 @@ def test_mixing_lm_equals_a_mixer_of_single_choices():
     ids = np.array([codes.number.get(w, codes.spelled) for w in text])
     first = np.zeros(len(ids), bool)
     first[[0, len(texts[3])]] = True
-    slots, bits, sizes = mixing_lm.number_choices(codes, tables, ids, first, 0)
+    slots, shares, bits, sizes = mixing_lm.number_choices(codes, tables, ids, first, 0)
     # the contexts of each word, one by one
     for k in range(len(ids)):
         begin = k if first[k] else max(j for j in range(k) if first[j])
@@ -249,14 +249,14 @@ def test_mixing_lm_equals_a_mixer_of_single_choices():
         zeros, ones = zip(*((float(mixing_lm.VALUES[c & 255]), float(mixing_lm.VALUES[c >> 8])) for c in (int(model.levels[s[k]]) for s in slots)))
         level = [min(7, int(z + o).bit_length()) * 2 + (min(z, o) > 0) for z, o in zip(zeros, ones)]
         gate = (level[0] * 16 + level[1]) * 3 + min(level[2] // 2, 2)
-        mixed = sum(float(model.weights[t, gate]) * math.log((o + 0.3) / (z + 0.3)) for t, (z, o) in enumerate(zip(zeros, ones))) + float(model.weights[4, gate])
+        mixed = sum(float(model.weights[t, gate]) * math.log((o + 0.3) / (z + 0.3)) for t, (z, o) in enumerate(zip(zeros, ones))) + float(model.weights[4, gate]) * float(shares[k]) + float(model.weights[5, gate])
         mixed = min(11.99, max(-11.99, mixed))
         at = (mixed + 12) * 32 / 24
         low = int(at)
         table = model.refined[gate * 33 + low] * (1 - at + low) + model.refined[gate * 33 + low + 1] * (at - low)
         final = (mixed + float(table)) / 2
         total += math.log10(1 / (1 + math.exp(-final if bits[k] else final)))
-    assert model.logs(0, slots, bits, sizes).sum() == pytest.approx(total, rel=1e-4)
+    assert model.logs(0, slots, shares, bits, sizes).sum() == pytest.approx(total, rel=1e-4)
 
 
 def test_mixing_lm_does_not_depend_on_the_parts(monkeypatch):
@@ -265,7 +265,7 @@ def test_mixing_lm_does_not_depend_on_the_parts(monkeypatch):
     found = []
     for size in (7, 100, 10_000):
         monkeypatch.setattr(mixing_lm, "SCORE_WORDS", size)
-        found.append(mixing_lm.scored_texts(codes, tables, model, {}, np.zeros(len(codes.sizes)), texts))
+        found.append(mixing_lm.scored_texts(codes, tables, model, np.zeros(len(codes.sizes)), texts))
     for other in found[1:]:
         assert np.allclose(other.logs, found[0].logs) and (other.known == found[0].known).all() and other.rest == found[0].rest
     assert found[0].rest[5][b"never"] == 1
@@ -273,7 +273,25 @@ def test_mixing_lm_does_not_depend_on_the_parts(monkeypatch):
 
 def test_mixing_lm_beats_the_base(spark):
     rows = mixing_lm.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.75
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.8
+
+
+def test_mixing_lm_shares_of_choices():
+    _, codes, _, _ = trained()
+    spread = np.exp(codes.shares)  # ones over zeros at each choice's node; their product gives a word its share in training
+    chance = np.where(codes.bits > 0, spread / (1 + spread), 1 / (1 + spread))
+    words = np.array([chance[a : a + n].prod() for a, n in zip(codes.starts[1:], codes.sizes[1:])])
+    assert words.sum() == pytest.approx(1, abs=2e-3) and words[codes.number[b"the"] - 1] == pytest.approx(24 / 123, rel=0.2)
+
+
+def test_mixing_lm_rare_words(spark):
+    words = spark.createDataFrame([(b"once", 1), (b"also", 1), (b"twice", 2)], "word binary, n long")
+    spelled = spark.createDataFrame([(b"new", -4.0)], "word binary, spelling double")
+    tail = spark.createDataFrame([("a", b"once", 2), ("a", b"new", 1), ("b", b"twice", 1)], "row string, word binary, k long")
+    out = {r["row"]: r for r in mixing_lm.rare_words(tail, words, spelled, 100, 2, 4).collect()}
+    # unknown: (2 + 1) / (4 + 2); of the other half each occurrence has a quarter
+    assert out["a"].rest_score == pytest.approx(2 * math.log10(0.5 / 4) + math.log10(0.5) - 4) and out["b"].rest_score == pytest.approx(math.log10(0.5 * 2 / 4))
+    assert (out["a"].rest_known, out["b"].rest_known) == (2, 1) and out["a"].rest_base == pytest.approx(2 * math.log10(0.02) - 2)
 
 
 def test_mixing_lm_packs_counts():
