@@ -63,6 +63,8 @@ GATES, REFINED = 2 * LEVELS * LEVELS * 3, 33
 #: Words of one step while learning, and while scoring; bytes of one step of spelling.
 LEARN_WORDS, SCORE_WORDS, LETTERS = 6000, 3000, 16_000
 WEIGHT_RATE, REFINE_RATE = 0.03, 0.05
+#: Words whose choices are laid out at once.
+PIECE = 1 << 15
 #: Words held at once while counting.
 HELD = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -126,10 +128,18 @@ def expanded(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tupl
     return of, np.arange(len(of)) + (starts[symbols] - (total - own))[of], own
 
 
-def shares(nodes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The logit of ones among all choices at each one's node."""
-    zeros, ones = (np.bincount(nodes, weights=counts * (bits == b)) for b in (0, 1))
-    return _logit(zeros, ones).astype(np.float32)[nodes]
+class Shares:
+    """The share of ones among all choices at each node."""
+
+    def __init__(self, nodes: int):
+        self.counts = np.zeros((2, nodes))
+
+    def add(self, nodes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> None:
+        for bit in (0, 1):
+            self.counts[bit] += np.bincount(nodes, weights=counts * (bits == bit), minlength=self.counts.shape[1])
+
+    def logits(self) -> np.ndarray:
+        return _logit(*self.counts).astype(np.float32)
 
 
 class Codes:
@@ -146,20 +156,30 @@ class Codes:
         starts, lengths = np.cumsum(sizes) - sizes, len(sizes)
         self.sizes = sizes[length] + length
         self.starts = np.cumsum(self.sizes) - self.sizes
-        of = np.repeat(np.arange(len(x)), self.sizes)
-        own, step = length[of], np.arange(len(of)) - self.starts[of]
-        late = step - sizes[own]
-        left = np.maximum(own - np.maximum(late, 0), 1)
-        flat = np.minimum(starts[own] + step, len(nodes) - 1)
+        node = np.empty(int(self.sizes.sum()), np.int32)
+        self.bits, share = np.empty(len(node), np.int8), Shares(lengths + 2 * len(x))
+        pieces = [slice(k, k + PIECE) for k in range(0, len(x), PIECE)]  # as all choices at once take much memory
+        places = [slice(self.starts[p][0], self.starts[p][-1] + self.sizes[p][-1]) for p in pieces]
+        for piece, place in zip(pieces, places):
+            of = np.repeat(np.arange(len(x))[piece], self.sizes[piece])
+            own, step = length[of], np.arange(len(of)) + place.start - self.starts[of]
+            late = step - sizes[own]
+            left = np.maximum(own - np.maximum(late, 0), 1)
+            flat = np.minimum(starts[own] + step, len(nodes) - 1)
+            node[place] = np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left))
+            self.bits[place] = np.where(late < 0, bits[flat], (x[of] >> (left - 1)) & 1)
+            share.add(node[place], self.bits[place], weights[of])
+        self.shares = share.logits()[node]
         # nodes are told apart by a hash, as they go into a slot's
-        node = np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left))
-        self.nodes = _mix(node.astype(np.uint64) * _A)
-        self.bits = np.where(late < 0, bits[flat], (x[of] >> (left - 1)) & 1).astype(np.int8)
-        self.shares = shares(node, self.bits, weights[of])
+        self.nodes = np.empty(len(node), np.uint64)
+        for place in places:
+            self.nodes[place] = _mix(node[place].astype(np.uint64) * _A)
         met = np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256)
         self.letter_sizes, nodes, self.letter_bits = huffman(met)
         self.letter_nodes = _mix(nodes.astype(np.uint64) * _A)
-        self.letter_shares = shares(nodes, self.letter_bits, np.repeat(met, self.letter_sizes))
+        share = Shares(256)
+        share.add(nodes, self.letter_bits, np.repeat(met, self.letter_sizes))
+        self.letter_shares = share.logits()[nodes]
         self.letter_starts = np.cumsum(self.letter_sizes) - self.letter_sizes
 
 
