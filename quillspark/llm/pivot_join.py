@@ -11,19 +11,19 @@ vectors.  A block gives the number of links of each of its vectors and a spannin
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.llm.components import connected_components
 from quillspark.llm.shared import bound_batches, materialize
 
 #: Pivots of one label at most; a cell is to have about ``CELL`` vectors.
 MOST_PIVOTS, CELL, BLOCK = 256, 512, 512
+#: Rows that are dealt to cells at once.
+DEAL = 512
 
 
 def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -94,29 +94,29 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
     ``a, b``: a spanning forest of the links."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     sizes = classes.groupBy("space").agg(F.count("*").alias("size"))
-    sizes = materialize(sizes.select("space", F.least(F.greatest(F.round(F.col("size") / CELL), F.lit(1)), F.lit(MOST_PIVOTS)).cast("int").alias("pivots"), "size"), "pivot-sizes")
+    sizes = materialize(sizes.select("space", F.least(F.greatest(F.round(F.col("size") / CELL), F.lit(1)), F.lit(MOST_PIVOTS)).cast("int").alias("pivots"), "size", F.ceil(F.col("size") / DEAL).cast("int").alias("parts")), "pivot-sizes")
     # as many of the least hashes as there are pivots: those under a bound first, so that few rows are put in order
     hashed = classes.join(sizes, "space").withColumn("h", F.xxhash64("id", "class_key"))
     likely = hashed.where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("size") <= 3 * F.col("pivots") + 40)
     pivots = likely.groupBy("space").agg(F.max("pivots").alias("pivots"), F.array_sort(F.collect_list(F.struct("h", "v"))).alias("p"))
     pivots = materialize(pivots.select("space", F.transform(F.slice("p", F.lit(1), F.col("pivots")), lambda x: x["v"]).alias("pivot_vectors")), "pivots")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spaces, done = batch.column(1).to_pylist(), []
-            for space in sorted(set(spaces)):
-                part = batch.filter(pa.array([s == space for s in spaces]))
-                x = unit(_matrix(part.column(2)))
-                p = unit(np.array(part.column(4)[0].as_py()))
-                d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
-                home = d.argmin(axis=1)
-                row, cell = np.nonzero(d - d.min(axis=1, keepdims=True) <= 2 * radius + 1e-9)
-                done.append(pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(home[row] == cell), part.column(0).take(pa.array(row)), part.column(3).take(pa.array(row)), part.column(2).take(pa.array(row))], names=["space", "cell", "home", "id", "n", "v"]))
-            yield from done
+    def deal(rows: pa.Table, its_pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()))], names=["space", "cell", "home", "id", "n", "v"])
+        rows, x = rows.combine_chunks(), unit(_matrix(rows.column("v")))
+        p = unit(np.array(its_pivots.column("pivot_vectors")[0].as_py()))
+        d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
+        home = d.argmin(axis=1)
+        row, cell = np.nonzero(d - d.min(axis=1, keepdims=True) <= 2 * radius + 1e-9)
+        copied = rows.take(pa.array(row))
+        return pa.table({"space": copied.column("space"), "cell": pa.array(cell, pa.int32()), "home": pa.array(home[row] == cell), "id": copied.column("id"), "n": copied.column("n"), "v": copied.column("v")})
 
     schema = "space string, cell int, home boolean, id long, n long, v array<double>"
-    dealt = classes.select("id", "space", "v", "n").join(pivots, "space").select("id", "space", "v", "n", "pivot_vectors")
-    dealt = materialize(dealt.mapInArrow(deal, T._parse_datatype_string(schema)), "pivot-dealt")
+    # a part's rows meet one copy of its space's pivots
+    in_parts = classes.join(sizes.select("space", "parts"), "space").select("id", "space", "v", "n", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    sent = pivots.join(sizes.select("space", "parts"), "space").select("space", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot_vectors")
+    dealt = materialize(in_parts.groupBy("space", "part").cogroup(sent.groupBy("space", "part")).applyInArrow(deal, schema), "pivot-dealt")
     blocks = dealt.groupBy("space", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("resident_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_blocks"))
     dealt = dealt.join(materialize(blocks.where("resident_blocks > 0"), "pivot-blocks"), ["space", "cell"])
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
