@@ -11,7 +11,8 @@ Each choice is predicted from its share in all training words, and in four conte
 frequent words in the text; the word before; the two words before; the second word before.  For spelling: the last one, three,
 four and six bytes of the word.  A context and the choices made before are hashed to a slot of that context's table, whose counts
 of zeros and ones give a probability.  Logits are added up with weights that a gate picks, by how well three of the contexts are
-known; a last table refines the outcome.  Minus the sum of the logarithms is the text's total bits.
+known; a last table refines the outcome.  Minus the sum of the logarithms is the text's total bits.  ``DEPTH`` successive choices of
+a word have slots next to each other, in an order that the hash picks, so that they are read together.
 
 Each task reads its part of the training texts once, in batches; it predicts every batch from what it has counted before, moves
 weights and refining table by the gradient, and counts the batch.  Spelling is learned from the distinct rare words.  Blocks of
@@ -29,11 +30,12 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
-from itertools import repeat
+from functools import cached_property, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,9 @@ MOST_BITS = (22, 22, 22, 22, 20, 21, 22, 16)
 LEAST_BITS = 16
 #: Slots that are added up together.
 BLOCK = 1 << 16
+#: Successive choices of a word that share a line of slots, and the bits of a choice's place in it.
+DEPTH = 3
+LINE = np.uint64((1 << DEPTH) - 1)
 #: A context's counts, in steps; each twice, for contexts in which a choice was always the same.
 LEVELS = 16
 GATES, REFINED = 2 * LEVELS * LEVELS * 3, 33
@@ -64,7 +69,7 @@ GATES, REFINED = 2 * LEVELS * LEVELS * 3, 33
 LEARN_WORDS, SCORE_WORDS, LETTERS = 6000, 3000, 16_000
 WEIGHT_RATE, REFINE_RATE = 0.03, 0.05
 #: Words whose choices are laid out at once.
-PIECE = 1 << 15
+PIECE = 1 << 12
 #: Words held at once while counting.
 HELD = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -128,6 +133,17 @@ def expanded(symbols: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tupl
     return of, np.arange(len(of)) + (starts[symbols] - (total - own))[of], own
 
 
+def lines(nodes: np.ndarray, bits: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """For choices of words, one word after another, ``step`` being a choice's number in its word: a hash of the node at which
+    the choice's line begins, and in the lowest bits its place there, told by the choices since."""
+    deep = step % DEPTH
+    place = np.ones(len(nodes), np.uint64)
+    for back in range(DEPTH - 1, 0, -1):
+        at = np.flatnonzero(deep >= back)
+        place[at] = 2 * place[at] + bits[at - back].astype(np.uint64)
+    return _mix(nodes[np.arange(len(nodes)) - deep].astype(np.uint64) * _A) & ~LINE | place
+
+
 class Shares:
     """The share of ones among all choices at each node."""
 
@@ -145,9 +161,9 @@ class Shares:
 class Codes:
     """Nodes, choices and their shares, of numbers and of letters."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.number = {word: k + 1 for k, word in enumerate(words)}
-        self.spelled = self.number[SPELLED]
+    def __init__(self, words: list[bytes] | pa.Array, counts: np.ndarray):
+        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        self.spelled = pc.index(self.words, SPELLED).as_py() + 1
         x = np.arange(len(words) + 1, dtype=np.int64)
         x[0] = 1
         length = np.floor(np.log2(x)).astype(np.int64)
@@ -156,31 +172,47 @@ class Codes:
         starts, lengths = np.cumsum(sizes) - sizes, len(sizes)
         self.sizes = sizes[length] + length
         self.starts = np.cumsum(self.sizes) - self.sizes
-        node = np.empty(int(self.sizes.sum()), np.int32)
-        self.bits, share = np.empty(len(node), np.int8), Shares(lengths + 2 * len(x))
-        pieces = [slice(k, k + PIECE) for k in range(0, len(x), PIECE)]  # as all choices at once take much memory
-        places = [slice(self.starts[p][0], self.starts[p][-1] + self.sizes[p][-1]) for p in pieces]
-        for piece, place in zip(pieces, places):
+        #: of every word's choices the node, doubled, and the choice; of every node its line and share
+        self.choices, share = np.empty(int(self.sizes.sum()), np.int32), Shares(lengths + 2 * len(x))
+        self.line_of = np.empty(lengths + 2 * len(x), np.uint64)
+        for piece in (slice(k, k + PIECE) for k in range(0, len(x), PIECE)):  # as all choices at once take much memory
+            place = slice(self.starts[piece][0], self.starts[piece][-1] + self.sizes[piece][-1])
             of = np.repeat(np.arange(len(x))[piece], self.sizes[piece])
             own, step = length[of], np.arange(len(of)) + place.start - self.starts[of]
             late = step - sizes[own]
             left = np.maximum(own - np.maximum(late, 0), 1)
             flat = np.minimum(starts[own] + step, len(nodes) - 1)
-            node[place] = np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left))
-            self.bits[place] = np.where(late < 0, bits[flat], (x[of] >> (left - 1)) & 1)
-            share.add(node[place], self.bits[place], weights[of])
-        self.shares = share.logits()[node]
-        # nodes are told apart by a hash, as they go into a slot's
-        self.nodes = np.empty(len(node), np.uint64)
-        for place in places:
-            self.nodes[place] = _mix(node[place].astype(np.uint64) * _A)
-        met = np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256)
+            node = np.where(late < 0, nodes[flat], lengths + (1 << own) + (x[of] >> left))
+            bit = np.where(late < 0, bits[flat], (x[of] >> (left - 1)) & 1)
+            self.choices[place] = 2 * node + bit
+            self.line_of[node] = lines(node, bit, step)
+            share.add(node, bit, weights[of])
+        self.share_of = share.logits()
+        met = np.bincount(np.frombuffer(b" ".join(self.words.to_pylist()), np.uint8), minlength=256)
         self.letter_sizes, nodes, self.letter_bits = huffman(met)
-        self.letter_nodes = _mix(nodes.astype(np.uint64) * _A)
+        self.letter_starts = np.cumsum(self.letter_sizes) - self.letter_sizes
+        self.letter_lines = lines(nodes, self.letter_bits, np.arange(len(nodes)) - np.repeat(self.letter_starts, self.letter_sizes))
         share = Shares(256)
         share.add(nodes, self.letter_bits, np.repeat(met, self.letter_sizes))
         self.letter_shares = share.logits()[nodes]
-        self.letter_starts = np.cumsum(self.letter_sizes) - self.letter_sizes
+
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {word: k + 1 for k, word in enumerate(self.words.to_pylist())}
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of ``words``, many at a time, as Arrow hashes all numbered words anew."""
+        return pc.fill_null(pc.index_in(words, self.words), self.spelled - 1).to_numpy().astype(np.int64) + 1
+
+    @property
+    def bits(self) -> np.ndarray:
+        """All words' choices."""
+        return (self.choices & 1).astype(np.int8)
+
+    @property
+    def shares(self) -> np.ndarray:
+        """The shares at all words' choices."""
+        return self.share_of[self.choices >> 1]
 
 
 @dataclass
@@ -193,11 +225,12 @@ class Tables:
         self.offsets = np.cumsum([0, *(1 << b for b in self.bits)])
         self.slots = int(self.offsets[-1])
 
-    def at(self, table: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Slots of (context, node); the node's multiple is mixed in once more so that neighbours in a tree part."""
-        found = context ^ nodes
+    def at(self, table: int, context: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Slots of (context, line, place); the line's multiple is mixed in once more so that neighbours in a tree part."""
+        found = context ^ line
         found *= _B
         found >>= np.uint64(64 - self.bits[table])
+        found ^= place
         found = found.view(np.int64)
         found += self.offsets[table]
         return found
@@ -226,9 +259,14 @@ def number_choices(codes: Codes, tables: Tables, ids: np.ndarray, first: np.ndar
     before, second, last = (x[lead:].astype(np.uint64) for x in (before, second, last))
     contexts = [_mix(last * _A + np.uint64(1)), _mix(before * _A + np.uint64(2)), _mix(_mix(before * _A + np.uint64(3)) + second), _mix(second * _A + np.uint64(4))]
     of, flat, sizes = expanded(ids[lead:], codes.sizes, codes.starts)
-    bits, spread = codes.bits.take(flat, mode="clip"), codes.nodes.take(flat, mode="clip")
-    slots = [tables.at(t, context.take(of, mode="clip"), spread) for t, context in enumerate(contexts)]
-    return slots, codes.shares.take(flat, mode="clip"), bits, sizes
+    nodes = codes.choices.take(flat, mode="clip")
+    bits = (nodes & 1).astype(np.int8)
+    nodes >>= 1
+    line = codes.line_of.take(nodes, mode="clip")
+    place = line & LINE
+    line ^= place
+    slots = [tables.at(t, context.take(of, mode="clip"), line, place) for t, context in enumerate(contexts)]
+    return slots, codes.share_of.take(nodes, mode="clip"), bits, sizes
 
 
 def letter_choices(codes: Codes, tables: Tables, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -238,13 +276,15 @@ def letter_choices(codes: Codes, tables: Tables, words: list[bytes]) -> tuple[li
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(joined)) - np.repeat(starts, lengths)
     of, flat, sizes = expanded(joined, codes.letter_sizes, codes.letter_starts)
-    bits, spread = codes.letter_bits.take(flat, mode="clip"), codes.letter_nodes.take(flat, mode="clip")
+    bits, line = codes.letter_bits.take(flat, mode="clip"), codes.letter_lines.take(flat, mode="clip")
+    within = line & LINE
+    line ^= within
     last, by_order, plus = np.zeros(len(joined), np.uint64), {}, joined + np.uint64(1)
     for order in range(1, max(ORDERS) + 1):
         shifted = np.r_[np.zeros(min(order, len(joined)), np.uint64), plus[: max(0, len(joined) - order)]]
         last = last * np.uint64(0x100000001B3) + np.where(place >= order, shifted, np.uint64(0))
         by_order[order] = _mix(last + np.uint64(order << 56))
-    slots = [tables.at(CONTEXTS + t, by_order[order].take(of, mode="clip"), spread) for t, order in enumerate(ORDERS)]
+    slots = [tables.at(CONTEXTS + t, by_order[order].take(of, mode="clip"), line, within) for t, order in enumerate(ORDERS)]
     return slots, codes.letter_shares.take(flat, mode="clip"), bits, np.add.reduceat(sizes, starts)
 
 
@@ -301,11 +341,10 @@ class Learner:
         self.weight_pace, self.refine_pace = np.full(self.weights.shape, 1e-4, np.float32), np.full(self.refined.shape, 1e-4, np.float32)
 
     def count(self, slots: list[np.ndarray], bits: np.ndarray) -> None:
-        ones, bits = np.ones(len(bits), np.int32), bits.astype(np.int64)  # of one type, as numpy adds them faster so
+        both = self.counts.view(np.int64)
+        one = np.left_shift(1, 32 * bits.astype(np.int64))  # to a slot's zeros or its ones
         for slot in slots:
-            at = slot << 1
-            at += bits
-            np.add.at(self.counts, at, ones)
+            np.add.at(both, slot, one)
 
     def step(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray) -> None:
         self.teach(kind, slots, shares, bits)
@@ -315,10 +354,12 @@ class Learner:
         both = self.counts.view(np.int64)
         inputs, levels = [], []
         for t, slot in enumerate(slots):
-            pair = both.take(slot, mode="clip").view(np.int32).reshape(-1, 2).astype(np.float32)
-            inputs.append(_logit(pair[:, 0], pair[:, 1]))
+            pair = both.take(slot, mode="clip").view(np.int32).astype(np.float32)
             if t < 3:
-                levels.append(_level(pair[:, 0], pair[:, 1]))
+                levels.append(_level(pair[::2], pair[1::2]))
+            pair += np.float32(0.3)  # the logit, by two logarithms of all at once
+            np.log(pair, out=pair)
+            inputs.append(pair[1::2] - pair[::2])
         inputs.append(shares)
         gates = _gates(kind, tuple(levels))
         mass = np.bincount(gates, minlength=GATES)
@@ -387,42 +428,84 @@ class Part:
     text_of: np.ndarray
 
 
-def parts(texts: Iterable[list[bytes]], codes: Codes, size: int) -> Iterator[Part]:
+@dataclass
+class Numbered:
+    """Texts one after another: their words' numbers, where each text starts and the last one ends, and the words without numbers."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    spelled: pa.Array
+
+
+def numbered(words: pa.Array, starts: np.ndarray, codes: Codes) -> Numbered:
+    ids = codes.numbers(words)
+    return Numbered(ids, starts, words.take(pa.array(np.flatnonzero(ids == codes.spelled))))
+
+
+def numbered_lists(texts: list[list[bytes]], codes: Codes) -> Numbered:
+    return numbered(pa.array(chain.from_iterable(texts), pa.large_binary()), np.cumsum([0, *map(len, texts)]), codes)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, each text's followed by its end, and where each text starts and the last one ends: ``tokens`` of many."""
+    own = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # as Arrow lower-cases slices wrongly
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(own))
+    filled = np.flatnonzero(pc.binary_length(lower).to_numpy())  # what is empty has no word
+    found = pc.ascii_split_whitespace(lower.take(pa.array(filled)))
+    sizes = np.ones(len(lower), np.int64)
+    sizes[filled] += pc.list_value_length(found).to_numpy()
+    starts = np.cumsum(np.r_[0, sizes])
+    words, inner = found.flatten().cast(pa.large_binary()), np.ones(starts[-1], bool)
+    inner[starts[1:] - 1] = False
+    place = np.where(inner, np.cumsum(inner) - 1, len(words))
+    return pa.concat_arrays([words, pa.array([b""], pa.large_binary())]).take(pa.array(place)), starts
+
+
+def parts(texts: Iterable[list[bytes]] | Iterable[Numbered], codes: Codes, size: int) -> Iterator[Part]:
     """A stream of texts in parts of about ``size`` words; a text longer than that is cut.
 
     Words lead that stand before the part in the same text: the last frequent one and the last two.
     """
-    words: list[bytes] = []
+    pieces: list[np.ndarray] = []
+    spelled: list[bytes] = []
     lengths: list[int] = []
     numbers: list[int] = []
     led = np.empty(0, np.int64)
 
     def out() -> Part:
-        ids = np.r_[led, np.fromiter(map(codes.number.get, words, repeat(codes.spelled)), np.int64, len(words))]
+        ids = np.concatenate([led, *pieces])
         starts = len(led) + np.cumsum([0, *lengths[:-1]])
         first = np.zeros(len(ids), bool)
         first[starts] = True
         if len(led):
             first[starts[0]], first[0] = False, True
-        spelled = np.flatnonzero(ids[len(led) :] == codes.spelled)
-        return Part(ids, first, len(led), [words[k] for k in spelled.tolist()], np.repeat(numbers, lengths))
-
-    for number, text in enumerate(texts):
-        for k in range(0, len(text), size):
-            piece = text[k : k + size] if len(text) > size else text
-            words += piece
-            lengths.append(len(piece))
-            numbers.append(number)
-            if len(words) >= size:
-                yield (part := out())
-                words, lengths, numbers = [], [], []
-                if k + size < len(text):
-                    here = part.ids[np.flatnonzero(part.first)[-1] :]
-                    frequent = np.flatnonzero(here < FREQUENT)
-                    led = np.r_[here[frequent[-1]] if len(frequent) else here[:1], here[-2:]]
-                else:
-                    led = np.empty(0, np.int64)
-    if words:
+        return Part(ids, first, len(led), spelled, np.repeat(numbers, lengths))
+
+    number, held = -1, 0
+    for some in texts:
+        some = some if isinstance(some, Numbered) else numbered_lists([some], codes)
+        others, at = np.flatnonzero(some.ids == codes.spelled), 0
+        for low, high in zip(some.starts[:-1].tolist(), some.starts[1:].tolist()):
+            number += 1
+            for k in range(low, high, size):
+                piece = some.ids[k : min(k + size, high)]
+                until = int(np.searchsorted(others, k + len(piece)))
+                spelled += some.spelled.slice(at, until - at).to_pylist() if until > at else []
+                at = until
+                pieces.append(piece)
+                lengths.append(len(piece))
+                numbers.append(number)
+                held += len(piece)
+                if held >= size:
+                    yield (part := out())
+                    pieces, spelled, lengths, numbers, held = [], [], [], [], 0
+                    if k + size < high:
+                        here = part.ids[np.flatnonzero(part.first)[-1] :]
+                        frequent = np.flatnonzero(here < FREQUENT)
+                        led = np.r_[here[frequent[-1]] if len(frequent) else here[:1], here[-2:]]
+                    else:
+                        led = np.empty(0, np.int64)
+    if pieces:
         yield out()
 
 
@@ -471,10 +554,9 @@ def unpacked(low: bytes, more: bytes) -> np.ndarray:
 
 def learned_parts(texts: DataFrame, rare: DataFrame, words: Broadcast, tables: Tables) -> DataFrame:
     """``block, counts, more`` of every task: its packed counts by block of slots; in block -1 weights and refining table, and use."""
-    end = [b""]
 
     def of_numbers(codes: Codes, learner: Learner, batches: Iterator[pa.RecordBatch]) -> None:
-        stream = ([*tokens(text.as_py()), *end] for batch in batches for text in batch.column(0))
+        stream = (numbered(*split(batch.column(0)), codes) for batch in batches)
         for part in parts(stream, codes, LEARN_WORDS):
             learner.step(0, *number_choices(codes, tables, part.ids, part.first, part.lead)[:-1])
 
@@ -552,7 +634,8 @@ def ready(key: str, words: Broadcast, learned: Broadcast) -> tuple[Codes, Model]
     if key not in _ready:
         _ready.clear()
         packed, weights, refined = learned.value
-        _ready[key] = Codes(*words.value), Model(np.frombuffer(zlib.decompress(packed), np.uint16), weights, refined)
+        # copied, as numpy asks for large pages, which makes looking up faster
+        _ready[key] = Codes(*words.value), Model(np.frombuffer(zlib.decompress(packed), np.uint16).copy(), weights, refined)
     return _ready[key]
 
 
@@ -566,11 +649,12 @@ class Scored:
     rest: list[dict[bytes, int]]
 
 
-def scored_texts(codes: Codes, tables: Tables, model: Model, base: np.ndarray, texts: list[list[bytes]]) -> Scored:
+def scored_texts(codes: Codes, tables: Tables, model: Model, base: np.ndarray, texts: list[list[bytes]] | Numbered) -> Scored:
     """``texts`` with their ends; ``base``: the base's logarithm of each number."""
-    n = len(texts)
-    out = Scored(np.zeros(n), np.zeros(n), np.zeros(n, np.int64), [{} for _ in texts])
-    for part in parts(texts, codes, SCORE_WORDS):
+    texts = texts if isinstance(texts, Numbered) else numbered_lists(texts, codes)
+    n = len(texts.starts) - 1
+    out = Scored(np.zeros(n), np.zeros(n), np.zeros(n, np.int64), [{} for _ in range(n)])
+    for part in parts([texts], codes, SCORE_WORDS):
         logs = model.logs(0, *number_choices(codes, tables, part.ids, part.first, part.lead))
         ids = part.ids[part.lead :]
         other = ids == codes.spelled
@@ -622,7 +706,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_number[number] = np.log10((counts + 1) / (n + v + 1))
     of_number = np.full(len(ordered), n - counts.sum(), np.int64)  # what is left has no number
     of_number[number - 1] = counts
-    sent, tables = spark.sparkContext.broadcast((ordered, of_number)), tables_for(n)
+    sent, tables = spark.sparkContext.broadcast((pa.array(ordered, pa.large_binary()), of_number)), tables_for(n)
     texts = rows.where(~out_fold).select("text")
     texts = texts.coalesce(learning_tasks(texts))
     rare = words.where(F.col("n") <= RARE).select("word")
@@ -632,13 +716,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, model = ready(key, sent, learned)
         for batch in batches:
-            texts = [[*tokens(text.as_py()), b""] for text in batch.column(2)]
-            found = scored_texts(codes, tables, model, bases.value, texts)
+            words, starts = split(batch.column(2))
+            found = scored_texts(codes, tables, model, bases.value, numbered(words, starts, codes))
             tail = [list(rest.items()) for rest in found.rest]
             columns = [
-                pa.array([uuid.uuid4().hex for _ in texts], pa.string()),
-                pa.array(list(map(len, texts)), pa.int64()),
-                pa.array([len((text.as_py() or "").encode()) + 1 for text in batch.column(2)], pa.int64()),
+                pa.array([uuid.uuid4().hex for _ in tail], pa.string()),
+                pa.array(np.diff(starts)),
+                pc.add(pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64()), 1),
                 pa.array(found.known),
                 pa.array(found.base),
                 pa.array(tail, pa.map_(pa.binary(), pa.int64())),

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -306,6 +307,29 @@ def test_mixing_lm_reads_texts_in_order(spark):
     assert found[-1].base_score == pytest.approx(found[-2].base_score) and found[-1].score > found[-2].score + 1
 
 
+def test_mixing_lm_splits_as_plain_tokens():
+    rng = random.Random(5)
+    signs = [*map(chr, range(40)), *"ABCxyzÄß\x85\xa0\u2003K😀İ"]
+    texts = [None, "", " ", "\x1c \x1d", "a", *("".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(2000))]
+    for own in (pa.array(texts), pa.array(texts).slice(900), pa.array([None, ""]), pa.array([], pa.string())):
+        words, starts = mixing_lm.split(own)
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(starts[:-1], starts[1:])] == [[*mixing_lm.tokens(text), b""] for text in own.to_pylist()]
+
+
+def test_mixing_lm_lines_and_size_of_codes():
+    _, codes, tables, _ = trained()
+    ids = np.arange(1, len(codes.sizes))
+    slots, _, _, sizes = mixing_lm.number_choices(codes, tables, ids, np.ones(len(ids), bool), 0)
+    step = np.arange(len(slots[0])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for slot in slots:
+        same = np.diff(slot >> mixing_lm.DEPTH) == 0
+        assert same[step[1:] % mixing_lm.DEPTH > 0].all() and (np.diff(slot)[same] != 0).all()
+    codes = mixing_lm.Codes([mixing_lm.SPELLED, *(b"w%d" % k for k in range(20_000))], np.ones(20_001, np.int64))
+    # 13 bytes a choice and more before, held by every task
+    assert sum(x.nbytes for x in vars(codes).values() if isinstance(x, np.ndarray)) < 8 * codes.sizes.sum()
+
+
 def test_mixing_lm_codes_of_very_large_counts():
     counts = np.array([0, 1, 10, 4_000_000_000, 5_000_000_000, 10**12])
     read = mixing_lm.VALUES[mixing_lm.codes_of(counts)]
