@@ -82,8 +82,9 @@ def _sums(found: Column, lengths: Column) -> Column:
     )
 
 
-def places(found: Column, gaps: Column, lengths: Column | None = None, sums: Column | None = None) -> Column:
-    """Structs (start, end, value) of the matches ``found`` between the pieces ``gaps``; positions in code points.
+def places(found: Column, gaps: Column, lengths: Column | None = None, sums: Column | None = None, chosen: Column | None = None) -> Column:
+    """Structs (start, end, value) of the matches ``found`` between the pieces ``gaps``, or of those numbered in ``chosen``;
+    positions in code points.
 
     Where matches are many, ``lengths`` and ``sums`` must be columns: an expression is worked out again for each match.
     """
@@ -95,7 +96,7 @@ def places(found: Column, gaps: Column, lengths: Column | None = None, sums: Col
         start = F.get(sums, block) + _total(F.slice(lengths, block * STEP + 1, i % STEP)) + F.char_length(F.get(gaps, i))
         return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("value"))
 
-    return F.transform(found, place)
+    return F.transform(found, place) if chosen is None else F.transform(chosen, lambda i: place(F.get(found, i), i))
 
 
 def _of_kind(number: int, kind: str, found: Column) -> Column:
@@ -198,8 +199,10 @@ def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRES
     out = out.withColumn("found", F.when(hit, F.regexp_extract_all("outside", F.lit(TERM), F.lit(0)))).withColumn("gaps", F.when(hit, F.split("outside", TERM, -1)))
     out = out.withColumn("lengths", _lengths(F.col("found"), F.col("gaps")))
     out = out.withColumn("sums", F.when(F.size("found") > 0, _sums(F.col("found"), F.col("lengths"))))
-    told = F.filter(places(*map(F.col, ("found", "gaps", "lengths", "sums"))), lambda s: F.array_contains("telling", F.lower(s["value"])))
-    terms = F.transform(told, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
+    # places of terms alone, as adding up lengths for every word costs more than all else here
+    told = F.transform("found", lambda x, i: F.when(F.array_contains("telling", F.lower(x)), i))
+    out = out.withColumn("chosen", F.filter(told, lambda i: i.isNotNull()))
+    terms = F.transform(places(*map(F.col, ("found", "gaps", "lengths", "sums", "chosen"))), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
     spans = F.array_sort(F.concat(plain, F.when(hit, terms).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     return out.select("row", "text", plain.alias("base"), spans.alias("spans")).unionByName(without)
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from support import database, rows
 
 from quillspark.llm import byte_bpe, chat, components, hnsw, mixing, mixing_lm, near_text, pii, pivot_join, queries, toxicity, warc
@@ -600,6 +601,15 @@ def test_pii_two_texts_are_enough_and_copies_of_one_are_not(spark):
     assert all("term" not in found[k] for k in range(2, len(texts)))
 
 
+def test_pii_places_of_chosen_matches(spark):
+    texts = ["one 😀 two  three", "", "one", " ".join(["two", "x"] * 200)]
+    found = documents(spark, texts).select("doc_id", F.regexp_extract_all("text", F.lit(pii.TERM), F.lit(0)).alias("found"), F.split("text", pii.TERM, -1).alias("gaps"))
+    found = found.withColumn("chosen", F.expr("filter(transform(found, (x, i) -> if(x = 'two', i, null)), i -> i is not null)"))
+    out = found.select("doc_id", pii.places(F.col("found"), F.col("gaps"), chosen=F.col("chosen")).alias("places")).collect()
+    for r in out:
+        assert [tuple(p) for p in r.places] == [(m.start(), m.end(), "two") for m in re.finditer("two", texts[r.doc_id])]
+
+
 def test_pii_terms_equal_brute_force(spark):
     rng = random.Random(6)
     names, mails = [f"name{chr(97 + k)}{chr(97 + k)}" for k in range(8)], [f"m{k}@x.org" for k in range(8)]
