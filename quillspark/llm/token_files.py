@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -64,7 +65,8 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
-        self.marks = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile(b"|".join(marks)).search if marks else lambda piece: None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         entries = self.tokenizer.get_vocab()
         #: whether a token ends a word; where none tells, words are encoded one by one
@@ -75,7 +77,7 @@ class Encoder:
     def bare(self, piece: bytes) -> bytes:
         """The piece without the signs at its end; whole where these may belong to what stands before them."""
         stem = piece.rstrip(SIGNS)
-        return stem if stem[-1:].isalnum() and not any(mark in piece for mark in self.marks) else piece
+        return stem if len(stem) < len(piece) and stem[-1:].isalnum() and not self.marked(piece) else piece
 
     def find_words(self, words: list[bytes]) -> bool:
         """Knows words of letters, encoded as one text and told apart by the tokens that end words; false where their normal
@@ -101,39 +103,49 @@ class Encoder:
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > CACHE:
             self.known, self.older = Known(), self.known
-        made = {}
+        made, new = {}, set()
         for piece in pieces:
             if not self.remembered(piece):
                 stem = self.bare(piece)
                 # ASCII letters in lower case, as the tokenizer takes them
-                made[piece] = stem.lower() if stem.isalnum() else stem, piece[len(stem) :]
-        parts = {x for both in made.values() for x in both if x}
-        new = [x for x in parts if not self.remembered(x)]
-        words = [x for x in new if len(x) <= LONG and x.decode().isalpha()]
-        rest = [x for x in new if len(x) > LONG or not x.decode().isalpha()]
+                part = stem.lower() if stem.isalnum() else stem
+                if part == piece:
+                    new.add(piece)
+                else:
+                    made[piece] = part, piece[len(stem) :]
+        new.update(x for x in {x for both in made.values() for x in both if x} - new if not self.remembered(x))
+        words, rest = [], []
+        for x in new:
+            (words if len(x) <= LONG and x.decode().isalpha() else rest).append(x)
         for low in range(0, len(words), JOINED):
             if not self.find_words(some := words[low : low + JOINED]):
                 rest += some
         found = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
         self.known.update(zip(rest, (np.array(x.ids, self.kind).tobytes() for x in found)))
         for piece, (stem, signs) in made.items():
-            if stem != piece:
-                self.known[piece] = self.known[stem] + (self.known[signs] if signs else b"")
+            self.known[piece] = self.known[stem] + (self.known[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, again = [], []
         for k, text in enumerate(texts):
             before = len(self.known.new)
             pieces = text.encode().split()
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
+            found = list(map(self.known.__getitem__, pieces))
             if len(self.known.new) > before:
-                again.append((k, pieces))
+                again.append((k, pieces, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
         new, self.known.new = set(self.known.new), []
         if new:
-            # with a new half, all pieces of the texts that are read again are new
-            self.learn(new if len(self.known) <= CACHE else new.union(*(x for _, x in again)))
-        for k, pieces in again:
-            out[k] = b"".join(map(self.known.__getitem__, pieces))
+            self.learn(new)
+        for k, pieces, found in again:
+            at = -1
+            with contextlib.suppress(ValueError):  # until no gap is left; what is known is not looked up again
+                while True:
+                    at = found.index(b"", at + 1)
+                    found[at] = self.known.get(pieces[at], b"")
+            out[k] = b"".join(found)
         for piece in filter(lambda x: len(x) > LONG, new):  # not worth their memory
             self.known.pop(piece, None)
         return out

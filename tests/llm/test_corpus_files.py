@@ -112,6 +112,23 @@ def test_token_files_forget_pieces(monkeypatch):
         assert np.frombuffer(encoder.encode([text or ""])[0], "<u2").tolist() == ids[:-1]
 
 
+def test_token_files_look_up_known_pieces_once():
+    class Counted(token_files.Known):
+        asked = []
+
+        def __getitem__(self, piece):
+            self.asked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder = token_files.Encoder(WORDS, 2)
+    encoder.encode(["the"])
+    encoder.known, old = Counted(), encoder.known
+    encoder.known.update(old)
+    texts = ["the " * 50 + "zq\x01 neverword the", "the neverword, the"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [ids[:-1] for ids in plain_ids(texts)]
+    assert Counted.asked.count(b"the") == 53
+
+
 # -- 12 Merkle manifest
 
 
