@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import bound_batches
+from quillspark.llm.shared import bound_batches, hold
 
 NONE = np.iinfo(np.int64).max
 #: Pieces up to this many bytes go to the arrays; longer ones to the single tree.
@@ -213,6 +213,7 @@ _loaded: dict[tuple[str, str], Vocabulary] = {}
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The vocabulary, loaded once in each Python worker."""
+    hold(_loaded.clear)
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Vocabulary(path, pattern)
     return _loaded[path, pattern]

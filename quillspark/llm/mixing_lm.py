@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bound_batches, held_out, materialize
+from quillspark.llm.shared import bound_batches, held_out, hold, materialize
 
 #: Contexts of a choice, and inputs of the mixer: those and the choice's share in all training words.
 CONTEXTS, INPUTS = 4, 5
@@ -631,6 +631,7 @@ _ready: dict[str, tuple[Codes, Model]] = {}
 
 def ready(key: str, words: Broadcast, learned: Broadcast) -> tuple[Codes, Model]:
     """Codes and model, made once in each Python worker that needs them."""
+    hold(_ready.clear)
     if key not in _ready:
         _ready.clear()
         packed, weights, refined = learned.value

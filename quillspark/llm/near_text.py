@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected_components, forest_edges
-from quillspark.llm.shared import bound_batches, materialize
+from quillspark.llm.shared import bound_batches, hold, materialize, release
 
 TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
@@ -45,6 +45,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    hold(_words.clear)
     if len(_words) > KNOWN_WORDS:
         _words.clear()
     for word in set(words).difference(_words):
@@ -88,6 +89,7 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 keys.append(hashlib.sha256(found.tobytes()).digest()[:16] if len(found) else None)
                 signatures.append(np.append(minima(found), np.uint32(len(found))).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "n_shingles", "class_key", "minima"])
+        release()  # learned anew in no time
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, class_key binary, minima binary")
 
@@ -99,6 +101,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
         for batch in batches:
             sets = [shingles(text.as_py(), width).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingle_set"])
+        release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(wanted, "id", "left_semi")
     return chosen.mapInArrow(run, "id long, shingle_set binary")

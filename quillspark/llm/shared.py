@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,27 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_holder: list[Callable[[], None]] = []
+
+
+def hold(forget: Callable[[], None]) -> None:
+    """From now on this Python worker keeps what ``forget`` drops; what another operator has kept in it goes.
+
+    Workers live on from stage to stage, and idle ones count to their executor's memory too.
+    """
+    if _holder != [forget]:
+        release()
+        _holder.append(forget)
+
+
+def release() -> None:
+    """Drops what this Python worker keeps, and gives the memory back."""
+    if _holder:
+        _holder.pop()()
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """crc32 of the id's decimal text, modulo ``modulus``, equals ``remainder``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == remainder

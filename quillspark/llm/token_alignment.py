@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import bound_batches, materialize
+from quillspark.llm.shared import bound_batches, hold, materialize
 
 #: Entries of a product that are made at once.
 BLOCK = 4 << 20
@@ -352,6 +352,7 @@ _aligners: dict[tuple[str, str], Aligner] = {}
 
 def aligner(a_path: str, b_path: str) -> Aligner:
     """The aligner, made once in each Python worker."""
+    hold(_aligners.clear)
     if (a_path, b_path) not in _aligners:
         made = Tokenizers(a_path, b_path)
         if not made.splits:

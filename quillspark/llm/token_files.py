@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import bound_batches, materialize, scratch_dir
+from quillspark.llm.shared import bound_batches, hold, materialize, scratch_dir
 
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 128 << 20
@@ -156,6 +156,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 def encoder(path: str, width: int) -> Encoder:
     """The encoder, loaded once in each Python worker."""
+    hold(_encoders.clear)
     if (path, width) not in _encoders:
         _encoders[path, width] = Encoder(path, width)
     return _encoders[path, width]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import bound_batches, held_out
+from quillspark.llm.shared import bound_batches, held_out, hold
 
 BUCKETS, WIDTH = 1 << 18, 8
 GRAMS = range(3, 7)
@@ -166,6 +166,7 @@ _known_for: list = [None]
 
 def text_logits(texts: list[str | None], model: Model, key: str) -> np.ndarray:
     """Difference of the logits for each text: of its most toxic word, its mean word and the bias."""
+    hold(_known.clear)
     if _known_for[0] != key:
         _known.clear()
         _known_for[0] = key

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from support import database, rows
 
-from quillspark.llm import byte_bpe, chat, components, hnsw, mixing, mixing_lm, near_text, pii, pivot_join, queries, toxicity, warc
+from quillspark.llm import byte_bpe, chat, components, hnsw, mixing, mixing_lm, near_text, pii, pivot_join, queries, shared, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,6 +178,23 @@ def test_toxicity_score_is_that_of_a_plain_sum():
 # -- 4 language model
 
 
+def test_workers_keep_the_memory_of_one_operator_only(spark):
+    toxicity.text_logits(["some words"], toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0), "key")
+    assert toxicity._known
+    near_text.shingles("other words", 5)
+    assert near_text._words and not toxicity._known
+    toxicity.text_logits(["some words"], toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0), "key")
+    assert toxicity._known and not near_text._words
+    shared.release()
+    assert not toxicity._known
+
+    def left(batches):  # after the tasks of a worker
+        yield from (pa.RecordBatch.from_pydict({"n": [len(near_text._words)]}) for _ in batches)
+
+    near_text.describe(documents(spark, ["a b c", "d e"]), 5, "doc_id", "text").coalesce(1).collect()
+    assert {r.n for r in spark.range(8).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_mixing_lm_base_and_model(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "THE the \x85 "), (-3, "THE the \x85 ")], "doc_id long, text string"))
     out = {r.doc_id: r for r in mixing_lm.score_documents(docs.selectExpr("*", "1 as n", "2 as word")).collect()}
