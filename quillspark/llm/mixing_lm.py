@@ -303,6 +303,18 @@ def _level(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return length
 
 
+#: The level of two counts, each up to 64, as 64 in all give the greatest length.
+_LEVELS = _level(*(np.arange(1 << 14) // np.array([[1], [128]]) % 128).astype(np.float32)).astype(np.int8)
+
+
+def _level_of(pair: np.ndarray) -> np.ndarray:
+    """``_level`` of each slot's zeros and ones, which follow one another."""
+    least = np.minimum(pair, 64)
+    at = least[1::2] << 7
+    at += least[::2]
+    return _LEVELS.take(at, mode="clip")
+
+
 def _gates(kind: int, levels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     one, two, three = levels
     return ((kind * LEVELS + one.astype(np.int64)) * LEVELS + two) * 3 + np.minimum(three >> 1, 2)
@@ -340,23 +352,18 @@ class Learner:
         self.used = np.zeros(GATES)
         self.weight_pace, self.refine_pace = np.full(self.weights.shape, 1e-4, np.float32), np.full(self.refined.shape, 1e-4, np.float32)
 
-    def count(self, slots: list[np.ndarray], bits: np.ndarray) -> None:
-        both = self.counts.view(np.int64)
-        one = np.left_shift(1, 32 * bits.astype(np.int64))  # to a slot's zeros or its ones
-        for slot in slots:
-            np.add.at(both, slot, one)
-
     def step(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray) -> None:
-        self.teach(kind, slots, shares, bits)
-        self.count(slots, bits)
-
-    def teach(self, kind: int, slots: list[np.ndarray], shares: np.ndarray, bits: np.ndarray) -> None:
+        """Predicts the choices from what was counted before, learns from them, and counts them."""
         both = self.counts.view(np.int64)
+        one = np.left_shift(1, 32 * bits.astype(np.int64))  # to a slot's zeros or its ones
         inputs, levels = [], []
         for t, slot in enumerate(slots):
-            pair = both.take(slot, mode="clip").view(np.int32).astype(np.float32)
+            before = both.take(slot, mode="clip")
+            np.add.at(both, slot, one)  # at once, while the table's lines are near
+            pair = before.view(np.int32)
             if t < 3:
-                levels.append(_level(pair[::2], pair[1::2]))
+                levels.append(_level_of(pair))
+            pair = pair.astype(np.float32)
             pair += np.float32(0.3)  # the logit, by two logarithms of all at once
             np.log(pair, out=pair)
             inputs.append(pair[1::2] - pair[::2])
@@ -405,7 +412,7 @@ class Model:
         """log10 of the probability of each word's choices."""
         if not len(sizes):
             return np.empty(0)
-        codes = [self.levels.take(slot, mode="clip") for slot in slots]
+        codes = [self.levels.take(slot, mode="clip").astype(np.intp) for slot in slots]
         gates = _gates(kind, tuple(self.level.take(codes[t], mode="clip") for t in range(3)))
         final, _, _ = _refine(_mixed([*(self.logit.take(c, mode="clip") for c in codes), shares], gates, self.weights), gates, self.refined)
         logs = np.log(1 + np.exp(final * (1 - 2 * bits)))
@@ -430,16 +437,17 @@ class Part:
 
 @dataclass
 class Numbered:
-    """Texts one after another: their words' numbers, where each text starts and the last one ends, and the words without numbers."""
+    """Texts one after another: their words' numbers, where each text starts and the last one ends, and the words without numbers,
+    if they are asked for."""
 
     ids: np.ndarray
     starts: np.ndarray
-    spelled: pa.Array
+    spelled: pa.Array | None
 
 
-def numbered(words: pa.Array, starts: np.ndarray, codes: Codes) -> Numbered:
+def numbered(words: pa.Array, starts: np.ndarray, codes: Codes, spelled: bool = True) -> Numbered:
     ids = codes.numbers(words)
-    return Numbered(ids, starts, words.take(pa.array(np.flatnonzero(ids == codes.spelled))))
+    return Numbered(ids, starts, words.take(pa.array(np.flatnonzero(ids == codes.spelled))) if spelled else None)
 
 
 def numbered_lists(texts: list[list[bytes]], codes: Codes) -> Numbered:
@@ -484,7 +492,7 @@ def parts(texts: Iterable[list[bytes]] | Iterable[Numbered], codes: Codes, size:
     number, held = -1, 0
     for some in texts:
         some = some if isinstance(some, Numbered) else numbered_lists([some], codes)
-        others, at = np.flatnonzero(some.ids == codes.spelled), 0
+        others, at = np.empty(0, np.int64) if some.spelled is None else np.flatnonzero(some.ids == codes.spelled), 0
         for low, high in zip(some.starts[:-1].tolist(), some.starts[1:].tolist()):
             number += 1
             for k in range(low, high, size):
@@ -556,7 +564,7 @@ def learned_parts(texts: DataFrame, rare: DataFrame, words: Broadcast, tables: T
     """``block, counts, more`` of every task: its packed counts by block of slots; in block -1 weights and refining table, and use."""
 
     def of_numbers(codes: Codes, learner: Learner, batches: Iterator[pa.RecordBatch]) -> None:
-        stream = (numbered(*split(batch.column(0)), codes) for batch in batches)
+        stream = (numbered(*split(batch.column(0)), codes, spelled=False) for batch in batches)
         for part in parts(stream, codes, LEARN_WORDS):
             learner.step(0, *number_choices(codes, tables, part.ids, part.first, part.lead)[:-1])
 

@@ -335,6 +335,20 @@ def test_mixing_lm_splits_as_plain_tokens():
         assert [words[a:b] for a, b in zip(starts[:-1], starts[1:])] == [[*mixing_lm.tokens(text), b""] for text in own.to_pylist()]
 
 
+def test_mixing_lm_learns_without_spelled_words_and_from_counts_before():
+    texts, codes, tables, _ = trained()
+    texts = [[*text[:5], b"never", b""] for text in texts]
+    words, starts = pa.array([w for text in texts for w in text], pa.large_binary()), np.cumsum([0, *map(len, texts)])
+    own, other = (list(mixing_lm.parts([mixing_lm.numbered(words, starts, codes, spelled=k)], codes, 100)) for k in (True, False))
+    assert all((a.ids == b.ids).all() and (a.first == b.first).all() and a.spelled and not b.spelled for a, b in zip(own, other, strict=True))
+    counts = np.array([[z, o] for z in (*range(70), 127, 128, 300, 2**24) for o in (*range(70), 127, 128, 300, 2**24)], np.int32)
+    assert (mixing_lm._level_of(counts.ravel()) == mixing_lm._level(*counts.T.astype(np.float32))).all()
+    learner = mixing_lm.Learner(tables)
+    slots = [np.zeros(4, np.int64) + k for k in range(4)]
+    learner.step(0, slots, np.zeros(4, np.float32), np.array([0, 1, 1, 1], np.int8))
+    assert learner.counts[:8].tolist() == [1, 3] * 4 and learner.used.sum() == learner.used[0] == 4  # all four by no counts
+
+
 def test_mixing_lm_lines_and_size_of_codes():
     _, codes, tables, _ = trained()
     ids = np.arange(1, len(codes.sizes))
