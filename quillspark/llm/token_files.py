@@ -7,7 +7,9 @@ unsigned 64-bit integers, where each of its documents starts in the whole corpus
 its base, the sum of all counts before it.
 
 Ranges of ids make the shards; a task encodes the sorted documents of its range as it writes them.  A task names its files by an identifier of its own and
-puts the name into its row of the index, so that a lost or repeated task leaves files that nothing refers to.
+puts the name into its row of the index, so that a lost or repeated task leaves files that nothing refers to.  Tables with a row
+for each shard are written as one file: on a local file system Hadoop starts a process for each file and folder it makes, and
+until that process has loaded its program it counts with all memory of the executor's JVM.
 """
 
 from __future__ import annotations
@@ -239,8 +241,8 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], names=["shard", "name", "n_docs", "n_ids"])
 
-    written = materialize(rows.mapInArrow(write, "shard long, name string, n_docs long, n_ids long"), "token-shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    written = rows.mapInArrow(write, "shard long, name string, n_docs long, n_ids long")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, all of them in one file
     based = materialize(written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-bases")
 
     def offsets(row: dict) -> dict:
@@ -256,13 +258,15 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
             if batch.num_rows:
                 yield pa.RecordBatch.from_pylist([offsets(row) for row in batch.to_pylist()])
 
-    index = based.repartitionByRange(shards, "shard").mapInArrow(put, "shard long, name string, n_docs long, n_ids long, base long, offsets string")
-    index.withColumn("width", F.lit(width)).write.parquet(f"{folder}/index")
+    index = based.repartition(shards).mapInArrow(put, "shard long, name string, n_docs long, n_ids long, base long, offsets string")
+    index.withColumn("width", F.lit(width)).repartition(1).write.parquet(f"{folder}/index")
 
 
 def read_corpus(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document of a corpus whose ids are of type ``kind``; a task maps a shard."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document of a corpus whose ids are of type ``kind``; a task maps one shard after
+    the other, of small ones several."""
     index = spark.read.parquet(f"{folder}/index")
+    size = index.agg(F.coalesce(F.sum(F.col("n_ids") * F.col("width")), F.lit(0)).alias("bytes"), F.count("*").alias("shards")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,8 +279,8 @@ def read_corpus(spark: SparkSession, folder: str, kind: str = "bigint") -> DataF
                     own = shard.doc_ids.slice(low, len(places)).combine_chunks()
                     yield pa.RecordBatch.from_arrays([own, pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    tasks = index.repartitionByRange(max(1, index.count()), "shard")
-    return tasks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(size["shards"], max(-(-size["bytes"] // SHARD_BYTES), 4 * spark.sparkContext.defaultParallelism)))
+    return index.repartition(tasks).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

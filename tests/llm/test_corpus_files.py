@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -104,6 +105,27 @@ def test_token_files_read_at_random(spark):
     assert found == {k: [*ids[:-1], 70_000] for k, ids in enumerate(plain_ids(texts))}
 
 
+def test_token_files_of_many_shards_make_few_table_files(spark, monkeypatch):
+    texts = [f"word {k} of many, {k * k}" for k in range(600)]
+    folder = f"{scratch_dir(spark)}/corpus-of-many"
+    place = Path(scratch_dir(spark).removeprefix("file://"))
+    parts = lambda x: set(place.glob(f"{x}/part-*.parquet"))
+    old = parts("token-*")
+    with monkeypatch.context() as small:
+        small.setattr(token_files, "SHARD_BYTES", 200)
+        token_files.write_corpus(documents(spark, texts), folder, WORDS)
+    shards = spark.read.parquet(f"{folder}/index").count()
+    assert shards > 4 * spark.sparkContext.defaultParallelism
+    assert len(parts("corpus-of-many/index")) == 1 and len(parts("token-*") - old) == 1  # a file for each shard before
+    read = token_files.read_corpus(spark, folder)
+    assert read.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism  # a task for each shard before
+    found, start = {r.doc_id: r for r in read.collect()}, 0
+    for k, ids in enumerate(plain_ids(texts)):
+        assert found[k] == (k, start, len(ids), crc(ids))
+        start += len(ids)
+    assert len(found) == len(texts)
+
+
 def test_token_files_forget_pieces(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE", 100)
     monkeypatch.setattr(token_files, "LONG", 8)
