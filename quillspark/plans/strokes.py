@@ -308,5 +308,4 @@ def _(spark, sf_dir):
 
 @query("spc08_dominant", f"SELECT stroke_id, place::INT AS place, {R('k/32.0::DOUBLE', 'frequency')} FROM (SELECT *, row_number() OVER (PARTITION BY stroke_id ORDER BY round(power, 9) DESC, k) AS place FROM (SELECT *, lag(power) OVER w AS lo, lead(power) OVER w AS hi FROM psd WINDOW w AS (PARTITION BY stroke_id ORDER BY k)) WHERE power > lo AND power > hi AND power > 0.01) WHERE place <= 5", "psd")
 def _(spark, sf_dir):
-    found = X.spectrum(X.tangent_signal(pts(spark, sf_dir))).withColumn("power", F.round("power", 9))
-    return rounded(X.dominant(found))
+    return rounded(X.dominant(X.tangent_spectrum(pts(spark, sf_dir))))
