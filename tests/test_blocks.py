@@ -81,6 +81,6 @@ def test_neighbours_of_few_rows(spark):
 def test_rows_are_stored_once_for_a_side_and_graphs_worked_out_once(spark):
     rows = frame(spark, tables()["normal"])
     near = embedding.neighbours(rows, rows, 5)
-    for df, products in ((near, 1),):
+    for df, products in ((near, 1), (embedding.symmetrised(embedding.fuzzy_weights(near, 5)), 1)):
         assert plan(df).count("CartesianProduct") == products
         assert "FlatMapGroups" not in plan(df) and "sequence" not in plan(near)
