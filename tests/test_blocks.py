@@ -84,3 +84,24 @@ def test_rows_are_stored_once_for_a_side_and_graphs_worked_out_once(spark):
     for df, products in ((near, 1), (embedding.symmetrised(embedding.fuzzy_weights(near, 5)), 1)):
         assert plan(df).count("CartesianProduct") == products
         assert "FlatMapGroups" not in plan(df) and "sequence" not in plan(near)
+
+
+@pytest.mark.parametrize("name", ["normal", "far", "small", "one", "copies", "equal"])
+def test_stress_equals_every_pair(spark, name):
+    x = tables()[name]
+    e = x[:, :3] * 0.5
+    i, j = np.triu_indices(len(x), 1)
+    d, f = (np.sqrt(((m[i] - m[j]) ** 2).sum(axis=1)) for m in (x, e))
+    total = (d * d).sum()
+    want = math.sqrt(((d - f) ** 2).sum() / total) if total > 0 else 0.0
+    rows = frame(spark, x, e=[[float(c) for c in v] for v in e]).repartition(3)
+    found = embedding.stress(rows, block=100)
+    assert found.first().stress == pytest.approx(want, abs=1e-7)
+
+
+def test_stress_leaves_out_pairs_with_equal_ids():
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    ids = np.arange(60) % 40
+    total = sum(blocks.differences(ids[a], ids[b], [x[a], x[b]], [x[a], x[b] * 0], a == b)[0] for a, b in ((slice(0, 30), slice(0, 30)), (slice(0, 30), slice(30, 60)), (slice(30, 60), slice(30, 60))))
+    i, j = np.triu_indices(60, 1)
+    assert total == pytest.approx((((x[i] - x[j]) ** 2).sum(axis=1) * (ids[i] != ids[j])).sum())
