@@ -81,7 +81,7 @@ def test_neighbours_of_few_rows(spark):
 def test_rows_are_stored_once_for_a_side_and_graphs_worked_out_once(spark):
     rows = frame(spark, tables()["normal"])
     near = embedding.neighbours(rows, rows, 5)
-    for df, products in ((near, 1), (embedding.symmetrised(embedding.fuzzy_weights(near, 5)), 1)):
+    for df, products in ((near, 1), (embedding.symmetrised(embedding.fuzzy_weights(near, 5)), 1), (embedding.overlap(near, embedding.neighbours(rows, rows, 5, "manhattan"), 5), 2)):
         assert plan(df).count("CartesianProduct") == products
         assert "FlatMapGroups" not in plan(df) and "sequence" not in plan(near)
 
@@ -105,3 +105,9 @@ def test_stress_leaves_out_pairs_with_equal_ids():
     total = sum(blocks.differences(ids[a], ids[b], [x[a], x[b]], [x[a], x[b] * 0], a == b)[0] for a, b in ((slice(0, 30), slice(0, 30)), (slice(0, 30), slice(30, 60)), (slice(30, 60), slice(30, 60))))
     i, j = np.triu_indices(60, 1)
     assert total == pytest.approx((((x[i] - x[j]) ** 2).sum(axis=1) * (ids[i] != ids[j])).sum())
+
+
+def test_overlap_counts_rows_without_common_neighbours(spark):
+    graph = lambda edges: spark.createDataFrame(edges, "id long, other long")
+    first, second = graph([(1, 2), (1, 3), (2, 1), (2, 3)]), graph([(1, 2), (1, 4), (2, 4), (2, 5), (9, 1)])
+    assert embedding.overlap(first, second, 2).first().overlap == 0.25
