@@ -1,16 +1,19 @@
 """Embedding near-duplicates by an exact metric range join.
 
 On unit vectors cosine >= c means a Euclidean distance of at most r = sqrt(2 - 2c).  Equal vectors of one label form a class
-with one representative.  Pivots, chosen from the representatives by their hash, cut each label's space: a vector's home is
-the cell of its nearest pivot.  By the triangle inequality a vector within r of x can only have its home at pivot p if
-d(x, p) - d(x, home) <= 2r; x is copied to the cells that this test leaves.  Cells are joined independently, in blocks of
-bounded size, all of a block's pairs by one product of matrices.  The cosine itself decides, in double precision on the original
-vectors.  A block gives the number of links of each of its vectors and a spanning forest of them, not the links themselves.
+with one representative.  Representatives are sorted by label and packed into blocks, each label's next to those with the same
+nearest pivot, and a block has a ball around its vectors.  Pairs of blocks meet in a Cartesian product, whose tasks read the shuffled
+blocks where they lie, so that each vector is stored once for a side; by the triangle inequality those can be left out whose balls
+are more than r apart.  All of a pair's cosines come from one product of matrices in single precision; where that leaves it open, the
+cosine itself decides, in double precision on the original vectors.  A pair gives the number of links of each of its vectors and a
+spanning forest of them, not the links themselves.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.components import connected_components
 from quillspark.llm.shared import bound_batches, materialize
 
-#: Pivots of one label at most; a cell is to have about ``CELL`` vectors.
-MOST_PIVOTS, CELL, BLOCK = 256, 512, 512
-#: Rows that are dealt to cells at once.
-DEAL = 512
+#: Vectors that are arranged by pivots at once, vectors by pivot, and vectors of a block at most.
+ARRANGED, CELL, BLOCK = 8192, 512, 1024
+#: Bytes of vectors that a task holds of one side, and tasks by core.
+PART, TASKS = 64 << 20, 8
 
 
 def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -72,10 +75,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     """
     bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("raw"))
-    good = usable(rows.where("id is not null and label is not null"), "raw").select("id", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")).alias("space"), "v")
-    keyed = materialize(good.withColumn("class_key", F.sha1(F.concat_ws(",", F.col("space"), F.transform("v", lambda x: (x + 0.0).cast("string"))))), "pivot-rows")
-    classes = keyed.groupBy("class_key").agg(F.min(F.struct("id", "space", "v")).alias("first"), F.count("*").alias("n"))
-    classes = materialize(classes.select(F.col("first.id").alias("id"), F.col("first.space").alias("space"), F.col("first.v").alias("v"), "n", "class_key"), "pivot-classes")
+    good = usable(rows.where("id is not null and label is not null"), "raw").withColumn("space", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")))
+    good = good.select("id", "space", "raw", F.sha1(F.concat_ws(",", F.col("space"), F.transform("v", lambda x: (x + 0.0).cast("string")))).alias("class_key"))
+    keyed = materialize(good.select("id", "class_key"), "pivot-rows")
+    # vectors stay of their own type until they are packed, which may be half as wide
+    classes = good.groupBy("class_key").agg(F.min(F.struct("id", "space", "raw")).alias("first"), F.count("*").alias("n"))
+    classes = materialize(classes.select(F.col("first.id").alias("id"), F.col("first.space").alias("space"), F.col("first.raw").alias("raw"), "n", "class_key"), "pivot-classes")
     links = materialize(_links(classes, cosine), "pivot-links")
 
     counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("m").alias("m"))
@@ -89,60 +94,135 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _blocks(classes: DataFrame) -> DataFrame:
+    """Blocks of vectors of one length, with their spaces in order and the count of each."""
+    spark = classes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(classes.count() / (2 * ARRANGED)))
+    order = ["space", F.xxhash64("id", "class_key")]
+    rows = classes.select("space", "id", "n", "raw", "class_key").repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("class_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        for batch in batches:
+            for batch in of_one_length(batch):
+                if kept and width(kept[-1]) != width(batch):
+                    yield from blocks(kept)
+                    kept, n = [], 0
+                at = 0
+                while at < batch.num_rows:
+                    kept.append(batch.slice(at, ARRANGED - n))
+                    at, n = at + kept[-1].num_rows, n + kept[-1].num_rows
+                    if n == ARRANGED:
+                        yield from blocks(kept)
+                        kept, n = [], 0
+        if kept:
+            yield from blocks(kept)
+
+    def width(batch: pa.RecordBatch) -> int:
+        return len(batch.column("raw")[0])
+
+    def of_one_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = batch.column("raw").value_lengths().to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+        return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+    def blocks(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        wide = np.array(_matrix(rows.column("raw")), np.float64)
+        u, space = unit(wide), rows.column("space").to_numpy()
+        starts = np.flatnonzero(np.r_[True, space[1:] != space[:-1]])
+        order = np.arange(len(u))
+        for a, b in zip(starts, np.r_[starts[1:], len(u)]):
+            if b - a > CELL:
+                pivots = u[a:b][:: CELL]
+                order[a:b] = a + np.argsort((u[a:b] @ pivots.T).argmax(axis=1), kind="stable")
+        ids, n = rows.column("id").to_numpy()[order], rows.column("n").to_numpy()[order]
+        wide, u, space = wide[order], u[order], space[order]
+        for a in range(0, len(u), BLOCK):
+            own = slice(a, a + BLOCK)
+            starts = np.flatnonzero(np.r_[True, space[own][1:] != space[own][:-1]])
+            center = u[own].mean(axis=0)
+            radius = float(np.sqrt(((u[own] - center) ** 2).sum(axis=1).max()))
+            with np.errstate(over="ignore"):
+                single = wide[own].astype(np.float32)
+            exact = np.array_equal(single, wide[own])
+            names = space[own][starts].tolist()
+            yield pa.RecordBatch.from_pydict({
+                "name": [uuid.uuid4().hex], "ids": pa.array([ids[own]], pa.list_(pa.int64())), "n": pa.array([n[own]], pa.list_(pa.int64())),
+                "spaces": pa.array([names], pa.list_(pa.string())), "counts": pa.array([np.diff(np.r_[starts, len(ids[own])])], pa.list_(pa.int64())), "first": [names[0]], "last": [names[-1]],
+                "width": pa.array([u.shape[1]], pa.int32()), "center": pa.array([center]), "radius": [radius], "bytes": pa.array([4 * single.size], pa.int64()),
+                "v": pa.array([(single if exact else wide[own]).tobytes()], pa.binary()),
+            })
+
+    return rows.mapInArrow(run, "name string, ids array<long>, n array<long>, spaces array<string>, counts array<long>, first string, last string, width int, center array<double>, radius double, bytes long, v binary")
+
+
+class _Block:
+    """A block as it is compared."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str) -> None:
+        get = lambda c: batch.column(f"{side}_{c}")[row]
+        self.name, width, raw = get("name").as_py(), get("width").as_py(), get("v").as_buffer()
+        self.ids, self.n = (get(c).values.to_numpy() for c in ("ids", "n"))
+        self.unit = unit(np.frombuffer(raw, np.float64 if raw.size == 8 * len(self.ids) * width else np.float32).reshape(-1, width).astype(np.float64))
+        self.single = self.unit.astype(np.float32)
+        ends = np.cumsum(get("counts").values.to_numpy())
+        self.spaces = {s: slice(a, b) for s, a, b in zip(get("spaces").as_py(), [0, *ends[:-1].tolist()], ends.tolist())}
+
+
+def linked_pairs(one: _Block, other: _Block, r: slice, g: slice, cosine: float) -> np.ndarray:
+    """Which rows of two blocks have the cosine."""
+    close = one.single[r] @ other.single[g].T
+    open_ = 1e-6 + 2.4e-7 * (one.unit.shape[1] + 8)
+    linked = close >= cosine + open_
+    i, j = np.nonzero((close >= cosine - open_) & ~linked)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        linked[a, b] = np.einsum("kd,kd->k", one.unit[r][a], other.unit[g][b]) >= cosine
+    return linked
+
+
 def _links(classes: DataFrame, cosine: float) -> DataFrame:
     """Of each pair of blocks, rows ``a, m``: how many vectors in it link with a's class, each link counted once in all; and rows
     ``a, b``: a spanning forest of the links."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    sizes = classes.groupBy("space").agg(F.count("*").alias("size"))
-    sizes = materialize(sizes.select("space", F.least(F.greatest(F.round(F.col("size") / CELL), F.lit(1)), F.lit(MOST_PIVOTS)).cast("int").alias("pivots"), "size", F.ceil(F.col("size") / DEAL).cast("int").alias("parts")), "pivot-sizes")
-    # as many of the least hashes as there are pivots: those under a bound first, so that few rows are put in order
-    hashed = classes.join(sizes, "space").withColumn("h", F.xxhash64("id", "class_key"))
-    likely = hashed.where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("size") <= 3 * F.col("pivots") + 40)
-    pivots = likely.groupBy("space").agg(F.max("pivots").alias("pivots"), F.array_sort(F.collect_list(F.struct("h", "v"))).alias("p"))
-    pivots = materialize(pivots.select("space", F.transform(F.slice("p", F.lit(1), F.col("pivots")), lambda x: x["v"]).alias("pivot_vectors")), "pivots")
-
-    def deal(rows: pa.Table, its_pivots: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()))], names=["space", "cell", "home", "id", "n", "v"])
-        rows, x = rows.combine_chunks(), unit(_matrix(rows.column("v")))
-        p = unit(np.array(its_pivots.column("pivot_vectors")[0].as_py()))
-        d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
-        home = d.argmin(axis=1)
-        row, cell = np.nonzero(d - d.min(axis=1, keepdims=True) <= 2 * radius + 1e-9)
-        copied = rows.take(pa.array(row))
-        return pa.table({"space": copied.column("space"), "cell": pa.array(cell, pa.int32()), "home": pa.array(home[row] == cell), "id": copied.column("id"), "n": copied.column("n"), "v": copied.column("v")})
-
-    schema = "space string, cell int, home boolean, id long, n long, v array<double>"
-    # a part's rows meet one copy of its space's pivots
-    in_parts = classes.join(sizes.select("space", "parts"), "space").select("id", "space", "v", "n", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    sent = pivots.join(sizes.select("space", "parts"), "space").select("space", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot_vectors")
-    dealt = materialize(in_parts.groupBy("space", "part").cogroup(sent.groupBy("space", "part")).applyInArrow(deal, schema), "pivot-dealt")
-    blocks = dealt.groupBy("space", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("resident_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_blocks"))
-    dealt = dealt.join(materialize(blocks.where("resident_blocks > 0"), "pivot-blocks"), ["space", "cell"])
-    pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["space", "cell", "id", "n", "v", "home"]
-    residents = dealt.where("home").select(*columns, F.lit(True).alias("resident"), pick("resident_blocks").alias("r"), upto("guest_blocks").alias("g"))
-    guests = dealt.select(*columns, F.lit(False).alias("resident"), upto("resident_blocks").alias("r"), pick("guest_blocks").alias("g"))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        resident = rows.column("resident").to_numpy(zero_copy_only=False)
-        ids, n, home = rows.column("id").to_numpy(), rows.column("n").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False)
-        x = unit(_matrix(rows.column("v")))
-        r, g = np.flatnonzero(resident), np.flatnonzero(~resident)
-        if not len(r) or not len(g):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "m": pa.array([], pa.int64())})
-        linked = x[r] @ x[g].T >= cosine - 1e-9
-        i, j = np.nonzero(linked)
-        exact = np.einsum("kd,kd->k", x[r[i]], x[g[j]]) >= cosine
-        linked[i[~exact], j[~exact]] = False
-        # a pair at home in one cell is met twice, one across cells once in either's cell: the smaller id's side counts
-        once = linked & (ids[r][:, None] < ids[g][None, :])
-        met = np.r_[once @ n[g], n[r] @ once]
-        who = np.r_[ids[r], ids[g]]
-        a, b = forest(linked, ids[r], ids[g])
+    blocks = materialize(_blocks(classes), "pivot-blocks")
+    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    rights = max(1, math.ceil(size / PART))
+    lefts = max(1, min(count, math.ceil(TASKS * classes.sparkSession.sparkContext.defaultParallelism / rights)))
+    side = lambda s: blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in blocks.columns if c != "bytes"))
+    # of the two orders of a pair one, so that all blocks come first in about as many pairs
+    same, first = F.col("l_name") == F.col("r_name"), F.col("l_name") < F.col("r_name")
+    even = F.pmod(F.crc32("l_name") + F.crc32("r_name"), F.lit(2)) == 0
+    apart = F.sqrt(F.aggregate(F.zip_with("l_center", "r_center", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    meet = (same | (first == even)) & (F.col("l_width") == F.col("r_width")) & (F.col("l_first") <= F.col("r_last")) & (F.col("r_first") <= F.col("l_last"))
+    meet = meet & (apart <= F.col("l_radius") + F.col("r_radius") + F.lit(radius + 1e-9))
+    pairs = side("l").repartition(lefts).crossJoin(side("r").repartition(rights).hint("shuffle_replicate_nl")).where(meet)
+    pairs = pairs.select(*(f"{s}_{c}" for s in "lr" for c in ("name", "ids", "n", "spaces", "counts", "width", "v")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if one is None or batch.column("l_name")[row].as_py() != one.name:
+                    one = _Block(batch, row, "l")
+                other = one if batch.column("r_name")[row].as_py() == one.name else _Block(batch, row, "r")
+                for space in one.spaces.keys() & other.spaces.keys():
+                    yield from found(one, other, one.spaces[space], other.spaces[space])
+
+    def found(one: _Block, other: _Block, r: slice, g: slice) -> Iterator[pa.RecordBatch]:
+        linked = linked_pairs(one, other, r, g, cosine)
+        if not linked.any():
+            return
+        ids, others = one.ids[r], other.ids[g]
+        # within a block a pair is met twice: the smaller id's side counts
+        once = linked & (ids[:, None] < others[None, :] if one is other else ids[:, None] != others[None, :])
+        met = np.r_[once @ other.n[g], one.n[r] @ once]
+        who = np.r_[ids, others]
+        a, b = forest(linked, ids, others)
         some = met > 0
-        none, zero = np.zeros(some.sum(), np.int64), np.zeros(len(a), np.int64)
-        return pa.table({"a": np.r_[who[some], a], "b": pa.array(np.r_[none, b], mask=np.r_[np.ones(len(none), bool), np.zeros(len(b), bool)]), "m": np.r_[met[some], zero]})
+        if some.any() or len(a):
+            none, zero = np.zeros(some.sum(), np.int64), np.zeros(len(a), np.int64)
+            yield pa.RecordBatch.from_pydict({"a": np.r_[who[some], a], "b": pa.array(np.r_[none, b], mask=np.r_[np.ones(len(none), bool), np.zeros(len(b), bool)]), "m": np.r_[met[some], zero]})
 
-    return residents.unionByName(guests).groupBy("space", "cell", "r", "g").applyInArrow(compare, "a long, b long, m long")
+    return pairs.mapInArrow(compare, "a long, b long, m long")
