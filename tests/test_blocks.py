@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from quillspark.operators import blocks, embedding
+from quillspark.operators import blocks, embedding, layout
 
 KINDS = ("euclidean", "manhattan", "cosine")
 
@@ -111,3 +111,19 @@ def test_overlap_counts_rows_without_common_neighbours(spark):
     graph = lambda edges: spark.createDataFrame(edges, "id long, other long")
     first, second = graph([(1, 2), (1, 3), (2, 1), (2, 3)]), graph([(1, 2), (1, 4), (2, 4), (2, 5), (9, 1)])
     assert embedding.overlap(first, second, 2).first().overlap == 0.25
+
+
+def test_layout_sends_few_places_and_joins_many(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.25)], "id long, far long, weight double")
+    places = spark.createDataFrame([(k, k, [float(k), 0.0, 1.0], 0) for k in range(3)], "id long, number long, place array<double>, epoch int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = lambda: layout.step(edges, places, 3, 10, 1.0, 1.0, 42)
+        sent = step()
+        assert plan(sent).count("BroadcastHashJoin") == 2
+        monkeypatch.setattr(layout, "SENT", 0)
+        joined = step()
+        assert plan(joined).count("SortMergeJoin") == 2
+        assert sorted(sent.collect()) == sorted(joined.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
